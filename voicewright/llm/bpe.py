@@ -140,9 +140,7 @@ def encode(docs: DataFrame, column: str = "text", path: str | None = None, offse
     shared.tune(docs.sparkSession)
     new = ["bpe_ids", *(["bpe_starts", "bpe_ends"] if offsets else [])]
     rest = docs.drop(*new)
-    schema = rest.schema
-    for name in new:
-        schema = schema.add(name, "array<int>")
+    schema = shared.schema_with(rest, *((name, "array<int>") for name in new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
@@ -166,7 +164,7 @@ def decode(df: DataFrame, ids: str = "bpe_ids", path: str | None = None) -> Data
     """
     path = path or public_tokenizers.path(VOCABULARY)
     rest = df.drop("bpe_bytes", "bpe_text")
-    schema = rest.schema.add("bpe_bytes", "binary").add("bpe_text", "string")
+    schema = shared.schema_with(rest, ("bpe_bytes", "binary"), ("bpe_text", "string"))
 
     def text(raw: bytes | None) -> str | None:
         try:
@@ -195,9 +193,7 @@ def round_trip(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
     path = path or public_tokenizers.path(VOCABULARY)
     shared.tune(docs.sparkSession)
     rest = docs.select(F.col(id_column), shared.text_or_empty(docs, column).alias("text"))
-    schema = rest.select(id_column).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("n_bytes", "long"), ("exact", "boolean")):
-        schema = schema.add(name, kind)
+    schema = shared.schema_with(rest.select(id_column), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("n_bytes", "long"), ("exact", "boolean"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)

@@ -9,18 +9,24 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def tune(spark: SparkSession, rows: int = 512) -> None:
-    """Small Arrow batches: documents can be long, and a batch is held whole by a Python worker."""
+    """Small Arrow batches, as documents can be long and a batch is held whole by a Python worker.
+
+    Workers on this machine also find the package where the driver has found it.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -45,6 +51,13 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    schema = StructType(list(df.schema.fields))  # the schema of a frame is shared, and add() changes it
+    for name, kind in more:
+        schema = schema.add(name, kind)
+    return schema
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
