@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, lz, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op4_pii": pii.op4_pii,
+        "op5_lz_fingerprint": lz.op5_lz_fingerprint,
+        "op9_chat_format": chat.op9_chat_format,
     }
 
 
