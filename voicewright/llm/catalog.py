@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lz, pii
+from . import bpe, chat, lz, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op4_pii": pii.op4_pii,
         "op5_lz_fingerprint": lz.op5_lz_fingerprint,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_chat_format": chat.op9_chat_format,
     }
 
