@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lz, pii, toxicity
+from . import bpe, chat, decontaminate, lz, pii, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op2_token_counts": token_counts.op2_token_counts,
         "op4_pii": pii.op4_pii,
         "op5_lz_fingerprint": lz.op5_lz_fingerprint,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_chat_format": chat.op9_chat_format,
     }
 
