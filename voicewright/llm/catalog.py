@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, lz, pii, token_counts, toxicity
+from . import bpe, chat, decontaminate, jaccard_join, lz, pii, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_pii": pii.op4_pii,
         "op5_lz_fingerprint": lz.op5_lz_fingerprint,
         "op6_toxicity": toxicity.op6_toxicity,
