@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard_join, lz, pii, token_counts, toxicity
+from . import bpe, chat, decontaminate, jaccard_join, licenses, lz, pii, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lz_fingerprint": lz.op5_lz_fingerprint,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_chat_format": chat.op9_chat_format,
     }
 
