@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard_join, licenses, lz, pii, token_counts, toxicity
+from . import bpe, chat, decontaminate, jaccard_join, licenses, lz, pii, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_pii": pii.op4_pii,
