@@ -54,10 +54,15 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | Non
 def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
     schema = StructType(list(df.schema.fields))  # the schema of a frame is shared, and add() changes it
     for name, kind in more:
-        schema = schema.add(name, kind)
+        schema = schema.add(StructType.fromDDL(f"`{name}` {kind}")[0])
     return schema
 
 
+def sent(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows; else joins with it shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

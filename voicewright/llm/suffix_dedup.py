@@ -340,10 +340,6 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array([ids[i] for i in seg[first].tolist()], pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.zeros(len(a), np.int64))], names=["kind", "text_id", "a", "b", "key"])
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
     """``text_id`` (16-byte digest of a text) and ``spans``: array of (a, b), bytes that repeat, in no order, may overlap."""
     spark = docs.sparkSession
@@ -371,7 +367,7 @@ def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["key", "text_id", "j", "bytes"])
 
-    given = texts.join(_sent(need), "text_id").mapInArrow(cut, "key long, text_id binary, j int, bytes binary")
+    given = texts.join(shared.sent(need, SENT_ROWS), "text_id").mapInArrow(cut, "key long, text_id binary, j int, bytes binary")
     more = given.repartition("key").mapInArrow(_repeats, _FOUND)
     every = met.filter("kind = 0").unionByName(more).groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return shared.saved(every, "repeats")
@@ -408,7 +404,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(_sent(spans), "text_id", "left").select("doc_id", "text", "spans")
+    joined = rows.join(shared.sent(spans, SENT_ROWS), "text_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
