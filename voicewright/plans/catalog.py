@@ -1,15 +1,382 @@
-"""Registered queries of the library, and the SQL of the same rows."""
+"""Registered queries of the library over the given tables, and DuckDB SQL of the same rows.
+
+Utterances (sentences of the documents) stand for clips and transcripts; events, with their value as
+length, for turns and candidates on the timeline of their user.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scoring, text
+from ..operators import intervals, pairing, weighting
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- inputs made from the tables ----------------------------------------------------------------
+
+UTT = r"""utt as (
+  select doc_id, pos, lang, source, trim(t) as text, 'doc-' || doc_id || '-' || pos as item_id
+  from (select doc_id, lang, source, unnest(string_split_regex(text, '[.\n]+')) as t,
+               generate_subscripts(string_split_regex(text, '[.\n]+'), 1) - 1 as pos from documents)
+  where trim(t) <> '')"""
+
+CLIPS = UTT + r""", clips as (
+  select item_id, source as video_id, lang as speaker_id, 'audio/' || item_id || '.wav' as audio_path, sha256(text) as audio_sha256,
+         text as final_text, length(text) * 60 as duration_ms, not contains(text, '$') as accepted, not contains(text, '&') as speaker_pure from utt)"""
+
+PRIMARY = UTT + r""", prim as (select item_id as id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') as text, sha256(text) as audio_sha256 from utt),
+sec as (select item_id as id, case when text like 'S%' then '' else replace(replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 'en', 'n'), 'th', 't') end as hypothesis,
+        case when text like 'I%' then 'failed' else 'success' end as status, 'asr-' || lang as model_id, sha256(text) as audio_sha256 from utt where text not like 'W%')"""
+
+SPANS = """iv as (select event_id as id, user_id as video_id, event_type as speaker, value,
+  cast(floor((epoch(ts) - 1704067200) / 6) as bigint) as start_ms,
+  cast(floor((epoch(ts) - 1704067200) / 6) as bigint) + 100 + cast(floor(value * 20) as bigint) as end_ms from events)"""
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", r"[.\n]+")).alias("pos", "t"))
+    return cut.select("doc_id", "pos", "lang", "source", F.trim("t").alias("text"), F.concat(F.lit("doc-"), "doc_id", F.lit("-"), "pos").alias("item_id")).filter("text <> ''")
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = utterances(spark, sf_dir)
+    return u.select("item_id", F.col("source").alias("video_id"), F.col("lang").alias("speaker_id"), F.concat(F.lit("audio/"), "item_id", F.lit(".wav")).alias("audio_path"), F.sha2("text", 256).alias("audio_sha256"), F.col("text").alias("final_text"), (F.length("text") * 60).cast("long").alias("duration_ms"), (~F.contains("text", F.lit("$"))).alias("accepted"), (~F.contains("text", F.lit("&"))).alias("speaker_pure"))
+
+
+def _ascii(c: str) -> F.Column:
+    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
+
+
+def primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utterances(spark, sf_dir).select(F.col("item_id").alias("id"), _ascii("text").alias("text"), F.sha2("text", 256).alias("audio_sha256"))
+
+
+def secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = utterances(spark, sf_dir).filter("text not like 'W%'")
+    heard = F.when(F.col("text").like("S%"), "").otherwise(F.replace(F.replace(_ascii("text"), F.lit("en"), F.lit("n")), F.lit("th"), F.lit("t")))
+    return u.select(F.col("item_id").alias("id"), heard.alias("hypothesis"), F.when(F.col("text").like("I%"), "failed").otherwise("success").alias("status"), F.concat(F.lit("asr-"), "lang").alias("model_id"), F.sha2("text", 256).alias("audio_sha256"))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.floor(F.timestamp_diff("SECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz")) / 6).cast("long")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("video_id"), F.col("event_type").alias("speaker"), "value", start.alias("start_ms"), (start + 100 + F.floor(F.col("value") * 20)).alias("end_ms"))
+
+
+# --- weighting ----------------------------------------------------------------------------------
+
+_WEIGHTED = PRIMARY + r""", n as (
+  select p.id, p.text, p.audio_sha256, s.id as sid, s.status, s.hypothesis, s.model_id,
+         regexp_replace(p.text, '[\p{Z}\p{P}\p{S}\p{C}]', '', 'g') as a, regexp_replace(s.hypothesis, '[\p{Z}\p{P}\p{S}\p{C}]', '', 'g') as b
+  from prim p left join sec s on p.id = s.id),
+w as (select *, case when a = '' then 'empty_normalized_primary' when sid is null then 'secondary_asr_missing' when status = 'failed' then 'secondary_asr_failed' end as reason from n),
+d as (select *, case when reason is null then levenshtein(a, b) / greatest(length(a), 1)::double end as disagreement from w),
+weighted as (select id, text, audio_sha256, reason, disagreement,
+  case when reason is null then greatest(0.1, pow(1 - least(disagreement, 1.0), 3)) end as pseudo_label_weight,
+  case when reason is null then model_id end as secondary_model from d)"""
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighting.weight_manifest(primary(spark, sf_dir), secondary(spark, sf_dir), ascii_only=True)
+
+
+@query(f"with {_WEIGHTED} select id, text, audio_sha256, reason, round(disagreement, 9) as disagreement, round(pseudo_label_weight, 9) as pseudo_label_weight, secondary_model from weighted")
+def weight_manifest(spark, sf_dir):
+    return _weighted(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("disagreement", "pseudo_label_weight")})
+
+
+@query(f"""with {_WEIGHTED} select count(*) as input_rows, count(pseudo_label_weight) as accepted_rows, count(reason) as excluded_rows, round(avg(pseudo_label_weight), 6) as mean,
+ round(stddev_pop(pseudo_label_weight), 6) as population_std, min(pseudo_label_weight) as min, max(pseudo_label_weight) as max,
+ count(*) filter (pseudo_label_weight = 0.1) as at_floor, count(*) filter (pseudo_label_weight = 1) as at_one from weighted""")
+def weight_report(spark, sf_dir):
+    return weighting.weight_report(_weighted(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean", "population_std")})
+
+
+@query(f"with {_WEIGHTED} select reason, count(*) as n from weighted where reason is not null group by 1")
+def exclusion_reasons(spark, sf_dir):
+    return weighting.reason_counts(_weighted(spark, sf_dir))
+
+
+@query(f"with {_WEIGHTED} select least(cast(floor(disagreement / 0.1) as int), 10) as bucket, count(*) as n, round(avg(length(text)), 6) as mean_error, round(avg(disagreement), 6) as mean_d from weighted where reason is null group by 1")
+def disagreement_calibration(spark, sf_dir):
+    rows = _weighted(spark, sf_dir).filter("reason is null").withColumn("label_cer", F.length("text").cast("double"))
+    return weighting.disagreement_calibration(rows).withColumns({c: F.round(c, 6) for c in ("mean_error", "mean_d")})
+
+
+@query(f"with {PRIMARY} select id, hypothesis, status, model_id, audio_sha256 from prim_like right join sec using (id) where seen is null".replace("select id, hypo", ", prim_like as (select id, true as seen from prim where length(text) > 10) select id, hypo"))
+def unused_secondary(spark, sf_dir):
+    return weighting.unused_secondary(primary(spark, sf_dir).filter(F.length("text") > 10), secondary(spark, sf_dir))
+
+
+@query("select l_returnflag, l_linestatus, round(sum(l_discount * l_extendedprice) / count(*), 4) as weighted_mean, count(*) as examples from lineitem group by 1, 2")
+def weighted_example_mean(spark, sf_dir):
+    return weighting.weighted_example_mean(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_discount", "l_extendedprice").withColumn("weighted_mean", F.round("weighted_mean", 4))
+
+
+# --- pairing, splits, shards --------------------------------------------------------------------
+
+_ELIGIBLE = CLIPS + r""", el as (select *, case when not accepted then 'not_accepted_by_video_pipeline' when not speaker_pure then 'invalid_local_speaker'
+  when regexp_replace(final_text, '[\p{Z}\p{P}\p{S}\p{C}]', '', 'g') = '' then 'empty_primary_text'
+  when duration_ms / 1000.0 < 0.4 or duration_ms / 1000.0 > 20 then 'target_duration_out_of_range' end as reason from clips)"""
+
+
+@query(f"with {_ELIGIBLE} select item_id, reason from el")
+def pair_eligibility(spark, sf_dir):
+    return clips(spark, sf_dir).select("item_id", pairing.pair_eligibility().alias("reason"))
+
+
+@query(f"with {_ELIGIBLE} select coalesce(reason, 'eligible') as outcome, count(*) as n from el group by 1")
+def pairing_report(spark, sf_dir):
+    return clips(spark, sf_dir).groupBy(F.coalesce(pairing.pair_eligibility(), F.lit("eligible")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pair_references(spark, sf_dir):
+    return pairing.pair_references(clips(spark, sf_dir)).select("item_id", "reason", "prompt_id", "prompt_audio_sha256", "prompt_text")
+
+
+@query(f"with {CLIPS} select item_id, case when ('0x' || substr(sha256('split:42:' || speaker_id || ':' || video_id), 1, 16))::ubigint < 1844674407370955264 then 'valid' else 'train' end as split from clips")
+def group_split(spark, sf_dir):
+    return pairing.group_split(clips(spark, sf_dir), 0.1, 42, F.col("video_id"), F.col("speaker_id")).select("item_id", "split")
+
+
+@query(f"with {CLIPS}, s as (select speaker_id as g, case when ('0x' || substr(sha256('split:42:' || item_id || ':' || video_id), 1, 16))::ubigint < 1844674407370955264 then 'valid' else 'train' end as split from clips) select g, count(distinct split) as sides from s group by 1 having count(distinct split) > 1")
+def leakage_audit(spark, sf_dir):
+    rows = pairing.group_split(clips(spark, sf_dir), 0.1, 42, F.col("video_id"), F.col("item_id"))
+    return pairing.leakage_audit(rows.withColumnRenamed("speaker_id", "g"), "g")
+
+
+@query(f"with {CLIPS}, m as (select item_id, speaker_id, case speaker_id when 'en' then 0.5 when 'de' then 0.3 when 'fr' then 0.2 end as w from clips) select item_id, speaker_id, round(w / count(*) over (partition by speaker_id), 12) as mass from m where w is not null")
+def sampling_mass(spark, sf_dir):
+    return pairing.sampling_mass(clips(spark, sf_dir), {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.0}, "speaker_id").select("item_id", "speaker_id", F.round("mass", 12).alias("mass"))
+
+
+@query(f"with {CLIPS} select video_id, count(*) as records, round(sum(duration_ms) / 3600000, 6) as hours from clips group by 1")
+def dataset_summary(spark, sf_dir):
+    return pairing.dataset_summary(clips(spark, sf_dir), "video_id").withColumn("hours", F.round("hours", 6))
+
+
+@query(f"""with {CLIPS}, c as (select item_id, duration_ms < 1000 as is_short from clips),
+k as (select count(*) filter (not is_short) as n, count(*) filter (is_short) as s from c),
+q as (select case when n > 0 and s > 0 and floor(0.05 * n / 0.95) >= ceil(0.02 * n / 0.98) then least(s, floor(0.05 * n / 0.95), greatest(ceil(0.02 * n / 0.98), round_even(0.03 * n / 0.97, 0))) else 0 end as k from k),
+r as (select item_id, row_number() over (order by sha256(item_id), item_id) as rn from c where is_short)
+select item_id, false as is_short from c where not is_short union all select item_id, true from r, q where rn <= k""")
+def short_clip_quota(spark, sf_dir):
+    return pairing.short_clip_quota(clips(spark, sf_dir).select("item_id", (F.col("duration_ms") < 1000).alias("is_short")))
+
+
+_SHARDS = f"with {CLIPS}, sh as (select item_id, duration_ms, cast(floor((row_number() over (order by sha256('42:' || item_id), item_id) - 1) / 1000) as bigint) as shard from clips)"
+
+
+@query(_SHARDS + " select item_id, shard from sh")
+def pack_shards(spark, sf_dir):
+    return pairing.pack_shards(clips(spark, sf_dir), 1000).select("item_id", "shard")
+
+
+@query(_SHARDS + " select shard, count(*) as samples, sum(duration_ms) / 1000 as seconds from sh group by 1")
+def shard_stats(spark, sf_dir):
+    return pairing.shard_stats(pairing.pack_shards(clips(spark, sf_dir), 1000))
+
+
+@query(f"with {CLIPS} select audio_sha256, arg_min(audio_path, item_id) as audio_path, count(*) as uses from clips group by 1")
+def encode_once(spark, sf_dir):
+    return pairing.encode_once(clips(spark, sf_dir), "audio_sha256", "audio_path")
+
+
+@query(f"with {PRIMARY} select p.id, exists (select 1 from sec s where s.id = p.id and s.audio_sha256 = p.audio_sha256 and s.status = 'success') as reused from prim p")
+def reuse_asr_results(spark, sf_dir):
+    cached = secondary(spark, sf_dir).withColumn("status", F.when(F.col("status") == "success", "ok"))
+    old, new = pairing.reusable(primary(spark, sf_dir), cached, ["id", "audio_sha256"])
+    return old.select("id", F.lit(True).alias("reused")).unionByName(new.select("id", F.lit(False).alias("reused")))
+
+
+@query(f"with {CLIPS} select video_id, speaker_id, count(*) as clips, sum(duration_ms) as ms from clips group by rollup (video_id, speaker_id)")
+def run_summary(spark, sf_dir):
+    return clips(spark, sf_dir).rollup("video_id", "speaker_id").agg(F.count(F.lit(1)).alias("clips"), F.sum("duration_ms").alias("ms"))
+
+
+@query(f"with {CLIPS} select item_id, case when duration_ms < 5000 then 0 when duration_ms < 10000 then 1 else 2 end as band from clips")
+def duration_band(spark, sf_dir):
+    ms = F.col("duration_ms")
+    return clips(spark, sf_dir).select("item_id", F.when(ms < 5000, 0).when(ms < 10000, 1).otherwise(2).alias("band"))
+
+
+# --- timelines ----------------------------------------------------------------------------------
+
+_HITS = SPANS + ", h as (select l.id, l.video_id, l.start_ms, l.end_ms, r.id as rid, r.speaker, r.value, least(l.end_ms, r.end_ms) - greatest(l.start_ms, r.start_ms) as ms, l.speaker as own, r.start_ms as rs, r.end_ms as re from iv l join iv r on l.video_id = r.video_id and l.start_ms < r.end_ms and r.start_ms < l.end_ms)"
+
+
+@query(f"with {_HITS} select id, video_id, start_ms, end_ms, sum(ms)::bigint as overlap_ms, round_even(sum(ms) / (end_ms - start_ms), 6) as overlap_ratio from h group by id, video_id, start_ms, end_ms")
+def overlap_ms(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    return intervals.overlap_ms(s.select("id", "video_id", "start_ms", "end_ms"), s)
+
+
+@query(f"""with {_HITS}, e as (select id, speaker, sum(ms) as ms, min(value) as c from h group by 1, 2),
+r as (select *, row_number() over (partition by id order by ms desc, speaker) as rn, lead(ms) over (partition by id order by ms desc, speaker) as second from e)
+select iv.id, iv.video_id, iv.start_ms, iv.end_ms, r.speaker as speaker_id, r.c as speaker_confidence, r.ms::bigint as speaker_ms, coalesce(second >= greatest(100, round_even(ms * 0.15, 0)), false) as overlap_detected from iv join r on iv.id = r.id and rn = 1""")
+def label_speakers(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    return intervals.label_speakers(s.select("id", "video_id", "start_ms", "end_ms"), s.withColumn("confidence", F.col("value")))
+
+
+@query(f"""with {SPANS}, f as (select video_id, speaker, min(struct_pack(s := start_ms, i := id)) as a from iv group by 1, 2), n as (select video_id, speaker, row_number() over (partition by video_id order by a) as no from f)
+select id, iv.video_id, iv.speaker as speaker_id, printf('%d_spk%02d', iv.video_id, no) as stable_id from iv join n on iv.video_id = n.video_id and iv.speaker = n.speaker""")
+def stable_speaker_ids(spark, sf_dir):
+    return intervals.stable_speaker_ids(spans(spark, sf_dir).withColumnRenamed("speaker", "speaker_id")).select("id", "video_id", "speaker_id", "stable_id")
+
+
+@query(f"with {SPANS}, a as (select *, max(end_ms) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) as reach from iv), b as (select *, sum(case when reach is null or start_ms - reach > 700 then 1 else 0 end) over (partition by video_id order by start_ms, end_ms rows unbounded preceding) as island from a) select video_id, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as parts from b group by video_id, island")
+def merge_intervals(spark, sf_dir):
+    return intervals.merge_intervals(spans(spark, sf_dir), ["video_id"], 700)
+
+
+@query(f"with {_HITS} select iv.id, iv.video_id, iv.speaker, exists (select 1 from h where h.id = iv.id and h.speaker <> h.own) as overlapped from iv")
+def overlap_flags(spark, sf_dir):
+    return intervals.overlap_flags(spans(spark, sf_dir)).select("id", "video_id", "speaker", "overlapped")
+
+
+@query(f"with {_HITS} select id, count(*) filter (speaker = 'error' and ms >= least(500, end_ms - start_ms) and ms / (end_ms - start_ms) >= 0.5) as matches, count(*) filter (speaker = 'error' and ms >= least(500, end_ms - start_ms) and ms / (end_ms - start_ms) >= 0.5) > 0 as needs_review from h group by id")
+def flag_review_intervals(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    return intervals.flag_review_intervals(s, s.filter("speaker = 'error'")).select("id", "matches", "needs_review")
+
+
+@query(f"""with {SPANS}, p as (select *, greatest(0, start_ms - 200) as a, end_ms + 200 as b from iv),
+c as (select p.id, max(case when r.start_ms < p.start_ms then least(p.start_ms, r.end_ms) end) as low, min(case when r.end_ms > p.end_ms then greatest(p.end_ms, r.start_ms) end) as high
+ from p join iv r on p.video_id = r.video_id and p.a < r.end_ms and r.start_ms < p.b and r.speaker <> p.speaker group by 1)
+select p.id, greatest(a, coalesce(low, a)) as export_start_ms, least(b, coalesce(high, b)) as export_end_ms from p left join c on p.id = c.id""")
+def safe_padding(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    return intervals.safe_padding(s, s).select("id", "export_start_ms", "export_end_ms")
+
+
+@query()
+def group_candidates(spark, sf_dir):
+    return intervals.group_candidates(intervals.overlap_flags(spans(spark, sf_dir))).select("id", "video_id", "speaker", "group_id")
+
+
+@query(f"with {SPANS}, w as (select id, start_ms, end_ms, unnest(case when end_ms - start_ms <= 2000 then [0] else list_distinct(range(0, end_ms - start_ms - 2000 + 1, 1000) || [end_ms - start_ms - 2000]) end) as o from iv) select id, start_ms + o as window_start, least(end_ms, start_ms + o + 2000) as window_end from w")
+def window_expand(spark, sf_dir):
+    return intervals.window_expand(spans(spark, sf_dir), 2_000, 1_000).select("id", "window_start", "window_end")
+
+
+_ATOMS = SPANS + """, ed as (select video_id, start_ms as t from iv union select video_id, end_ms from iv), pc as (select video_id, t as start_ms, lead(t) over (partition by video_id order by t) as end_ms from ed),
+atm as (select pc.video_id, pc.start_ms, pc.end_ms, list_sort(list_distinct(list(iv.speaker) filter (iv.speaker is not null))) as sp from pc left join iv on iv.video_id = pc.video_id and iv.start_ms < pc.end_ms and pc.start_ms < iv.end_ms where pc.end_ms is not null group by 1, 2, 3),
+st as (select *, case coalesce(len(sp), 0) when 0 then 'unknown' when 1 then 'single' else 'overlap' end as state, coalesce(array_to_string(sp, '+'), '') as speakers from atm)"""
+
+
+@query(f"with {_ATOMS} select video_id, start_ms, end_ms, state, speakers from st")
+def fuse_timelines(spark, sf_dir):
+    return intervals.atoms(spans(spark, sf_dir)).select("video_id", "start_ms", "end_ms", "state", F.array_join("speakers", "+").alias("speakers"))
+
+
+@query(f"with {_ATOMS}, g as (select *, case when lag(state || '|' || speakers) over w is distinct from state || '|' || speakers then 1 else 0 end as f from st window w as (partition by video_id order by start_ms)), r as (select *, sum(f) over (partition by video_id order by start_ms rows unbounded preceding) as run from g) select video_id, min(start_ms) as start_ms, max(end_ms) as end_ms, any_value(state) as state, any_value(state || '|' || speakers) as tag from r group by video_id, run")
+def merge_atoms(spark, sf_dir):
+    return intervals.merge_atoms(intervals.atoms(spans(spark, sf_dir)))
+
+
+@query(f"with {_ATOMS} select video_id, sum(case when state = 'single' then end_ms - start_ms else 0 end)::bigint as single_ms, sum(case when state = 'overlap' then end_ms - start_ms else 0 end)::bigint as overlap_ms, sum(case when state = 'unknown' then end_ms - start_ms else 0 end)::bigint as unknown_ms, count(*) as atoms from st group by 1")
+def timeline_durations(spark, sf_dir):
+    return intervals.timeline_durations(intervals.atoms(spans(spark, sf_dir)))
+
+
+@query()
+def derive_exclusive(spark, sf_dir):
+    return intervals.derive_exclusive(spans(spark, sf_dir))
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query(r"with " + UTT + r" select item_id, regexp_replace(nfc_normalize(text), '[\p{Z}\p{P}\p{S}\p{C}]', '', 'g') as scored from utt")
+def normalize_for_scoring(spark, sf_dir):
+    return utterances(spark, sf_dir).select("item_id", scoring.normalize_for_scoring(F.col("text")).alias("scored"))
+
+
+@query(r"select doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) as latin, round(length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) / greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1), 9) as latin_ratio from documents")
+def script_metrics(spark, sf_dir):
+    m = text.script_metrics(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m.letters").cast("long").alias("letters"), F.col("m.latin").cast("long").alias("latin"), F.round("m.latin_ratio", 9).alias("latin_ratio"))
+
+
+@query(r"""with t as (select doc_id, unnest(list_filter(string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' '), lambda x: x <> '')) as w, generate_subscripts(list_filter(string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' '), lambda x: x <> ''), 1) as i from documents),
+g as (select *, i - row_number() over (partition by doc_id, w order by i) as grp from t), r as (select doc_id, w, grp, count(*) as n from g group by 1, 2, 3) select doc_id, max(n)::int as run from r group by 1""")
+def max_token_run(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.max_token_run(F.col("text")).alias("run"))
+
+
+@query(r"with " + UTT + r""", c as (select item_id, regexp_replace(text, '[^\p{L}\p{M}\p{N}]', '', 'g') as t from utt), g as (select item_id, substr(t, unnest(range(1, length(t) - 2)), 4) as g from c where length(t) >= 4), n as (select item_id, g, count(*) as n from g group by 1, 2), m as (select item_id, max(n) as n from n group by 1) select c.item_id, coalesce(m.n, 0)::int as best from c left join m on c.item_id = m.item_id""")
+def max_fourgram(spark, sf_dir):
+    return utterances(spark, sf_dir).select("item_id", text.max_fourgram(F.col("text")).alias("best"))
+
+
+@query(r"select page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'item') as safe from pages")
+def safe_id(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_id(F.col("url")).alias("safe"))
+
+
+@query(r"select doc_id, case when regexp_matches(text, '[\x{4E00}-\x{9FFF}]') then 'Chinese' when regexp_matches(text, '[\x{3040}-\x{30FF}]') then 'Japanese' else 'English' end as language, regexp_matches(text, '[0-9$%&@#*+=<>^~|/\\]|https?://|www\.|(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])') as needs from documents")
+def needs_normalization(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"), text.needs_normalization(F.col("text")).alias("needs"))
+
+
+@query("select event_id, '{\"k\": ' || regexp_extract(props, '[0-9]+') || '}' as answer, cast(regexp_extract(props, '[0-9]+') as bigint) as k from events")
+def extract_llm_json(spark, sf_dir):
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    found = text.extract_llm_json(fenced)
+    return table(spark, sf_dir, "events").select("event_id", found.alias("answer"), F.get_json_object(found, "$.k").cast("long").alias("k"))
+
+
+@query(r"with " + UTT + r" select item_id, '<|lang_start|>' || lang || '<|lang_end|><|text_start|>' || source || ' ' || text || '<|text_end|>' as composed from utt")
+def compose_training_text(spark, sf_dir):
+    return utterances(spark, sf_dir).select("item_id", text.compose_training_text(F.col("source"), F.col("text"), F.col("lang")).alias("composed"))
+
+
+@query("select vec_id, round(quantile_cont(x, 0.2), 9) as q20, round(quantile_cont(x, 0.9), 9) as q90, round(least(greatest(quantile_cont(x, 0.2) + 0.06, -0.2), 0.2), 9) as threshold from (select vec_id, unnest(embedding)::double as x from embeddings) group by 1")
+def noise_floor(spark, sf_dir):
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("x")).withColumn("x", F.col("x").cast("double"))
+    q = frames.groupBy("vec_id").agg(F.percentile("x", F.array(F.lit(0.2), F.lit(0.9))).alias("q"))
+    level = F.least(F.greatest(F.col("q")[0] + 0.06, F.lit(-0.2)), F.lit(0.2))
+    return q.select("vec_id", F.round(F.col("q")[0], 9).alias("q20"), F.round(F.col("q")[1], 9).alias("q90"), F.round(level, 9).alias("threshold"))
+
+
+@query("select o_orderkey, sha256(concat_ws('|', o_custkey, o_orderstatus, o_orderpriority)) as row_hash from orders")
+def manifest_checksum(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("row_hash"))
+
+
+@query("select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'add' when d.doc_id is null then 'delete' when l.quality = 0 then 'replace' else 'keep' end as action from documents d full join labels l on d.doc_id = l.doc_id")
+def reconcile_published(spark, sf_dir):
+    d, p = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("p"), "quality")
+    both = d.join(p, d.doc_id == p.p, "full_outer")
+    return both.select(F.coalesce("doc_id", "p").alias("doc_id"), F.when(F.col("p").isNull(), "add").when(F.col("doc_id").isNull(), "delete").when(F.col("quality") == 0, "replace").otherwise("keep").alias("action"))
