@@ -114,12 +114,11 @@ def graph(text: str, base: dict[str, list[tuple[int, int]]]) -> Graph:
         for a, b in base[kind]:
             labels[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = k
     near = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] == 1]
-    beside = set(near)
     last: dict[str, int] = {}
     skip = []
     for i, t in enumerate(tokens):
         if len(k := _key(t)) >= 4:
-            if k in last and (last[k], i) not in beside:
+            if k in last:
                 skip.append((last[k], i))
             last[k] = i
     pair = lambda x: np.array(x, np.int64).reshape(-1, 2)
