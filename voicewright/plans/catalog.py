@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import intervals, pairing, weighting
+from ..operators import intervals, items, pairing, weighting
+from ..sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -380,3 +381,69 @@ def reconcile_published(spark, sf_dir):
     d, p = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("p"), "quality")
     both = d.join(p, d.doc_id == p.p, "full_outer")
     return both.select(F.coalesce("doc_id", "p").alias("doc_id"), F.when(F.col("p").isNull(), "add").when(F.col("doc_id").isNull(), "delete").when(F.col("quality") == 0, "replace").otherwise("keep").alias("action"))
+
+
+# --- items, reports and files --------------------------------------------------------------------
+
+
+@query(f"""with {SPANS}, w as (select id as item_id, unnest(case when end_ms - start_ms <= 2000 then [0] else list_distinct(range(0, end_ms - start_ms - 2000 + 1, 1000) || [end_ms - start_ms - 2000]) end) as o, value from iv)
+select item_id, max(value / (1 + o / 1000.0) / 500) as max_probability, count(*) as windows, max(value / (1 + o / 1000.0) / 500) >= 0.2 as detected from w group by 1""")
+def music_decision(spark, sf_dir):
+    w = intervals.window_expand(spans(spark, sf_dir), 2_000, 1_000)
+    p = F.col("value") / (1 + (F.col("window_start") - F.col("start_ms")) / F.lit(1000.0)) / 500
+    return items.music_decision(w.select(F.col("id").alias("item_id"), p.alias("probability")))
+
+
+@query("""select d.doc_id as item_id, case when l.doc_id is null then 'music_report_missing' when l.quality = 0 then 'music_report_stale' end as error, case when l.quality = 1 then l.toxic = 1 end as background_music from documents d left join labels l on d.doc_id = l.doc_id""")
+def apply_music_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("audio_sha256"))
+    labels = table(spark, sf_dir, "labels")
+    reports = labels.join(docs, labels.doc_id == docs.item_id).select("item_id", F.when(F.col("quality") == 1, F.col("audio_sha256")).otherwise("other").alias("audio_sha256"), (F.col("toxic") == 1).alias("detected"))
+    return items.apply_music_report(docs, reports).select("item_id", "error", "background_music")
+
+
+@query(r"""with """ + UTT + r""", n as (select item_id, text, length(text) * 60 as ms, l.quality, l.toxic, length(regexp_replace(text, '[^\p{L}\p{M}\p{N}]', '', 'g')) as len from utt left join labels l on utt.doc_id = l.doc_id),
+c as (select item_id, regexp_replace(text, '[^\p{L}\p{M}\p{N}]', '', 'g') as t from utt), g as (select item_id, substr(t, unnest(range(1, length(t) - 2)), 4) as g from c where length(t) >= 4), m as (select item_id, max(n) as most from (select item_id, g, count(*) as n from g group by 1, 2) group by 1),
+f as (select n.item_id, ms, quality, toxic, coalesce(most, 0) as most, len, len > greatest(256, ceil(ms / 1000 * 40)) as long, len > greatest(160, ceil(ms / 1000 * 20)) and coalesce(most, 0) >= 12 as rep, text like 'S%' as noasr from n left join m on n.item_id = m.item_id)
+select item_id, case when not noasr and (long or rep or (quality is not null and (toxic = 1 or ms < 500 or (ms < 1000 and quality = 0)))) then 'excluded' when noasr or quality is null then 'retry' when quality = 0 then 'boundary_repair' else 'accept' end as route from f""")
+def finalize_items(spark, sf_dir):
+    u = utterances(spark, sf_dir)
+    rows = u.select("item_id", (F.length("text") * 60).cast("long").alias("duration_ms"), F.array().cast("array<string>").alias("blocking"))
+    asr = u.filter("text not like 'S%'").select("item_id", F.array(F.struct(F.lit("ok").alias("status"), F.col("text").alias("transcript"))).alias("runs"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    ok, bad = F.col("quality") == 1, F.col("toxic") == 1
+    fields = [ok.alias("speech_complete"), ok.alias("natural_short_response"), *((bad if k == "background_music" else F.lit(False)).alias(k) for k in items.VETOES)]
+    quality = u.join(labels, "doc_id").select("item_id", F.lit("ok").alias("status"), F.struct(*fields).alias("assessment"))
+    return items.finalize_items(rows, asr, quality).select("item_id", "route")
+
+
+@query()
+def build_items(spark, sf_dir):
+    grouped = intervals.group_candidates(intervals.overlap_flags(spans(spark, sf_dir))).withColumn("text", F.concat("speaker", F.col("id").cast("string")))
+    return items.build_items(grouped).select("item_id", "video_id", "speaker_id", "speakers", "parts", "start_ms", "end_ms", "text")
+
+
+@query("""with f as (select vec_id, unnest(embedding)::double * 100 - 60 as db, generate_subscripts(embedding, 1) - 1 as frame from embeddings),
+a as (select vec_id, frame, 10 * log10(greatest(avg(pow(10.0, db / 10)) over (partition by vec_id order by frame range between 9 preceding and 9 following), 1e-12)) as m, abs(frame - 32) as far from f),
+s as (select *, round(m + 1.5 * far / 32, 9) as score from a) select vec_id, arg_min(frame, struct_pack(a := score, b := far, c := frame)) as frame from s group by 1""")
+def quiet_boundary(spark, sf_dir):
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("frame", "x"))
+    frames = frames.select("vec_id", F.col("frame").cast("long").alias("frame"), (F.col("x").cast("double") * 100 - 60).alias("db"))
+    return items.quiet_boundary(frames, "vec_id", F.lit(32))
+
+
+@query(f"with {CLIPS} select item_id, cast(floor((row_number() over (partition by video_id order by duration_ms desc, item_id) - 1) / 16) as bigint) as batch from clips")
+def fixed_batches(spark, sf_dir):
+    return items.fixed_batches(clips(spark, sf_dir), 16, ["video_id"], F.struct(-F.col("duration_ms"), F.col("item_id"))).select("item_id", "batch")
+
+
+@query("select label as system, round(avg(e[1]), 6) as cer, round(stddev_samp(e[1]), 6) as cer_sd, round(avg(e[2]), 6) as sim, round(case when greatest(100 - avg(e[1]), 0) + avg(e[2]) * 100 > 0 then 2 * greatest(100 - avg(e[1]), 0) * avg(e[2]) * 100 / (greatest(100 - avg(e[1]), 0) + avg(e[2]) * 100) else 0 end, 6) as h from (select label, [abs(embedding[1]::double) * 50, abs(embedding[2]::double)] as e from embeddings) group by 1")
+def eval_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("system"), (F.abs(F.col("embedding")[0].cast("double")) * 50).alias("cer"), F.abs(F.col("embedding")[1].cast("double")).alias("sim"))
+    return items.eval_summary(rows, ["system"]).withColumns({c: F.round(c, 6) for c in ("cer", "cer_sd", "sim", "h")})
+
+
+@query("select o_orderkey::varchar as id, o_orderstatus as text, o_orderpriority as speaker_id, case when o_orderstatus = 'P' then 'missing_audio_path' end as reason from orders")
+def normalize_record(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("utt_id"), F.lit("").alias("text"), F.col("o_orderstatus").alias("transcript"), F.col("o_orderpriority").alias("voice"), F.when(F.col("o_orderstatus") != "P", "a.wav").alias("wav"))
+    return manifest.normalize_record(rows).select("id", "text", "speaker_id", "reason")
