@@ -117,3 +117,76 @@ def clean_text(text: Column) -> Column:
 
 def compose_training_text(prompt: Column, target: Column, language: Column) -> Column:
     return F.concat(F.lit("<|lang_start|>"), language, F.lit("<|lang_end|><|text_start|>"), prompt, F.lit(" "), target, F.lit("<|text_end|>"))
+
+
+#: Letters and stop words that tell Latin-script languages apart.
+LANGUAGE_LETTERS = {"de-DE": "äöüß", "fr-FR": "àâæçéèêëîïôœùûÿ", "es-MX": "ñ¿¡", "it-IT": "àèéìíîòóùú"}
+STOP_WORDS = {
+    "de-DE": "und der die das ist ein nicht mit den von sie ich auf für auch wird im am",
+    "en-US": "the and is are of to in for on with this that you it have was please at",
+    "es-MX": "el la los las de que es un una por con para su se no más está del",
+    "fr-FR": "le la les des est et un une vous que pour dans qui pas sur au du ce",
+    "it-IT": "il la le di che è un una per con non sono del della gli nel ha si",
+}
+
+
+def detect_locale(text: Column, fallback: str = "en-US") -> Column:
+    """Locale by script, then by letters and stop words of Latin-script languages; a tie or no evidence gives ``fallback``."""
+    low = F.lower(text)
+    found = F.array_distinct(F.split(F.trim(F.regexp_replace(low, r"[^\p{L}]+", " ")), " "))
+    score = {}
+    for k, stop in STOP_WORDS.items():
+        hits = F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in stop.split()])))
+        score[k] = hits + (F.when(low.rlike(f"[{LANGUAGE_LETTERS[k]}]"), 1).otherwise(0) if k in LANGUAGE_LETTERS else F.lit(0))
+    best = F.greatest(*score.values())
+    winners = F.array_compact(F.array(*(F.when(s == best, k) for k, s in score.items())))
+    latin = F.when((best > 0) & (F.size(winners) == 1), winners[0]).otherwise(fallback)
+    return F.when(text.rlike(r"[\x{3040}-\x{30FF}]"), "ja-JP").when(text.rlike(r"[\x{4E00}-\x{9FFF}]"), "zh-CN").when(text.rlike(r"\p{IsLatin}"), latin).otherwise(fallback)
+
+
+def split_paragraph(text: Column, most: int = 80, tail: int = 20) -> Column:
+    """Cut behind sentence marks (not within numbers), then join pieces up to ``most`` code points; a last piece shorter than ``tail`` joins the one before."""
+    pieces = F.filter(F.split(text, r"(?<=[。！？；!?;])|(?<=[.,，、])(?![0-9])"), lambda p: F.trim(p) != "")
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits = (F.size(acc) > 0) & (F.length(last) + F.length(p) <= most)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, p)))).otherwise(F.concat(acc, F.array(p)))
+
+    joined = F.aggregate(pieces, F.array().cast("array<string>"), lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(step(acc, p)))
+    n = F.size(joined)
+    short = (n > 1) & (F.length(F.element_at(joined, -1)) < tail)
+    return F.when(short, F.concat(F.slice(joined, 1, F.greatest(n - 2, F.lit(0))), F.array(F.concat(F.element_at(joined, F.when(n > 1, -2).otherwise(-1)), F.element_at(joined, -1))))).otherwise(joined)
+
+
+#: Speaking weight of a character by kind.
+SPEAKING_WEIGHTS = {r"[\x{4E00}-\x{9FFF}]": 3.0, r"[\x{3040}-\x{30FF}]": 2.2, r"[\x{AC00}-\x{D7A3}]": 2.5, r"[\x{1000}-\x{109F}\x{0E80}-\x{0EFF}\x{1780}-\x{17FF}]": 1.8, r"\p{IsLatin}": 1.0, r"[0-9]": 3.5, r"[.!?。！？]": 3.0, r"[,;:，；：]": 1.5, r"\s": 0.2}
+
+
+def speaking_weight(text: Column) -> Column:
+    total = F.lit(0.0)
+    for pattern, weight in SPEAKING_WEIGHTS.items():
+        total = total + F.regexp_count(text, F.lit(pattern)) * weight
+    return total
+
+
+def estimate_duration(target: Column, reference: Column, reference_seconds: Column, boost_below: float = 1.0) -> Column:
+    """Seconds of ``target`` at the reference's pace; short estimates are raised by a cube root."""
+    pace = speaking_weight(reference) / reference_seconds
+    seconds = speaking_weight(target) / F.nullif(pace, F.lit(0.0))
+    return F.when(seconds < boost_below, F.cbrt(seconds / boost_below) * boost_below).otherwise(seconds)
+
+
+def abnormal_chars(text: Column) -> Column:
+    """Distinct characters that a transcript shouldn't hold: controls, format characters but zero-width joiners and blanks, private use, and symbols but ten common ones."""
+    chars = F.array_distinct(F.split(text, ""))
+    bad = r"^(?:[\p{Cc}\p{Co}\p{Cn}&&[^\n\t\r]]|[\p{Cf}&&[^\x{200B}-\x{200D}]]|[\p{S}&&[^$%+=<>€£°~]])$"
+    return F.filter(chars, lambda c: c.rlike(bad))
+
+
+def text_quality(text: Column, max_run: int = 3, max_gram: int = 11, max_latin: float = 0.65) -> Column:
+    """Reasons against a transcript, in a fixed order. ``text`` is a normalised one (``normalize_transcript``), as a column of its own."""
+    t = text
+    m = script_metrics(t)
+    rules = [F.when(t == "", "empty_text"), F.when(F.size(abnormal_chars(t)) > 0, "abnormal_characters"), F.when((max_token_run(t) > max_run) | (max_fourgram(t) > max_gram), "repetitive_text"), F.when(m["latin_ratio"] > max_latin, "excessive_english")]
+    return F.array_compact(F.array(*rules))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import intervals, items, pairing, weighting
+from ..operators import evaluation, intervals, items, pairing, weighting
 from ..sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,3 +447,93 @@ def eval_summary(spark, sf_dir):
 def normalize_record(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("utt_id"), F.lit("").alias("text"), F.col("o_orderstatus").alias("transcript"), F.col("o_orderpriority").alias("voice"), F.when(F.col("o_orderstatus") != "P", "a.wav").alias("wav"))
     return manifest.normalize_record(rows).select("id", "text", "speaker_id", "reason")
+
+
+# --- evaluation and audits ------------------------------------------------------------------------
+
+
+@query("""with t as (select l_orderkey as example, l_linenumber as codebook, case when l_returnflag = 'N' then -100 else 1 end as label, l_discount as loss from lineitem),
+e as (select example, codebook, sum(case when label <> -100 then loss else 0 end) / greatest(count(*) filter (label <> -100), 1) as m from t group by 1, 2)
+select example, round(sum(m * (8 - codebook) / 28.0), 9) as loss from e group by 1""")
+def masked_token_loss(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("example"), F.col("l_linenumber").alias("codebook"), F.when(F.col("l_returnflag") == "N", -100).otherwise(1).alias("label"), F.col("l_discount").alias("loss"))
+    return evaluation.masked_token_loss(li, {k: 8.0 - k for k in range(1, 8)}, ["example"]).withColumn("loss", F.round("loss", 9))
+
+
+@query(f"""with {_ATOMS}, o as (select video_id, speakers, sum(end_ms - start_ms) as ms from st where state = 'single' group by 1, 2),
+t as (select video_id, arg_max(speakers, struct_pack(a := ms, b := speakers)) as dominant, max(ms) as dm, sum(ms) as sm from o group by 1),
+s as (select video_id, sum(end_ms - start_ms) as am, sum(case when state = 'overlap' then end_ms - start_ms else 0 end) as om, sum(case when state = 'unknown' then end_ms - start_ms else 0 end) as um, max(case when state <> 'unknown' then end_ms end) as v, max(end_ms) as l from st group by 1)
+select s.video_id, dominant, round(coalesce(dm, 0) / am, 9) as dominant_ratio, round(coalesce(sm - dm, 0) / am, 9) as other_ratio, round(om / am, 9) as overlap_ratio, round(um / am, 9) as unknown_ratio, case when v is null then um else l - v end::bigint as trailing_unknown_ms from s left join t on s.video_id = t.video_id""")
+def gate_metrics(spark, sf_dir):
+    return evaluation.gate_metrics(intervals.atoms(spans(spark, sf_dir)).withColumn("speaker", F.col("speakers")[0]))
+
+
+@query("select coalesce(o.o_custkey, c.c_custkey) as id, case when c.c_custkey is null then 'unknown_id' when o.o_custkey is null then 'missing_id' else 'changed' end as reason from (select o_custkey, min(o_orderstatus) as x from orders group by 1) o full join customer c on o.o_custkey = c.c_custkey where c.c_custkey is null or o.o_custkey is null or o.x is distinct from c.c_mktsegment[1]")
+def audit_codec_index(spark, sf_dir):
+    index = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderstatus").alias("x"))
+    manifest_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_mktsegment", 1, 1).alias("x"))
+    return evaluation.audit_codec_index(index, manifest_, "id", ["x"])
+
+
+@query()
+def crossed_bootstrap_ci(spark, sf_dir):
+    ratings = table(spark, sf_dir, "events").select(F.col("event_type").alias("system"), F.col("user_id").alias("listener"), F.date_trunc("day", F.col("ts")).alias("condition"), F.col("value").alias("score"))
+    return evaluation.crossed_bootstrap_ci(ratings, 200)
+
+
+@query("with r as (select l_quantity as a, l_discount as b, avg(n1) over (partition by l_quantity) as ra, avg(n2) over (partition by l_discount) as rb from (select *, row_number() over (order by l_quantity) as n1, row_number() over (order by l_discount) as n2 from lineitem)) select round(corr(a, b), 6) as pearson, round(corr(ra, rb), 6) as spearman, count(*) as n from r")
+def spearman(spark, sf_dir):
+    return evaluation.spearman(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount"), "l_quantity", "l_discount").withColumns({c: F.round(c, 6) for c in ("pearson", "spearman")})
+
+
+@query("""select b.doc_id as item_id, array_to_string(list_filter([case when b.quality is null or l.toxic is null then 'recovery_evidence_missing' end, case when l.toxic / 5.0 > 0.10 then 'residual_music' end, case when b.quality / 2.0 - l.toxic / 5.0 < 0.05 then 'insufficient_reduction' end], lambda x: x is not null), ',') as reasons
+from (select d.doc_id, q.quality from documents d left join labels q on d.doc_id = q.doc_id) b left join labels l on b.doc_id = l.doc_id""")
+def compare_recovery(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), table(spark, sf_dir, "labels")
+    side = lambda p: labels.select(F.col("doc_id").alias("item_id"), p.alias("probability"), F.lit(-20.0).alias("level_db"), F.lit(1000).alias("duration_ms"))
+    out = evaluation.compare_recovery(docs, side(F.col("quality") / 2.0), side(F.col("toxic") / 5.0))
+    return out.select("item_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def detect_locale(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.detect_locale(F.col("text")).alias("locale"))
+
+
+@query()
+def split_paragraph(spark, sf_dir):
+    return utterances(spark, sf_dir).select("item_id", F.posexplode(text.split_paragraph(F.col("text"))).alias("part", "piece"))
+
+
+@query()
+def text_quality(spark, sf_dir):
+    rows = utterances(spark, sf_dir).select("item_id", text.normalize_transcript(F.col("text")).alias("t"))
+    return rows.select("item_id", F.array_join(text.text_quality(F.col("t")), ",").alias("reasons"))
+
+
+@query(r"with " + UTT + r""", w as (select item_id, text, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) * 1.0 + length(regexp_replace(text, '[^0-9]', '', 'g')) * 3.5 + length(regexp_replace(text, '[^.!?。！？]', '', 'g')) * 3.0 + length(regexp_replace(text, '[^,;:，；：]', '', 'g')) * 1.5 + length(regexp_replace(text, '\S', '', 'g')) * 0.2 as w from utt)
+select item_id, round(case when w / 15 < 1 then cbrt(w / 15) else w / 15 end, 6) as seconds from w""")
+def estimate_duration(spark, sf_dir):
+    said = F.lit("abcdefghijklmno")
+    return utterances(spark, sf_dir).select("item_id", F.round(text.estimate_duration(F.col("text"), said, F.lit(1.0)), 6).alias("seconds"))
+
+
+@query("select page_id, lower(regexp_replace(nfc_normalize(url), '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) as key from pages")
+def title_dedup_key(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.title_dedup_key(F.col("url")).alias("key"))
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
+
+
+@query(r"with " + UTT + r""" select item_id, case when trim(text) = '' or regexp_matches(text, '[.!?…。！？，；：,;:]$') then trim(text) when regexp_matches(text, '[\x{4E00}-\x{9FFF}]$') then trim(text) || '。' else trim(text) || '.' end as closed from utt""")
+def add_punctuation(spark, sf_dir):
+    return utterances(spark, sf_dir).select("item_id", text.add_punctuation(F.col("text")).alias("closed"))
+
+
+@query()
+def merge_text(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", F.size("t").alias("turns"), text.merge_text(F.transform("t", lambda x: x["text"])).alias("text"))
