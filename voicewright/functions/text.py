@@ -45,10 +45,12 @@ def max_token_run(text: Column) -> Column:
 
 
 def max_fourgram(text: Column) -> Column:
-    """Most occurrences of one 4-code-point gram of letters, marks and numbers; sorted grams are counted by runs, in one pass."""
-    compact = letters_of(text)
-    n = F.length(compact)
-    grams = F.when(n >= 4, F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: F.substr(compact, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    """Most occurrences of one 4-code-point gram of letters, marks and numbers. Grams come from shifted character arrays, in linear time; sorted, they're counted by runs."""
+    chars = F.split(letters_of(text), "")
+    join = lambda a, b: F.concat(a, b)  # noqa: E731  null where the shifted array has ended
+    shifted = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x), F.lit(1)))
+    pairs = F.zip_with(chars, shifted(chars, 1), join)
+    grams = F.sort_array(F.filter(F.zip_with(pairs, shifted(pairs, 2), join), lambda g: F.length(g) == 4))
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, g: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries of the library over the given tables, and DuckDB SQL of the same rows.
 
-Utterances (sentences of the documents) stand for clips and transcripts; events, with their value as
+Utterances (clauses of the documents) stand for clips and transcripts; events, with their value as
 length, for turns and candidates on the timeline of their user.
 """
 
@@ -46,13 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 UTT = r"""utt as (
   select doc_id, pos, lang, source, trim(t) as text, 'doc-' || doc_id || '-' || pos as item_id
-  from (select doc_id, lang, source, unnest(string_split_regex(text, '[.\n]+')) as t,
-               generate_subscripts(string_split_regex(text, '[.\n]+'), 1) - 1 as pos from documents)
+  from (select doc_id, lang, source, unnest(string_split_regex(text, '[.,\n|!&$%*#]+')) as t,
+               generate_subscripts(string_split_regex(text, '[.,\n|!&$%*#]+'), 1) - 1 as pos from documents)
   where trim(t) <> '')"""
 
 CLIPS = UTT + r""", clips as (
   select item_id, source as video_id, lang as speaker_id, 'audio/' || item_id || '.wav' as audio_path, sha256(text) as audio_sha256,
-         text as final_text, length(text) * 60 as duration_ms, not contains(text, '$') as accepted, not contains(text, '&') as speaker_pure from utt)"""
+         text as final_text, length(text) * 60 as duration_ms, not contains(text, 'sch') as accepted, not contains(text, 'ción') as speaker_pure from utt)"""
 
 PRIMARY = UTT + r""", prim as (select item_id as id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') as text, sha256(text) as audio_sha256 from utt),
 sec as (select item_id as id, case when text like 'S%' then '' else replace(replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 'en', 'n'), 'th', 't') end as hypothesis,
@@ -65,13 +65,13 @@ SPANS = """iv as (select event_id as id, user_id as video_id, event_type as spea
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    cut = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", r"[.\n]+")).alias("pos", "t"))
+    cut = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", r"[.,\n|!&$%*#]+")).alias("pos", "t"))
     return cut.select("doc_id", "pos", "lang", "source", F.trim("t").alias("text"), F.concat(F.lit("doc-"), "doc_id", F.lit("-"), "pos").alias("item_id")).filter("text <> ''")
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = utterances(spark, sf_dir)
-    return u.select("item_id", F.col("source").alias("video_id"), F.col("lang").alias("speaker_id"), F.concat(F.lit("audio/"), "item_id", F.lit(".wav")).alias("audio_path"), F.sha2("text", 256).alias("audio_sha256"), F.col("text").alias("final_text"), (F.length("text") * 60).cast("long").alias("duration_ms"), (~F.contains("text", F.lit("$"))).alias("accepted"), (~F.contains("text", F.lit("&"))).alias("speaker_pure"))
+    return u.select("item_id", F.col("source").alias("video_id"), F.col("lang").alias("speaker_id"), F.concat(F.lit("audio/"), "item_id", F.lit(".wav")).alias("audio_path"), F.sha2("text", 256).alias("audio_sha256"), F.col("text").alias("final_text"), (F.length("text") * 60).cast("long").alias("duration_ms"), (~F.contains("text", F.lit("sch"))).alias("accepted"), (~F.contains("text", F.lit("ción"))).alias("speaker_pure"))
 
 
 def _ascii(c: str) -> F.Column:
