@@ -10,7 +10,7 @@ by a 128-bit identity, so copies meet only in a count. The join of distinct sets
 2. Index lists. The remaining sets are ordered by (frequency level, hash), rare shingles first, and
    their prefixes are indexed by shingle. A list is read by rest (words behind the position): entries
    whose rest can't reach the needed overlap are skipped as a block. Only pairs with the list's leader
-   (the set of least identity) are made. Their overlaps are the computed answers.
+   (the set of most rest) are made. Their overlaps are the computed answers.
 3. Answers from answers. Links found are joined into components. In lists that still hold several
    components, a pair's overlap is bounded from both sets' overlaps with the same leader: below the
    threshold it is skipped, above it it is a link, and only between the bounds it is computed.
@@ -125,54 +125,93 @@ def _prefix_blocks(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, shingles binary, many binary, ids binary, owner binary")
 
 
-def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all blocks of some buckets: how many shingles each set shares (kind 0), and frequent shingles with their counts (kind 1)."""
-    t, m, o, ids, base = [], [], [], [], 0
-    names = ["kind", "id", "n"]
+def _shared_counts(targets: int):
+    """From all blocks of some buckets: how many shingles each set shares (kind 0, packed by target), and frequent shingles with their counts (kind 1)."""
+    names = ["kind", "target", "ids", "counts"]
+
+    def packed(raw: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+        if not len(n):
+            return None
+        to = raw[:, 0] % np.uint64(targets)
+        order = np.argsort(to, kind="stable")
+        raw, n, to = raw[order], n[order], to[order]
+        cut = np.searchsorted(to, np.arange(targets + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(len(some), np.int32)), pa.array(some, pa.int32()), pa.array([raw[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), pa.array([n[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in some], pa.binary())], names=names
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, m, o, ids, base = [], [], [], [np.zeros((0, 2), np.uint64)], 0
+        here_ids, here_n = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for bucket, a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                table = np.frombuffer(c, np.uint64).reshape(-1, 2)
+                if bucket < 0:
+                    here_ids.append(table)
+                    here_n.append(np.frombuffer(a, np.int32).astype(np.int64))
+                    continue
+                own = np.frombuffer(d, np.int32)
+                t.append(np.frombuffer(a, np.uint64))
+                m.append(np.frombuffer(b, np.uint16))
+                o.append(np.where(own >= 0, own + base, -1))
+                ids.append(table)
+                base += len(table)
+        if (out := packed(np.concatenate(here_ids), np.concatenate(here_n))) is not None:
+            yield out
+        if not t:
+            return
+        t, m, o, ids = np.concatenate(t), np.concatenate(m).astype(np.int64), np.concatenate(o), np.concatenate(ids)
+        order = np.argsort(t, kind="stable")
+        t, m, o = t[order], m[order], o[order]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        runs = np.diff(np.append(first, len(t)))
+        total = np.add.reduceat(m, first)
+        both = (np.repeat(total, runs) > 1) & (o >= 0)
+        many = np.bincount(o[both], minlength=len(ids))
+        if (out := packed(ids[many > 0], many[many > 0])) is not None:
+            yield out
+        hot = np.flatnonzero(total >= 16)
+        if len(hot):
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([-1], pa.int32()), pa.array([t[first[hot]].tobytes()], pa.binary()), pa.array([total[hot].astype(np.int32).tobytes()], pa.binary())], names=names)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """set_id and its number of shared shingles, from the packed counts of some targets."""
+    ids, n = [], []
     for batch in batches:
-        for bucket, a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            table = np.frombuffer(c, "V16")
-            if bucket < 0:
-                n = np.frombuffer(a, np.int32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array([c[k : k + 16] for k in range(0, len(c), 16)], pa.binary()), pa.array(n)], names=names)
-                continue
-            own = np.frombuffer(d, np.int32)
-            t.append(np.frombuffer(a, np.uint64))
-            m.append(np.frombuffer(b, np.uint16))
-            o.append(np.where(own >= 0, own + base, -1))
-            ids.append(table)
-            base += len(table)
-    if not t:
+        ids += [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in batch.column(0).to_pylist()]
+        n += [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+    if not ids:
         return
-    t, m, o, ids = np.concatenate(t), np.concatenate(m).astype(np.int64), np.concatenate(o), np.concatenate(ids)
-    order = np.argsort(t, kind="stable")
-    t, m, o = t[order], m[order], o[order]
-    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    runs = np.diff(np.append(first, len(t)))
-    total = np.add.reduceat(m, first)
-    both = (np.repeat(total, runs) > 1) & (o >= 0)
-    raw = ids.tobytes()
-    many = np.bincount(o[both], minlength=len(ids))
-    some = np.flatnonzero(many).tolist()
-    for k in range(0, len(some), 50_000):
-        part = some[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array([raw[i * 16 : i * 16 + 16] for i in part], pa.binary()), pa.array(many[part].astype(np.int64))], names=names)
-    hot = np.flatnonzero(total >= 16)
-    if len(hot):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array([x.tobytes() for x in t[first[hot]]], pa.binary()), pa.array(total[hot])], names=names)
+    ids, n = np.concatenate(ids), np.concatenate(n).astype(np.int64)
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    ids, n = ids[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
+    raw, total = ids[first].tobytes(), np.add.reduceat(n, first)
+    for k in range(0, len(first), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array([raw[i * 16 : i * 16 + 16] for i in range(k, min(k + 50_000, len(first)))], pa.binary()), pa.array(total[k : k + 50_000])], names=["id", "shared"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.floor(np.log2(np.frombuffer(n, np.int32))).astype(np.int32))], names=["shingle", "level"])
 
 
 def _remaining(texts: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets that may have a link (set_id, n), and shingles that are frequent in prefixes (shingle, level)."""
-    spark = texts.sparkSession
     buckets = max(8, math.ceil(shared.total_bytes(texts) / BUCKET_BYTES))
     blocks = _prefix_blocks(texts, buckets).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2)))
-    counts = shared.saved(blocks.mapInArrow(_shared_counts, "kind int, id binary, n long"), "shared-counts")
-    found = counts.filter("kind = 0").groupBy("id").agg(F.sum("n").alias("shared"))
+    targets = max(4, buckets // 4)
+    counts = shared.saved(blocks.mapInArrow(_shared_counts(targets), "kind int, target int, ids binary, counts binary"), "shared-counts")
+    found = counts.filter("kind = 0").repartition("target").select("ids", "counts").mapInArrow(_summed, "id binary, shared long")
     least = F.ceil(F.col("n") * THRESHOLD / 100)
     need = F.ceil(least * EXTRA / 100)
     left = sizes.join(found, sizes.set_id == found.id).filter(F.col("shared") >= need).select("set_id", "n")
-    hot = counts.filter("kind = 1").select(F.col("id").alias("shingle"), F.floor(F.log2("n")).cast("int").alias("level"))
+    hot = counts.filter("kind = 1").select("ids", "counts").mapInArrow(_frequent, "shingle long, level int")
     return shared.saved(left, "remaining-sets"), hot.orderBy(F.col("level").desc(), "shingle").limit(SENT_ROWS)
 
 
@@ -180,7 +219,7 @@ def _ordered_sets(docs: DataFrame, base: DataFrame, left: DataFrame, hot: DataFr
     """set_id, n, shingles (rare levels first, then by hash; array of long) of the remaining sets, one row each."""
     spark = docs.sparkSession
     top = hot.collect()  # at most SENT_ROWS; only an order comes from it, so a bound takes nothing away
-    keys = np.array([np.frombuffer(r.shingle, np.uint64)[0] for r in top], np.uint64)
+    keys = np.array([r.shingle for r in top], np.int64).view(np.uint64)
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((keys[order], np.array([r.level for r in top], np.uint8)[order]))
     rows = docs.select(F.col(id_column).alias("doc_id"), shared.text_or_empty(docs, column).alias("text"))
@@ -224,25 +263,40 @@ def _needed(n, m):
     return F.ceil((n + m) * THRESHOLD / (100 + THRESHOLD))
 
 
-def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by (shingle, set_id): each entry with its list's first entry, where both rests reach the needed overlap."""
-    carry: tuple[int, bytes, int, int] | None = None
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of two entries or more, from entries sorted by (shingle, rest descending, set_id), each entry with its list's first, the leader.
+
+    ``pair``: both rests reach the overlap that a link needs, and the sizes allow one. Rests fall along a list, so the
+    leader, which differs least from the list's common part, is also the entry that skips the fewest.
+    """
+    lead: tuple[int, bytes, int, int] | None = None
+    waiting: tuple | None = None  # the first entry of a list, until a second one comes
+    names = ["shingle", "set_id", "n", "rest", "leader", "leader_n", "pair"]
     for batch in batches:
-        t = batch.column(0).to_numpy()
-        ids, n, rest = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        t, n, rest = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        ids = batch.column(1).to_pylist()
+        if waiting is not None:
+            w, waiting = waiting, None
+            t, n, rest, ids = np.append(w[0], t), np.append(w[2], n), np.append(w[3], rest), [w[1], *ids]
+            if lead is not None and lead[0] == w[0]:
+                lead = None
+        ids = np.array(ids, object)
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        lead = np.repeat(first, np.diff(np.append(first, len(t))))
-        lid, ln, lrest = ids[lead], n[lead].copy(), rest[lead].copy()
-        if carry is not None and carry[0] == t[0]:
-            k = int(np.searchsorted(lead, 0, "right"))
-            lid[:k], ln[:k], lrest[:k] = carry[1], carry[2], carry[3]
-        carry = (int(t[-1]), lid[-1], int(ln[-1]), int(lrest[-1]))
+        runs = np.diff(np.append(first, len(t)))
+        at = np.repeat(first, runs)
+        lid, ln, lrest = ids[at], n[at].copy(), rest[at].copy()
+        keep = np.repeat(runs > 1, runs)
+        if lead is not None and lead[0] == t[0]:
+            k = int(runs[0])
+            lid[:k], ln[:k], lrest[:k], keep[:k] = lead[1], lead[2], lead[3], True
+        if not keep[-1]:
+            waiting = (int(t[-1]), ids[-1], int(n[-1]), int(rest[-1]))
+        lead = (int(t[-1]), lid[-1], int(ln[-1]), int(lrest[-1]))
         need = -(-(n + ln) * THRESHOLD // (100 + THRESHOLD))
-        ok = np.flatnonzero((np.minimum(rest, lrest) >= need) & (np.minimum(n, ln) * 100 >= np.maximum(n, ln) * THRESHOLD) & (ids != lid))
-        pairs = dict.fromkeys(zip(ids[ok], lid[ok]))
-        if pairs:
-            x, y = zip(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["u", "v"])
+        pair = (np.minimum(rest, lrest) >= need) & (np.minimum(n, ln) * 100 >= np.maximum(n, ln) * THRESHOLD) & (ids != lid)
+        x = np.flatnonzero(keep)
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(t[x]), pa.array(ids[x], pa.binary()), pa.array(n[x]), pa.array(rest[x]), pa.array(lid[x], pa.binary()), pa.array(ln[x]), pa.array(pair[x])], names=names)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -324,21 +378,20 @@ def links(docs: DataFrame, base: DataFrame, id_column: str = "doc_id", column: s
     left, hot = _remaining(texts, sizes)
     sets = _ordered_sets(docs, base, left, hot, id_column, column)
     shared.tune(spark, 20_000)
-    entries = _entries(sets)
-    dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "set_id")
-    pairs = dealt.mapInArrow(_leader_pairs, "u binary, v binary").distinct()
+    dealt = _entries(sets).repartition("shingle").sortWithinPartitions("shingle", F.col("rest").desc(), "set_id")
+    lists = shared.saved(dealt.mapInArrow(_lists, "shingle long, set_id binary, n long, rest long, leader binary, leader_n long, pair boolean"), "lists")
+    pairs = lists.filter("pair").select(F.col("set_id").alias("u"), F.col("leader").alias("v")).distinct()
     answers = shared.saved(_overlaps(pairs, sets), "leader-overlaps")
     found = answers.filter(_linked()).select("u", "v")
     comps = components(found)
 
     # Lists that hold more than one component.
-    label = F.coalesce("comp", "set_id")
-    marked = entries.join(comps, "set_id", "left").withColumn("comp", label)
-    several = marked.groupBy("shingle").agg(F.min("set_id").alias("leader"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("shingle", "leader")
-    sized = sets.select(F.col("set_id").alias("leader"), F.col("n").alias("leader_n"))
-    mixed = marked.join(several, "shingle").join(sized, "leader")
+    of = lambda key, name: shared.sent(comps.select(F.col("set_id").alias(key), F.col("comp").alias(name)))
+    marked = lists.join(of("set_id", "comp"), "set_id", "left").join(of("leader", "leader_comp"), "leader", "left")
+    marked = marked.withColumn("comp", F.coalesce("comp", "set_id")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
+    several = shared.saved(marked.filter("comp <> leader_comp").select("shingle").distinct(), "mixed-lists")
     told = answers.select(F.col("u").alias("set_id"), F.col("v").alias("leader"), "overlap")
-    mixed = mixed.join(told, ["set_id", "leader"], "left")
+    mixed = marked.join(shared.sent(several), "shingle", "left_semi").join(shared.sent(told), ["set_id", "leader"], "left")
     known = F.when(F.col("set_id") == F.col("leader"), F.col("n")).otherwise(F.coalesce("overlap", F.lit(-1)))
     ready = mixed.select("shingle", "set_id", "n", "rest", "comp", "leader", known.cast("long").alias("known"), "leader_n")
     cross = ready.repartition("shingle").sortWithinPartitions("shingle", F.col("rest").desc()).mapInArrow(_cross_pairs, "u binary, v binary, link int")
