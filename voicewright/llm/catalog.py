@@ -24,5 +24,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs that share a shingle, and components by recursion: for small tables.
+_JACCARD = rf"""with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+d as (select distinct doc_id, g from s),
+n as (select doc_id, count(*) as n from d group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from d a join d b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+both_ways as (select x, y from e union all select y, x from e),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, t.y from r join both_ways t on r.b = t.x)
+select documents.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as component_id
+from documents join r on r.a = documents.doc_id left join n on n.doc_id = documents.doc_id group by 1"""
+
+_CHAT = r"""with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(regexp_replace(role, '(</?|\[/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')) + length(regexp_replace(text, '(</?|\[/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')) + 17 as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
+from e group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": _JACCARD, "op9_chat_format": _CHAT}

@@ -158,4 +158,4 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = shared.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return read_back(format_turns(turns.unionByName(more)))
+    return read_back(format_turns(turns.unionByName(more))).drop("n_tokens")
