@@ -36,6 +36,7 @@ CUT, MARK = 48, 16
 CORE = LENGTH - 4 * CUT - MARK
 BUCKET_BYTES = 8_000_000
 SHARD_SYMBOLS = 50_000
+GROUP_BYTES = 1_500_000
 #: Rows up to which a table of texts is sent to all executors instead of shuffling the texts.
 SENT_ROWS = 500_000
 _SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("r", "i4"), ("j", "i4"), ("own", "i4"), ("many", "i4")])
@@ -307,17 +308,25 @@ def repeated_segments(data: np.ndarray, offsets: np.ndarray, shard_symbols: int
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the needed segments of some keys: bytes a to b of a text that repeat."""
-    ids, start, texts = [], [], []
+    """From the needed segments, sorted by key: bytes a to b of a text that repeat. Keys are taken together up to ``GROUP_BYTES``."""
+    ids, start, texts, size, last = [], [], [], 0, None
     for batch in batches:
-        ids += batch.column(1).to_pylist()
-        start += batch.column(2).to_pylist()
-        texts += batch.column(3).to_pylist()
-    if not texts:
-        return
+        for key, tid, j, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if size >= GROUP_BYTES and key != last:
+                yield from _repeats_of(ids, start, texts)
+                ids, start, texts, size = [], [], [], 0
+            last = key
+            ids.append(tid)
+            start.append(j)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield from _repeats_of(ids, start, texts)
+
+
+def _repeats_of(ids: list[bytes], start: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    texts.clear()
     hit = repeated_segments(data, offsets)
     n = offsets[hit + 1] - offsets[hit] - LENGTH + 1
     seg = np.repeat(hit, n)
@@ -368,7 +377,7 @@ def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["key", "text_id", "j", "bytes"])
 
     given = texts.join(shared.sent(need, SENT_ROWS), "text_id").mapInArrow(cut, "key long, text_id binary, j int, bytes binary")
-    more = given.repartition("key").mapInArrow(_repeats, _FOUND)
+    more = given.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, _FOUND)
     every = met.filter("kind = 0").unionByName(more).groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return shared.saved(every, "repeats")
 
