@@ -387,3 +387,19 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert frame.columns == corpus_pipeline.mask_personal_data(spark, frame, SF).columns
     assert corpus_pipeline.drop_contaminated(spark, frame, SF).count() == len(rows)
     assert "bpe_ids" in corpus_pipeline.encode_texts(spark, frame, SF).columns
+
+
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_chat_format"])
+def test_sql(spark, name):
+    import duckdb
+
+    from voicewright.llm import catalog
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    df = catalog.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(want.fetchall())

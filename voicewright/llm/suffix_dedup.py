@@ -38,7 +38,7 @@ BUCKET_BYTES = 8_000_000
 SHARD_SYMBOLS = 50_000
 GROUP_BYTES = 1_500_000
 #: Rows up to which a table of texts is sent to all executors instead of shuffling the texts.
-SENT_ROWS = 500_000
+SENT_ROWS = 100_000
 _SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("r", "i4"), ("j", "i4"), ("own", "i4"), ("many", "i4")])
 _SELF = 1 << 16  # added to ``many``: the segment may repeat within itself
 
