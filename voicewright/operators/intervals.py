@@ -166,3 +166,39 @@ def derive_exclusive(df: DataFrame) -> DataFrame:
     pieces = atoms(df).filter("state <> 'unknown'").withColumn("who", F.explode("speakers"))
     best = pieces.join(support, ["video_id", "who"]).groupBy("video_id", "start_ms", "end_ms").agg(F.min_by("who", F.struct(-F.col("total"), F.col("who"))).alias("speaker"))
     return merge_atoms(best.withColumn("state", F.lit("single")).withColumn("speakers", F.array("speaker"))).select("video_id", "start_ms", "end_ms", F.substring_index("tag", "|", -1).alias("speaker"))
+
+
+def cap_durations(df: DataFrame, most_ms: int = 15_000) -> DataFrame:
+    """Cut clips longer than ``most_ms`` into the least number of balanced parts; ``part`` from 0. Parts keep all columns."""
+    n = F.ceil((F.col("end_ms") - F.col("start_ms")) / most_ms).cast("long")
+    length = F.col("end_ms") - F.col("start_ms")
+    cut = lambda k: F.col("start_ms") + F.bround(length * k / F.greatest(n, F.lit(1))).cast("long")
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda k: F.struct(cut(k).alias("s"), cut(k + 1).alias("e")))
+    out = df.select("*", F.posexplode(parts).alias("part", "_p"))
+    return out.withColumns({"start_ms": F.col("_p.s"), "end_ms": F.col("_p.e")}).drop("_p")
+
+
+def coalesce_boundaries(df: DataFrame, tolerance_ms: int) -> DataFrame:
+    """Chain-cluster the boundaries (video_id, at_ms) that lie within ``tolerance_ms`` of the one before; a cluster's mean stands for it, but the first and last boundary stay."""
+    order = Window.partitionBy("video_id").orderBy("at_ms")
+    fresh = F.when(F.col("at_ms") - F.lag("at_ms").over(order) <= tolerance_ms, 0).otherwise(1)
+    rows = df.select("video_id", "at_ms").distinct().withColumn("_f", fresh).withColumn("cluster", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = rows.groupBy("video_id").agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
+    mean = rows.groupBy("video_id", "cluster").agg(F.avg("at_ms").alias("mean"), F.min("at_ms").alias("low"), F.max("at_ms").alias("high"), F.count(F.lit(1)).alias("n"))
+    out = mean.join(edges, "video_id")
+    return out.select("video_id", F.when(F.col("low") == F.col("first"), F.col("first").cast("double")).when(F.col("high") == F.col("last"), F.col("last").cast("double")).otherwise(F.col("mean")).alias("at_ms"), "n")
+
+
+def clean_timeline(pieces: DataFrame, short_ms: int = 200) -> DataFrame:
+    """Absorb short unknown pieces between equal single speakers, or at an end of the recording, into their neighbour; overlap is never touched.
+
+    ``pieces``: contiguous rows of ``atoms``. Neighbours of equal state and speakers are joined before and after.
+    """
+    order = Window.partitionBy("video_id").orderBy("start_ms")
+    df = merge_atoms(pieces)
+    left, right = F.lag("tag").over(order), F.lead("tag").over(order)
+    short = (F.col("state") == "unknown") & (F.col("end_ms") - F.col("start_ms") <= short_ms)
+    single = lambda t: t.startswith("single")
+    tag = F.when(short & (left == right) & single(left), left).when(short & left.isNull() & single(right), right).when(short & right.isNull() & single(left), left).otherwise(F.col("tag"))
+    df = df.withColumn("tag2", tag).withColumn("state", F.substring_index("tag2", "|", 1)).withColumn("speakers", F.filter(F.split(F.substring_index("tag2", "|", -1), r"\+"), lambda s: s != ""))
+    return merge_atoms(df.select("video_id", "start_ms", "end_ms", "state", "speakers"))

@@ -120,3 +120,75 @@ def reusable(pending: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[Da
     """Rows whose result in the cache is still valid (all keys equal), and the rest."""
     good = cached.filter("status = 'ok'").select(*keys).distinct()
     return pending.join(good, keys, "left_semi"), pending.join(good, keys, "left_anti")
+
+
+def mix_sources(frames: dict[str, DataFrame], id_column: str = "item_id") -> DataFrame:
+    """Union of corpora by column name, with ``source``, and ids prefixed by it; columns that one lacks are null there."""
+    out: DataFrame | None = None
+    for name, df in frames.items():
+        df = df.withColumn("source", F.lit(name)).withColumn(id_column, F.concat(F.lit(f"{name}:"), F.col(id_column)))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no sources")
+    return out
+
+
+def weight_ablations(df: DataFrame, weight: str, seed: int, id_column: str = "item_id", bin_column: str | None = None) -> DataFrame:
+    """``shuffled_weight``: the weights dealt anew over the rows, in a seeded order (within ``bin_column`` where given); and ``mean_weight``.
+
+    Both orders are numbered by hash prefix, so no task sees all rows.
+    """
+    stratum = F.lit(0) if bin_column is None else F.col(bin_column)
+    rows = df.withColumn("_bin", stratum)
+    own = F.sha2(F.concat(F.lit("own:"), F.col(id_column).cast("string")), 256)
+    new = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")), 256)
+
+    def number(order: Column, keep: list[str]) -> DataFrame:
+        d = rows.withColumn("_d", order).withColumn("_p", F.substring("_d", 1, 3))
+        counts = d.groupBy("_bin", "_p").agg(F.count(F.lit(1)).alias("n"))
+        base = counts.withColumn("_b", F.coalesce(F.sum("n").over(Window.partitionBy("_bin").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        inside = F.row_number().over(Window.partitionBy("_bin", "_p").orderBy("_d", id_column))
+        return d.withColumn("_in", inside).join(base, ["_bin", "_p"]).withColumn("_rn", F.col("_b") + F.col("_in")).select("_bin", "_rn", *keep)
+
+    dealt = number(new, [weight]).withColumnRenamed(weight, "shuffled_weight")
+    out = number(own, df.columns).join(dealt, ["_bin", "_rn"])
+    mean = df.agg(F.avg(weight).alias("mean_weight"))
+    return out.crossJoin(F.broadcast(mean)).select(*df.columns, "shuffled_weight", "mean_weight")  # one row
+
+
+def weighted_sample(df: DataFrame, draws: dict[str, int], seed: int, source: str = "source", id_column: str = "item_id") -> DataFrame:
+    """A stated number of draws with replacement per corpus, uniform within it: rows with ``times`` drawn.
+
+    Draw k of a corpus of n rows takes row u64(seed:source:k) mod n of the corpus in digest order.
+    """
+    rows = df.filter(F.col(source).isin(list(draws)))
+    order = F.sha2(F.concat_ws(":", F.col(source), F.col(id_column).cast("string")), 256)
+    parts = []
+    for name, k in draws.items():
+        mine = numbered(rows.filter(F.col(source) == name), order, id_column)
+        n = mine.count()
+        if n and k > 0:
+            picks = df.sparkSession.range(k).select((scoring.u64_of(F.concat(F.lit(f"{seed}:{name}:"), F.col("id").cast("string"))) % F.lit(n).cast("decimal(20,0)")).cast("long").alias("rn"))
+            parts.append(mine.join(picks.groupBy("rn").agg(F.count(F.lit(1)).alias("times")), "rn").drop("rn"))
+    if not parts:
+        return rows.limit(0).withColumn("times", F.lit(0).cast("long"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def pair_prompts_epoch(df: DataFrame, epoch: int, seed: int = 42) -> DataFrame:
+    """A prompt of the same source and speaker for each record, anew for each epoch: another id, number u64("prompt:seed:epoch:source:id") mod n in ordinal order.
+
+    Columns: source, speaker_id, id, ordinal, prompt_id (an explicit one wins; null where the speaker has one record).
+    """
+    key = ["source", "speaker_id"]
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("ordinal", "id")) - 1)
+    sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    pick = (scoring.u64_of(F.concat_ws(":", F.lit("prompt"), F.lit(str(seed)), F.lit(str(epoch)), "source", "id")) % (F.col("n") - 1).cast("decimal(20,0)")).cast("long")
+    target = ranked.join(sizes, key).withColumn("pick", F.when(F.col("n") > 1, pick))
+    target = target.withColumn("pick", F.col("pick") + F.when(F.col("pick") >= F.col("rank"), 1).otherwise(0))
+    pool = ranked.select(*key, F.col("rank").cast("long").alias("pick"), F.col("id").alias("found"))
+    out = target.join(pool, [*key, "pick"], "left")
+    return out.withColumn("prompt_id", F.coalesce("prompt_id", "found")).select(*df.columns)

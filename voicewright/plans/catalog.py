@@ -537,3 +537,55 @@ def add_punctuation(spark, sf_dir):
 def merge_text(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return turns.select("conv_id", F.size("t").alias("turns"), text.merge_text(F.transform("t", lambda x: x["text"])).alias("text"))
+
+
+# --- more sampling and timelines ------------------------------------------------------------------
+
+
+@query(f"with {CLIPS}, m as (select 'a:' || item_id as item_id, 'a' as source, duration_ms as ms, null::varchar as text from clips union all select 'b:' || item_id, 'b', null, text from utt) select source, count(*) as n, count(ms) as with_ms, count(text) as with_text, count(distinct item_id) as ids from m group by 1")
+def mix_sources(spark, sf_dir):
+    a = clips(spark, sf_dir).select("item_id", F.col("duration_ms").alias("ms"))
+    mixed = pairing.mix_sources({"a": a, "b": utterances(spark, sf_dir).select("item_id", "text")})
+    return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("ms").alias("with_ms"), F.count("text").alias("with_text"), F.count_distinct("item_id").alias("ids"))
+
+
+@query("""with b as (select l_returnflag as bin, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as id, min(l_discount) as w from lineitem group by 1, 2),
+o as (select *, row_number() over (partition by bin order by sha256('own:' || id), id) as a, row_number() over (partition by bin order by sha256('7:' || id), id) as n from b)
+select o.id, o.w, x.w as shuffled_weight from o join o x on o.bin = x.bin and o.a = x.n""")
+def weight_ablations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("bin"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id")).agg(F.min("l_discount").alias("w"))
+    return pairing.weight_ablations(rows, "w", 7, "id", "bin").select("id", "w", "shuffled_weight")
+
+
+@query(f"""with {CLIPS}, r as (select item_id, row_number() over (order by sha256('en:' || item_id), item_id) - 1 as rn, count(*) over () as n from clips where speaker_id = 'en'),
+p as (select (('0x' || substr(sha256('9:en:' || k), 1, 16))::ubigint % (select any_value(n) from r))::bigint as rn from range(0, 5000) t(k))
+select item_id, count(*) as times from r join p on r.rn = p.rn group by 1""")
+def weighted_sample(spark, sf_dir):
+    return pairing.weighted_sample(clips(spark, sf_dir), {"en": 5000}, 9, "speaker_id").select("item_id", "times")
+
+
+@query(f"""with {CLIPS}, r as (select video_id, speaker_id, item_id, row_number() over w - 1 as rk, count(*) over (partition by video_id, speaker_id) as n from clips window w as (partition by video_id, speaker_id order by item_id)),
+t as (select *, case when n > 1 then (('0x' || substr(sha256('prompt:42:3:' || video_id || ':' || item_id), 1, 16))::ubigint % (n - 1)::ubigint)::bigint end as pk from r)
+select t.item_id as id, x.item_id as prompt_id from t left join r x on x.video_id = t.video_id and x.speaker_id = t.speaker_id and x.rk = t.pk + case when t.pk >= t.rk then 1 else 0 end""")
+def pair_prompts_epoch(spark, sf_dir):
+    rows = clips(spark, sf_dir).select(F.col("video_id").alias("source"), "speaker_id", F.col("item_id").alias("id"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("prompt_id"))
+    return pairing.pair_prompts_epoch(rows, 3).select("id", "prompt_id")
+
+
+@query(f"with {SPANS}, n as (select *, ceil((end_ms - start_ms) / 1500)::bigint as n from iv), p as (select *, unnest(range(0, n)) as part from n) select id, part::int as part, start_ms + round_even((end_ms - start_ms) * part / n, 0)::bigint as start_ms, start_ms + round_even((end_ms - start_ms) * (part + 1) / n, 0)::bigint as end_ms from p")
+def cap_durations(spark, sf_dir):
+    return intervals.cap_durations(spans(spark, sf_dir), 1_500).select("id", "part", "start_ms", "end_ms")
+
+
+@query(f"""with {SPANS}, b as (select distinct video_id, unnest([start_ms, end_ms]) as at_ms from iv), f as (select *, case when at_ms - lag(at_ms) over w <= 200 then 0 else 1 end as f from b window w as (partition by video_id order by at_ms)),
+c as (select *, sum(f) over (partition by video_id order by at_ms rows unbounded preceding) as k from f), e as (select video_id, min(at_ms) as a, max(at_ms) as z from b group by 1),
+m as (select video_id, k, avg(at_ms) as m, min(at_ms) as lo, max(at_ms) as hi, count(*) as n from c group by 1, 2) select m.video_id, round(case when lo = a then a::double when hi = z then z::double else m end, 6) as at_ms, n from m join e on m.video_id = e.video_id""")
+def coalesce_boundaries(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    b = s.select("video_id", F.explode(F.array("start_ms", "end_ms")).alias("at_ms"))
+    return intervals.coalesce_boundaries(b, 200).withColumn("at_ms", F.round("at_ms", 6))
+
+
+@query()
+def clean_timeline(spark, sf_dir):
+    return intervals.clean_timeline(intervals.atoms(spans(spark, sf_dir)))
