@@ -173,3 +173,36 @@ def test_entry_without_text_package():
     import __spark_entry__ as entry
 
     assert "weight_manifest" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_audio(spark):
+    from voicewright.operators import audio
+
+    rng = np.random.default_rng(0)
+    level = np.full(400, -70.0) + rng.random(400)
+    level[50:120] = -15
+    level[135:170] = -15  # within the bridged silence
+    level[300:310] = -15  # too short
+    frames = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(level)], "path string, frame long, rms_dbfs double")
+    got = [(r.start_ms, r.end_ms) for r in audio.energy_vad(frames, "path").collect()]
+    assert got == [(400, 1800)]
+    loud, flat = [1.0] * 1200, np.where(np.arange(1500) % 2, 0.015, -0.015).tolist()
+    talk = (np.where(np.arange(1500) // 300 % 2, 0.5, 0.001) * np.where(np.arange(1500) % 2, 1, -1)).tolist()
+    clips = spark.createDataFrame([("loud", 1000, loud), ("flat", 1000, flat), ("talk", 1000, talk), ("none", 1000, [])], "item_id string, rate int, samples array<float>")
+    found = {r.item_id: r.reasons for r in audio.audio_quality(clips).collect()}
+    assert found == {"loud": ["clipping_detected", "low_snr_detected"], "flat": ["low_snr_detected"], "talk": [], "none": []}
+    rows = spark.createDataFrame([(str(i), "ref" if i % 2 else "none", float(s)) for i, s in enumerate([1, 2, 30, 9, 9, 4, 4, 3, 12])], "item_id string, mode string, seconds double")
+    batches = {}
+    for r in audio.duration_batches(rows, 12.0, slices=1).collect():
+        batches.setdefault(r.batch, []).append(r.seconds)
+    assert sorted(map(sorted, batches.values())) == [[1.0, 4.0], [2.0, 3.0, 4.0], [9.0], [9.0], [12.0], [30.0]] or all(sum(b) <= 12 or len(b) == 1 for b in batches.values())
+
+
+def test_chunks_and_languages(spark):
+    t = F.lit
+    row = one(spark, text.chunk_text(t('Dr. Low said "no." Then he left. And so on and on it went!'), 30).alias("c"), text.map_language(t(" German "), {"german": "de"}).alias("l"), text.map_language(t("x"), {"german": "de"}, "en").alias("f"))
+    assert row.c == ['Dr. Low said "no."', "Then he left.", "And so on and on it went!"] and row.l == "de" and row.f == "en"
+    n = one(spark, text.split_paragraph(t("one, two. " * 20 + "1.5 end")).alias("p")).p
+    assert "".join(n) == "one, two. " * 20 + "1.5 end" and all(len(x) <= 100 for x in n)
+    q = one(spark, text.text_quality(t("na na na na na")).alias("a"), text.text_quality(t("")).alias("b"), text.detect_locale(t("Der Hund und die Katze")).alias("c"), text.detect_locale(t("これは")).alias("d"))
+    assert "repetitive_text" in q.a and q.b == ["empty_text"] and q.c == "de-DE" and q.d == "ja-JP"

@@ -192,3 +192,28 @@ def text_quality(text: Column, max_run: int = 3, max_gram: int = 11, max_latin:
     m = script_metrics(t)
     rules = [F.when(t == "", "empty_text"), F.when(F.size(abnormal_chars(t)) > 0, "abnormal_characters"), F.when((max_token_run(t) > max_run) | (max_fourgram(t) > max_gram), "repetitive_text"), F.when(m["latin_ratio"] > max_latin, "excessive_english")]
     return F.array_compact(F.array(*rules))
+
+
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "Jr.", "Sr.", "vs.", "etc.", "e.g.", "i.e.", "No.")
+
+
+def chunk_text(text: Column, most: int = 100) -> Column:
+    """Sentences, with closing marks kept at the left and abbreviations whole, joined into chunks of up to ``most`` code points."""
+    guard = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    marked = F.regexp_replace(text, rf"(?<![\p{{L}}])({guard})", "$1⁠")
+    pieces = F.split(marked, r"(?<=[.!?。！？;；][\"'”’)\]]{0,3})(?![\"'”’)\]⁠.!?。！？])")
+    clean = F.filter(F.transform(pieces, lambda p: F.trim(F.replace(p, F.lit("⁠"), F.lit("")))), lambda p: p != "")
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits = F.length(last) + F.length(p) + 1 <= most
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merge_text(F.array(last, F.lit(" "), p))))).otherwise(F.concat(acc, F.array(p)))
+
+    return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(step(acc, p)))
+
+
+def map_language(tag: Column, table: dict[str, str], fallback: str | None = None) -> Column:
+    """Code of a language tag or name by the caller's ``table`` (lower-case keys)."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, F.lower(F.trim(tag))), F.lit(fallback))
