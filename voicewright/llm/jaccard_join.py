@@ -21,7 +21,7 @@ Two sets of one component need no further comparison: their class is already kno
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ EXTRA = 10  # percent of a set's size by which its prefix is extended in the fir
 BUCKET_BYTES = 8_000_000
 #: Rows up to which a table of identities or frequent shingles is sent to all executors.
 SENT_ROWS = 2_000_000
+#: Sets that hold a shingle from which on it counts as frequent.
+FREQUENT = 8
 
 
 def _least(n: np.ndarray) -> np.ndarray:
@@ -68,8 +70,25 @@ def set_table(docs: DataFrame, id_column: str = "doc_id", column: str = "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_shingles long, set_id binary")
 
 
-def _prefix_blocks(texts: DataFrame, buckets: int) -> DataFrame:
-    """Extended prefixes in blocks: (bucket, shingles, how many sets each had here, table of set ids, owner of single ones) or local counts (bucket -1)."""
+def _prefixes(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Extended prefix of each row's text, by hash."""
+    for _a, _b, tokens, at in _sets(batch, 0):
+        for i, sid in enumerate(shared.set_ids(tokens, at)):
+            if sid is not None:
+                n = int(at[i + 1] - at[i])
+                yield sid, tokens[at[i] : at[i] + int(n - _least(n) + _extra(n))]
+
+
+def _whole(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Whole sets, from columns set_id and shingles."""
+    column = batch.column(1)
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    for i, sid in enumerate(batch.column(0).to_pylist()):
+        yield sid, flat[at[i] : at[i + 1]]
+
+
+def _blocks(rows: DataFrame, buckets: int, of: Callable[[pa.RecordBatch], Iterator[tuple[bytes, np.ndarray]]]) -> DataFrame:
+    """Shingles in blocks: (bucket, shingles, how many sets each had here, table of set ids, owner of single ones) or local counts (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -102,18 +121,14 @@ def _prefix_blocks(texts: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "shingles", "many", "ids", "owner"])
 
         for batch in batches:
-            for _a, _b, tokens, at in _sets(batch, 0):
-                ids = shared.set_ids(tokens, at)
-                for i, sid in enumerate(ids):
-                    if sid is None or sid in met:
-                        continue
-                    met.add(sid)
-                    n = int(at[i + 1] - at[i])
-                    take = int(n - _least(n) + _extra(n))
-                    held_t.append(tokens[at[i] : at[i] + take])
-                    held_o.append(np.full(take, len(held_ids)))
-                    held_ids.append(sid)
-                    size += take
+            for sid, tokens in of(batch):
+                if sid in met:
+                    continue
+                met.add(sid)
+                held_t.append(tokens)
+                held_o.append(np.full(len(tokens), len(held_ids)))
+                held_ids.append(sid)
+                size += len(tokens)
                 if size > 2_000_000:
                     yield flush()
                     held_t, held_o, held_ids, size = [], [], [], 0
@@ -122,7 +137,7 @@ def _prefix_blocks(texts: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return texts.mapInArrow(run, "bucket int, shingles binary, many binary, ids binary, owner binary")
+    return rows.mapInArrow(run, "bucket int, shingles binary, many binary, ids binary, owner binary")
 
 
 def _shared_counts(targets: int):
@@ -171,7 +186,7 @@ def _shared_counts(targets: int):
         many = np.bincount(o[both], minlength=len(ids))
         if (out := packed(ids[many > 0], many[many > 0])) is not None:
             yield out
-        hot = np.flatnonzero(total >= 16)
+        hot = np.flatnonzero(total >= FREQUENT)
         if len(hot):
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([-1], pa.int32()), pa.array([t[first[hot]].tobytes()], pa.binary()), pa.array([total[hot].astype(np.int32).tobytes()], pa.binary())], names=names)
 
@@ -201,55 +216,62 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.floor(np.log2(np.frombuffer(n, np.int32))).astype(np.int32))], names=["shingle", "level"])
 
 
-def _remaining(texts: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets that may have a link (set_id, n), and shingles that are frequent in prefixes (shingle, level)."""
-    buckets = max(8, math.ceil(shared.total_bytes(texts) / BUCKET_BYTES))
-    blocks = _prefix_blocks(texts, buckets).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2)))
-    targets = max(4, buckets // 4)
-    counts = shared.saved(blocks.mapInArrow(_shared_counts(targets), "kind int, target int, ids binary, counts binary"), "shared-counts")
+def _counted(rows: DataFrame, buckets: int, of: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+    """How many of its shingles in ``rows`` each set shares with another set (id, shared), and the frequent shingles (shingle, level)."""
+    blocks = _blocks(rows, buckets, of).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2)))
+    counts = shared.saved(blocks.mapInArrow(_shared_counts(max(4, buckets // 4)), "kind int, target int, ids binary, counts binary"), name)
     found = counts.filter("kind = 0").repartition("target").select("ids", "counts").mapInArrow(_summed, "id binary, shared long")
-    least = F.ceil(F.col("n") * THRESHOLD / 100)
-    need = F.ceil(least * EXTRA / 100)
-    left = sizes.join(found, sizes.set_id == found.id).filter(F.col("shared") >= need).select("set_id", "n")
     hot = counts.filter("kind = 1").select("ids", "counts").mapInArrow(_frequent, "shingle long, level int")
-    return shared.saved(left, "remaining-sets"), hot.orderBy(F.col("level").desc(), "shingle").limit(SENT_ROWS)
+    return found, hot
 
 
-def _ordered_sets(docs: DataFrame, base: DataFrame, left: DataFrame, hot: DataFrame, id_column: str, column: str) -> DataFrame:
-    """set_id, n, shingles (rare levels first, then by hash; array of long) of the remaining sets, one row each."""
-    spark = docs.sparkSession
-    top = hot.collect()  # at most SENT_ROWS; only an order comes from it, so a bound takes nothing away
+def _remaining(texts: DataFrame, sizes: DataFrame, buckets: int) -> DataFrame:
+    """Identities of sets whose extended prefixes share enough for a link."""
+    found, _ = _counted(texts, buckets, _prefixes, "shared-in-prefixes")
+    need = F.ceil(F.ceil(F.col("n") * THRESHOLD / 100) * EXTRA / 100)
+    return sizes.join(found, sizes.set_id == found.id).filter(F.col("shared") >= need).select("set_id")
+
+
+def _sets_of(docs: DataFrame, base: DataFrame, left: DataFrame, id_column: str, column: str) -> DataFrame:
+    """set_id, shingles (array of long) of the remaining sets, one row each."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), shared.text_or_empty(docs, column).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, tokens, at in _sets(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.set_ids(tokens, at), pa.binary()), shared.list_array(tokens.view(np.int64), at, pa.int64())], names=["doc_id", "set_id", "shingles"])
+
+    first = base.groupBy("set_id").agg(F.min("doc_id").alias("rep")).join(left, "set_id", "left_semi")
+    first = shared.sent(shared.saved(first, "set-owners"), SENT_ROWS)
+    all_sets = rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, set_id binary, shingles array<bigint>")
+    kept = all_sets.join(first.withColumnRenamed("set_id", "sid"), (F.col("set_id") == F.col("sid")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    return shared.saved(kept.select("set_id", "shingles").dropDuplicates(["set_id"]), "sets")
+
+
+def _ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """set_id, n, shingles (by frequency level, then hash) of the sets that share three quarters of their shingles or more."""
+    spark = sets.sparkSession
+    found, hot = _counted(sets.select("set_id", "shingles"), buckets, _whole, "shared-in-sets")
+    top = hot.orderBy(F.col("level").desc(), "shingle").limit(SENT_ROWS).collect()  # only an order comes from it, so a bound takes nothing away
     keys = np.array([r.shingle for r in top], np.int64).view(np.uint64)
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((keys[order], np.array([r.level for r in top], np.uint8)[order]))
-    rows = docs.select(F.col(id_column).alias("doc_id"), shared.text_or_empty(docs, column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = sent.value
         for batch in batches:
-            for a, b, tokens, at in _sets(batch, 1):
-                rank = np.zeros(len(tokens), np.uint8)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    rank = np.where(known[place] == tokens, level[place], 0)
-                    doc = np.repeat(np.arange(b - a), np.diff(at))
-                    if rank.any():
-                        tokens_order = np.lexsort((tokens, rank, doc))
-                        ids = shared.set_ids(tokens, at)
-                        tokens = tokens[tokens_order]
-                    else:
-                        ids = shared.set_ids(tokens, at)
-                else:
-                    ids = shared.set_ids(tokens, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(np.diff(at), pa.int64()), shared.list_array(tokens.view(np.int64), at, pa.int64())], names=["doc_id", "set_id", "n", "shingles"])
-
-    first = base.groupBy("set_id").agg(F.min("doc_id").alias("rep")).join(left.select("set_id"), "set_id", "left_semi")
-    first = shared.saved(first, "set-owners")
-    if first.count() <= SENT_ROWS:
-        first = F.broadcast(first)
-    all_sets = rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, set_id binary, n long, shingles array<bigint>")
-    kept = all_sets.join(first.withColumnRenamed("set_id", "sid"), (F.col("set_id") == F.col("sid")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    return shared.saved(kept.select("set_id", "n", "shingles").dropDuplicates(["set_id"]), "sets")
+            column = batch.column(1)
+            at = column.offsets.to_numpy().astype(np.int64)
+            tokens = column.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
+            at = at - at[0]
+            if len(known) and len(tokens):
+                place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                rank = np.where(known[place] == tokens, level[place], 0)
+                tokens = tokens[np.lexsort((tokens, rank, np.repeat(np.arange(len(at) - 1), np.diff(at))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), shared.list_array(tokens.view(np.int64), at, pa.int64())], names=["set_id", "n", "shingles"])
+
+    full = sets.join(found.withColumnRenamed("id", "set_id"), "set_id").filter(F.col("shared") >= F.ceil(F.size("shingles") * THRESHOLD / 100))
+    return shared.saved(full.select("set_id", "shingles").mapInArrow(run, "set_id binary, n long, shingles array<bigint>"), "ordered-sets")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -375,8 +397,8 @@ def links(docs: DataFrame, base: DataFrame, id_column: str = "doc_id", column: s
     spark = docs.sparkSession
     sizes = base.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
     texts = docs.select(shared.text_or_empty(docs, column).alias("text"))
-    left, hot = _remaining(texts, sizes)
-    sets = _ordered_sets(docs, base, left, hot, id_column, column)
+    buckets = max(8, math.ceil(shared.total_bytes(texts) / BUCKET_BYTES))
+    sets = _ordered_sets(_sets_of(docs, base, _remaining(texts, sizes, buckets), id_column, column), buckets)
     shared.tune(spark, 20_000)
     dealt = _entries(sets).repartition("shingle").sortWithinPartitions("shingle", F.col("rest").desc(), "set_id")
     lists = shared.saved(dealt.mapInArrow(_lists, "shingle long, set_id binary, n long, rest long, leader binary, leader_n long, pair boolean"), "lists")
@@ -398,7 +420,8 @@ def links(docs: DataFrame, base: DataFrame, id_column: str = "doc_id", column: s
     cross = shared.saved(cross.groupBy("u", "v").agg(F.max("link").alias("link")), "cross-pairs")
     open_pairs = cross.filter("link = 0").select("u", "v").join(answers.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = cross.filter("link = 1").select("u", "v").unionByName(_overlaps(open_pairs, sets).filter(_linked()).select("u", "v"))
-    return components(found.unionByName(more))
+    more = shared.saved(more, "later-links")
+    return comps if more.isEmpty() else components(found.unionByName(more))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
