@@ -35,7 +35,7 @@ SHINGLE = 5
 THRESHOLD = 75  # percent
 EXTRA = 10  # percent of a set's size by which its prefix is extended in the first step
 BUCKET_BYTES = 8_000_000
-#: Rows up to which a table of identities or frequent shingles is sent to all executors.
+#: Frequent shingles that are sent to all executors for their order.
 SENT_ROWS = 2_000_000
 #: Sets that hold a shingle from which on it counts as frequent.
 FREQUENT = 8
@@ -242,7 +242,7 @@ def _sets_of(docs: DataFrame, base: DataFrame, left: DataFrame, id_column: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.set_ids(tokens, at), pa.binary()), shared.list_array(tokens.view(np.int64), at, pa.int64())], names=["doc_id", "set_id", "shingles"])
 
     first = base.groupBy("set_id").agg(F.min("doc_id").alias("rep")).join(left, "set_id", "left_semi")
-    first = shared.sent(shared.saved(first, "set-owners"), SENT_ROWS)
+    first = shared.sent(shared.saved(first, "set-owners"))
     all_sets = rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, set_id binary, shingles array<bigint>")
     kept = all_sets.join(first.withColumnRenamed("set_id", "sid"), (F.col("set_id") == F.col("sid")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     return shared.saved(kept.select("set_id", "shingles").dropDuplicates(["set_id"]), "sets")
