@@ -7,8 +7,8 @@ next such token, so edges grow with the text). Tokens in base spans are observed
 passes carry their labels over the edges. A token outside all base spans becomes a span where its
 marginal is at least ``THRESHOLD`` and it has a skip edge. Base spans are never taken away.
 
-The potentials are fitted on the base labels of at most ``SAMPLE_ROWS`` documents, those of least
-hash among the ones with a digit or an at sign.
+The potentials are fitted on the base labels of at most ``SAMPLE_ROWS`` distinct texts with a digit or
+an at sign, chosen by hash.
 """
 
 from __future__ import annotations
@@ -209,8 +209,7 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], field: Field)
 
 def train(docs: DataFrame, column: str = "text", sample_rows: int = SAMPLE_ROWS) -> Field:
     cued = docs.select(F.col(column).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    rows = cued.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
-    return fit([r.text for r in rows])
+    return fit(shared.sampled(cued, "text", sample_rows))
 
 
 def joined(spans: dict[str, list[tuple[int, int]]]) -> str:

@@ -63,6 +63,15 @@ def sent(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def sampled(df: DataFrame, column: str, rows: int) -> list[str]:
+    """At most ``rows`` distinct values of ``column`` for a fit, chosen by their hashes; about twice as many are compared."""
+    n, h = df.count(), F.xxhash64(column)
+    if n > 2 * rows:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((2 * rows / n) * (1 << 40)))
+    chosen = df.select(column).dropDuplicates([column]).orderBy(h, column).limit(rows)
+    return [r[0] for r in chosen.collect()]
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

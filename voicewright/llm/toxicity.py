@@ -41,14 +41,20 @@ class Tokens:
         distinct, at, self.word = np.unique(h, return_index=True, return_inverse=True)
         start, end = start[at], end[at]
         self.length = end - start
-        self.words = (distinct & _MASK).astype(np.int64)
-        bucket = lambda a, b, salt: (shared.mix(shared.span_hash(prefix, a, b) + np.uint64(salt)) & _MASK).astype(np.int64)
+        self.words = (distinct & _MASK).astype(np.int32)
+        self.word = self.word.astype(np.int32)
+        bucket = lambda a, b, salt: (shared.mix(shared.span_hash(prefix, a, b) + np.uint64(salt)) & _MASK).astype(np.int32)
         self.heads = [bucket(start, np.minimum(start + n, end), n) for n in (4, 6)]
         n = np.maximum(self.length - 3, 1)
         self.gram_at = np.concatenate([[0], np.cumsum(n)])
         place = np.arange(self.gram_at[-1]) - np.repeat(self.gram_at[:-1] - start, n)
         self.grams = bucket(place, np.minimum(place + 4, np.repeat(end, n)), 9)
 
+    def slim(self) -> Tokens:
+        """Owned arrays alone: a view would keep the larger array that it was cut from."""
+        self.grams, self.gram_at = self.grams.copy(), self.gram_at.astype(np.int32)
+        return self
+
     def kinds(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each evidence table: the buckets, and the word that each belongs to."""
         own = np.arange(len(self.words))
@@ -76,7 +82,7 @@ class Tokens:
         place = start[:, None] + np.arange(WINDOW)
         inside = place < n[doc][:, None]
         place = np.where(inside, place + self.first[:-1][doc][:, None], 0)
-        return np.where(inside, self.word[place] if len(self.word) else 0, -1), at
+        return np.where(inside, self.word[place] if len(self.word) else 0, -1).astype(np.int32), at
 
 
 def evidence(tokens: list[Tokens], labels: np.ndarray) -> list[np.ndarray]:
@@ -95,6 +101,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _used(table: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``table`` that ``windows`` name, and the windows by these rows."""
+    used, small = np.unique(windows, return_inverse=True)
+    small = small.reshape(-1, WINDOW).astype(np.int32)
+    return (table[used[1:]], small - 1) if len(used) and used[0] < 0 else (table[used], small)
+
+
 class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -134,10 +147,7 @@ class Network:
         return pooled @ p["o"] + p["c"][0]
 
     def gradient(self, table: np.ndarray, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        used, windows = np.unique(windows, return_inverse=True)
-        table, windows = table[np.maximum(used, 0)], windows.reshape(-1, WINDOW)
-        if used[0] < 0:
-            table, windows = table[1:], windows - 1
+        table, windows = _used(table, windows)
         keep: list = []
         logit = self.forward(table, windows, keep)
         p, H = self.p, HIDDEN
@@ -189,7 +199,7 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 24) -> Model:
     """Without rows of both labels the network stays as it began, with a low score for all."""
     order = np.random.default_rng(3).permutation(len(texts))
-    tokens, labels = [Tokens(*shared.buffers(pa.array([texts[i]]))) for i in order], np.asarray(labels, int)[order]
+    tokens, labels = [Tokens(*shared.buffers(pa.array([texts[i]]))).slim() for i in order], np.asarray(labels, int)[order]
     network = Network()
     tables = evidence(tokens, labels)
     if not 0 < labels.sum() < len(labels):
@@ -201,22 +211,25 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 24) -> Model:
     for k in (0, 1):
         other = evidence([t for t, b in zip(tokens, half) if b != k], labels[half != k])
         parts += [(i, tokens[i].inputs(other), tokens[i].windows()[0]) for i in np.flatnonzero(half == k)]
+    del tokens
     place, rows, at = 0, [], [0]
     inputs = []
     for _, x, w in parts:
-        rows.append(np.where(w >= 0, w + place, -1))
+        rows.append(np.where(w >= 0, w + place, -1).astype(np.int32))
         inputs.append(x)
         place += len(x)
         at.append(at[-1] + len(w))
     y = labels[[i for i, _, _ in parts]].astype(np.float32)
-    table, windows, at = np.concatenate(inputs), np.concatenate(rows), np.array(at)
-    rise = np.where(windows >= 0, table[windows, :5].max(2), -9).max(1)  # the first guess of each document's window
+    table, windows, at = np.concatenate(inputs), np.concatenate(rows).astype(np.int32), np.array(at)
+    del parts, inputs, rows
+    best = table[:, :5].max(1) if len(table) else np.zeros(1, np.float32)
+    rise = np.where(windows >= 0, best[windows], -9).max(1)  # the first guess of each document's window
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32) ** 0.5
     first, second = {k: np.zeros_like(v) for k, v in network.p.items()}, {k: np.zeros_like(v) for k, v in network.p.items()}
     rng, step = np.random.default_rng(5), 0
     for epoch in range(epochs):
         if epoch and epoch % 6 == 0:
-            rise = np.concatenate([network.forward(table, windows[i : i + 8192]) for i in range(0, len(windows), 8192)])
+            rise = np.concatenate([network.forward(*_used(table, windows[i : i + 2048])) for i in range(0, len(windows), 2048)])
         top = np.array([a + int(rise[a:b].argmax()) for a, b in zip(at[:-1], at[1:])])
         loose = at[:-1] + (rng.random(len(y)) * np.diff(at)).astype(int)
         clean = y == 0
