@@ -287,6 +287,26 @@ def test_licenses(spark, docs, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_copies_do_not_change_samples(spark):
+    few = spark.range(50).select(F.concat(F.lit("v"), "id").alias("x"))
+    many = spark.range(100_000).select(F.concat(F.lit("v"), F.col("id") % 50).alias("x"))
+    assert len(shared.sampled(many, "x", 10)) == 10 and shared.sampled(many, "x", 10) == shared.sampled(few, "x", 10)
+    assert sorted(shared.sampled(many, "x", 60)) == sorted(r.x for r in few.collect())
+    more = spark.range(3_000).select(F.col("id").cast("string").alias("x"))
+    assert shared.sampled(more, "x", 7) == [r.x for r in more.orderBy(F.xxhash64("x")).limit(7).collect()]
+
+
+def test_copies_do_not_change_licences(spark):
+    lines = ["the quick brown fox of the city is here", "this work was done under the tree", "Copyright of the Software", "and that is all for you"]
+    few = spark.createDataFrame([(x,) for x in lines], "text string")
+    many = few.crossJoin(spark.range(50_000)).select("text")
+    model = licenses.train(few)
+    assert licenses.train(many) == model
+    assert "software" in model.cues and not {"the", "of", "is", "this", "all", "under"} & set(model.cues)
+    rare = few.unionByName(spark.range(9_000).select(F.concat(F.lit("line "), "id").alias("text")))
+    assert "all" in licenses.train(rare).cues and "all" in licenses.train(rare, rare_lines=9_000).cues and "is" not in licenses.train(rare, rare_lines=9_000).cues
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi </s> [INST] \\ </\\s>"), (1, 1, "assistant", "yes [/INST]"), (1, 2, "assistant", None), (1, 1, "assistant", "yes [/INST]"), (2, None, None, "x"), (2, 0, "assistant", "é"), (None, 0, "user", ""), (3, 0, "assistant", "</\\s>[\\\\INST]")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)

@@ -1,14 +1,14 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison. Scoring is DataFrame expressions alone.
 
 A paragraph is a line of text. Its features are the word 1- to 3-grams that hold a cue: a word of the
-templates that no sampled line of the corpus has. A paragraph without a cue has no feature and isn't
+templates that at most one in ``RARE_LINES`` distinct lines of the corpus has. A paragraph without a cue has no feature and isn't
 licence text. The others get a softmax over the families and an ``unknown`` class, with a temperature
 fitted on held-out variants. A family stands only if its probability is at least ``SURE`` and the
 paragraph is confirmed by one of the family's templates: half of the paragraph's word pairs occur in
 the template, or half of the template's in the paragraph. Any other cued paragraph is unknown.
 
-The fit takes the templates, variants of them with words left out, unknown paragraphs made of shuffled
-cue words, and at most ``SAMPLE_LINES`` distinct lines of the corpus, chosen by hash.
+The fit takes the templates, variants of them with words left out, and unknown paragraphs made of shuffled
+cue words. Template words are counted over all lines of the corpus, each distinct line once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SAMPLE_LINES = 4_000
+RARE_LINES = 4_000
 SURE = 0.6
 UNKNOWN = "unknown"
 
@@ -133,17 +133,29 @@ def fit(lines: list[str], seed: int = 11) -> Model:
     return Model(cues, classes, grams, (w * t).round(6).tolist(), (b * t).round(6).tolist())
 
 
-def train(docs: DataFrame, column: str = "text", sample_lines: int = SAMPLE_LINES) -> Model:
-    """Lines with an unmistakable notice word are kept out of the sample, so that they stay cues."""
-    lines = docs.select(F.explode(F.split(column, "\n")).alias("line")).filter(~F.col("line").rlike("(?i)licen[sc]e|copyright|spdx"))
-    return fit(shared.sampled(lines, "line", sample_lines))
-
-
 def _lower(c: Column) -> Column:
     """A-Z only, as the fit does."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def common_words(docs: DataFrame, column: str = "text", rare_lines: int = RARE_LINES) -> list[str]:
+    """Words of the templates that more than one in ``rare_lines`` distinct lines hold.
+
+    Lines with an unmistakable notice word aren't counted, so that their words stay cues. Lines are told apart by their hashes.
+    """
+    given = sorted({w for many in TEMPLATES.values() for t in many for w in _words(t)})
+    lines = docs.select(F.explode(F.split(column, "\n")).alias("line")).filter(~F.col("line").rlike("(?i)licen[sc]e|copyright|spdx"))
+    held = F.array_distinct(F.filter(F.split(_lower(F.col("line")), _SPLIT), lambda w: w.isin(given)))
+    once = lines.select(F.xxhash64("line").alias("h"), held.alias("held")).distinct()
+    # The empty word stands for the line itself.
+    counts = dict(map(tuple, once.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("word")).groupBy("word").count().collect()))
+    return [w for w in given if counts.get(w, 0) * rare_lines > counts.get("", 0)]
+
+
+def train(docs: DataFrame, column: str = "text", rare_lines: int = RARE_LINES) -> Model:
+    return fit(common_words(docs, column, rare_lines))
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 

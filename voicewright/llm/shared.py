@@ -64,12 +64,18 @@ def sent(df: DataFrame, rows: int = 500_000) -> DataFrame:
 
 
 def sampled(df: DataFrame, column: str, rows: int) -> list[str]:
-    """At most ``rows`` distinct values of ``column`` for a fit, chosen by their hashes; about twice as many are compared."""
-    n, h = df.count(), F.xxhash64(column)
-    if n > 2 * rows:
-        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((2 * rows / n) * (1 << 40)))
-    chosen = df.select(column).dropDuplicates([column]).orderBy(h, column).limit(rows)
-    return [r[0] for r in chosen.collect()]
+    """The ``rows`` distinct values of ``column`` with the least hashes, for a fit; all, if there are no more.
+
+    Copies of a value make no difference. An estimate of the distinct values only decides how many are compared.
+    """
+    h = F.xxhash64(column)
+    share = 2 * rows / max(1, df.agg(F.approx_count_distinct(column)).first()[0])
+    while True:
+        part = df if share >= 0.5 else df.filter(h < int(share * (1 << 64)) - (1 << 63))
+        chosen = part.select(column).dropDuplicates([column]).orderBy(h, column).limit(rows).collect()
+        if share >= 0.5 or len(chosen) == rows:
+            return [r[0] for r in chosen]
+        share *= 4
 
 
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
