@@ -366,6 +366,21 @@ def test_suffix_dedup_of_cuts_and_periods(spark):
     assert dedup(df) == sorted(removed([t.encode() for t in texts]))
 
 
+def test_suffix_dedup_of_overlapping_copies(spark):
+    """Runs of a passage whose least gram lies under more than four segments."""
+    texts = []
+    for seed in (38, 531, 533, 2427, 3076, 3888):
+        rng = random.Random(seed)
+        say = lambda n: "".join(rng.choice("abcd e") for _ in range(n))  # noqa: B023, E731
+        period = rng.randint(60, 200)
+        before, passage = say(rng.randint(0, 300)), say(period)
+        run = (passage * 20)[: suffix_dedup.LENGTH + period + (0 if seed % 2 else 5)]
+        texts.append(before + run + say(rng.randint(200, 300)))
+    assert all(n > 0 for _, n, _, _ in removed([t.encode() for t in texts]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert dedup(df) == sorted(removed([t.encode() for t in texts]))
+
+
 def test_merged_transforms_equal_one_sort():
     """Merging shards gives the suffix order and common prefixes that sorting all suffixes at once gives."""
     rng = np.random.default_rng(8)

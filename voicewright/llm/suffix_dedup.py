@@ -76,12 +76,16 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     end = begin + out["r"] - 1 + LENGTH
     out["hash"] = shared.span_hash(prefix, begin, end)
     # Does the least gram stand twice in a segment? Only then can a string repeat within it.
-    near = np.searchsorted(begin, place, "right") - 1
+    # The segments that hold a place follow each other, as begins and ends ascend.
+    s = np.searchsorted(begin, place, "right") - 1
     times = np.zeros(len(first), np.int64)
-    for back in (0, 1, 2, 3):
-        s = near - back
-        ok = (s >= 0) & (place + GRAM <= end[s]) & (gram == out["key"][s])
-        times += np.bincount(s[ok], minlength=len(first))
+    while True:
+        held = np.flatnonzero((s >= 0) & (place + GRAM <= end[s]))
+        if not len(held):
+            break
+        place, gram, s = place[held], gram[held], s[held]
+        times += np.bincount(s[gram == out["key"][s]], minlength=len(first))
+        s -= 1
     out["many"] = 1 + _SELF * ((times > 1) | (out["r"] > LENGTH))
     return out
 
