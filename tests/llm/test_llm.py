@@ -169,6 +169,22 @@ def test_pii(spark, docs, none):
     assert pii.find(none).count() == 0
 
 
+def test_pii_labels_reach_far_tokens():
+    """On a chain of equal tokens, the marginals are those of the product of the edges' tables."""
+    n, kinds = 40, len(pii.KINDS) + 1
+    labels = np.zeros(n, np.int64)
+    labels[0] = 4
+    nothing = np.zeros((kinds, kinds))
+    field = pii.Field(np.zeros((len(pii._shape("0")), kinds)), nothing, 4 * np.eye(kinds))
+    skip = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    p = field.marginals(pii.Graph([(i, i + 1) for i in range(n)], np.zeros((n, len(pii._shape("0")))), labels, np.zeros((0, 2), np.int64), skip))
+    row = np.eye(kinds)[4]
+    for k in range(1, n):
+        row = row @ np.exp(4 * np.eye(kinds))
+        row /= row.sum()
+        assert np.allclose(p[k], row, atol=1e-3), k
+
+
 def test_lz(spark, docs, none):
     texts = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     got = lz.compare_edited(docs).collect()

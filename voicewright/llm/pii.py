@@ -4,7 +4,8 @@ The rules give the base spans. The field's nodes are the tokens that hold a digi
 node's own potential is a softmax over its shape; neighbouring tokens share a chain potential, and
 distant tokens that are equal, or end in the same seven digits, share a skip potential (each with the
 next such token, so edges grow with the text). Tokens in base spans are observed; loopy sum-product
-passes carry their labels over the edges. A token outside all base spans becomes a span where its
+passes carry their labels over the edges until no message changes. A text without a base span has nothing
+observed and gets no span. A token outside all base spans becomes a span where its
 marginal is at least ``THRESHOLD`` and it has a skip edge. Base spans are never taken away.
 
 The potentials are fitted on the base labels of at most ``SAMPLE_ROWS`` distinct texts with a digit or
@@ -27,7 +28,8 @@ from . import shared
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 1_000
-PASSES = 8
+#: Messages that change by less are at rest.
+REST = 1e-6
 THRESHOLD = 0.8
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -149,13 +151,17 @@ class Field:
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(src), _N))
-        for _ in range(PASSES):
+        # Damping halves what a pass leaves; a label needs a pass for each edge on its way.
+        for _ in range(64 + len(src)):
             belief = own.copy()
             np.add.at(belief, dst, message)
             out = belief[src] - message[back]
             out = np.exp(out - out.max(1, keepdims=True))
             new = np.log(np.einsum("ei,eij->ej", out, table) + 1e-12)
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+            step = 0.5 * (new - new.max(1, keepdims=True) - message)
+            message += step
+            if np.abs(step).max() < REST:
+                break
         belief = own.copy()
         np.add.at(belief, dst, message)
         p = np.exp(belief - belief.max(1, keepdims=True))
