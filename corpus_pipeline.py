@@ -15,7 +15,8 @@ from voicewright.llm import bpe, decontaminate, jaccard_join, pii, shared, toxic
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection threshold. The model is fitted on the labelled rows of ``docs``."""
     model = toxicity.train(docs, shared.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxic_score") < toxicity.REJECT).select(*docs.columns)
+    own = shared.fresh_name(docs, "toxic_score")
+    return toxicity.score(docs, model, output=own).filter(F.col(own) < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,23 +24,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and empty texts are linked with nothing, and stay. Of rows equal in id and text one stays.
     """
+    key, k, t = (shared.fresh_name(docs, n) for n in ("row_key", "found_id", "found_text"))
     text_id = F.unhex(F.md5(shared.text_or_empty(docs).cast("binary")))
-    rows = docs.withColumn("row_key", F.struct("doc_id", text_id.alias("text_id")))
-    found = shared.saved(jaccard_join.classes(rows.select("row_key", "text"), id_column="row_key").select(F.col("doc_id").alias("key"), (F.col("component_id") != F.col("doc_id")).alias("linked")), "row-classes")
-    of = lambda df: shared.sent(shared.saved(df.select("key.*").select(F.col("doc_id").alias("k"), F.col("text_id").alias("t")), "row-keys"))
-    same = [rows.row_key.doc_id.eqNullSafe(F.col("k")), rows.row_key.text_id == F.col("t")]
+    rows = docs.withColumn(key, F.struct("doc_id", text_id.alias("text_id")))
+    classes = jaccard_join.classes(rows.select(F.col(key).alias("id"), "text"), id_column="id")
+    found = shared.saved(classes.select(F.col("doc_id").alias("key"), (F.col("component_id") != F.col("doc_id")).alias("linked")), "row-classes")
+    of = lambda df: shared.sent(shared.saved(df.select("key.*").select(F.col("doc_id").alias(k), F.col("text_id").alias(t)), "row-keys"))
+    same = [rows[key]["doc_id"].eqNullSafe(F.col(k)), rows[key]["text_id"] == F.col(t)]
     again = of(found.groupBy("key").count().filter("count > 1"))
     once = rows.join(of(found.filter("linked").distinct()), same, "left_anti")
     if again.isEmpty():
         return once.select(*docs.columns)
-    twice = once.join(again, same, "left_semi").withColumns({"k": F.col("row_key.doc_id"), "t": F.col("row_key.text_id")}).dropDuplicates(["k", "t"])
+    twice = once.join(again, same, "left_semi").dropDuplicates([key])
     return once.join(again, same, "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item. Rows with a null id are kept."""
-    hits = decontaminate.overlaps(docs, shared.read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(shared.sent(shared.saved(hits, "contaminated-ids")), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without an overlap with a benchmark item, whatever their ids."""
+    own = shared.fresh_name(docs, "clean_row")
+    flagged = decontaminate.flag(docs.withColumnRenamed("overlap", own), shared.read(spark, sf_dir, "benchmark"))
+    return flagged.filter("overlap is null").drop("overlap").withColumnRenamed(own, "overlap").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = shared.scratch_mark()
         docs = shared.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        shared.drop_scratch(spark, mark, keep=1)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)

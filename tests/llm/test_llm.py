@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -140,6 +141,57 @@ def test_jaccard_join_finds_links_at_the_threshold(spark):
     assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == components_of(rows)
 
 
+def test_jaccard_join_of_a_large_family(spark, monkeypatch):
+    """Many sets that share one passage, most not linked to the leader, in blocks of few."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 3_000)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = say(40)
+    rows = []
+    for i in range(150):
+        t = say(rng.randint(4, 14)) + passage + say(rng.randint(0, 12))
+        rows.append(t)
+        if i % 5 == 0:
+            rows.append(t[:-1] + ["other"])
+            rows.append(["start"] + t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == components_of(rows)
+
+
+def test_jaccard_join_derives_overlaps():
+    """The condition on differences is that on whole sets, for blocks of one side and of two."""
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        lead = np.arange(40)
+        sets = [np.setdiff1d(np.union1d(rng.choice(lead, rng.integers(15, 41), False), rng.integers(100, 110, rng.integers(0, 9))), []).astype(np.int64) for _ in range(14)]
+        less, more = [np.setdiff1d(lead, s) for s in sets], [np.setdiff1d(s, lead) for s in sets]
+        cost = np.array([4 * len(a) + 3 * len(b) for a, b in zip(less, more)])
+        tokens = [np.concatenate([a, b]) for a, b in zip(less, more)]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        right = np.arange(14) >= 6 if trial % 2 else np.zeros(14, bool)
+        ids = np.array([bytes([i]) for i in range(14)], object)
+        comp = np.where(cost <= 40, 0, np.arange(1, 15))
+        got = list(jaccard_join._block_links(ids, comp, cost, np.concatenate(tokens), at, right, 40))
+
+        def parts(edges):
+            top = {int(c): int(c) for c in comp}
+            for a, b in edges:
+                x, y = top[a], top[b]
+                top = {k: (x if v == y else v) for k, v in top.items()}
+            return {frozenset(k for k in top if top[k] == v) for v in top.values()}
+
+        want = []
+        for i in range(14):
+            for j in range(14):
+                if i != j and comp[i] != comp[j] and (not right.any() or right[i] != right[j]):
+                    n = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                        want.append((int(comp[i]), int(comp[j])))
+        assert parts([(int(comp[u[0]]), int(comp[v[0]])) for u, v in got]) == parts(want)
+
+
 def test_pii(spark, docs, none):
     rng = random.Random(2)
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -262,7 +314,7 @@ def test_decontamination(spark, none):
     rng = random.Random(3)
     words = [f"v{i}" for i in range(60)]
     say = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, say(n)) for i, n in enumerate([3, 5, 9, 12, 20, 35, 50])]
+    items = [(i, say(n)) for i, n in enumerate([1, 3, 5, 9, 12, 17, 20, 35, 50])]
     docs = []
     for i in range(60):
         _, t = rng.choice(items)
@@ -274,13 +326,12 @@ def test_decontamination(spark, none):
     want = set()
     for i, d in docs:
         for k, q in items:
-            if len(q) < 5:
-                continue
             reach = min(20, len(q))
+            allowed = max(0, reach // 5 - 1)
             for shift in range(-len(q), len(d)):
                 a, b = max(0, shift), min(len(d), shift + len(q))
                 same = [d[j] == q[j - shift] for j in range(a, b)]
-                if any(sum(same[j : j + reach]) >= reach - (reach // 5 - 1) for j in range(len(same) - reach + 1)):
+                if any(sum(same[j : j + reach]) >= reach - allowed for j in range(len(same) - reach + 1)):
                     want.add((i, k))
     bench = spark.createDataFrame([(k, " ".join(q)) for k, q in items] + [(98, None), (99, "")], "item_id long, text string")
     frame = spark.createDataFrame([(i, " ".join(d).upper() + " !", "x") for i, d in docs] + [(None, "", "x"), (77, None, "x")], "doc_id long, text string, item_id string").repartition(3)
@@ -288,6 +339,28 @@ def test_decontamination(spark, none):
     joined = decontaminate.overlaps(frame, bench, sent_words=0).collect()
     assert {(r.doc_id, r.item_id) for r in sent} == want and sorted(map(tuple, sent)) == sorted(map(tuple, joined))
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(frame, bench.limit(0)).count() == 0
+    # Rows with null, repeated and clashing columns keep what was found in their own texts.
+    odd = spark.createDataFrame([(None, " ".join(items[-1][1]), 1, 2), (None, "clean words", 1, 2), (5, " ".join(items[-1][1]), 1, 2), (5, "clean words", 1, 2)], "doc_id long, text string, overlap int, row_key int")
+    got = decontaminate.flag(odd, bench.filter(F.col("item_id") == items[-1][0])).collect()
+    assert sorted((r.doc_id or 0, r.text[:5], r.row_key, r.overlap is not None) for r in got) == sorted((a or 0, t[:5], 2, t != "clean words") for a, t in ((None, " ".join(items[-1][1])), (None, "clean words"), (5, " ".join(items[-1][1])), (5, "clean words")))
+
+
+def test_each_mask_of_decontamination_decides(spark, monkeypatch):
+    """Every length has its mask, each finds what its substitutions leave, and without it the item is lost."""
+    for least, mask in decontaminate.MASKS:
+        assert len(mask) <= least and decontaminate.mask_of(least) == decontaminate.MASKS.index((least, mask))
+        words = [f"u{i}" for i in range(least)]
+        for changed in itertools.combinations(range(least), decontaminate.allowed(least)):
+            h = np.array([1000 + i if i in changed else i for i in range(least)], np.uint64)
+            k = [decontaminate.mask_of(least)]
+            s, _ = decontaminate.seeds(h, np.array([0, least]), k)
+            t, _ = decontaminate.seeds(np.arange(least, dtype=np.uint64), np.array([0, least]))
+            assert set(s.tolist()) & set(t.tolist()), (least, changed)
+        items = decontaminate.Items([1], [" ".join(words)])
+        first = np.array([0, least])
+        assert len(items.candidates(items.h, first)) == 1
+        items.masks = []
+        assert len(items.candidates(items.h, first)) == 0
 
 
 def test_licenses(spark, docs, none):
@@ -438,6 +511,27 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert frame.columns == corpus_pipeline.mask_personal_data(spark, frame, SF).columns
     assert corpus_pipeline.drop_contaminated(spark, frame, SF).count() == len(rows)
     assert "bpe_ids" in corpus_pipeline.encode_texts(spark, frame, SF).columns
+    clash = ("k", "t", "row_key", "found_id", "toxic_score", "overlap")
+    odd = frame.select(*names, *(F.lit(7).alias(c) for c in clash))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated, corpus_pipeline.mask_personal_data):
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and {tuple(r) for r in out.select(*clash).distinct().collect()} == {(7,) * len(clash)}
+        assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_pipeline_runs_whole(spark):
+    """Of the last stage's documents none is rejected by a stage run again, and toxic labels are mostly gone."""
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF).collect()
+    ids = {r.doc_id for r in out}
+    every = shared.read(spark, SF, "documents")
+    assert 0 < len(ids) == len(out) < every.count()
+    left = every.filter(F.col("doc_id").isin(list(ids)))
+    assert corpus_pipeline.drop_contaminated(spark, left, SF).count() == len(ids)
+    assert corpus_pipeline.drop_near_duplicates(spark, left, SF).count() == len(ids)
+    tt = tiktoken_encoding()
+    assert all(list(r.bpe_ids) == tt.encode_ordinary(r.text) for r in out[:100])
 
 
 @pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_chat_format"])

@@ -2,14 +2,14 @@
 
 Words are runs of ASCII letters and digits and of other non-ASCII characters, in lower case (A-Z).
 A document overlaps an item where, on one alignment, ``REACH`` consecutive item words (all words of an
-item that has fewer) have at most ``words // 5 - 1`` substitutions: 3 in 20. Items of fewer than five
-words aren't looked for.
-
-Every such overlap holds a hit of each mask that fits: cut the words into blocks of five (the mask
-11111), or into the four classes of places modulo four (10001000100010001); one block or class is free
-of substitutions. Both masks are hashed at every place of items and documents, the hashes are joined,
-and the alignments of the hits are verified word by word over the whole item. Masks only choose the
-alignments, so the result is that of the definition.
+item that has fewer) have at most ``words // 5 - 1`` substitutions: 3 in 20. An item of fewer than five
+words must stand whole and unchanged.
+
+Each length of that stretch has its own mask (``MASKS``), which ignores the positions between: with k
+substitutions allowed, one of the k + 1 classes of places modulo k + 1 is free of them, so a mask of every
+(k + 1)-th place has a hit in every overlap. An item's seeds are hashed with its mask at every place, a document's
+with the masks of all items; the hashes are joined, and the alignments of the hits are verified word by word over
+the whole item. Masks only choose the alignments, so the result is that of the definition.
 """
 
 from __future__ import annotations
@@ -24,21 +24,40 @@ from pyspark.sql import functions as F
 from . import shared
 
 REACH = 20
-MASKS = ("11111", "10001000100010001")
+#: Least words of the compared stretch, and the mask for it: lossless for the substitutions allowed there.
+MASKS = ((20, "10001000100010001"), (15, "1001001001001"), (10, "101010101"), (5, "11011"), (4, "1101"), (3, "101"), (2, "11"), (1, "1"))
 #: Words of all items up to which the items are sent to the executors; beyond, hashes are joined by a shuffle.
 SENT_WORDS = 2_000_000
+#: Bits of a seed by which a table of all items' seeds is kept: 2 MB, whatever their number.
+FILTER_BITS = 24
+SALTS = 8
 
 
 def allowed(words: int) -> int:
-    return min(words, REACH) // 5 - 1
+    return max(0, min(words, REACH) // 5 - 1)
 
 
-def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hash and place (index of the first word) of every mask at every place where it fits into its text."""
-    out, at = [], []
-    last = np.repeat(first[1:], np.diff(first))
-    for k, mask in enumerate(MASKS):
-        places = np.flatnonzero(np.arange(len(h)) + len(mask) <= last)
+def mask_of(words: int) -> int:
+    """Index in ``MASKS`` of the mask for an item of so many words."""
+    return next(k for k, (least, _) in enumerate(MASKS) if words >= least)
+
+
+def seeds(h: np.ndarray, first: np.ndarray, masks: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Seed hash and place (index of the first word) of a mask at every place where it fits into its text.
+
+    ``masks``: those to use (for documents); None: of each text the one for its length (for items).
+    """
+    out, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    n = np.diff(first)
+    last = np.repeat(first[1:], n)
+    own = None
+    if masks is None:
+        kinds = np.array([mask_of(w) if w else -1 for w in n.tolist()], np.int64)
+        own, masks = np.repeat(kinds, n), np.unique(kinds[kinds >= 0]).tolist()
+    for k in masks:
+        mask = MASKS[k][1]
+        fits = np.arange(len(h)) + len(mask) <= last
+        places = np.flatnonzero(fits if own is None else fits & (own == k))
         s = np.full(len(places), k + 1, np.uint64)
         for j, bit in enumerate(mask):
             if bit == "1":
@@ -59,12 +78,13 @@ class Items:
         order = np.argsort(s, kind="stable")
         self.seed, self.at = s[order], at[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
+        self.masks = sorted({mask_of(n) for n in np.diff(self.first).tolist() if n})
         self.filter = np.zeros(1 << 22, bool)  # most places of documents stop here
         self.filter[(self.seed >> np.uint64(42)).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (document, item, place of the item's first word in the document) of all hits."""
-        s, at = seeds(h, first)
+        s, at = seeds(h, first, self.masks)
         near = np.flatnonzero(self.filter[(s >> np.uint64(42)).astype(np.int64)])
         s, at = s[near], at[near]
         lo, hi = np.searchsorted(self.seed, s, "left"), np.searchsorted(self.seed, s, "right")
@@ -108,8 +128,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", c
     """One row per document and item that overlap: doc_id, item_id, start, end (bytes in the document), n_words, n_same.
 
     Null texts and items have no words. Repeated rows are taken each for itself. Items whose words are
-    up to ``sent_words`` are sent to the executors. More items are dealt over buckets of seed hashes,
-    with the documents' seeds, and candidates are verified by joins.
+    up to ``sent_words`` are sent to the executors. Beyond, seeds are joined: a table of ``FILTER_BITS`` bits holds
+    back the documents' seeds that no item has, common ones are dealt over salts, and candidates are verified by
+    joins. ``id_column`` may be a struct, as any value that tells rows apart.
     """
     spark = docs.sparkSession
     shared.tune(spark)
@@ -142,16 +163,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", c
     return rows.mapInArrow(run, schema)
 
 
-def _seed_rows(texts: DataFrame) -> DataFrame:
-    """key, words (hashes), and an array of the seeds with their places, for each text that has some."""
+def _seed_rows(texts: DataFrame, masks: list[int] | None, known: np.ndarray | None = None) -> DataFrame:
+    """key, mask kinds, words (hashes), and an array of the seeds with their places, for each text; only seeds in ``known``, where given."""
+    sent = None if known is None else texts.sparkSession.sparkContext.broadcast(known)  # 2 ** FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None if sent is None else np.unpackbits(sent.value, bitorder="little").view(bool)
         for batch in batches:
             data, offsets = shared.buffers(batch.column(1))
             for a, b in shared.chunks(offsets):
                 local = offsets[a : b + 1] - offsets[a]
                 h, start, end, first = shared.word_hashes(data[offsets[a] : offsets[b]], local, shared.ALNUM)
-                s, at = seeds(h, first)
+                s, at = seeds(h, first, masks)
+                if table is not None:
+                    near = table[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                    s, at = s[near], at[near]
                 doc = np.searchsorted(first, at, "right") - 1
                 order = np.argsort(doc, kind="stable")
                 cut = np.searchsorted(doc[order], np.arange(b - a + 1))
@@ -159,26 +185,40 @@ def _seed_rows(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        pa.array([mask_of(n) if n else -1 for n in np.diff(first).tolist()], pa.int32()),
                         shared.list_array(h.view(np.int64), first, pa.int64()),
                         shared.list_array(start - base, first, pa.int64()),
                         shared.list_array(end - base, first, pa.int64()),
                         shared.list_array(s[order].view(np.int64), cut, pa.int64()),
                         shared.list_array((at - first[doc])[order], cut, pa.int64()),
                     ],
-                    names=["key", "words", "starts", "ends", "seeds", "places"],
+                    names=["key", "mask", "words", "starts", "ends", "seeds", "places"],
                 )
 
     kind = texts.schema[0].dataType.simpleString()
-    return texts.mapInArrow(run, f"key {kind}, words array<bigint>, starts array<bigint>, ends array<bigint>, seeds array<bigint>, places array<bigint>")
+    return texts.mapInArrow(run, f"key {kind}, mask int, words array<bigint>, starts array<bigint>, ends array<bigint>, seeds array<bigint>, places array<bigint>")
+
+
+def _known(items: DataFrame) -> np.ndarray:
+    """Bit table of the leading bits of all items' seeds, put together by partial aggregates."""
+    leads = items.select(F.explode("seeds").alias("s")).select(F.shiftrightunsigned("s", 64 - FILTER_BITS).alias("b"))
+    words = leads.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found = words.toArrow()  # at most a row for each 64 bits of the table
+    table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return table.view(np.uint8)
 
 
 def _joined(rows: DataFrame, bench: DataFrame, schema: str) -> DataFrame:
     """The same rows for any number of items: seeds meet by a join, then words by two more."""
-    spark = rows.sparkSession
     number = lambda df, name: df.select(F.struct(F.col(df.columns[0]).alias("id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n")).alias("key"), "text")
-    sides = {k: shared.saved(_seed_rows(number(df, k)), f"seeds-{k}") for k, df in (("d", rows), ("b", bench))}
+    items = shared.saved(_seed_rows(number(bench, "b"), None), "seeds-b")
+    masks = sorted(r.mask for r in items.select("mask").filter("mask >= 0").distinct().collect())
+    sides = {"d": shared.saved(_seed_rows(number(rows, "d"), masks, _known(items)), "seeds-d"), "b": items}
     flat = {k: df.select(F.col("key").alias(k), F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(k, F.col("s.seeds").alias("seed"), F.col("s.places").alias(f"{k}_at")) for k, df in sides.items()}
-    pairs = flat["d"].join(flat["b"], "seed").select("d", "b", (F.col("d_at") - F.col("b_at")).alias("shift")).distinct()
+    flat["d"] = flat["d"].withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)))
+    flat["b"] = flat["b"].withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = flat["d"].join(flat["b"], ["seed", "salt"]).select("d", "b", (F.col("d_at") - F.col("b_at")).alias("shift")).distinct()
     full = pairs.join(sides["d"].select(F.col("key").alias("d"), F.col("words").alias("dw"), "starts", "ends"), "d").join(sides["b"].select(F.col("key").alias("b"), F.col("words").alias("bw")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +240,23 @@ def _joined(rows: DataFrame, bench: DataFrame, schema: str) -> DataFrame:
     return best.select("doc_id", "item_id", "x.*")
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Per document id with an overlap: doc_id, n_items, n_same (of its longest overlap), item_ids (ascending)."""
-    hits = overlaps(docs, benchmark, **options)
-    return hits.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("n_same").alias("n_same"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+def flag(docs: DataFrame, benchmark: DataFrame, column: str = "text", **options) -> DataFrame:
+    """All columns of ``docs`` and ``overlap``: struct of n_items, n_same (of the longest overlap), item_ids (ascending); null where a row is clean.
+
+    Rows meet their overlaps by id and text, so a null or repeated id makes no difference. A column ``overlap`` of ``docs`` is replaced.
+    """
+    rows = docs.drop("overlap")
+    key, found_key = shared.fresh_name(rows, "row_key"), shared.fresh_name(rows, "found_key")
+    keyed = rows.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64(shared.text_or_empty(rows, column)).alias("h"), F.unhex(F.md5(shared.text_or_empty(rows, column).cast("binary"))).alias("m")))
+    hits = overlaps(keyed.select(key, column), benchmark, id_column=key, column=column, **options)
+    per = hits.groupBy(F.col("doc_id").alias(found_key)).agg(F.struct(F.count_distinct("item_id").alias("n_items"), F.max("n_same").alias("n_same"), F.array_sort(F.collect_set("item_id")).alias("item_ids")).alias("overlap"))
+    per = shared.sent(shared.saved(per, "overlaps"))
+    same = keyed[key]["id"].eqNullSafe(per[found_key]["id"]) & (keyed[key]["h"] == per[found_key]["h"]) & (keyed[key]["m"] == per[found_key]["m"])
+    return keyed.join(per, same, "left").select(*rows.columns, "overlap")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with what it shares with the benchmark: n_items 0 and no ids where it's clean."""
     docs, bench = shared.read(spark, sf_dir, "documents").select("doc_id", "text"), shared.read(spark, sf_dir, "benchmark")
-    found = flag(docs, bench)
-    out = docs.select("doc_id").join(found, "doc_id", "left")
-    return out.select("doc_id", (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_same", F.lit(0)).cast("long").alias("n_same_words"), F.array_join("item_ids", ",").alias("item_ids"))
+    found, many = flag(docs, bench), F.coalesce("overlap.n_items", F.lit(0))
+    return found.select("doc_id", (many > 0).alias("contaminated"), many.cast("long").alias("n_items"), F.coalesce("overlap.n_same", F.lit(0)).cast("long").alias("n_same_words"), F.array_join("overlap.item_ids", ",").alias("item_ids"))

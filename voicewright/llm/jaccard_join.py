@@ -8,12 +8,17 @@ by a 128-bit identity, so copies meet only in a count. The join of distinct sets
    whose prefix shares too few with all others can't have a link. Shingles that several sets of one
    map task share are counted there and sent once, so frequent ones don't pile up.
 2. Index lists. The remaining sets are ordered by (frequency level, hash), rare shingles first, and
-   their prefixes are indexed by shingle. A list is read by rest (words behind the position): entries
-   whose rest can't reach the needed overlap are skipped as a block. Only pairs with the list's leader
-   (the set of most rest) are made. Their overlaps are the computed answers.
-3. Answers from answers. Links found are joined into components. In lists that still hold several
-   components, a pair's overlap is bounded from both sets' overlaps with the same leader: below the
-   threshold it is skipped, above it it is a link, and only between the bounds it is computed.
+   their prefixes are indexed by shingle. A list has a leader, its entry of most rest (shingles of the set
+   from the entry's position on). A list skips the block of all entries whose rest can't reach the overlap
+   that a link with the shortest set it could have needs. Sets that share a leader are a family, whatever the
+   number of lists that they meet in.
+3. Answers from answers. Each set of a family is told by its differences from the leader: A, the leader's
+   shingles that it lacks, and B, those it adds. With x the leader's size and c = 4 |A| + 3 |B|, a set is linked to
+   the leader where c <= x, and two sets y, z of the family where 7 |(A_y & A_z) + (B_y & B_z)| >= c_y + c_z - x:
+   their overlap follows from the answers to the leader and from what their differences share, without their sets.
+   Links to leaders are joined into components. What lies outside the leader's component is compared with the rest of the
+   family, in blocks of ``BLOCK_TOKENS`` differences: each pair of blocks is dealt for itself, so that a large family is many
+   tasks. A pair of blocks gives the links that join its components, never its pairs.
 
 Two sets of one component need no further comparison: their class is already known.
 """
@@ -35,10 +40,10 @@ SHINGLE = 5
 THRESHOLD = 75  # percent
 EXTRA = 10  # percent of a set's size by which its prefix is extended in the first step
 BUCKET_BYTES = 8_000_000
-#: Frequent shingles that are sent to all executors for their order.
-SENT_ROWS = 2_000_000
 #: Sets that hold a shingle from which on it counts as frequent.
 FREQUENT = 8
+#: Differences (and places for sets) in a block of a family.
+BLOCK_TOKENS = 60_000
 
 
 def _least(n: np.ndarray) -> np.ndarray:
@@ -129,7 +134,7 @@ def _blocks(rows: DataFrame, buckets: int, of: Callable[[pa.RecordBatch], Iterat
                 held_o.append(np.full(len(tokens), len(held_ids)))
                 held_ids.append(sid)
                 size += len(tokens)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held_t, held_o, held_ids, size = [], [], [], 0
             if len(met) > 1_000_000:
@@ -156,27 +161,12 @@ def _shared_counts(targets: int):
             [pa.array(np.zeros(len(some), np.int32)), pa.array(some, pa.int32()), pa.array([raw[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), pa.array([n[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in some], pa.binary())], names=names
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, m, o, ids, base = [], [], [], [np.zeros((0, 2), np.uint64)], 0
-        here_ids, here_n = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            for bucket, a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                table = np.frombuffer(c, np.uint64).reshape(-1, 2)
-                if bucket < 0:
-                    here_ids.append(table)
-                    here_n.append(np.frombuffer(a, np.int32).astype(np.int64))
-                    continue
-                own = np.frombuffer(d, np.int32)
-                t.append(np.frombuffer(a, np.uint64))
-                m.append(np.frombuffer(b, np.uint16))
-                o.append(np.where(own >= 0, own + base, -1))
-                ids.append(table)
-                base += len(table)
-        if (out := packed(np.concatenate(here_ids), np.concatenate(here_n))) is not None:
-            yield out
-        if not t:
-            return
-        t, m, o, ids = np.concatenate(t), np.concatenate(m).astype(np.int64), np.concatenate(o), np.concatenate(ids)
+    def of_bucket(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = [np.frombuffer(c, np.uint64).reshape(-1, 2) for _, _, c, _ in rows]
+        base = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        own = [np.frombuffer(d, np.int32) for _, _, _, d in rows]
+        t, m = np.concatenate([np.frombuffer(a, np.uint64) for a, _, _, _ in rows]), np.concatenate([np.frombuffer(b, np.uint16) for _, b, _, _ in rows]).astype(np.int64)
+        o, ids = np.concatenate([np.where(x >= 0, x + k, -1) for x, k in zip(own, base)]), np.concatenate(ids)
         order = np.argsort(t, kind="stable")
         t, m, o = t[order], m[order], o[order]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -190,24 +180,49 @@ def _shared_counts(targets: int):
         if len(hot):
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([-1], pa.int32()), pa.array([t[first[hot]].tobytes()], pa.binary()), pa.array([total[hot].astype(np.int32).tobytes()], pa.binary())], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; one bucket is held at a time."""
+        rows, now = [], None
+        for batch in batches:
+            for bucket, a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if bucket < 0:
+                    if (out := packed(np.frombuffer(c, np.uint64).reshape(-1, 2), np.frombuffer(a, np.int32).astype(np.int64))) is not None:
+                        yield out
+                    continue
+                if bucket != now and rows:
+                    yield from of_bucket(rows)
+                    rows = []
+                now = bucket
+                rows.append((a, b, c, d))
+        if rows:
+            yield from of_bucket(rows)
+
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """set_id and its number of shared shingles, from the packed counts of some targets."""
-    ids, n = [], []
+    """set_id and its number of shared shingles, from packed counts sorted by target; one target is held at a time."""
+
+    def of_target(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x, _ in rows])
+        n = np.concatenate([np.frombuffer(x, np.int32) for _, x in rows]).astype(np.int64)
+        order = np.lexsort((ids[:, 1], ids[:, 0]))
+        ids, n = ids[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
+        raw, total = ids[first].tobytes(), np.add.reduceat(n, first)
+        for k in range(0, len(first), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array([raw[i * 16 : i * 16 + 16] for i in range(k, min(k + 50_000, len(first)))], pa.binary()), pa.array(total[k : k + 50_000])], names=["id", "shared"])
+
+    rows, now = [], None
     for batch in batches:
-        ids += [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in batch.column(0).to_pylist()]
-        n += [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
-    if not ids:
-        return
-    ids, n = np.concatenate(ids), np.concatenate(n).astype(np.int64)
-    order = np.lexsort((ids[:, 1], ids[:, 0]))
-    ids, n = ids[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
-    raw, total = ids[first].tobytes(), np.add.reduceat(n, first)
-    for k in range(0, len(first), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array([raw[i * 16 : i * 16 + 16] for i in range(k, min(k + 50_000, len(first)))], pa.binary()), pa.array(total[k : k + 50_000])], names=["id", "shared"])
+        for target, ids, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if target != now and rows:
+                yield from of_target(rows)
+                rows = []
+            now = target
+            rows.append((ids, n))
+    if rows:
+        yield from of_target(rows)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +233,9 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(rows: DataFrame, buckets: int, of: Callable, name: str) -> tuple[DataFrame, DataFrame]:
     """How many of its shingles in ``rows`` each set shares with another set (id, shared), and the frequent shingles (shingle, level)."""
-    blocks = _blocks(rows, buckets, of).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2)))
+    blocks = _blocks(rows, buckets, of).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2))).sortWithinPartitions("bucket")
     counts = shared.saved(blocks.mapInArrow(_shared_counts(max(4, buckets // 4)), "kind int, target int, ids binary, counts binary"), name)
-    found = counts.filter("kind = 0").repartition("target").select("ids", "counts").mapInArrow(_summed, "id binary, shared long")
+    found = counts.filter("kind = 0").repartition("target").sortWithinPartitions("target").select("target", "ids", "counts").mapInArrow(_summed, "id binary, shared long")
     hot = counts.filter("kind = 1").select("ids", "counts").mapInArrow(_frequent, "shingle long, level int")
     return found, hot
 
@@ -249,35 +264,42 @@ def _sets_of(docs: DataFrame, base: DataFrame, left: DataFrame, id_column: str,
 
 
 def _ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
-    """set_id, n, shingles (by frequency level, then hash) of the sets that share three quarters of their shingles or more."""
-    spark = sets.sparkSession
+    """set_id, n, shingles (structs of level and shingle, in this order) of the sets that share three quarters of their shingles or more."""
     found, hot = _counted(sets.select("set_id", "shingles"), buckets, _whole, "shared-in-sets")
-    top = hot.orderBy(F.col("level").desc(), "shingle").limit(SENT_ROWS).collect()  # only an order comes from it, so a bound takes nothing away
-    keys = np.array([r.shingle for r in top], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], np.array([r.level for r in top], np.uint8)[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, level = sent.value
-        for batch in batches:
-            column = batch.column(1)
-            at = column.offsets.to_numpy().astype(np.int64)
-            tokens = column.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
-            at = at - at[0]
-            if len(known) and len(tokens):
-                place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                rank = np.where(known[place] == tokens, level[place], 0)
-                tokens = tokens[np.lexsort((tokens, rank, np.repeat(np.arange(len(at) - 1), np.diff(at))))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), shared.list_array(tokens.view(np.int64), at, pa.int64())], names=["set_id", "n", "shingles"])
-
     full = sets.join(found.withColumnRenamed("id", "set_id"), "set_id").filter(F.col("shared") >= F.ceil(F.size("shingles") * THRESHOLD / 100))
-    return shared.saved(full.select("set_id", "shingles").mapInArrow(run, "set_id binary, n long, shingles array<bigint>"), "ordered-sets")
+    each = full.select("set_id", F.explode("shingles").alias("shingle")).join(shared.sent(shared.saved(hot, "frequent-shingles")), "shingle", "left")
+    item = F.struct(F.coalesce("level", F.lit(0)).alias("level"), "shingle")
+    listed = each.groupBy("set_id").agg(F.array_sort(F.collect_list(item)).alias("shingles"))
+    return shared.saved(listed.select("set_id", F.size("shingles").cast("long").alias("n"), "shingles"), "ordered-sets")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """Index entries of prefixes: shingle, set_id, n, rest (shingles of the set from this position on)."""
+    """Index entries of prefixes: shingle, salt, level, set_id, n, rest (shingles of the set from this position on).
+
+    The entries of a frequent shingle are dealt over salts, one for 256 sets that hold it, so that no list is one task.
+    """
     prefix = F.slice("shingles", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1).cast("int"))
-    return sets.select("set_id", "n", F.posexplode(prefix).alias("pos", "shingle")).select("shingle", "set_id", "n", (F.col("n") - F.col("pos")).alias("rest"))
+    rows = sets.select("set_id", "n", F.posexplode(prefix).alias("pos", "s"))
+    salt = F.pmod(F.xxhash64("set_id"), _salts(F.col("s.level")))
+    return rows.select("s.shingle", salt.alias("salt"), "s.level", "set_id", "n", (F.col("n") - F.col("pos")).alias("rest"))
+
+
+def _salts(level: F.Column) -> F.Column:
+    return F.pow(F.lit(2), F.greatest(level - 7, F.lit(0))).cast("long")
+
+
+def _families(sets: DataFrame) -> DataFrame:
+    """set_id and leader of the sets that meet in a list, each pair once.
+
+    A list's leader is the entry of most rest (then greatest set_id), found by partial aggregates. An entry stays only if
+    its rest reaches the overlap with some set that its own size allows and that the leader's rest allows too.
+    """
+    entries = shared.saved(_entries(sets), "entries")
+    lists = entries.groupBy("shingle").agg(F.max_by(F.struct("set_id", "n", "rest"), F.struct("rest", "set_id")).alias("lead"), F.count(F.lit(1)).alias("many"), F.max("level").alias("level"), F.min("n").alias("shortest")).filter("many > 1")
+    dealt = lists.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), _salts(F.col("level")) - 1)).alias("salt"), F.col("lead.set_id").alias("leader"), "shortest")
+    met = entries.drop("level").join(dealt, ["shingle", "salt"])
+    least_other = F.greatest("shortest", F.ceil(F.col("n") * THRESHOLD / 100))
+    return met.filter(F.col("rest") >= _needed(F.col("n"), least_other)).select("set_id", "leader").distinct()
 
 
 def _needed(n, m):
@@ -285,142 +307,121 @@ def _needed(n, m):
     return F.ceil((n + m) * THRESHOLD / (100 + THRESHOLD))
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two entries or more, from entries sorted by (shingle, rest descending, set_id), each entry with its list's first, the leader.
+_ADDED = 0x2545F4914F6CDD1D  # tells shingles that a set adds from those that it lacks
 
-    ``pair``: both rests reach the overlap that a link needs, and the sizes allow one. Rests fall along a list, so the
-    leader, which differs least from the list's common part, is also the entry that skips the fewest.
-    """
-    lead: tuple[int, bytes, int, int] | None = None
-    waiting: tuple | None = None  # the first entry of a list, until a second one comes
-    names = ["shingle", "set_id", "n", "rest", "leader", "leader_n", "pair"]
-    for batch in batches:
-        t, n, rest = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        ids = batch.column(1).to_pylist()
-        if waiting is not None:
-            w, waiting = waiting, None
-            t, n, rest, ids = np.append(w[0], t), np.append(w[2], n), np.append(w[3], rest), [w[1], *ids]
-            if lead is not None and lead[0] == w[0]:
-                lead = None
-        ids = np.array(ids, object)
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        runs = np.diff(np.append(first, len(t)))
-        at = np.repeat(first, runs)
-        lid, ln, lrest = ids[at], n[at].copy(), rest[at].copy()
-        keep = np.repeat(runs > 1, runs)
-        if lead is not None and lead[0] == t[0]:
-            k = int(runs[0])
-            lid[:k], ln[:k], lrest[:k], keep[:k] = lead[1], lead[2], lead[3], True
-        if not keep[-1]:
-            waiting = (int(t[-1]), ids[-1], int(n[-1]), int(rest[-1]))
-        lead = (int(t[-1]), lid[-1], int(ln[-1]), int(lrest[-1]))
-        need = -(-(n + ln) * THRESHOLD // (100 + THRESHOLD))
-        pair = (np.minimum(rest, lrest) >= need) & (np.minimum(n, ln) * 100 >= np.maximum(n, ln) * THRESHOLD) & (ids != lid)
-        x = np.flatnonzero(keep)
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(t[x]), pa.array(ids[x], pa.binary()), pa.array(n[x]), pa.array(rest[x]), pa.array(lid[x], pa.binary()), pa.array(ln[x]), pa.array(pair[x])], names=names)
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, n_u, n_v, overlap of given pairs of sets."""
-    side = lambda k: sets.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("shingles").alias(f"s_{k}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.select("u", "v", "n_u", "n_v", F.size(F.array_intersect("s_u", "s_v")).cast("long").alias("overlap"))
-
-
-def _linked() -> F.Column:
-    return F.col("overlap") >= _needed(F.col("n_u"), F.col("n_v"))
-
-
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries of lists with several components, sorted by (shingle, rest descending): pairs of different components.
-
-    ``known`` is the overlap with the list's leader (-1: not computed). Yields u, v, link (1: follows from the
-    bounds, 0: to be computed). Lists come whole; they hold what one shingle's prefix entries have left.
-    """
 
-    def of_list(ids, n, rest, comp, lead, known, ln) -> tuple[list, list, list]:
-        u, v, link = [], [], []
-        for i in range(1, len(ids)):
-            # Rests only fall along the list: i's own is the lesser one, so one search skips the block of all that are too large.
-            need = -(-(n[:i] + n[i]) * THRESHOLD // (100 + THRESHOLD))
-            j = np.flatnonzero((rest[i] >= need) & (comp[:i] != comp[i]) & (n[:i] * 100 >= n[i] * THRESHOLD) & (n[i] * 100 >= n[:i] * THRESHOLD))
-            if not len(j):
-                continue
-            need = need[j]
-            told = (known[j] >= 0) & (known[i] >= 0) & (lead[j] == lead[i])
-            most = np.minimum(known[j], known[i]) + np.minimum(n[j] - known[j], n[i] - known[i])
-            least = known[j] + known[i] - ln[i]
-            keep = ~(told & (most < need))
-            sure = told & (least >= need)
-            for k, s in zip(j[keep], sure[keep]):
-                a, b = sorted((ids[i], ids[k]))
-                u.append(a)
-                v.append(b)
-                link.append(int(s))
-        return u, v, link
-
-    held: list[list] = []
-    now = None
-    met: dict[tuple, int] = {}
-
-    def close() -> None:
-        if held:
-            cols = list(zip(*held))
-            arr = [np.array(cols[0], object), *(np.array(c, np.int64) for c in (cols[1], cols[2]))]
-            code = {c: k for k, c in enumerate(dict.fromkeys(cols[3] + cols[4]))}
-            of = lambda col: np.array([code[c] for c in col])
-            for a, b, s in zip(*of_list(*arr, of(cols[3]), of(cols[4]), np.array(cols[5], np.int64), np.array(cols[6], np.int64))):
-                met[a, b] = max(met.get((a, b), 0), s)
-        held.clear()
+def _answers(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """leader, set_id, x (the leader's size), cost (4 |A| + 3 |B|), differences (A, and B marked)."""
+    side = lambda k, v: sets.select(F.col("set_id").alias(k), F.transform("shingles", lambda s: s["shingle"]).alias(v))
+    both = families.join(side("set_id", "own"), "set_id").join(side("leader", "led"), "leader")
+    lacks, adds = F.array_except("led", "own"), F.array_except("own", "led")
+    parts = both.select("leader", "set_id", F.size("led").cast("long").alias("x"), lacks.alias("lacks"), adds.alias("adds"))
+    marked = F.concat("lacks", F.transform("adds", lambda t: t.bitwiseXOR(F.lit(_ADDED))))
+    return parts.select("leader", "set_id", "x", (4 * F.size("lacks") + 3 * F.size("adds")).cast("long").alias("cost"), marked.alias("differences"))
 
-    def out() -> pa.RecordBatch:
-        cols = [pa.array([k[0] for k in met], pa.binary()), pa.array([k[1] for k in met], pa.binary()), pa.array(list(met.values()), pa.int32())]
-        met.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["u", "v", "link"])
+
+def _joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of links between components a and b, the places of those that join what the links before have not."""
+    top: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := top.get(c, c)) != c:
+            top[c] = top.get(up, up)
+            c = up
+        return c
+
+    pair, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+    kept = []
+    for (p, q), i in zip(pair.tolist(), first.tolist()):
+        p, q = find(p), find(q)
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def _block_links(ids: np.ndarray, comp: np.ndarray, cost: np.ndarray, tokens: np.ndarray, at: np.ndarray, right: np.ndarray, x: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links between different components of the sets of a block (not ``right``) and another, or of one block alone.
+
+    ``at``: the borders of each set's differences in ``tokens``. A link needs a difference that both have.
+    """
+    own = np.repeat(np.arange(len(ids)), np.diff(at))
+    left_rows, right_rows = np.flatnonzero(~right), np.flatnonzero(right) if right.any() else np.arange(len(ids))
+    place_l, place_r = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    place_l[left_rows], place_r[right_rows] = np.arange(len(left_rows)), np.arange(len(right_rows))
+    _, name = np.unique(tokens, return_inverse=True)
+    on_right = right[own] if right.any() else np.ones(len(own), bool)
+    on_left = ~right[own]
+    both = np.isin(name, name[on_left]) & np.isin(name, name[on_right]) & (np.bincount(name)[name] > 1)
+    share = np.zeros((len(left_rows), len(right_rows)), np.float32)
+    used, small = np.unique(name[both], return_inverse=True)
+    own, on_left, on_right = own[both], on_left[both], on_right[both]
+    for k in range(0, len(used), 2048):  # tokens that both sides have, some at a time
+        here = (small >= k) & (small < k + 2048)
+        width = min(2048, len(used) - k)
+        p, q = np.zeros((len(left_rows), width), np.float32), np.zeros((len(right_rows), width), np.float32)
+        p[place_l[own[here & on_left]], small[here & on_left] - k] = 1
+        q[place_r[own[here & on_right]], small[here & on_right] - k] = 1
+        share += p @ q.T
+    need = cost[left_rows][:, None] + cost[right_rows][None] - x
+    link = (7 * share >= need) & (comp[left_rows][:, None] != comp[right_rows][None])
+    i, j = np.nonzero(link)
+    if len(i):
+        i, j = left_rows[i], right_rows[j]
+        for k in _joining(comp[i], comp[j]).tolist():
+            yield ids[i[k]], ids[j[k]]
+
+
+def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links u, v from rows sorted by (leader, i, j): a pair of blocks of a family at a time."""
+    held, now = [], None
+
+    def close() -> pa.RecordBatch | None:
+        ids, comp, cost, right, x, tokens = zip(*held)
+        code = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        found = list(_block_links(np.array(ids, object), np.array([code[c] for c in comp]), np.array(cost, np.int64), np.concatenate(tokens), at, np.array(right), x[0]))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["u", "v"]) if found else None
 
     for batch in batches:
-        for shingle, *rest in zip(*(batch.column(i).to_pylist() for i in range(8))):
-            if shingle != now:
-                close()
-                now = shingle
-                if len(met) > 100_000:
-                    yield out()
-            held.append(rest)
-    close()
-    if met:
-        yield out()
+        flat = batch.column(8)
+        at, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+        for k, (leader, i, j, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(8)))):
+            if (leader, i, j) != now and held and (out := close()) is not None:
+                yield out
+            now = (leader, i, j)
+            held.append((*row, values[at[k] : at[k + 1]].copy()))
+    if held and (out := close()) is not None:
+        yield out
 
 
 def links(docs: DataFrame, base: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """Components of distinct sets: set_id, comp (the least set_id of its component), for sets with a link to another set."""
-    spark = docs.sparkSession
     sizes = base.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
     texts = docs.select(shared.text_or_empty(docs, column).alias("text"))
     buckets = max(8, math.ceil(shared.total_bytes(texts) / BUCKET_BYTES))
     sets = _ordered_sets(_sets_of(docs, base, _remaining(texts, sizes, buckets), id_column, column), buckets)
-    shared.tune(spark, 20_000)
-    dealt = _entries(sets).repartition("shingle").sortWithinPartitions("shingle", F.col("rest").desc(), "set_id")
-    lists = shared.saved(dealt.mapInArrow(_lists, "shingle long, set_id binary, n long, rest long, leader binary, leader_n long, pair boolean"), "lists")
-    pairs = lists.filter("pair").select(F.col("set_id").alias("u"), F.col("leader").alias("v")).distinct()
-    answers = shared.saved(_overlaps(pairs, sets), "leader-overlaps")
-    found = answers.filter(_linked()).select("u", "v")
+    answers = shared.saved(_answers(_families(sets), sets), "answers")
+    found = answers.filter("cost <= x").select(F.col("set_id").alias("u"), F.col("leader").alias("v"))
     comps = components(found)
 
-    # Lists that hold more than one component.
+    # Families with sets outside their leader's component: those are compared with each other, and with those inside.
     of = lambda key, name: shared.sent(comps.select(F.col("set_id").alias(key), F.col("comp").alias(name)))
-    marked = lists.join(of("set_id", "comp"), "set_id", "left").join(of("leader", "leader_comp"), "leader", "left")
-    marked = marked.withColumn("comp", F.coalesce("comp", "set_id")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
-    several = shared.saved(marked.filter("comp <> leader_comp").select("shingle").distinct(), "mixed-lists")
-    told = answers.select(F.col("u").alias("set_id"), F.col("v").alias("leader"), "overlap")
-    mixed = marked.join(shared.sent(several), "shingle", "left_semi").join(shared.sent(told), ["set_id", "leader"], "left")
-    known = F.when(F.col("set_id") == F.col("leader"), F.col("n")).otherwise(F.coalesce("overlap", F.lit(-1)))
-    ready = mixed.select("shingle", "set_id", "n", "rest", "comp", "leader", known.cast("long").alias("known"), "leader_n")
-    cross = ready.repartition("shingle").sortWithinPartitions("shingle", F.col("rest").desc()).mapInArrow(_cross_pairs, "u binary, v binary, link int")
-    cross = shared.saved(cross.groupBy("u", "v").agg(F.max("link").alias("link")), "cross-pairs")
-    open_pairs = cross.filter("link = 0").select("u", "v").join(answers.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = cross.filter("link = 1").select("u", "v").unionByName(_overlaps(open_pairs, sets).filter(_linked()).select("u", "v"))
-    more = shared.saved(more, "later-links")
+    rows = answers.filter("set_id <> leader").join(of("set_id", "comp"), "set_id", "left").join(of("leader", "leader_comp"), "leader", "left")
+    rows = rows.withColumn("comp", F.coalesce("comp", "set_id")).withColumn("inside", F.col("comp") == F.coalesce("leader_comp", "leader"))
+    blocks = lambda inside: F.ceil(F.coalesce(F.sum(F.when(F.col("inside") == inside, F.size("differences") + 256)), F.lit(0)) / BLOCK_TOKENS)
+    sizes = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("many"), blocks(False).alias("outer"), blocks(True).alias("inner"))
+    mixed = shared.saved(sizes.filter("many > 1 and outer > 0").select("leader", "outer", "inner"), "mixed-families")
+    dealt = rows.join(shared.sent(mixed), "leader")
+    own, zero = F.xxhash64("set_id"), F.lit(0).cast("long")
+    dealt = dealt.withColumn("block", F.when(F.col("inside"), F.col("outer") + F.pmod(own, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(own, "outer")))
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    dealt = dealt.select("leader", "set_id", "comp", "cost", "x", "differences", "block", F.explode(F.sequence(zero, last)).alias("other"))
+    dealt = dealt.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "comp", "cost", (F.col("block") > F.col("other")).alias("right"), "x", "differences")
+    shared.tune(docs.sparkSession)
+    cross = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_cross_links, "u binary, v binary")
+    more = shared.saved(cross.distinct(), "later-links")
     return comps if more.isEmpty() else components(found.unionByName(more))
 
 

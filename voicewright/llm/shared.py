@@ -7,6 +7,7 @@ alone.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 CHUNK_BYTES = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -34,10 +35,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own_base: dict[str, str] = {}
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an intermediate table in the shared checkpoint folder of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for an intermediate table in the shared checkpoint folder of the cluster.
+
+    Where ``spark.checkpoint.dir`` isn't set, a local session gets a temporary folder of its own; a cluster has none.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base.get(spark.sparkContext.applicationId)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_base[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the intermediate tables written since a mark, but for the last ``keep``. Only for results that are written elsewhere."""
+    fs, done = spark.sparkContext._jvm.org.apache.hadoop.fs, len(_written) - keep
+    for path in _written[since:done]:
+        p = fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[since:done]
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
@@ -58,9 +85,32 @@ def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
     return schema
 
 
-def sent(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``rows`` rows; else joins with it shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes up to which a table is sent to all executors.
+SENT_BYTES = 24_000_000
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | StructType | ArrayType):
+            each = F.aggregate(column, F.lit(8).cast("long"), lambda acc, x: acc + _width(x, kind.elementType))
+            return F.coalesce(each, F.lit(8))
+        return F.coalesce(F.size(column), F.lit(0)) * 8 + 8
+    return F.lit(8)
+
+
+def table_bytes(df: DataFrame) -> int:
+    each = sum((_width(df[f.name], f.dataType) for f in df.schema.fields), F.lit(16))
+    return int(df.agg(F.sum(each.cast("long"))).first()[0] or 0)
+
+
+def sent(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values have no more than ``most`` bytes; else joins with it shuffle."""
+    return F.broadcast(df) if table_bytes(df) <= most else df
 
 
 def sampled(df: DataFrame, column: str, rows: int) -> list[str]:
@@ -78,6 +128,14 @@ def sampled(df: DataFrame, column: str, rows: int) -> list[str]:
         share *= 4
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

@@ -37,8 +37,6 @@ CORE = LENGTH - 4 * CUT - MARK
 BUCKET_BYTES = 8_000_000
 SHARD_SYMBOLS = 50_000
 GROUP_BYTES = 1_500_000
-#: Rows up to which a table of texts is sent to all executors instead of shuffling the texts.
-SENT_ROWS = 100_000
 _SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("r", "i4"), ("j", "i4"), ("own", "i4"), ("many", "i4")])
 _SELF = 1 << 16  # added to ``many``: the segment may repeat within itself
 
@@ -380,7 +378,7 @@ def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["key", "text_id", "j", "bytes"])
 
-    given = texts.join(shared.sent(need, SENT_ROWS), "text_id").mapInArrow(cut, "key long, text_id binary, j int, bytes binary")
+    given = texts.join(shared.sent(need), "text_id").mapInArrow(cut, "key long, text_id binary, j int, bytes binary")
     more = given.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, _FOUND)
     every = met.filter("kind = 0").unionByName(more).groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return shared.saved(every, "repeats")
@@ -417,7 +415,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(shared.sent(spans, SENT_ROWS), "text_id", "left").select("doc_id", "text", "spans")
+    joined = rows.join(shared.sent(spans), "text_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

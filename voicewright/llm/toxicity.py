@@ -259,20 +259,20 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     return fit([r.text for r in rows], np.array([r.label for r in rows], int))
 
 
-def score(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``toxic_score`` (0 to 1). Null texts count as empty; repeated rows are scored alike."""
+def score(docs: DataFrame, model: Model, column: str = "text", output: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` and ``output`` (0 to 1), which replaces a column of that name. Null texts count as empty; repeated rows are scored alike."""
     spark = docs.sparkSession
     shared.tune(spark)
     sent = spark.sparkContext.broadcast(model)
-    rest = docs.drop("toxic_score")
+    rest = docs.drop(output)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = shared.buffers(batch.column(column))
             out = [sent.value.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in shared.chunks(offsets, 1_000_000)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names, output])
 
-    return rest.mapInArrow(run, shared.schema_with(rest, ("toxic_score", "double")))
+    return rest.mapInArrow(run, shared.schema_with(rest, (output, "double")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
