@@ -72,20 +72,33 @@ def test_bpe_is_tiktokens(spark, docs, none):
     assert codec.decode([split[:4]])[0].decode(errors="ignore") == "" and codec.decode([split])[0].decode() == "😀"
 
 
-def test_token_counts(spark, docs, none):
+def test_token_counts(spark, docs, none, monkeypatch, tmp_path):
     tt = tiktoken_encoding()
-    old, token_counts.BLOCK_IDS = token_counts.BLOCK_IDS, 512
-    span, token_counts.SPAN = token_counts.SPAN, 3
-    try:
-        blocks, names, end = token_counts.write_flat(docs)
-        got = names.join(token_counts.scan(blocks, end), ["file", "ordinal"], "left").collect()
-    finally:
-        token_counts.BLOCK_IDS, token_counts.SPAN = old, span
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((r[0] is None, r[0] or 0, len(tt.encode_ordinary(r[1] or ""))) for r in odd_rows())
-    flat = spark.createDataFrame([(0, 0, np.array([1, 2, 9], np.uint16).tobytes()), (0, 1, np.array([3], np.uint16).tobytes()), (0, 2, np.array([9, 9, 4], np.uint16).tobytes()), (1, 0, b"")], "file int, block long, ids binary")
-    assert sorted(map(tuple, token_counts.scan(flat, 9).collect())) == [(0, 0, 2), (0, 1, 1), (0, 2, 0), (0, 3, 1)]
-    blocks, names, end = token_counts.write_flat(none)
-    assert token_counts.scan(blocks, end).count() == 0
+    monkeypatch.setattr(token_counts, "BLOCK_IDS", 512)
+    monkeypatch.setattr(token_counts, "RANGE_BLOCKS", 2)
+    monkeypatch.setattr(token_counts, "SPAN", 3)
+    files, names, end = token_counts.write_flat(docs, str(tmp_path / "flat"))
+    want = sorted((r[0] is None, r[0] or 0, len(tt.encode_ordinary(r[1] or ""))) for r in odd_rows())
+    count = lambda files: names.join(token_counts.scan(token_counts.read_flat(files), end), ["file", "ordinal"], "left").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in count(files)) == want
+    listed = token_counts.flat_files(spark, str(tmp_path / "flat"))
+    assert listed.count() == files.count() and {r.bytes for r in listed.collect()} == {r.bytes for r in files.collect()}
+    for kind, width in ((np.uint16, 2), (np.uint32, 4)):
+        flat = spark.createDataFrame([(f, k, None if x is None else np.array(x, kind).tobytes(), width) for f, k, x in ((0, 0, [1, 2, 9]), (0, 1, [3]), (0, 2, [9, 9, 4]), (1, 0, []), (2, 0, None))], "file int, block long, ids binary, width int")
+        assert sorted(map(tuple, token_counts.scan(flat, 9).collect())) == [(0, 0, 2), (0, 1, 1), (0, 2, 0), (0, 3, 1)]
+    # Files of both widths, longer than a range and ending within a document, against one pass over all ids.
+    rng = np.random.default_rng(3)
+    for name, kind in (("a.u16", np.uint16), ("b.u32", np.uint32), ("c.u16", np.uint16)):
+        ids = rng.integers(0, 40, 0 if name[0] == "c" else 5000).astype(kind)
+        ids.tofile(tmp_path / name)
+        (tmp_path / "other.bin").write_bytes(b"x")
+        ends = np.flatnonzero(ids == 7)
+        runs = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+        runs = runs if len(ids) and ids[-1] != 7 else runs[:-1]
+        got = token_counts.scan(token_counts.read_flat(token_counts.flat_files(spark, str(tmp_path / name))), 7).orderBy("ordinal").collect()
+        assert [r.n_tokens for r in got] == runs.tolist()
+    files, names, end = token_counts.write_flat(none)
+    assert files.count() == 0 and token_counts.scan(token_counts.read_flat(files), end).count() == 0
 
 
 def shingles(t):
@@ -237,6 +250,45 @@ def test_pii_labels_reach_far_tokens():
         assert np.allclose(p[k], row, atol=1e-3), k
 
 
+def test_pii_marginals_are_exact_on_trees():
+    """Message passing gives the marginals that summing over all labellings gives, of nodes and of edges, for both sorts of edges."""
+    rng = np.random.default_rng(4)
+    kinds = len(pii.KINDS) + 1
+    for _ in range(6):
+        n = 5
+        edges = np.array([(rng.integers(0, j), j) for j in range(1, n)])
+        own, table = rng.normal(size=(n, kinds)), rng.normal(size=(n - 1, kinds, kinds))
+        node, pair = np.zeros((n, kinds)), np.zeros((n - 1, kinds, kinds))
+        for labels in itertools.product(range(kinds), repeat=n):
+            w = np.exp(sum(own[i, k] for i, k in enumerate(labels)) + sum(table[e, labels[a], labels[b]] for e, (a, b) in enumerate(edges)))
+            node[np.arange(n), labels] += w
+            for e, (a, b) in enumerate(edges):
+                pair[e, labels[a], labels[b]] += w
+        p, q = pii.pass_messages(own, edges, table)
+        assert np.allclose(p, node / node.sum(1, keepdims=True), atol=1e-4) and np.allclose(q, pair / pair.sum((1, 2), keepdims=True), atol=1e-4)
+
+
+def test_pii_fit_raises_the_likelihood(spark):
+    """Fitted potentials make the held labels likelier than flat ones, and hidden repeats of held-out texts get their label back."""
+    texts = [r.text for r in shared.read(spark, "/root/testdata/sf0.01", "documents").filter("text rlike '[0-9@]'").orderBy("doc_id").select("text").collect()]
+    half = len(texts) // 2
+    field = pii.fit(texts[:half])
+    right = total = 0
+    told, flat = [], np.log(1 / (len(pii.KINDS) + 1))
+    for t in texts[half:]:
+        g = pii.graph(t, pii.base_spans(t))
+        free = field.marginals(pii.Graph(g.spans, g.shapes, np.zeros_like(g.labels), g.chain, g.skip)) if len(g.spans) else None
+        told += [float(np.log(free[i, g.labels[i]])) for i in np.flatnonzero(g.labels)]
+        for i in np.unique(g.skip):
+            if g.labels[i] and len(set(g.labels[j] for e in g.skip if i in e for j in e)) == 1:
+                hidden = g.labels.copy()
+                hidden[i] = 0
+                p = field.marginals(pii.Graph(g.spans, g.shapes, hidden, g.chain, g.skip))[i]
+                total += 1
+                right += int(p.argmax() == g.labels[i])
+    assert np.mean(told) > flat + 1 and total >= 8 and right / total > 0.95, (np.mean(told), total, right)
+
+
 def test_lz(spark, docs, none):
     texts = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     got = lz.compare_edited(docs).collect()

@@ -8,8 +8,10 @@ passes carry their labels over the edges until no message changes. A text withou
 observed and gets no span. A token outside all base spans becomes a span where its
 marginal is at least ``THRESHOLD`` and it has a skip edge. Base spans are never taken away.
 
-The potentials are fitted on the base labels of at most ``SAMPLE_ROWS`` distinct texts with a digit or
-an at sign, chosen by hash.
+The potentials are fitted by the likelihood of the base labels of at most ``SAMPLE_ROWS`` distinct texts with a digit or
+an at sign, chosen by hash. A token that is linked, over skip edges, with one in a base span has no label of its own there:
+it's hidden, and summed out. The gradient is the difference of the expectations with the labels held and without, both
+from the same message passing.
 """
 
 from __future__ import annotations
@@ -127,6 +129,44 @@ def graph(text: str, base: dict[str, list[tuple[int, int]]]) -> Graph:
     return Graph(spans, np.array([_shape(t) for t in tokens], float).reshape(len(tokens), -1), labels, pair(near), pair(skip))
 
 
+#: Bounds of a node's own potential, so that no shape alone outweighs every neighbour.
+OWN_BOUND = 4.0
+EPOCHS, FIT_PASSES = 40, 12
+
+
+def pass_messages(own: np.ndarray, edges: np.ndarray, table: np.ndarray, passes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of nodes (nodes x labels) and edges (edges x labels x labels) by damped loopy sum-product.
+
+    ``own``: log-potentials of nodes, ``table`` of edges. Passes go on until no message changes, or for ``passes``.
+    """
+    n, m = len(edges), edges.T
+    src, dst = np.concatenate([m[0], m[1]]), np.concatenate([m[1], m[0]])
+    back = np.concatenate([np.arange(n) + n, np.arange(n)])
+    both = np.exp(np.concatenate([table, table.transpose(0, 2, 1)]))
+    message = np.zeros((2 * n, own.shape[1]))
+
+    def beliefs() -> np.ndarray:
+        out = own.copy()
+        np.add.at(out, dst, message)
+        return out
+
+    # Damping halves what a pass leaves; a label needs a pass for each edge on its way.
+    for _ in range(passes or 64 + 2 * n):
+        out = beliefs()[src] - message[back]
+        out = np.exp(out - out.max(1, keepdims=True))
+        new = np.log(np.einsum("ei,eij->ej", out, both) + 1e-12)
+        step = 0.5 * (new - new.max(1, keepdims=True) - message)
+        message += step
+        if n == 0 or np.abs(step).max() < REST:
+            break
+    belief = beliefs()
+    p = np.exp(belief - belief.max(1, keepdims=True))
+    left, right = belief[m[0]] - message[n:], belief[m[1]] - message[:n]
+    pair = left[:, :, None] + right[:, None, :] + table
+    pair = np.exp(pair - pair.max((1, 2), keepdims=True))
+    return p / p.sum(1, keepdims=True), pair / pair.sum((1, 2), keepdims=True)
+
+
 @dataclass
 class Field:
     """Potentials: of a node (features x labels), and log-potentials of both sorts of edges (labels x labels)."""
@@ -135,64 +175,60 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, g: Graph) -> np.ndarray:
-        own = np.clip(g.shapes @ self.node, -4, 4)
-        seen = g.labels > 0
+    def own(self, shapes: np.ndarray, labels: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Log-potentials of nodes; those of ``seen`` nodes hold their label."""
+        own = np.clip(shapes @ self.node, -OWN_BOUND, OWN_BOUND)
         own[seen] = -30.0
-        own[seen, g.labels[seen]] = 0.0
-        own = own - own.max(1, keepdims=True)
-        edges = np.concatenate([g.chain, g.skip])
-        if not len(edges):
-            p = np.exp(own)
-            return p / p.sum(1, keepdims=True)
-        table = np.concatenate([np.repeat(np.exp(self.chain)[None], len(g.chain), 0), np.repeat(np.exp(self.skip)[None], len(g.skip), 0)])
-        src = np.concatenate([edges[:, 0], edges[:, 1]])
-        dst = np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(src), _N))
-        # Damping halves what a pass leaves; a label needs a pass for each edge on its way.
-        for _ in range(64 + len(src)):
-            belief = own.copy()
-            np.add.at(belief, dst, message)
-            out = belief[src] - message[back]
-            out = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", out, table) + 1e-12)
-            step = 0.5 * (new - new.max(1, keepdims=True) - message)
-            message += step
-            if np.abs(step).max() < REST:
-                break
-        belief = own.copy()
-        np.add.at(belief, dst, message)
-        p = np.exp(belief - belief.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        own[seen, labels[seen]] = 0.0
+        return own
+
+    def tables(self, chain: int, skip: int) -> np.ndarray:
+        return np.concatenate([np.repeat(self.chain[None], chain, 0), np.repeat(self.skip[None], skip, 0)])
+
+    def marginals(self, g: Graph) -> np.ndarray:
+        own = self.own(g.shapes, g.labels, g.labels > 0)
+        return pass_messages(own, np.concatenate([g.chain, g.skip]), self.tables(len(g.chain), len(g.skip)))[0]
+
+
+def hidden_nodes(labels: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Unlabelled nodes that skip edges link, over any number of them, with a labelled one."""
+    near = labels > 0
+    while True:
+        now = near.copy()
+        now[skip[near[skip[:, 0]], 1]] = True
+        now[skip[near[skip[:, 1]], 0]] = True
+        if (now == near).all():
+            return near & (labels == 0)
+        near = now
 
 
 def fit(texts: list[str]) -> Field:
-    """Fit on the base labels of ``texts``; without any, potentials that say nothing but agreement of equal tokens."""
+    """Likelihood fit on the base labels of ``texts``; without any, potentials that say nothing but agreement of equal tokens."""
     graphs = [g for t in texts if len((g := graph(t, base_spans(t))).spans)]
     width = len(_shape("0"))
-    chain, skip = np.ones((_N, _N)), np.ones((_N, _N)) + np.eye(_N) * 4
-    x, y = [np.zeros((0, width))], [np.zeros(0, np.int64)]
-    for g in graphs:
-        x.append(g.shapes)
-        y.append(g.labels)
-        np.add.at(chain, (g.labels[g.chain[:, 0]], g.labels[g.chain[:, 1]]), 1)
-        np.add.at(skip, (g.labels[g.skip[:, 0]], g.labels[g.skip[:, 1]]), 1)
-    x, y = np.concatenate(x), np.concatenate(y)
-    node = np.zeros((width, _N))
-    if len(y):
-        hot = np.eye(_N)[y]
-        for _ in range(200):
-            z = x @ node
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            node -= 0.8 * (x.T @ (p - hot) / len(y) + 0.01 * node)
-    lift = lambda c: np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True)))
-    agree = lift((skip + skip.T) / 2)
-    agree[np.diag_indices(_N)] = np.maximum(np.diag(agree), 2.0)
-    agree[0, 0] = min(agree[0, 0], 1.0)
-    return Field(node, np.clip(lift(chain), -2, 2), np.clip(agree, -3, 4))
+    field = Field(np.zeros((width, _N)), np.zeros((_N, _N)), np.eye(_N))
+    if not graphs:
+        return Field(field.node, field.chain, 2.0 * np.eye(_N))
+    at = np.cumsum([0, *(len(g.spans) for g in graphs)])
+    x, y = np.concatenate([g.shapes for g in graphs]), np.concatenate([g.labels for g in graphs])
+    chain, skip = (np.concatenate([getattr(g, k) + a for g, a in zip(graphs, at)]) for k in ("chain", "skip"))
+    edges, seen = np.concatenate([chain, skip]), ~hidden_nodes(y, skip)
+    free = np.zeros(len(y), bool)
+    parts = {"node": field.node, "chain": field.chain, "skip": field.skip}
+    scale = {"node": max(1, len(y)), "chain": max(1, len(chain)), "skip": max(1, len(skip))}
+    first, second = {k: np.zeros_like(v) for k, v in parts.items()}, {k: np.zeros_like(v) for k, v in parts.items()}
+    for step in range(1, EPOCHS + 1):
+        tables = field.tables(len(chain), len(skip))
+        held, held_pairs = pass_messages(field.own(x, y, seen), edges, tables, FIT_PASSES)
+        loose, loose_pairs = pass_messages(field.own(x, y, free), edges, tables, FIT_PASSES)
+        more = (held_pairs - loose_pairs)[len(chain) :].sum(0)
+        up = {"node": x.T @ (held - loose), "chain": (held_pairs - loose_pairs)[: len(chain)].sum(0), "skip": (more + more.T) / 2}
+        for k, v in parts.items():
+            g = up[k] / scale[k] - 2e-4 * v
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            v += 0.25 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    return field
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], field: Field) -> dict[str, list[tuple[int, int]]]:
