@@ -15,6 +15,9 @@ never cross documents.
 3. Within the segments of repeated intervals, equal ``LENGTH``-byte strings are told by their hashes, which
    settles the ends to the byte.
 
+A key with more than ``HOT`` distinct segments (a passage that many texts hold) would put them all into one task.
+Its strings meet by their hashes alone, dealt over as many tasks as the key needs.
+
 ``CORE``: of a repeated string, phrase borders from ``2 * CUT - 1`` bytes behind its start to ``2 * CUT + MARK``
 bytes before its end are the same in both places, so the suffix at the first such border shares that much.
 """
@@ -37,6 +40,8 @@ CORE = LENGTH - 4 * CUT - MARK
 BUCKET_BYTES = 8_000_000
 SHARD_SYMBOLS = 50_000
 GROUP_BYTES = 1_500_000
+#: Distinct segments of one key beyond which its strings are dealt over tasks by their hashes.
+HOT = 256
 _SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("r", "i4"), ("j", "i4"), ("own", "i4"), ("many", "i4")])
 _SELF = 1 << 16  # added to ``many``: the segment may repeat within itself
 
@@ -153,47 +158,57 @@ def _bucketed(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, segments binary, ids binary")
 
 
-_FOUND = "kind int, text_id binary, a int, b int, key long"
+_FOUND = "kind int, text_id binary, a int, b int, key long, many int"
 
 
-def _found(kind: int, raw: bytes, own: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _found(kind: int, raw: bytes, own: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray, many: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    many = np.zeros(len(own), np.int32) if many is None else many
     for k in range(0, len(own), 50_000):
         x = slice(k, k + 50_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(own[x]), kind, np.int32)), pa.array([raw[i * 16 : i * 16 + 16] for i in own[x].tolist()], pa.binary()), pa.array(a[x].astype(np.int32)), pa.array(b[x].astype(np.int32)), pa.array(key[x].view(np.int64))],
-            names=["kind", "text_id", "a", "b", "key"],
+            [pa.array(np.full(len(own[x]), kind, np.int32)), pa.array([raw[i * 16 : i * 16 + 16] for i in own[x].tolist()], pa.binary()), pa.array(a[x].astype(np.int32)), pa.array(b[x].astype(np.int32)), pa.array(key[x].view(np.int64)), pa.array(many[x].astype(np.int32))],
+            names=["kind", "text_id", "a", "b", "key", "many"],
         )
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: bytes a to b of a text repeat. Kind 1: the text of the segment at a, with b starts, is needed."""
-    held, tables, base = [], [], 0
+    """From blocks sorted by bucket, one bucket at a time. Kind 0: bytes a to b of a text repeat. Kind 1: the text of the segment at a, with b starts, is needed; ``many`` distinct segments have its key."""
+
+    def of_bucket(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts, base = [], 0
+        for raw, ids in held:
+            part = np.frombuffer(raw, _SEGMENT).copy()
+            part["own"] += base
+            base += len(ids) // 16
+            parts.append(part)
+        s, raw = np.concatenate(parts), b"".join(ids for _, ids in held)
+        s = s[np.lexsort((s["r"], s["hash"], s["key"]))]
+        new_key = np.concatenate([[True], s["key"][1:] != s["key"][:-1]])
+        new = new_key | np.concatenate([[True], (s["hash"][1:] != s["hash"][:-1]) | (s["r"][1:] != s["r"][:-1])])
+        first = np.flatnonzero(new)
+        runs = np.diff(np.append(first, len(s)))
+        group = np.cumsum(new_key)[first] - 1  # key group of each distinct segment
+        kinds = np.bincount(group)
+        again = (np.repeat(runs, runs) > 1) | (s["many"] % _SELF > 1)
+        yield from _found(0, raw, s["own"][again].astype(np.int64), s["j"][again], s["j"][again] + s["r"][again] - 1 + LENGTH, s["key"][again])
+        some = (kinds[group] > 1) | (s["many"][first] >= _SELF)
+        need = s[first][some]
+        yield from _found(1, raw, need["own"].astype(np.int64), need["j"], need["r"], need["key"], kinds[group][some])
+
+    held, now = [], None
     for batch in batches:
         for bucket, raw, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            s = np.frombuffer(raw, _SEGMENT)
             if bucket < 0:
+                s = np.frombuffer(raw, _SEGMENT)
                 yield from _found(0, ids, s["own"].astype(np.int64), s["j"], s["j"] + s["r"], s["key"].copy())
                 continue
-            s = s.copy()
-            s["own"] += base
-            base += len(ids) // 16
-            held.append(s)
-            tables.append(ids)
-    if not held:
-        return
-    s, raw = np.concatenate(held), b"".join(tables)
-    held.clear()
-    s = s[np.lexsort((s["r"], s["hash"], s["key"]))]
-    new_key = np.concatenate([[True], s["key"][1:] != s["key"][:-1]])
-    new = new_key | np.concatenate([[True], (s["hash"][1:] != s["hash"][:-1]) | (s["r"][1:] != s["r"][:-1])])
-    first = np.flatnonzero(new)
-    runs = np.diff(np.append(first, len(s)))
-    group = np.cumsum(new_key)[first] - 1  # key group of each distinct segment
-    kinds = np.bincount(group)
-    again = (np.repeat(runs, runs) > 1) | (s["many"] % _SELF > 1)
-    yield from _found(0, raw, s["own"][again].astype(np.int64), s["j"][again], s["j"][again] + s["r"][again] - 1 + LENGTH, s["key"][again])
-    need = s[first][(kinds[group] > 1) | (s["many"][first] >= _SELF)]
-    yield from _found(1, raw, need["own"].astype(np.int64), need["j"], need["r"], need["key"])
+            if bucket != now and held:
+                yield from of_bucket(held)
+                held = []
+            now = bucket
+            held.append((raw, ids))
+    if held:
+        yield from of_bucket(held)
 
 
 # --- transforms ---------------------------------------------------------------------------------
@@ -309,19 +324,33 @@ def repeated_segments(data: np.ndarray, offsets: np.ndarray, shard_symbols: int
     return np.unique(owner[suffix[both]])
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the needed segments, sorted by key: bytes a to b of a text that repeat. Keys are taken together up to ``GROUP_BYTES``."""
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes a to b of a text that repeat, from rows sorted by (key, part).
+
+    Needed segments (part -1) are taken together up to ``GROUP_BYTES``, by whole keys; the string hashes of a hot key's part are held
+    until the next part.
+    """
     ids, start, texts, size, last = [], [], [], 0, None
+    hot, now = [], None
     for batch in batches:
-        for key, tid, j, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for key, part, tid, places, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if hot and (key, part) != now:
+                yield from _hot_repeats(hot)
+                hot = []
+            if part >= 0:
+                now = (key, part)
+                hot.append((tid, places, body))
+                continue
             if size >= GROUP_BYTES and key != last:
                 yield from _repeats_of(ids, start, texts)
                 ids, start, texts, size = [], [], [], 0
             last = key
             ids.append(tid)
-            start.append(j)
-            texts.append(text)
-            size += len(text)
+            start.append(int(np.frombuffer(places, np.int32)[0]))
+            texts.append(body)
+            size += len(body)
+    if hot:
+        yield from _hot_repeats(hot)
     if texts:
         yield from _repeats_of(ids, start, texts)
 
@@ -336,19 +365,49 @@ def _repeats_of(ids: list[bytes], start: list[int], texts: list[bytes]) -> Itera
     if not len(at):
         return
     h = shared.span_hash(shared.prefix_hash(data), at, at + LENGTH)
+    same = _met(h)
+    seg, at = seg[same], at[same]
+    if len(at):
+        yield _spans([ids[i] for i in seg.tolist()], seg, at, np.array(start)[seg] - offsets[seg])
+
+
+def _met(h: np.ndarray) -> np.ndarray:
+    """Whether a hash is there more than once."""
     order = np.argsort(h, kind="stable")
-    same = np.zeros(len(h), bool)
-    equal = h[order][1:] == h[order][:-1]
+    same, equal = np.zeros(len(h), bool), h[order][1:] == h[order][:-1]
     same[order[1:][equal]] = True
     same[order[:-1][equal]] = True
-    seg, at = seg[same], at[same]
-    if not len(at):
-        return
-    first = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)]))
+    return same
+
+
+def _spans(ids: list[bytes], owner: np.ndarray, at: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+    """Rows of kind 0 for strings that start at ``at`` (plus ``base``), in order of owner and place; neighbouring starts are one row."""
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.append(first[1:], len(at)) - 1
-    base = np.array(start)[seg[first]] - offsets[seg[first]]
-    a, b = at[first] + base, at[last] + base + LENGTH
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array([ids[i] for i in seg[first].tolist()], pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.zeros(len(a), np.int64))], names=["kind", "text_id", "a", "b", "key"])
+    a, b = at[first] + base[first], at[last] + base[last] + LENGTH
+    zero = np.zeros(len(a), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(zero), pa.array([ids[i] for i in first.tolist()], pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.zeros(len(a), np.int64)), pa.array(zero)], names=["kind", "text_id", "a", "b", "key", "many"])
+
+
+def _hot_rows(key: int, tid: bytes, start: int, raw: bytes, many: int) -> list[tuple]:
+    """Hashes of a segment's strings, dealt over as many parts as its key needs: key, part, text, places, hashes."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.arange(len(data) - LENGTH + 1)
+    h = shared.span_hash(shared.prefix_hash(data), at, at + LENGTH)
+    part = (h % np.uint64(-(-many // HOT))).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
+    return [(key, int(part[x[0]]), tid, (at[x] + start).astype(np.int32).tobytes(), h[x].tobytes()) for x in np.split(order, cut[1:])]
+
+
+def _hot_repeats(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The same from the strings' hashes of one part of a hot key: text, places, hashes."""
+    at = [np.frombuffer(a, np.int32).astype(np.int64) for _, a, _ in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(a) for a in at])
+    at, same = np.concatenate(at), _met(np.concatenate([np.frombuffer(h, np.uint64) for _, _, h in rows]))
+    owner, at = owner[same], at[same]
+    if len(at):
+        yield _spans([rows[i][0] for i in owner.tolist()], owner, at, np.zeros(len(at), np.int64))
 
 
 def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -357,12 +416,14 @@ def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
     shared.tune(spark)
     texts = docs.select(F.unhex(F.md5(shared.text_or_empty(docs, column).cast("binary"))).alias("text_id"), shared.text_or_empty(docs, column).alias("text")).filter(F.octet_length("text") >= LENGTH)
     buckets = max(8, math.ceil(shared.total_bytes(docs, column) / BUCKET_BYTES))
-    blocks = _bucketed(texts, buckets).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2)))
+    blocks = _bucketed(texts, buckets).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2))).sortWithinPartitions("bucket")
     met = shared.saved(blocks.mapInArrow(_meet, _FOUND), "segments")
-    need = met.filter("kind = 1").groupBy("text_id").agg(F.collect_list(F.struct("a", "b", "key")).alias("parts"))
+    need = met.filter("kind = 1").groupBy("text_id").agg(F.collect_list(F.struct("a", "b", "key", "many")).alias("parts"))
     need = shared.saved(need, "needed-segments")
+    dealt_schema = "key long, part int, text_id binary, places binary, body binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of the needed segments (part -1, place of the first byte), and string hashes of those of hot keys."""
         met: set[bytes] = set()
         for batch in batches:
             rows = []
@@ -371,15 +432,18 @@ def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
                     continue
                 met.add(tid)
                 raw = text.encode()
-                rows += [(p["key"], tid, p["a"], raw[p["a"] : p["a"] + p["b"] - 1 + LENGTH]) for p in parts]
+                for p in parts:
+                    body = raw[p["a"] : p["a"] + p["b"] - 1 + LENGTH]
+                    rows += _hot_rows(p["key"], tid, p["a"], body, p["many"]) if p["many"] > HOT else [(p["key"], -1, tid, np.int32(p["a"]).tobytes(), body)]
             if len(met) > 1_000_000:
                 met.clear()
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["key", "text_id", "j", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["key", "part", "text_id", "places", "body"])
+
+    given = texts.join(shared.sent(need), "text_id").mapInArrow(cut, dealt_schema).repartition("key", "part").sortWithinPartitions("key", "part")
 
-    given = texts.join(shared.sent(need), "text_id").mapInArrow(cut, "key long, text_id binary, j int, bytes binary")
-    more = given.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, _FOUND)
+    more = given.mapInArrow(_settled, _FOUND)
     every = met.filter("kind = 0").unionByName(more).groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return shared.saved(every, "repeats")
 
