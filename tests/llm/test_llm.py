@@ -522,6 +522,23 @@ def test_suffix_dedup_of_overlapping_copies(spark):
     assert dedup(df) == sorted(removed([t.encode() for t in texts]))
 
 
+def test_suffix_dedup_of_hot_keys(spark, monkeypatch):
+    """Passages that many texts hold, cut at different places, by the hashes of their strings over several parts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "PART_HASHES", 700)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefg h") for _ in range(n))
+    passage, other = say(900), say(500)
+    texts = [say(rng.randint(0, 300)) + passage[rng.choice([0, 0, 100]) : rng.choice([450, 700, 900])] + say(rng.randint(0, 300)) for _ in range(60)]
+    texts += [say(50) + other + say(60) for _ in range(30)] + [say(700) for _ in range(10)] + texts[:3] + [passage + say(9) + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = []
+    real = shared.saved
+    monkeypatch.setattr(shared, "saved", lambda df, name, *a, **k: (seen.append((name, df)), real(df, name, *a, **k))[1])
+    assert dedup(df) == sorted(removed([t.encode() for t in texts]))
+    assert next(d for n, d in seen if n == "segments").filter("kind = 1 and many > 3").count() > 20
+
+
 def test_merged_transforms_equal_one_sort():
     """Merging shards gives the suffix order and common prefixes that sorting all suffixes at once gives."""
     rng = np.random.default_rng(8)

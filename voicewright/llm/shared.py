@@ -113,6 +113,22 @@ def sent(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= most else df
 
 
+#: Bits of a table of digests, and its 64-bit words: what ``maybe_among`` sends is bounded, whatever the tables' size.
+TABLE_BITS = 24
+
+
+def maybe_among(rows: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: false only where the binary ``column`` isn't among the ids (one column); so only true rows need a join.
+
+    The ids' leading bits are kept as a table of at most 2 ** (``TABLE_BITS`` - 6) rows, put together by partial aggregates.
+    """
+    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - TABLE_BITS)
+    of_word = F.expr("shiftleft(1L, cast(b % 64 as int))")
+    words = ids.select(bit(ids.columns[0]).alias("b")).groupBy(F.shiftright("b", 6).alias("_word")).agg(F.bit_or(of_word).alias("_bits"))
+    marked = rows.withColumn("_b", bit(column)).join(F.broadcast(saved(words, "digest-bits")), F.shiftright("_b", 6) == F.col("_word"), "left")
+    return marked.withColumn(name, F.coalesce(F.expr("shiftright(_bits, cast(_b % 64 as int)) & 1") == 1, F.lit(False))).drop("_b", "_word", "_bits")
+
+
 def sampled(df: DataFrame, column: str, rows: int) -> list[str]:
     """The ``rows`` distinct values of ``column`` with the least hashes, for a fit; all, if there are no more.
 

@@ -16,7 +16,7 @@ never cross documents.
    settles the ends to the byte.
 
 A key with more than ``HOT`` distinct segments (a passage that many texts hold) would put them all into one task.
-Its strings meet by their hashes alone, dealt over as many tasks as the key needs.
+Its strings meet by their hashes alone: counted within each batch of texts, sent once, and dealt over tasks.
 
 ``CORE``: of a repeated string, phrase borders from ``2 * CUT - 1`` bytes behind its start to ``2 * CUT + MARK``
 bytes before its end are the same in both places, so the suffix at the first such border shares that much.
@@ -40,8 +40,9 @@ CORE = LENGTH - 4 * CUT - MARK
 BUCKET_BYTES = 8_000_000
 SHARD_SYMBOLS = 50_000
 GROUP_BYTES = 1_500_000
-#: Distinct segments of one key beyond which its strings are dealt over tasks by their hashes.
+#: Distinct segments of one key beyond which its strings meet by their hashes alone, and hashes that one task takes of these.
 HOT = 256
+PART_HASHES = 500_000
 _SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("r", "i4"), ("j", "i4"), ("own", "i4"), ("many", "i4")])
 _SELF = 1 << 16  # added to ``many``: the segment may repeat within itself
 
@@ -325,20 +326,23 @@ def repeated_segments(data: np.ndarray, offsets: np.ndarray, shard_symbols: int
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes a to b of a text that repeat, from rows sorted by (key, part).
+    """text_id and packed spans that repeat, from rows sorted by (key, part).
 
-    Needed segments (part -1) are taken together up to ``GROUP_BYTES``, by whole keys; the string hashes of a hot key's part are held
-    until the next part.
+    Part -2: known already. Part -1: needed segments, taken together up to ``GROUP_BYTES``, by whole keys. Others: string
+    hashes of hot keys, of which one part is held at a time.
     """
     ids, start, texts, size, last = [], [], [], 0, None
     hot, now = [], None
     for batch in batches:
         for key, part, tid, places, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if hot and (key, part) != now:
+            if hot and part != now:
                 yield from _hot_repeats(hot)
                 hot = []
+            if part == -2:
+                yield pa.RecordBatch.from_arrays([pa.array([tid], pa.binary()), pa.array([np.frombuffer(body, np.int64)], pa.list_(pa.int64()))], names=["text_id", "spans"])
+                continue
             if part >= 0:
-                now = (key, part)
+                now = part
                 hot.append((tid, places, body))
                 continue
             if size >= GROUP_BYTES and key != last:
@@ -368,7 +372,7 @@ def _repeats_of(ids: list[bytes], start: list[int], texts: list[bytes]) -> Itera
     same = _met(h)
     seg, at = seg[same], at[same]
     if len(at):
-        yield _spans([ids[i] for i in seg.tolist()], seg, at, np.array(start)[seg] - offsets[seg])
+        yield _spans(ids, seg, at, np.array(start) - offsets[:-1])
 
 
 def _met(h: np.ndarray) -> np.ndarray:
@@ -380,71 +384,115 @@ def _met(h: np.ndarray) -> np.ndarray:
     return same
 
 
-def _spans(ids: list[bytes], owner: np.ndarray, at: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
-    """Rows of kind 0 for strings that start at ``at`` (plus ``base``), in order of owner and place; neighbouring starts are one row."""
+def _packed(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners, and spans (start and end in one number) of strings that start at ``at``, in order of owner and place; neighbouring starts are one span."""
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.append(first[1:], len(at)) - 1
-    a, b = at[first] + base[first], at[last] + base[last] + LENGTH
-    zero = np.zeros(len(a), np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(zero), pa.array([ids[i] for i in first.tolist()], pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.zeros(len(a), np.int64)), pa.array(zero)], names=["kind", "text_id", "a", "b", "key", "many"])
+    return owner[first], at[first] << 32 | (at[last] + LENGTH)
 
 
-def _hot_rows(key: int, tid: bytes, start: int, raw: bytes, many: int) -> list[tuple]:
-    """Hashes of a segment's strings, dealt over as many parts as its key needs: key, part, text, places, hashes."""
-    data = np.frombuffer(raw, np.uint8)
-    at = np.arange(len(data) - LENGTH + 1)
-    h = shared.span_hash(shared.prefix_hash(data), at, at + LENGTH)
-    part = (h % np.uint64(-(-many // HOT))).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
-    return [(key, int(part[x[0]]), tid, (at[x] + start).astype(np.int32).tobytes(), h[x].tobytes()) for x in np.split(order, cut[1:])]
+def _spans(ids: list[bytes], owner: np.ndarray, at: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+    """A row per owner: its id, and its packed spans. ``base`` is added to an owner's places."""
+    owner, spans = _packed(owner, at + base[owner])
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in owner[first].tolist()], pa.binary()), shared.list_array(spans, np.append(first, len(spans)), pa.int64())], names=["text_id", "spans"])
+
+
+def _hot_rows(segs: list[tuple[bytes, int, bytes]], parts: int) -> list[tuple]:
+    """Of the hot keys' segments (text, first place, bytes) of a batch: what repeats among them (part -2), and each distinct string's hash once, dealt over parts.
+
+    Rows: key, part, texts (ids, one after another), places (text, place and count of each hash), hashes.
+    """
+    if not segs:
+        return []
+    h, at, own = [], [], []
+    for i, (_, start, raw) in enumerate(segs):
+        data = np.frombuffer(raw, np.uint8)
+        place = np.arange(len(data) - LENGTH + 1)
+        h.append(shared.span_hash(shared.prefix_hash(data), place, place + LENGTH))
+        at.append(place + start)
+        own.append(np.full(len(place), i))
+    h, at, own = np.concatenate(h), np.concatenate(at), np.concatenate(own)
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    many = np.diff(np.append(first, len(h)))
+    again = np.zeros(len(h), bool)
+    again[order] = np.repeat(many > 1, many)
+    rows = []
+    if again.any():
+        owner, spans = _packed(own[again], at[again])
+        cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        for i, x in zip(owner[cut].tolist(), np.split(spans, cut[1:])):
+            rows.append((int.from_bytes(segs[i][0][:7], "big"), -2, segs[i][0], b"", x.tobytes()))
+    one = order[first]
+    part = (h[one] % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    for x in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+        used, local = np.unique(own[one[x]], return_inverse=True)
+        places = np.stack([local, at[one[x]], np.minimum(many[x], 2)], 1).astype(np.int32)
+        rows.append((0, int(part[x[0]]), b"".join(segs[i][0] for i in used.tolist()), places.tobytes(), h[one[x]].tobytes()))
+    return rows
 
 
 def _hot_repeats(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """The same from the strings' hashes of one part of a hot key: text, places, hashes."""
-    at = [np.frombuffer(a, np.int32).astype(np.int64) for _, a, _ in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(a) for a in at])
-    at, same = np.concatenate(at), _met(np.concatenate([np.frombuffer(h, np.uint64) for _, _, h in rows]))
-    owner, at = owner[same], at[same]
-    if len(at):
-        yield _spans([rows[i][0] for i in owner.tolist()], owner, at, np.zeros(len(at), np.int64))
+    """What repeats among the hashes of one part."""
+    ids, place, base = [], [], 0
+    for texts, places, _ in rows:
+        one = np.frombuffer(places, np.int32).reshape(-1, 3).astype(np.int64)
+        place.append(one + np.array([base, 0, 0]))
+        ids += [texts[k : k + 16] for k in range(0, len(texts), 16)]
+        base = len(ids)
+    place, h = np.concatenate(place), np.concatenate([np.frombuffer(x, np.uint64) for _, _, x in rows])
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    runs = np.diff(np.append(first, len(h)))
+    total = np.add.reduceat(place[order, 2], first)
+    found = place[order[np.repeat(total > 1, runs)]]
+    if len(found):
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        yield _spans(ids, found[:, 0], found[:, 1], np.zeros(len(ids), np.int64))
 
 
 def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``text_id`` (16-byte digest of a text) and ``spans``: array of (a, b), bytes that repeat, in no order, may overlap."""
+    """``text_id`` (16-byte digest of a text) and ``spans``: bytes that repeat, from a to b, as a * 2 ** 32 + b, in no order, may overlap."""
     spark = docs.sparkSession
     shared.tune(spark)
     texts = docs.select(F.unhex(F.md5(shared.text_or_empty(docs, column).cast("binary"))).alias("text_id"), shared.text_or_empty(docs, column).alias("text")).filter(F.octet_length("text") >= LENGTH)
     buckets = max(8, math.ceil(shared.total_bytes(docs, column) / BUCKET_BYTES))
     blocks = _bucketed(texts, buckets).repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.substring("ids", 1, 2))).sortWithinPartitions("bucket")
     met = shared.saved(blocks.mapInArrow(_meet, _FOUND), "segments")
+    parts = math.ceil((met.filter(f"kind = 1 and many > {HOT}").agg(F.sum("b")).first()[0] or 0) / PART_HASHES) or 1
     need = met.filter("kind = 1").groupBy("text_id").agg(F.collect_list(F.struct("a", "b", "key", "many")).alias("parts"))
     need = shared.saved(need, "needed-segments")
-    dealt_schema = "key long, part int, text_id binary, places binary, body binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of the needed segments (part -1, place of the first byte), and string hashes of those of hot keys."""
         met: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for tid, text, parts in zip(*(batch.column(n).to_pylist() for n in ("text_id", "text", "parts"))):
+            rows, hot = [], []
+            for tid, text, segs in zip(*(batch.column(n).to_pylist() for n in ("text_id", "text", "parts"))):
                 if tid in met:
                     continue
                 met.add(tid)
                 raw = text.encode()
-                for p in parts:
+                for p in segs:
                     body = raw[p["a"] : p["a"] + p["b"] - 1 + LENGTH]
-                    rows += _hot_rows(p["key"], tid, p["a"], body, p["many"]) if p["many"] > HOT else [(p["key"], -1, tid, np.int32(p["a"]).tobytes(), body)]
+                    if p["many"] > HOT:
+                        hot.append((tid, p["a"], body))
+                    else:
+                        rows.append((p["key"], -1, tid, np.int32(p["a"]).tobytes(), body))
+            rows += _hot_rows(hot, parts)
             if len(met) > 1_000_000:
                 met.clear()
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["key", "part", "text_id", "places", "body"])
 
-    given = texts.join(shared.sent(need), "text_id").mapInArrow(cut, dealt_schema).repartition("key", "part").sortWithinPartitions("key", "part")
-
-    more = given.mapInArrow(_settled, _FOUND)
-    every = met.filter("kind = 0").unionByName(more).groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    near = shared.maybe_among(texts, "text_id", need.select("text_id"), "near").filter("near").drop("near")
+    given = near.join(need.hint("merge"), "text_id").mapInArrow(cut, "key long, part int, text_id binary, places binary, body binary")
+    more = given.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_settled, "text_id binary, spans array<bigint>")
+    known = met.filter("kind = 0").select("text_id", F.array(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("spans"))
+    every = known.unionByName(more).groupBy("text_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     return shared.saved(every, "repeats")
 
 
@@ -466,7 +514,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = text.encode()
                 kept, done, removed, runs = [], 0, 0, 0
-                for a, b in sorted((s["a"], s["b"]) for s in found or ()):
+                for a, b in ((s >> 32, s & 0xFFFFFFFF) for s in sorted(found or ())):
                     if a > done or not runs:
                         kept.append(raw[done:a])
                         runs += 1
@@ -479,8 +527,11 @@ def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(shared.sent(spans), "text_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    # Only texts that may have a span are shuffled.
+    marked = shared.maybe_among(rows, "text_id", spans.select("text_id"), "near")
+    none = marked.filter("not near").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"))
+    joined = marked.filter("near").join(spans.hint("merge"), "text_id", "left").select("doc_id", "text", "spans")
+    return none.unionByName(joined).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
