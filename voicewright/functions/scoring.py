@@ -17,9 +17,9 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.pandas_udf(composed, StringType())(text))
 
 
-def normalize_for_scoring(text: Column, ascii_only: bool = False) -> Column:
+def normalize_for_scoring(text: Column) -> Column:
     """Drop white space, punctuation, symbols and controls; case, letters, marks and numbers stay."""
-    return F.regexp_replace(text if ascii_only else nfc(text), r"[\p{Z}\p{P}\p{S}\p{C}]", "")
+    return F.regexp_replace(nfc(text), r"[\p{Z}\p{P}\p{S}\p{C}]", "")
 
 
 def disagreement(primary: Column, secondary: Column) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+from ..functions import scoring
 
 from .intervals import merge_intervals
 
@@ -64,28 +66,73 @@ def audio_quality(clips: DataFrame, key: str = "item_id") -> DataFrame:
     return clips.select(F.col(key).cast("string").alias(key), "rate", "samples").mapInArrow(run, f"`{key}` string, reasons array<string>, clipped_ratio double, snr_db double")
 
 
-def duration_batches(df: DataFrame, budget: float, seconds: str = "seconds", mode: str = "mode", id_column: str = "item_id", slices: int = 64) -> DataFrame:
+def duration_batches(df: DataFrame, budget: float, seconds: str = "seconds", mode: str = "mode", id_column: str = "item_id", slices: int = 1) -> DataFrame:
     """``batch`` of each row: rows of a mode in order of falling length go to the open batch while it stays within ``budget`` seconds.
 
-    A row longer than the budget is a batch alone, and doesn't close the open one. Lengths are cut into ``slices``
-    ranges per mode, each packed by itself, so that a batch at a border may be less full than in one pass.
+    A row longer than the budget is a batch alone, and doesn't close the open one. The order is Spark's sort, and rows are read
+    one after the other with the open batch's sum alone kept. A mode is one task; with ``slices`` its lengths are cut into as many ranges,
+    each packed by itself, so that a batch at a border may be less full than in one pass.
     """
-    top = df.groupBy(mode).agg(F.max(seconds).alias("_top"))
-    rows = df.join(F.broadcast(top), mode).withColumn("_slice", F.least(F.floor(F.col(seconds) / F.greatest("_top", F.lit(1e-9)) * slices), F.lit(slices - 1))).drop("_top")  # a row for each mode
-    schema = rows.withColumn("batch", F.lit("")).drop("_slice").schema
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, id_column], ascending=[False, True])
-        label = f"{pdf[mode].iloc[0]}-{int(pdf['_slice'].iloc[0]):04d}"
-        at, used, out = 0, 0.0, []
-        for k, s in enumerate(pdf[seconds]):
-            if s > budget:
-                out.append(f"{label}-alone-{k}")
-                continue
-            if used + s > budget:
-                at, used = at + 1, 0.0
-            used += s
-            out.append(f"{label}-{at}")
-        return pdf.assign(batch=out).drop(columns="_slice")
-
-    return rows.groupBy(mode, "_slice").applyInPandas(pack, schema)
+    rows = df.withColumn("_slice", F.lit(0))
+    if slices > 1:
+        top = df.groupBy(mode).agg(F.max(seconds).alias("_top"))
+        cut = F.least(F.floor(F.col(seconds) / F.greatest("_top", F.lit(1e-9)) * slices), F.lit(slices - 1)).cast("int")
+        rows = df.join(F.broadcast(top), mode).withColumn("_slice", cut).drop("_top")  # a row for each mode
+    schema = StructType([*df.schema.fields, StructField("batch", StringType())])
+    names, kept = [mode, "_slice", seconds], df.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, used = None, 0, 0.0
+        for batch in batches:
+            out = []
+            for m, part, s in zip(*(batch.column(n).to_pylist() for n in names)):
+                if (m, part) != now:
+                    now, at, used, alone = (m, part), 0, 0.0, 0
+                if s > budget:
+                    out.append(f"{m}-{part}-alone-{alone}")
+                    alone += 1
+                    continue
+                if used + s > budget:
+                    at, used = at + 1, 0.0
+                used += s
+                out.append(f"{m}-{part}-{at}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, "batch"])
+
+    return rows.repartition(mode, "_slice").sortWithinPartitions(mode, "_slice", F.col(seconds).desc(), id_column).mapInArrow(pack, schema)
+
+
+def mix_noise(clips: DataFrame, noise: DataFrame, tokens_per_second: float = 25.0, seed: int = 42, low_db: float = 5.0, high_db: float = 15.0, least: float = 0.1, most: float = 0.3) -> DataFrame:
+    """``samples`` of each clip with noise on its first part, ``snr_db``, ``noise_id`` and ``clean_from``, the first token behind the noise.
+
+    ``clips``: item_id, rate, samples. ``noise``: noise_id, samples, numbered by id; a clip takes the one that its digest names, from
+    a place that it names too, repeated if it's short. The part is ``least`` to ``most`` of the clip, the ratio ``low_db`` to ``high_db``.
+    """
+    total = noise.count()
+    if not total:
+        return clips.withColumns({"snr_db": F.lit(None).cast("double"), "noise_id": F.lit(None).cast("string"), "clean_from": F.lit(0)})
+    drawn = lambda what: scoring.u64_of(F.concat(F.lit(f"{what}:{seed}:"), F.col("item_id").cast("string"))).cast("double") / float(1 << 64)
+    pick = (scoring.u64_of(F.concat(F.lit(f"noise:{seed}:"), F.col("item_id").cast("string"))) % F.lit(total).cast("decimal(20,0)")).cast("long")
+    from .pairing import numbered
+
+    side = numbered(noise, F.sha2(F.col("noise_id").cast("string"), 256), "noise_id").select("rn", F.col("noise_id").cast("string").alias("noise_id"), F.col("samples").alias("_noise"))
+    rows = clips.withColumns({"_pick": pick, "_part": least + (most - least) * drawn("part"), "snr_db": low_db + (high_db - low_db) * drawn("snr"), "_from": drawn("from")}).join(side, F.col("_pick") == F.col("rn"))
+    out = StructType([*clips.schema.fields, StructField("snr_db", DoubleType()), StructField("noise_id", StringType()), StructField("clean_from", IntegerType())])
+
+    kept, named = clips.columns, out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mixed, clean = [], []
+            for rate, x, n, part, snr, begin in zip(*(batch.column(c).to_pylist() for c in ("rate", "samples", "_noise", "_part", "snr_db", "_from"))):
+                x, n = np.array(x or [], float), np.array(n or [], float)
+                k = int(len(x) * part)
+                if k and len(n) and n.any():
+                    cut = np.resize(np.roll(n, -int(begin * len(n))), k)
+                    scale = np.sqrt((x[:k] ** 2).mean() / max((cut**2).mean(), 1e-12) / 10 ** (snr / 10))
+                    x[:k] += scale * cut
+                mixed.append(np.clip(x, -1.0, 1.0).tolist())
+                clean.append(int(np.ceil(k / max(rate or 1, 1) * tokens_per_second)))
+            cols = [pa.array(mixed, pa.list_(pa.float32())).cast(batch.schema.field("samples").type) if c == "samples" else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column("snr_db"), batch.column("noise_id"), pa.array(clean, pa.int32())], names=named)
+
+    return rows.select(*clips.columns, "snr_db", "noise_id", "_noise", "_part", "_from").mapInArrow(run, out)

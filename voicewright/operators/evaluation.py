@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,20 +47,58 @@ def audit_codec_index(index: DataFrame, manifest: DataFrame, key: str, checked:
     return both.select(F.coalesce("a", "b").alias("id"), why.alias("reason")).filter("reason is not null").unionByName(many)
 
 
-def crossed_bootstrap_ci(ratings: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+#: Distribution function of the Poisson law of mean one, at 0, 1, ...
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def multiplicities(hashes: int, replicates: int, seed: int) -> np.ndarray:
+    """How often a listener or a condition of this hash is drawn in each replicate."""
+    rep = np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    u = _mixed(rep ^ np.uint64(hashes % (1 << 64))) >> np.uint64(11)
+    return np.searchsorted(_POISSON, u.astype(float) / (1 << 53), "right").astype(np.int64)
+
+
+def crossed_bootstrap_ci(ratings: DataFrame, replicates: int = 10_000, seed: int = 7) -> DataFrame:
     """Mean rating per system with a 95 % interval from resampling listeners and conditions (Poisson multiplicities from hashes).
 
-    ``ratings``: system, listener, condition, score. Multiplicities are made per replicate and listener, and per
-    replicate and condition, so work is replicates times ratings, spread over the replicates.
+    ``ratings``: system, listener, condition, score. Ratings are summed to cells of system, listener and condition first.
+    Each task adds its cells to one sum per system and replicate, all replicates at once; only these sums are shuffled.
     """
-    def multiplicity(column: str) -> Column:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(column), F.col("rep"), F.col(column)), F.lit(1 << 40)) + 0.5) / (1 << 40)
-        # Poisson with mean one, by its distribution function.
-        return F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940582, 5).otherwise(6)
-
-    rows = ratings.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = rows.withColumn("w", multiplicity("listener") * multiplicity("condition")).filter("w > 0")
-    means = w.groupBy("system", "rep").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("mean"))
+    hashed = lambda c: F.xxhash64(F.lit(c), c)
+    cells = ratings.groupBy("system", hashed("listener").alias("l"), hashed("condition").alias("c")).agg(F.sum("score").cast("double").alias("s"), F.count("score").alias("n"))
+    kind = cells.schema["system"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        recent: dict[int, np.ndarray] = {}
+
+        def drawn(h: int) -> np.ndarray:
+            if h not in recent:
+                if len(recent) > 512:
+                    recent.clear()
+                recent[h] = multiplicities(h, replicates, seed)
+            return recent[h]
+
+        arrow = None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for system, a, b, s, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                w = drawn(a) * drawn(b)
+                total = sums.setdefault(system, np.zeros((2, replicates)))
+                total[0] += w * (s or 0.0)
+                total[1] += w * n
+        for system, (top, low) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([system] * replicates, arrow), pa.array(np.arange(replicates)), pa.array(top), pa.array(low)], names=["system", "rep", "s", "n"])
+
+    parts = cells.mapInArrow(run, f"system {kind.simpleString()}, rep long, s double, n double")
+    means = parts.groupBy("system", "rep").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").withColumn("mean", F.col("s") / F.col("n"))
     bounds = means.groupBy("system").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     return ratings.groupBy("system").agg(F.avg("score").alias("mean")).join(bounds, "system").select("system", "mean", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
 
@@ -77,24 +120,32 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(F.corr(a, b).alias("pearson"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def compare_recovery(items: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Reasons against a repaired clip: what is left of the music, too little gained, level lost, length changed. Missing evidence is a reason.
+def compare_recovery(items: DataFrame, before: DataFrame, after: DataFrame, max_probability: float = 0.10, min_reduction: float = 0.05, min_level_db: float = -45.0, max_loss_db: float = 18.0, max_delta_ms: int = 100) -> DataFrame:
+    """``items`` with ``reasons`` against the repaired clip, in order and behind those that its own audio check gave, and ``recovered``.
 
-    ``before`` and ``after``: item_id, probability, level_db, duration_ms.
+    ``before`` and ``after``: item_id, probability, level_db, duration_ms; ``after`` may have reasons (array), audio_path and
+    audio_sha256, which replace the item's where it's recovered. A missing value counts as the reference's defaults do: probability 0,
+    level -180 dB (before: the level after), duration 0. An item without a report of both keeps what it has, with ``recovery_evidence_missing``.
     """
-    side = lambda df, p: df.select("item_id", *(F.col(c).alias(f"{p}_{c}") for c in ("probability", "level_db", "duration_ms")))
-    out = items.join(side(before, "b"), "item_id", "left").join(side(after, "a"), "item_id", "left")
-    col = F.col
+    names = ("probability", "level_db", "duration_ms")
+    side = lambda df, p, more: df.select("item_id", *(F.col(c).alias(f"_{p}_{c}") for c in (*names, *(m for m in more if m in df.columns))), F.lit(True).alias(f"_{p}"))
+    out = items.join(side(before, "b", ()), "item_id", "left").join(side(after, "a", ("reasons", "audio_path", "audio_sha256")), "item_id", "left")
+    num = lambda c, default: F.coalesce(F.col(c).cast("double"), default)
+    p_after, p_before = num("_a_probability", F.lit(0.0)), num("_b_probability", F.lit(0.0))
+    level = num("_a_level_db", F.lit(-180.0))
     rules = F.array(
-        F.when(col("a_probability").isNull() | col("b_probability").isNull(), "recovery_evidence_missing"),
-        F.when(col("a_probability") > 0.10, "residual_music"),
-        F.when(col("b_probability") - col("a_probability") < 0.05, "insufficient_reduction"),
-        F.when(col("a_level_db") < -45, "level_too_low"),
-        F.when(col("b_level_db") - col("a_level_db") > 18, "level_loss"),
-        F.when(F.abs(col("a_duration_ms") - col("b_duration_ms")) > 100, "duration_changed"),
+        F.when(p_after > max_probability, "background_music_residual"),
+        F.when(p_before - p_after < min_reduction, "insufficient_music_probability_reduction"),
+        F.when(level < min_level_db, "separated_vocals_too_quiet"),
+        F.when(num("_b_level_db", level) - level > max_loss_db, "separated_vocals_signal_loss"),
+        F.when(F.abs(num("_a_duration_ms", F.lit(0.0)) - num("_b_duration_ms", F.lit(0.0))) > max_delta_ms, "separated_audio_duration_mismatch"),
     )
-    out = out.withColumn("reasons", F.array_compact(rules))
-    return out.select(*items.columns, "reasons", (F.size("reasons") == 0).alias("accepted"))
+    own = F.coalesce(F.col("_a_reasons"), F.array().cast("array<string>")) if "reasons" in after.columns else F.array().cast("array<string>")
+    found = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.array(F.lit("recovery_evidence_missing"))).otherwise(F.array_distinct(F.concat(own, F.array_compact(rules))))
+    out = out.withColumn("_found", found).withColumn("_ok", F.size("_found") == 0)
+    swap = {c: F.when(F.col("_ok"), F.col(f"_a_{c}")).otherwise(F.col(c)) for c in ("audio_path", "audio_sha256") if c in items.columns and c in after.columns}
+    kept = [F.col(c).alias(f"pre_separation_{c}") for c in swap]
+    return out.select(*(swap[c].alias(c) if c in swap else F.col(c) for c in items.columns), *kept, F.col("_found").alias("reasons"), F.col("_ok").alias("recovered"))
 
 
 def ordered_reasons(*arrays: Column, without: Column | None = None) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 SPAN_MS = 30_000
 
@@ -47,19 +50,48 @@ def overlap_ms(items: DataFrame, others: DataFrame) -> DataFrame:
     return out.withColumn("overlap_ratio", F.bround(F.col("overlap_ms") / (F.col("end_ms") - F.col("start_ms")), 6))
 
 
-def label_speakers(candidates: DataFrame, turns: DataFrame) -> DataFrame:
-    """Speaker with most overlap for each candidate (ties by label), the least confidence of its turns, and a crosstalk flag.
+#: Labels of turns without a speaker, and of turns of several.
+UNKNOWN_LABELS = ("", "UNKNOWN", "UNK", "UNASSIGNED", "NONE", "NULL")
+OVERLAP_LABELS = ("OVERLAP", "OVL")
+
 
-    No evidence: ``unknown`` with confidence 0. The flag is set where the runner-up has at least
-    max(100 ms, 15 % of the winner's).
+def label_speakers(candidates: DataFrame, turns: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
+    """Speaker with most overlap for each candidate (ties by label), the least confidence of the speaker's turns, and a crosstalk flag.
+
+    ``turns``: video_id, start_ms, end_ms, speaker and, where there, confidence (0 to 1), confidence_source and state. Turns
+    without a speaker or of state unknown or unassigned name nobody. No evidence: ``unknown`` with confidence 0. The flag is set
+    where the runner-up has at least max(100 ms, 15 % of the winner's), a turn of state overlap meets the candidate, or
+    ``overlaps`` (intervals of crosstalk) cover more than max(20 ms, 2 % of it).
     """
-    hits = interval_join(candidates.select("id", "video_id", "start_ms", "end_ms"), turns.select("video_id", "start_ms", "end_ms", "speaker", "confidence"))
-    each = hits.groupBy(F.col("l_id").alias("id"), F.col("r_speaker").alias("speaker")).agg(F.sum("overlap").alias("ms"), F.min("r_confidence").alias("confidence"))
-    rank = Window.partitionBy("id").orderBy(F.col("ms").desc(), "speaker")
-    best = each.withColumn("rank", F.row_number().over(rank)).withColumn("second_ms", F.lead("ms").over(rank)).filter("rank = 1")
-    out = candidates.join(best.select("id", "speaker", "ms", "second_ms", "confidence"), "id", "left")
-    crosstalk = F.coalesce(F.col("second_ms") >= F.greatest(F.lit(100), F.bround(F.col("ms") * 0.15)), F.lit(False))
-    return out.select(*candidates.columns, F.coalesce("speaker", F.lit("unknown")).alias("speaker_id"), F.when(F.col("speaker").isNull(), 0.0).otherwise(F.col("confidence")).alias("speaker_confidence"), F.coalesce("ms", F.lit(0)).alias("speaker_ms"), crosstalk.alias("overlap_detected"))
+    own = candidates.select("id", "video_id", "start_ms", "end_ms")
+    have = lambda c, kind: F.col(c).cast(kind) if c in turns.columns else F.lit(None).cast(kind)
+    state = F.lower(F.trim(F.coalesce(have("state", "string"), F.lit(""))))
+    name = F.trim(F.coalesce(F.col("speaker"), F.lit("unknown")))
+    who = F.when((name != "") & (name != "unknown") & ~state.isin("unknown", "unassigned"), name)
+    sure = have("confidence", "double")
+    sure = F.when(~F.isnan(sure) & (F.abs(sure) != float("inf")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)))
+    source = F.coalesce(F.nullif(F.trim(have("confidence_source", "string")), F.lit("")), F.when(sure.isNotNull(), "turn_confidence").otherwise("unavailable"))
+    said = turns.select("video_id", "start_ms", "end_ms", who.alias("speaker"), sure.alias("sure"), source.alias("source"), (state == "overlap").alias("crossed"))
+    hits = interval_join(own, said)
+    sources = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("r_sure").isNotNull(), F.struct("r_start_ms", "r_end_ms", "r_source")))), lambda x: x["r_source"]))
+    each = hits.groupBy(F.col("l_id").alias("id"), F.col("r_speaker").alias("speaker")).agg(F.sum("overlap").alias("ms"), F.min("r_sure").alias("sure"), sources.alias("sources"), F.max("r_crossed").alias("crossed"))
+    second = F.array_sort(F.collect_list(F.when(F.col("speaker").isNotNull(), F.struct((-F.col("ms")).alias("ms"), "speaker", "sure", "sources"))))
+    ranked = each.groupBy("id").agg(second.alias("r"), F.max("crossed").alias("crossed"))  # the speakers of a candidate
+    out = candidates.join(ranked, "id", "left")
+    if overlaps is None:
+        out = out.withColumn("acoustic_overlap_ms", F.lit(0).cast("long"))
+    else:
+        covered = interval_join(own, overlaps.select("video_id", "start_ms", "end_ms")).groupBy(F.col("l_id").alias("id")).agg(F.sum("overlap").alias("acoustic_overlap_ms"))
+        out = out.join(covered, "id", "left").withColumn("acoustic_overlap_ms", F.coalesce("acoustic_overlap_ms", F.lit(0).cast("long")))
+    top = lambda k: F.try_element_at("r", F.lit(k))
+    length, win, next_ms = F.col("end_ms") - F.col("start_ms"), -top(1)["ms"], -top(2)["ms"]
+    crosstalk = F.coalesce(next_ms >= F.greatest(F.lit(100), F.bround(win * 0.15)), F.lit(False)) | F.coalesce("crossed", F.lit(False)) | (F.col("acoustic_overlap_ms") > F.greatest(F.lit(20), F.bround(length * 0.02)))
+    none, silent = top(1).isNull(), F.size(top(1)["sources"]) == 0
+    return out.select(
+        *candidates.columns, F.coalesce(top(1)["speaker"], F.lit("unknown")).alias("speaker_id"), F.when(none, 0.0).otherwise(top(1)["sure"]).alias("speaker_confidence"),
+        F.when(none, "no_speaker_evidence").when(silent, "unavailable_in_acoustic_turns").otherwise(F.array_join(top(1)["sources"], "+")).alias("speaker_confidence_source"),
+        F.coalesce(win, F.lit(0)).alias("speaker_ms"), crosstalk.alias("overlap_detected"), "acoustic_overlap_ms", F.bround(F.when(length > 0, F.col("acoustic_overlap_ms") / length).otherwise(0.0), 6).alias("acoustic_overlap_ratio"),
+    )
 
 
 def stable_speaker_ids(df: DataFrame) -> DataFrame:
@@ -101,28 +133,25 @@ def safe_padding(clips: DataFrame, turns: DataFrame, left_ms: int = 200, right_m
 def group_candidates(df: DataFrame, max_duration_ms: int = 15_000, max_gap_ms: int = 700) -> DataFrame:
     """``group_id`` of consecutive candidates of one speaker: gaps up to ``max_gap_ms``, span from the group's start up to ``max_duration_ms``, none overlapped.
 
-    What no span can change is split first, by ``lag``; the greedy span rule then runs within such an
-    island, which is small, and not over a whole recording.
+    ``group_id`` is the recording with the id of the group's first candidate. The span rule is greedy, so rows are read in
+    time order, one after the other, with the open group alone kept; no recording is gathered.
     """
-    order = Window.partitionBy("video_id").orderBy("start_ms", "end_ms", "id")
-    hard = F.lag("id").over(order).isNull() | (F.col("speaker") != F.lag("speaker").over(order)) | (F.col("start_ms") - F.lag("end_ms").over(order) > max_gap_ms) | F.col("overlapped") | F.lag("overlapped").over(order)
-    marked = df.withColumn("_hard", F.when(hard, 1).otherwise(0)).withColumn("island", F.sum("_hard").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_hard")
-    schema = marked.select("*", F.lit(0).alias("part")).schema
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "end_ms", "id"])
-        part, first, out = 0, None, []
-        for s, e in zip(pdf.start_ms, pdf.end_ms):
-            if first is not None and e - first > max_duration_ms:
-                part, first = part + 1, None
-            first = s if first is None else first
-            out.append(part)
-        return pdf.assign(part=pd.Series(out, pdf.index, dtype="int32"))
-
-    single = marked.join(marked.groupBy("video_id", "island").agg(F.count(F.lit(1)).alias("n")), ["video_id", "island"])
-    alone = single.filter("n = 1").select(*marked.columns, F.lit(0).alias("part"))
-    many = single.filter("n > 1").select(*marked.columns).groupBy("video_id", "island").applyInPandas(greedy, schema)
-    return alone.unionByName(many).withColumn("group_id", F.concat_ws("-", "video_id", "island", "part")).drop("island", "part")
+    order = ["video_id", "start_ms", "end_ms", "id"]
+    names = [*order, "speaker", "overlapped"]
+    schema = StructType([*df.schema.fields, StructField("group_id", StringType())])
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, begin, first, last, who, crossed = None, 0, None, 0, None, True
+        for batch in batches:
+            out = []
+            for v, s, e, i, speaker, overlapped in zip(*(batch.column(n).to_pylist() for n in names)):
+                if v != video or first is None or speaker != who or crossed or overlapped or s - last > max_gap_ms or e - begin > max_duration_ms:
+                    begin, first = s, f"{v}-{i}"
+                video, last, who, crossed = v, e, speaker, overlapped
+                out.append(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "group_id"])
+
+    return df.repartition("video_id").sortWithinPartitions(*order).mapInArrow(greedy, schema)
 
 
 def window_expand(df: DataFrame, window_ms: int = 10_000, hop_ms: int = 5_000) -> DataFrame:
@@ -144,6 +173,24 @@ def atoms(df: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.size("speakers") == 0, "unknown").when(F.size("speakers") == 1, "single").otherwise("overlap"))
 
 
+def fuse_timelines(speech: DataFrame, turns: DataFrame) -> DataFrame:
+    """Each speech interval (id, video_id, start_ms, end_ms) cut at the borders of the speakers' turns in it: single, overlap or unknown pieces.
+
+    Columns: segment_id (the interval's), video_id, start_ms, end_ms, state, speakers, piece (number in the recording, by time) and
+    is_last. A stretch without a turn is unknown.
+    """
+    own = speech.select("id", "video_id", "start_ms", "end_ms")
+    hits = interval_join(own, turns.select("video_id", "start_ms", "end_ms", "speaker"))
+    inside = hits.select(F.struct("l_video_id", "l_id").alias("video_id"), F.greatest("l_start_ms", "r_start_ms").alias("start_ms"), F.least("l_end_ms", "r_end_ms").alias("end_ms"), F.col("r_speaker").alias("speaker"))
+    bounds = own.select(F.struct(F.col("video_id").alias("l_video_id"), F.col("id").alias("l_id")).alias("video_id"), "start_ms", "end_ms", F.lit(None).cast("string").alias("speaker"))
+    key = lambda df: df.withColumn("video_id", F.to_json("video_id"))
+    cut = atoms(key(bounds.unionByName(inside)))
+    named = cut.join(key(bounds.select("video_id", F.col("video_id.l_video_id").alias("recording"), F.col("video_id.l_id").alias("segment_id"))), "video_id")
+    order = Window.partitionBy("recording").orderBy("start_ms", "end_ms", "segment_id")
+    last = F.lead("start_ms").over(order).isNull()
+    return named.select("segment_id", F.col("recording").alias("video_id"), "start_ms", "end_ms", "state", "speakers", F.row_number().over(order).alias("piece"), last.alias("is_last"))
+
+
 def merge_atoms(pieces: DataFrame, gap_ms: int = 0) -> DataFrame:
     """Join neighbours of equal state and speakers."""
     order = Window.partitionBy("video_id").orderBy("start_ms")
@@ -179,26 +226,159 @@ def cap_durations(df: DataFrame, most_ms: int = 15_000) -> DataFrame:
 
 
 def coalesce_boundaries(df: DataFrame, tolerance_ms: int) -> DataFrame:
-    """Chain-cluster the boundaries (video_id, at_ms) that lie within ``tolerance_ms`` of the one before; a cluster's mean stands for it, but the first and last boundary stay."""
+    """Chain-cluster the boundaries (video_id, at_ms) that lie within ``tolerance_ms`` of the one before; a cluster's mean stands for it, but the first and last boundary stay, both if one cluster has both."""
     order = Window.partitionBy("video_id").orderBy("at_ms")
     fresh = F.when(F.col("at_ms") - F.lag("at_ms").over(order) <= tolerance_ms, 0).otherwise(1)
     rows = df.select("video_id", "at_ms").distinct().withColumn("_f", fresh).withColumn("cluster", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edges = rows.groupBy("video_id").agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
     mean = rows.groupBy("video_id", "cluster").agg(F.avg("at_ms").alias("mean"), F.min("at_ms").alias("low"), F.max("at_ms").alias("high"), F.count(F.lit(1)).alias("n"))
-    out = mean.join(edges, "video_id")
-    return out.select("video_id", F.when(F.col("low") == F.col("first"), F.col("first").cast("double")).when(F.col("high") == F.col("last"), F.col("last").cast("double")).otherwise(F.col("mean")).alias("at_ms"), "n")
+    is_first, is_last = F.col("low") == F.col("first"), F.col("high") == F.col("last")
+    one = F.when(is_first, F.col("first").cast("double")).when(is_last, F.col("last").cast("double")).otherwise(F.col("mean"))
+    more = F.when(is_first & is_last & (F.col("first") < F.col("last")), F.col("last").cast("double"))
+    return mean.join(edges, "video_id").select("video_id", F.explode(F.array_compact(F.array(one, more))).alias("at_ms"), "n")
 
 
-def clean_timeline(pieces: DataFrame, short_ms: int = 200) -> DataFrame:
-    """Absorb short unknown pieces between equal single speakers, or at an end of the recording, into their neighbour; overlap is never touched.
-
-    ``pieces``: contiguous rows of ``atoms``. Neighbours of equal state and speakers are joined before and after.
-    """
+def _cleaned(pieces: DataFrame, boundary_ms: int, gap_ms: int) -> DataFrame:
+    """Merged pieces with ``tag2``, what they become, and ``action``."""
     order = Window.partitionBy("video_id").orderBy("start_ms")
     df = merge_atoms(pieces)
     left, right = F.lag("tag").over(order), F.lead("tag").over(order)
-    short = (F.col("state") == "unknown") & (F.col("end_ms") - F.col("start_ms") <= short_ms)
+    length, unknown = F.col("end_ms") - F.col("start_ms"), F.col("state") == "unknown"
     single = lambda t: t.startswith("single")
-    tag = F.when(short & (left == right) & single(left), left).when(short & left.isNull() & single(right), right).when(short & right.isNull() & single(left), left).otherwise(F.col("tag"))
-    df = df.withColumn("tag2", tag).withColumn("state", F.substring_index("tag2", "|", 1)).withColumn("speakers", F.filter(F.split(F.substring_index("tag2", "|", -1), r"\+"), lambda s: s != ""))
-    return merge_atoms(df.select("video_id", "start_ms", "end_ms", "state", "speakers"))
+    gap = unknown & (left == right) & single(left) & (length <= gap_ms)
+    edge = unknown & (length <= boundary_ms) & ((left.isNull() & single(right)) | (right.isNull() & single(left)))
+    df = df.withColumn("action", F.when(gap, "absorb_same_speaker_gap").when(edge, "absorb_unknown_boundary"))
+    return df.withColumn("tag2", F.when(F.col("action").isNotNull(), F.coalesce(left, right)).otherwise(F.col("tag")))
+
+
+def clean_timeline(pieces: DataFrame, boundary_ms: int = 200, gap_ms: int = 200, merge_ms: int = 0) -> DataFrame:
+    """Absorb unknown pieces of up to ``gap_ms`` between equal single speakers, and of up to ``boundary_ms`` at an end of the recording, into their neighbour; overlap is never touched.
+
+    ``pieces``: contiguous rows of ``atoms``. Neighbours of equal state and speakers are joined before, and after over gaps of up to ``merge_ms``.
+    """
+    df = _cleaned(pieces, boundary_ms, gap_ms)
+    df = df.withColumn("state", F.substring_index("tag2", "|", 1)).withColumn("speakers", F.filter(F.split(F.substring_index("tag2", "|", -1), r"\+"), lambda s: s != ""))
+    return merge_atoms(df.select("video_id", "start_ms", "end_ms", "state", "speakers"), merge_ms)
+
+
+def cleanup_actions(pieces: DataFrame, boundary_ms: int = 200, gap_ms: int = 200) -> DataFrame:
+    """What ``clean_timeline`` absorbs: video_id, action, start_ms, end_ms, speaker."""
+    return _cleaned(pieces, boundary_ms, gap_ms).filter("action is not null").select("video_id", "action", "start_ms", "end_ms", F.substring_index("tag2", "|", -1).alias("speaker"))
+
+
+def normalize_timeline_payload(payload: DataFrame) -> DataFrame:
+    """``regular_turns`` and ``exclusive_turns`` (arrays of struct) of sidecars in all their shapes, and ``timeline_error``.
+
+    Regular turns are regular_turns, else regular_timeline, else turns or segments with the overlap intervals behind them; exclusive
+    ones are exclusive_turns, assignment_turns or assignment_timeline, else turns or segments.
+    """
+    first = lambda *names: F.coalesce(*(F.col(n) for n in names if n in payload.columns), F.lit(None))
+    base = first("turns", "segments")
+    more = first("overlap_intervals")
+    regular = F.coalesce(first("regular_turns", "regular_timeline"), F.when(base.isNotNull(), F.when(more.isNotNull(), F.concat(base, more)).otherwise(base)) if "overlap_intervals" in payload.columns else base)
+    exclusive = F.coalesce(first("exclusive_turns", "assignment_turns", "assignment_timeline"), base)
+    error = F.when(regular.isNull(), "regular_turns_missing").when(exclusive.isNull(), "exclusive_turns_missing")
+    rest = [c for c in payload.columns if c not in ("regular_turns", "exclusive_turns")]
+    return payload.select(*rest, regular.alias("regular_turns"), exclusive.alias("exclusive_turns"), error.alias("timeline_error"))
+
+
+def prepare_timelines(regular: DataFrame, exclusive: DataFrame, boundary_ms: int = 200, gap_ms: int = 200, merge_ms: int = 10) -> DataFrame:
+    """Cleaned timelines of each recording: rows of ``timeline`` assignment (from the exclusive turns), regular and overlap (regular pieces of several speakers).
+
+    ``assignment_valid``: no assignment piece of the recording has several speakers.
+    """
+    clean = lambda df: clean_timeline(atoms(df), boundary_ms, gap_ms, merge_ms)
+    assignment, whole = clean(exclusive).withColumn("timeline", F.lit("assignment")), clean(regular)
+    every = assignment.unionByName(whole.withColumn("timeline", F.lit("regular"))).unionByName(whole.filter("state = 'overlap'").withColumn("timeline", F.lit("overlap")))
+    bad = assignment.filter("state = 'overlap'").select("video_id").distinct().withColumn("_bad", F.lit(True))
+    out = every.join(bad, "video_id", "left")
+    return out.select("video_id", "timeline", "start_ms", "end_ms", "state", F.substring_index("tag", "|", -1).alias("speakers"), F.col("_bad").isNull().alias("assignment_valid"))
+
+
+#: Limits of the single-speaker gate.
+GATE = {
+    "min_duration_ms": 200, "min_speaker_ms": 200, "boundary_collar_ms": 50, "min_dominant_ratio": 0.90, "max_other_speaker_ms": 100, "max_other_speaker_ratio": 0.02, "max_overlap_ratio": 0.02,
+    "max_unknown_ratio": 0.08, "max_distinct_speakers": 1, "tail_min_speaker_ms": 300, "tail_min_dominant_ratio": 0.92, "tail_max_other_speaker_ms": 100, "tail_max_other_speaker_ratio": 0.02,
+    "tail_max_overlap_ratio": 0.0, "tail_max_unknown_ratio": 0.08, "tail_max_trailing_unknown_ms": 200, "tail_require_last_voice_dominant": True,
+}
+_EPSILON = 1e-9
+
+
+def mark_tails(candidates: DataFrame) -> DataFrame:
+    """``is_tail``: of each recording the candidate that says so, else the last by end, start and id. Raises when read where two say so."""
+    told = F.coalesce(F.col("is_tail"), F.lit(False)) if "is_tail" in candidates.columns else F.lit(False)
+    rows = candidates.withColumn("_told", told)
+    last = rows.groupBy("video_id").agg(F.count_if("_told").alias("_n"), F.max_by("id", F.struct("_told", "end_ms", "start_ms", "id")).alias("_last"))
+    is_tail = F.when(F.col("_n") > 1, F.raise_error(F.lit("at most one candidate of a recording may be its tail"))).otherwise(F.col("id") == F.col("_last"))
+    return rows.join(last, "video_id").withColumn("is_tail", is_tail).drop("_told", "_n", "_last")
+
+
+def speaker_gate(candidates: DataFrame, turns: DataFrame, limits: dict | None = None) -> DataFrame:
+    """``candidates`` (id, video_id, start_ms, end_ms) with ``is_tail`` and ``gate``: passed, reasons and what they're drawn from.
+
+    A candidate is judged on its span less a collar at both ends, which never leaves less than the evidence that it needs. The
+    tail of a recording has stricter limits. ``turns``: video_id, start_ms, end_ms, speaker and, where there, state.
+    Time is counted in half milliseconds, so that halved collars stay whole.
+    """
+    g = GATE | (limits or {})
+    c = mark_tails(candidates)
+    by_tail = lambda name: F.when(F.col("is_tail"), F.lit(g[f"tail_{name}"])).otherwise(F.lit(g[name]))
+    length = F.col("end_ms") - F.col("start_ms")
+    need = F.greatest(by_tail("min_speaker_ms"), F.least(length, F.lit(1)))
+    collar = F.least(F.lit(2 * g["boundary_collar_ms"]), F.greatest(F.lit(0), length - need))
+    spans = c.select(F.col("id").alias("cid"), "video_id", (2 * F.col("start_ms") + collar).alias("start_ms"), (2 * F.col("end_ms") - collar).alias("end_ms"))
+
+    label = F.trim(F.coalesce(F.col("speaker"), F.lit("")))
+    state = F.lower(F.trim(F.coalesce(F.col("state").cast("string") if "state" in turns.columns else F.lit(""), F.lit(""))))
+    forced = (state == "overlap") | F.upper(label).isin(*OVERLAP_LABELS)
+    who = F.when(~F.upper(label).isin(*UNKNOWN_LABELS, *OVERLAP_LABELS) & ~state.isin("unknown", "unassigned"), label)
+    said = turns.select("video_id", (2 * F.col("start_ms")).alias("start_ms"), (2 * F.col("end_ms")).alias("end_ms"), who.alias("speaker"), forced.alias("forced"))
+
+    # Each candidate is a timeline of its own: its evaluated span, cut at the borders of the turns in it.
+    hits = interval_join(spans, said, span=2 * SPAN_MS)
+    inside = hits.select(F.col("l_cid").alias("cid"), F.greatest("l_start_ms", "r_start_ms").alias("s"), F.least("l_end_ms", "r_end_ms").alias("e"), F.col("r_speaker").alias("speaker"), F.col("r_forced").alias("forced"))
+    own = spans.select("cid", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("forced"))
+    per = own.unionByName(inside).groupBy("cid").agg(F.collect_list(F.struct("s", "e", "speaker", "forced")).alias("turns"))  # the turns within one clip
+    borders = F.array_sort(F.array_distinct(F.flatten(F.transform("turns", lambda t: F.array(t["s"], t["e"])))))
+    cut = per.select("cid", "turns", borders.alias("b"))
+    active = lambda x, y: F.filter("turns", lambda t: (t["s"] < y) & (t["e"] > x))
+    piece = F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.struct((F.col("b")[i] - F.col("b")[i - 1]).alias("n"), F.array_sort(F.array_distinct(F.array_compact(F.transform(active(F.col("b")[i - 1], F.col("b")[i]), lambda t: t["speaker"])))).alias("who"), F.exists(active(F.col("b")[i - 1], F.col("b")[i]), lambda t: t["forced"]).alias("forced")))
+    named = cut.select("cid", F.transform(piece, lambda q: F.struct(q["n"].alias("n"), q["who"].alias("who"), F.when(q["forced"] | (F.size(q["who"]) > 1), "overlap").when(F.size(q["who"]) == 1, "single").otherwise("unknown").alias("state"))).alias("p"))
+
+    total = lambda keep: F.aggregate(F.filter("p", keep), F.lit(0).cast("long"), lambda acc, q: acc + q["n"])
+    seen = F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda q: q["who"]))))
+    m = named.withColumn("distinct_speakers", seen).withColumn("exclusive", F.transform("distinct_speakers", lambda w: F.struct(total(lambda q: (q["state"] == "single") & (F.get(q["who"], F.lit(0)) == w)).alias("n"), w.alias("speaker"))))
+    m = m.withColumn("top", F.array_max(F.filter("exclusive", lambda x: x["n"] > 0))).withColumn("all", total(lambda q: F.lit(True)))
+    last_known = F.aggregate("p", F.lit(0).cast("long"), lambda acc, q: F.when(q["state"] == "unknown", acc + q["n"]).otherwise(F.lit(0).cast("long")))
+    voiced = F.try_element_at(F.filter("p", lambda q: q["state"] != "unknown"), F.lit(-1))
+    m = m.select("cid", "distinct_speakers", "exclusive", "top", "all", total(lambda q: q["state"] == "overlap").alias("overlap"), total(lambda q: q["state"] == "unknown").alias("unknown"), total(lambda q: q["state"] == "single").alias("single"), last_known.alias("trailing"), voiced.alias("voiced"))
+
+    r = c.join(m, c["id"] == m["cid"]).drop("cid")
+    top_n = F.coalesce(F.col("top.n"), F.lit(0))
+    other = F.col("single") - top_n
+    ratio = lambda x: x / F.col("all")
+    over = lambda n: (n / 2 > by_tail("max_other_speaker_ms") + _EPSILON) & (ratio(n) > by_tail("max_other_speaker_ratio") + _EPSILON)
+    r = r.withColumn("significant", F.transform(F.filter("exclusive", lambda x: ~x["speaker"].eqNullSafe(F.col("top.speaker")) & over(x["n"])), lambda x: x["speaker"]))
+    tolerated = F.filter("distinct_speakers", lambda w: ~w.eqNullSafe(F.col("top.speaker")) & ~F.array_contains("significant", w))
+    prefix = lambda name: F.when(F.col("is_tail"), f"tail_{name}").otherwise(name)
+    sole = (F.col("voiced.state") == "single") & (F.size("voiced.who") == 1)
+    last_fine = F.coalesce(sole & (F.get("voiced.who", F.lit(0)).eqNullSafe(F.col("top.speaker")) | F.array_contains(tolerated, F.get("voiced.who", F.lit(0)))), F.lit(False))
+    limit = lambda name: by_tail(name)
+    rules = F.array(
+        F.when(length + _EPSILON < g["min_duration_ms"], "duration_too_short"),
+        F.when(F.col("top").isNull(), prefix("no_explicit_speaker")).when(top_n / 2 + _EPSILON < limit("min_speaker_ms"), prefix("speaker_evidence_too_short")),
+        F.when(F.col("top").isNotNull().cast("int") + F.size("significant") > g["max_distinct_speakers"], "multiple_speakers"),
+        F.when(ratio(top_n) + _EPSILON < limit("min_dominant_ratio"), prefix("dominant_coverage_below_min")),
+        F.when(over(other), prefix("other_speaker_ratio_exceeded")),
+        F.when(ratio(F.col("overlap")) > limit("max_overlap_ratio") + _EPSILON, prefix("overlap_ratio_exceeded")),
+        F.when(ratio(F.col("unknown")) > limit("max_unknown_ratio") + _EPSILON, prefix("unknown_ratio_exceeded")),
+        F.when(F.col("is_tail") & (F.col("trailing") / 2 > g["tail_max_trailing_unknown_ms"] + _EPSILON), "tail_trailing_unknown_exceeded"),
+        F.when(F.col("is_tail") & F.lit(g["tail_require_last_voice_dominant"]) & ~last_fine, "tail_last_voice_not_dominant"),
+    )
+    reasons = F.array_compact(rules)
+    gate = F.struct(
+        (F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"), F.col("top.speaker").alias("dominant_speaker"), "distinct_speakers", F.col("significant").alias("significant_other_speakers"), tolerated.alias("tolerated_other_speakers"),
+        F.bround(ratio(top_n), 6).alias("dominant_ratio"), (top_n / 2).alias("dominant_speaker_ms"), F.bround(ratio(other), 6).alias("other_speaker_ratio"), F.bround(ratio(F.col("overlap")), 6).alias("overlap_ratio"), F.bround(ratio(F.col("unknown")), 6).alias("unknown_ratio"),
+        (F.col("trailing") / 2).alias("trailing_unknown_ms"), F.col("voiced.state").alias("last_voice_state"), F.col("voiced.who").alias("last_voice_speakers"), (collar / 2).alias("boundary_collar_ms"),
+    )
+    return r.select(*candidates.drop("is_tail").columns, "is_tail", gate.alias("gate"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +12,62 @@ from ..functions import scoring
 
 
 def pair_eligibility(min_seconds: float = 0.4, max_seconds: float = 20.0) -> Column:
-    """First failing rule of an accepted clip, or null."""
+    """First failing rule of an accepted clip, or null. An accepted clip without recording, or an eligible one without audio path or digest, raises when it's computed."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    stop = lambda why: F.raise_error(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("?")), F.lit(f": {why}"))).cast("string")
     seconds = F.coalesce("duration_ms", F.lit(0)) / 1000
     return (
         F.when(~F.coalesce("accepted", F.lit(False)), "not_accepted_by_video_pipeline")
         .when(~F.coalesce("speaker_pure", F.lit(True)) | F.col("speaker_id").isNull() | F.lower("speaker_id").isin("", "unknown", "overlap"), "invalid_local_speaker")
+        .when(~given("video_id"), stop("video_id is required to scope local speaker labels"))
         .when(F.col("final_text").isNull() | (F.length(F.regexp_replace("final_text", r"[\p{Z}\p{P}\p{S}\p{C}]", "")) == 0), "empty_primary_text")
-        .when(~seconds.between(min_seconds, max_seconds), "target_duration_out_of_range")
+        .when(F.isnan(seconds) | ~seconds.between(min_seconds, max_seconds), "target_duration_out_of_range")
+        .when(~given("audio_path") | ~given("audio_sha256"), stop("final audio_path and audio_sha256 are required"))
     )
 
 
+def pairing_report(paired: DataFrame) -> DataFrame:
+    """One row from the result of ``pair_references`` or of ``pair_eligibility`` (column ``reason``): input, paired and excluded rows, counts by reason."""
+    counts = paired.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    why = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"), n(F.col("reason").isNull()).alias("paired_rows"), n(F.col("reason").isNotNull()).alias("excluded_rows"), why.alias("exclusion_reasons"))
+
+
+def run_summary(items: DataFrame, keys: list[str], flags: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Counts of rows and flags and sums of values per key, with subtotals from the right and a grand total (null keys)."""
+    return items.rollup(*keys).agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in flags.items()), *(F.sum(c).alias(k) for k, c in (sums or {}).items()))
+
+
+def duration_bands(spec: str) -> list[tuple[float, float | None]]:
+    """Half-open bands of seconds from text such as ``5-10,10-``."""
+    bands = []
+    for part in spec.split(",") if spec.strip() else []:
+        m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)?\s*-\s*(\d+(?:\.\d+)?)?\s*", part)
+        low, high = (float(m[1] or 0), float(m[2]) if m[2] else None) if m else (0.0, 0.0)
+        if high is not None and high <= low:
+            raise ValueError(f"invalid duration band: {part!r}")
+        bands.append((low, high))
+    return bands
+
+
+def duration_band(seconds: Column, spec: str) -> Column:
+    """Number of the first band that holds ``seconds`` (negative ones count as 0), else the number of bands."""
+    bands, s = duration_bands(spec), F.greatest(F.lit(0.0), seconds.cast("double"))
+    inside = [F.when((s >= low) & (F.lit(True) if high is None else s < high), k) for k, (low, high) in enumerate(bands)]
+    return F.coalesce(*inside, F.lit(len(bands)))
+
+
+def priority_order(df: DataFrame, seconds: Column, spec: str, id_column: str = "item_id") -> DataFrame:
+    """Rows by duration band, then id, with ``band``; a range sort, so no task sees all rows."""
+    return df.withColumn("band", duration_band(seconds, spec)).orderBy("band", id_column)
+
+
+def length_filter(df: DataFrame, samples: str, rate: str, min_seconds: float, max_seconds: float) -> DataFrame:
+    """Clips whose length in samples over the rate is within the closed bounds; rows without a length or a rate go."""
+    return df.filter(F.when(F.col(rate) > 0, (F.col(samples) / F.col(rate)).between(min_seconds, max_seconds)))
+
+
 def pair_references(clips: DataFrame, seed: int = 42, min_prompt: float = 1.0, max_prompt: float = 10.0) -> DataFrame:
     """One distinct clip of the same recording and speaker for each target: another id, path and audio digest.
 
@@ -54,14 +103,26 @@ def group_split(df: DataFrame, fraction: float, seed: int, group: Column, source
     return df.withColumn("split", F.when(scoring.u64_of(key) < F.lit(limit).cast("decimal(20,0)"), "valid").otherwise("train"))
 
 
+def require_both_sides(df: DataFrame) -> None:
+    """Raise where a split has left one side without rows."""
+    n = {r.split: r["count"] for r in df.groupBy("split").count().collect()}
+    if not n.get("train") or not n.get("valid"):
+        raise ValueError(f"group split gave {n.get('train', 0)} training and {n.get('valid', 0)} validation rows")
+
+
 def leakage_audit(df: DataFrame, group: str) -> DataFrame:
     """Groups that are on both sides of a split."""
     return df.groupBy(group).agg(F.count_distinct("split").alias("sides")).filter("sides > 1")
 
 
 def sampling_mass(df: DataFrame, weights: dict[str, float], source: str = "source") -> DataFrame:
-    """Each row's share of its corpus: weight over the corpus's rows; corpora without a positive weight are left out."""
+    """Each row's share of its corpus: weight over the corpus's rows; corpora without a positive weight are left out.
+
+    Applied again after rows have gone, it gives the mass of the rest, and each corpus keeps its weight.
+    """
     kept = {k: v for k, v in weights.items() if v > 0}
+    if not kept:
+        raise ValueError("no positive-weight sources")
     table = F.create_map(*[F.lit(x) for kv in kept.items() for x in kv])
     rows = df.withColumn("weight", table[F.col(source)]).filter("weight is not null")
     counts = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
@@ -76,17 +137,23 @@ def short_clip_quota(df: DataFrame, low: float = 0.02, target: float = 0.03, hig
     """All standard clips and k short ones (``is_short``) of least digest, so that short ones are about ``target`` of all.
 
     k is between the counts that give ``low`` and ``high``; none if these cross or there's no standard clip.
-    Only the short clips are ordered, by a top-k.
+    Which digests are the least comes from counts by their prefix; only the clips of one prefix are ordered.
     """
-    n = df.agg(F.count_if(~F.col("is_short")), F.count_if("is_short")).first()
-    import math
-
-    standard, short = n
+    standard, short = df.agg(F.count_if(~F.col("is_short")), F.count_if("is_short")).first()
     least = math.ceil(low * standard / (1 - low)) if low > 0 else 0
     most = math.floor(high * standard / (1 - high))
     k = min(short, most, max(least, round(target * standard / (1 - target)))) if standard and short and most >= least else 0
-    chosen = df.filter("is_short").orderBy(F.sha2("item_id", 256), "item_id").limit(k)
-    return df.filter("not is_short").unionByName(chosen)
+    if not k:
+        return df.filter("not is_short")
+    # The k-th digest is found from counts by prefix: whole prefixes are taken, and only the one at the border is ordered.
+    digest = F.sha2(F.col("item_id").cast("string"), 256)
+    rows = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 4))
+    counts = rows.filter("is_short").groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("_sum", F.sum("n").over(Window.orderBy("_part")))  # at most 16 ** 4 rows
+    border = upto.filter(F.col("_sum") >= k).orderBy("_part").select("_part", (F.lit(k) - F.col("_sum") + F.col("n")).alias("left")).first()
+    inside = rows.filter(F.col("is_short") & (F.col("_part") == border[0])).orderBy("_digest", "item_id").limit(border[1])
+    whole = rows.filter(~F.col("is_short") | (F.col("_part") < border[0]))
+    return whole.unionByName(inside).select(*df.columns)
 
 
 def numbered(df: DataFrame, order: Column, tie: str, prefix: int = 3) -> DataFrame:
@@ -116,10 +183,64 @@ def encode_once(df: DataFrame, digest: str, payload: str) -> DataFrame:
     return df.groupBy(digest).agg(F.min_by(payload, "item_id").alias(payload), F.count(F.lit(1)).alias("uses"))
 
 
-def reusable(pending: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose result in the cache is still valid (all keys equal), and the rest."""
-    good = cached.filter("status = 'ok'").select(*keys).distinct()
-    return pending.join(good, keys, "left_semi"), pending.join(good, keys, "left_anti")
+def with_encoded(pairs: DataFrame, encoded: DataFrame, digest: str = "audio_sha256", claimed: tuple[str, ...] = ("audio_sha256", "prompt_audio_sha256"), columns: tuple[str, ...] = ("tokens", "frames")) -> DataFrame:
+    """The encoding of both sides of each pair, joined back by digest (columns behind ``target_`` and ``prompt_``), and ``encode_error``.
+
+    ``encoded``: digest, columns and, where there, actual_sha256, the digest of the bytes that were read.
+    """
+    out, errors = pairs, []
+    for side, key in zip(("target", "prompt"), claimed):
+        real = F.col("actual_sha256") if "actual_sha256" in encoded.columns else F.col(digest)
+        one = encoded.select(F.col(digest).alias(f"_{side}"), real.alias(f"_{side}_real"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        out = out.join(one, F.col(key) == F.col(f"_{side}"), "left")
+        errors += [F.when(F.col(f"_{side}").isNull(), f"{side}_not_encoded"), F.when(F.col(f"_{side}_real") != F.col(key), "audio_bytes_differ_from_digest")]
+    errors.append(F.when(F.col(claimed[0]) == F.col(claimed[1]), "target_and_reference_same_audio"))
+    return out.withColumn("encode_error", F.coalesce(*errors)).select(*pairs.columns, *(f"{s}_{c}" for s in ("target", "prompt") for c in columns), "encode_error")
+
+
+def one_success(results: DataFrame) -> DataFrame:
+    """Cached recognition rows with exactly one run, and that successful (``runs``: array of status, transcript), with the ``transcript``."""
+    return results.filter((F.size("runs") == 1) & (F.get("runs", F.lit(0))["status"] == "ok")).withColumn("transcript", F.get("runs", F.lit(0))["transcript"])
+
+
+def reusable(pending: DataFrame, cached: DataFrame, keys: list[str], good: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose result in the cache is still valid (all keys equal, and ``good``, by default its status ok), and the rest."""
+    kept = cached.filter(F.col("status") == "ok" if good is None else good).select(*keys).distinct()
+    return pending.join(kept, keys, "left_semi"), pending.join(kept, keys, "left_anti")
+
+
+def reuse_asr_results(items: DataFrame, cached: DataFrame, prompt_id: str, prompt_sha256: str) -> tuple[DataFrame, DataFrame]:
+    """Cached rows that still hold for ``items`` (id, audio digest, prompt and its digest, one success), and the items that are left to do."""
+    kept = one_success(cached).filter((F.col("prompt_id") == prompt_id) & (F.col("prompt_sha256") == prompt_sha256))
+    keys = ["item_id", "audio_sha256"]
+    return kept.join(items.select(*keys), keys, "left_semi").dropDuplicates(["item_id"]), items.join(kept.select(*keys), keys, "left_anti")
+
+
+def reuse_quality_results(items: DataFrame, asr: DataFrame, cached: DataFrame, prompt_id: str, prompt_sha256: str) -> tuple[DataFrame, DataFrame]:
+    """The same of quality observations, which also hold for one transcript only; items without a recognised transcript have nothing to do."""
+    said = one_success(asr).select("item_id", F.sha2(F.coalesce("transcript", F.lit("")), 256).alias("primary_transcript_sha256"))
+    expected = items.join(said, "item_id")
+    kept = cached.filter((F.col("status") == "ok") & F.col("quality_assessment").isNotNull() & (F.col("prompt_id") == prompt_id) & (F.col("prompt_sha256") == prompt_sha256))
+    keys = ["item_id", "audio_sha256", "primary_transcript_sha256"]
+    return kept.join(expected.select(*keys), keys, "left_semi").dropDuplicates(["item_id"]), expected.join(kept.select(*keys), keys, "left_anti")
+
+
+def reuse_recovery_results(items: DataFrame, initial: DataFrame, cached: DataFrame, config_sha256: str) -> tuple[DataFrame, DataFrame]:
+    """Repair reports that hold for ``items`` (id, audio digest, settings, same first detection, and a finished status), and the items left to do.
+
+    A recovered report needs the digest of the file that's there (``present_sha256``, null where it's gone) to be the one it tells.
+    """
+    expected = items.select("item_id", F.col("audio_sha256").alias("original_audio_sha256")).join(initial.select("item_id", F.coalesce("detected", F.lit(False)).alias("initial_detected")), "item_id")
+    there = F.coalesce(F.col("present_sha256") == F.col("recovered_audio_sha256"), F.lit(False)) if "present_sha256" in cached.columns else F.lit(True)
+    done = F.col("status").isin("not_needed", "rejected") | ((F.col("status") == "recovered") & there)
+    kept = cached.filter((F.col("config_sha256") == config_sha256) & done)
+    keys = ["item_id", "original_audio_sha256", "initial_detected"]
+    return kept.join(expected, keys, "left_semi").dropDuplicates(["item_id"]), items.join(kept.join(expected, keys, "left_semi").select("item_id"), "item_id", "left_anti")
+
+
+def merge_reused_fresh(reused: DataFrame, fresh: DataFrame, key: str = "item_id") -> DataFrame:
+    """Cached rows and new ones; where both have a key, the new one stands."""
+    return reused.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def mix_sources(frames: dict[str, DataFrame], id_column: str = "item_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -15,65 +15,141 @@ def assert_unique(df: DataFrame, key: str = "id", what: str = "rows") -> None:
         raise ValueError(f"{what}: duplicate or empty {key}: {bad[0]}")
 
 
-def validate_asr_evidence(require_audio_sha: bool = False):
-    """First failing rule of a joined row, or null: columns ``s_*`` of the secondary, ``text`` and ``audio_sha256`` of the primary."""
+#: Statuses of a request that succeeded.
+SUCCEEDED = ("success", "passed", "complete", "completed")
+ASR_COLUMNS = {"id": "string", "status": "string", "error": "string", "hypothesis": "string", "text": "string", "reference": "string", "audio_sha256": "string", "model_id": "string", "canonical": "struct<cer:double>"}
+
+
+def asr_side(secondary: DataFrame) -> DataFrame:
+    """Columns ``s_*`` that the evidence is judged by; what the table lacks is null."""
+    have = lambda c: F.col(c) if c in secondary.columns else F.lit(None)
+    side = secondary.select(*(have(c).cast(kind).alias(f"s_{c}") for c, kind in ASR_COLUMNS.items() if c != "canonical"), have("canonical").cast(ASR_COLUMNS["canonical"]).alias("s_canonical"))
+    return side.withColumn("s_hypothesis", F.coalesce("s_hypothesis", "s_text")).drop("s_text")
+
+
+def validate_asr_evidence(require_audio_sha: bool = False, archived: bool = False) -> Column:
+    """First failing rule of a joined row, or null: columns ``s_*`` of the secondary, ``text`` and ``audio_sha256`` of the primary.
+
+    ``archived``: results without a status count if they carry their own error rate.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     rule = (
         F.when(F.col("s_id").isNull(), "secondary_asr_missing")
-        .when(F.col("s_status").isNotNull() & ~F.col("s_status").isin("ok", "success"), "secondary_asr_failed")
-        .when(F.col("s_status").isNull(), "secondary_asr_status_missing")
-        .when(F.col("s_hypothesis").isNull(), "secondary_hypothesis_missing")
+        .when(F.col("s_status").isNotNull() & ~F.col("s_status").isin(*SUCCEEDED), "secondary_asr_failed")
+        .when(given("s_error"), "secondary_asr_error")
     )
+    if archived:
+        rule = rule.when(F.col("s_status").isNull() & F.col("s_canonical").isNull(), "archived_asr_requires_canonical_evidence")
+    else:
+        rule = rule.when(F.col("s_status").isNull(), "secondary_asr_status_missing")
+    rule = rule.when(F.col("s_hypothesis").isNull(), "secondary_transcript_missing")
+    rule = rule.when(F.col("s_reference").isNotNull() & ~F.col("s_reference").eqNullSafe(F.col("text")), "primary_transcript_binding_mismatch")
+    both = given("s_audio_sha256") & given("audio_sha256")
     if require_audio_sha:
-        rule = rule.when(F.col("s_audio_sha256").isNull(), "secondary_audio_sha_missing")
-    return rule.when(F.col("s_audio_sha256").isNotNull() & (F.col("s_audio_sha256") != F.col("audio_sha256")), "secondary_audio_sha_mismatch")
+        rule = rule.when(~both, "audio_sha256_required")
+    return rule.when(both & (F.col("s_audio_sha256") != F.col("audio_sha256")), "audio_sha256_mismatch")
+
 
+def validate_archived_rate(d: Column) -> Column:
+    """Reason where the archived error rate isn't the disagreement that was computed anew."""
+    cer = F.col("s_canonical.cer")
+    near = F.abs(d - cer) <= F.greatest(F.greatest(F.abs(d), F.abs(cer)) * 1e-10, F.lit(1e-12))
+    return F.when(F.col("s_canonical").isNotNull(), F.when(cer.isNull(), "invalid_canonical_evidence").when(F.isnan(cer) | ~near, "archived_cer_disagrees_with_recomputed_transcripts"))
 
-def weight_manifest(primary: DataFrame, secondary: DataFrame | None = None, gamma: float = 3.0, w_min: float = 0.1, on_asr_error: str = "exclude", require_audio_sha: bool = False, ascii_only: bool = False) -> DataFrame:
+
+def weight_manifest(primary: DataFrame, secondary: DataFrame | None = None, gamma: float = 3.0, w_min: float = 0.1, on_asr_error: str = "fail", require_audio_sha: bool = False, asr_format: str = "status", unique: bool = True) -> DataFrame:
     """``primary`` with ``reason`` (null: accepted), ``disagreement``, ``pseudo_label_weight`` and ``secondary_model``.
 
     Without ``secondary`` (synthetic pairs) the weight is 1. An empty hypothesis is a full disagreement; a
-    missing or failed one is a reason. Only the join's columns of the secondary are shuffled. With
-    ``on_asr_error="fail"`` a bad row raises when it's computed. ``loss_weight``, where present, follows.
+    missing or failed one is a reason, or raises when it's computed with ``on_asr_error="fail"``. A null primary text
+    raises always. Ids that repeat on a side raise here (``unique``). Only the join's columns of the secondary are
+    shuffled. ``loss_weight``, where present, follows the weight.
     """
-    norm = lambda c: scoring.normalize_for_scoring(c, ascii_only)
-    rows = primary.withColumn("_p", norm(F.col("text")))
-    empty = F.when(F.coalesce(F.length("_p"), F.lit(0)) == 0, "empty_normalized_primary")
+    if on_asr_error not in ("fail", "exclude") or asr_format not in ("status", "archived"):
+        raise ValueError("on_asr_error is fail or exclude, asr_format status or archived")
+    if unique:
+        assert_unique(primary, what="primary")
+    rows = primary.withColumn("_p", scoring.normalize_for_scoring(F.col("text")))
+    empty = F.when(F.col("text").isNull(), F.raise_error(F.concat(F.col("id").cast("string"), F.lit(": primary transcript must be a string")))).when(F.length("_p") == 0, "empty_normalized_primary")
     if secondary is None:
-        out = rows.withColumns({"reason": empty, "disagreement": F.lit(None).cast("double"), "secondary_model": F.lit(None).cast("string"), "pseudo_label_weight": F.when(empty.isNull(), 1.0)})
+        out = rows.withColumn("reason", empty).withColumns({"disagreement": F.lit(None).cast("double"), "secondary_model": F.lit(None).cast("string"), "pseudo_label_weight": F.when(F.col("reason").isNull(), 1.0)})
     else:
-        side = secondary.select(*(F.col(c).alias(f"s_{c}") for c in ("id", "status", "hypothesis", "audio_sha256", "model_id")))
-        rows = rows.join(side, rows.id == side.s_id, "left").withColumn("_s", norm(F.col("s_hypothesis")))
-        reason = F.coalesce(empty, validate_asr_evidence(require_audio_sha))
-        d = F.when(F.col("reason").isNull(), scoring.disagreement(F.col("_p"), F.col("_s")))
-        rows = rows.withColumn("reason", reason if on_asr_error == "exclude" else F.when(empty.isNotNull(), empty).when(reason.isNotNull(), F.raise_error(F.concat_ws(": ", "id", reason))))
-        rows = rows.withColumn("disagreement", d)
-        out = rows.withColumns({"pseudo_label_weight": F.when(F.col("reason").isNull(), scoring.reliability_weight(F.col("disagreement"), gamma, w_min)), "secondary_model": F.when(F.col("reason").isNull(), F.coalesce("s_model_id", F.lit("unspecified")))})
+        if unique:
+            assert_unique(secondary, what="secondary")
+        if "audio_sha256" not in rows.columns:
+            rows = rows.withColumn("audio_sha256", F.lit(None).cast("string"))
+        side = asr_side(secondary)
+        out = weigh_joined(rows.join(side, rows.id.cast("string") == side.s_id, "left"), empty, gamma, w_min, on_asr_error, require_audio_sha, asr_format)
     if "loss_weight" in primary.columns:
         out = out.withColumn("loss_weight", F.coalesce("pseudo_label_weight", "loss_weight"))
     return out.select(*primary.columns, "reason", "disagreement", "pseudo_label_weight", "secondary_model")
 
 
+def weigh_joined(rows: DataFrame, empty: Column, gamma: float, w_min: float, on_asr_error: str, require_audio_sha: bool, asr_format: str) -> DataFrame:
+    """Reason, disagreement, weight and model of rows that hold both sides: text and ``_p`` of the primary, ``s_*`` of the secondary."""
+    rows = rows.withColumn("_s", scoring.normalize_for_scoring(F.col("s_hypothesis")))
+    first = F.coalesce(empty, validate_asr_evidence(require_audio_sha, asr_format == "archived"))
+    rows = rows.withColumn("reason", first).withColumn("disagreement", F.when(F.col("reason").isNull(), scoring.disagreement(F.col("_p"), F.col("_s"))))
+    reason = F.coalesce("reason", validate_archived_rate(F.col("disagreement")))
+    if on_asr_error == "fail":
+        stop = F.raise_error(F.concat_ws(": ", F.col("id").cast("string"), reason)).cast("string")
+        reason = F.when(reason.isNull() | (reason == "empty_normalized_primary"), reason).otherwise(stop)
+    rows = rows.withColumn("reason", reason).withColumn("disagreement", F.when(F.col("reason").isNull(), F.col("disagreement")))
+    fine = F.col("reason").isNull()
+    return rows.withColumns({"pseudo_label_weight": F.when(fine, scoring.reliability_weight(F.col("disagreement"), gamma, w_min)), "secondary_model": F.when(fine, F.coalesce("s_model_id", F.lit("unspecified")))})
+
+
+def reliability(stage: str = "R", gamma: float = 3.0, w_min: float = 0.1) -> Column:
+    """What is told of an accepted row's weight: struct of stage, weight, normalization, primary_text_unchanged and, for stage R, the rest."""
+    fields = [F.lit(stage).alias("stage"), F.col("pseudo_label_weight").alias("weight"), F.lit("NFC_drop_whitespace_PSC_codepoints").alias("normalization"), F.lit(True).alias("primary_text_unchanged")]
+    if stage == "R":
+        fields += [F.col("disagreement"), F.lit(gamma).alias("gamma"), F.lit(w_min).alias("w_min"), F.col("secondary_model")]
+    return F.struct(*fields)
+
+
 def unused_secondary(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return secondary.join(primary.select("id"), "id", "left_anti")
 
 
-def weight_report(weighted: DataFrame, w_min: float = 0.1) -> DataFrame:
-    """One row: counts and weight statistics of a weighted manifest (population deviation)."""
+def weight_report(weighted: DataFrame, w_min: float = 0.1, unused: DataFrame | None = None) -> DataFrame:
+    """One row: counts and weight statistics of a weighted manifest (population deviation), counts by reason and by model, and of ``unused`` results."""
     w = F.col("pseudo_label_weight")
-    return weighted.agg(
+    total = weighted.agg(
         F.count(F.lit(1)).alias("input_rows"), F.count(w).alias("accepted_rows"), F.count("reason").alias("excluded_rows"),
         F.avg(w).alias("mean"), F.stddev_pop(w).alias("population_std"), F.min(w).alias("min"), F.max(w).alias("max"),
         F.count_if(w == w_min).alias("at_floor"), F.count_if(w == 1).alias("at_one"),
     )
+    counts = weighted.groupBy("reason", "secondary_model").agg(F.count(F.lit(1)).alias("n"))
+
+    def by(column: str, name: str) -> DataFrame:
+        each = counts.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n"))
+        return each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
+
+    rest = F.lit(0).cast("long") if unused is None else None
+    out = total.crossJoin(by("reason", "exclusion_reasons")).crossJoin(by("secondary_model", "secondary_models"))  # a row each
+    return out.withColumn("unused_secondary_rows", rest) if unused is None else out.crossJoin(unused.agg(F.count(F.lit(1)).alias("unused_secondary_rows")))
 
 
 def reason_counts(df: DataFrame) -> DataFrame:
     return df.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def verify_manifest(weighted: DataFrame, gamma: float = 3.0, w_min: float = 0.1) -> DataFrame:
-    """Accepted rows whose weight isn't the one that their disagreement gives."""
-    return weighted.filter(F.col("reason").isNull() & (F.abs(F.col("pseudo_label_weight") - scoring.reliability_weight(F.col("disagreement"), gamma, w_min)) > 1e-12))
+def verify_manifest(weighted: DataFrame, stage: str = "R", gamma: float = 3.0, w_min: float = 0.1, accepted: int | None = None) -> DataFrame:
+    """id and reason of rows that break a published manifest: another stage, a weight that its disagreement doesn't give, an alias that differs;
+    with ``accepted`` also a row without id if the count differs.
+
+    ``weighted``: id, pseudo_label_weight, reliability (struct of stage and disagreement) and, where there, loss_weight.
+    """
+    expected = F.lit(1.0) if stage == "S" else scoring.reliability_weight(F.col("reliability.disagreement"), gamma, w_min)
+    near = F.abs(F.col("pseudo_label_weight") - expected) <= F.greatest(F.greatest(F.abs("pseudo_label_weight"), F.abs(expected)) * 1e-12, F.lit(1e-12))
+    rule = F.when(~F.col("reliability.stage").eqNullSafe(F.lit(stage)), "manifest_mixes_stages").when(~F.coalesce(near, F.lit(False)), "weight_violates_formula")
+    if "loss_weight" in weighted.columns:
+        rule = rule.when(F.col("loss_weight").isNotNull() & (F.col("loss_weight") != F.col("pseudo_label_weight")), "conflicting_weight_aliases")
+    bad = weighted.select("id", rule.alias("reason")).filter("reason is not null")
+    if accepted is None:
+        return bad
+    count = weighted.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != accepted)
+    return bad.unionByName(count.select(F.lit(None).cast(weighted.schema["id"].dataType).alias("id"), F.lit("manifest_count_mismatch").alias("reason")))
 
 
 def weighted_example_mean(df: DataFrame, keys: list[str], weight: str, loss: str) -> DataFrame:
@@ -82,5 +158,12 @@ def weighted_example_mean(df: DataFrame, keys: list[str], weight: str, loss: str
 
 
 def disagreement_calibration(df: DataFrame, d: str = "disagreement", error: str = "label_cer", step: float = 0.1) -> DataFrame:
-    """Mean label error by bucket of disagreement."""
-    return df.groupBy(F.least(F.floor(F.col(d) / step), F.lit(10)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error"), F.avg(d).alias("mean_d"))
+    """Mean label error by bucket of disagreement, and the bucket's share of wrong labels (``wrong``)."""
+    wrong = F.avg((F.col(error) > 0).cast("double"))
+    return df.groupBy(F.least(F.floor(F.col(d) / step), F.lit(10)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error"), F.avg(d).alias("mean_d"), wrong.alias("wrong"))
+
+
+def agreement_of_wrong(df: DataFrame, d: str = "disagreement", error: str = "label_cer") -> DataFrame:
+    """One row: Pearson's correlation of disagreement and label error, and the share of rows whose transcripts are identical but wrong."""
+    same = ((F.col(d) == 0) & (F.col(error) > 0)).cast("double")
+    return df.agg(F.corr(d, error).alias("pearson"), F.avg(same).alias("identical_but_wrong"), F.count(F.lit(1)).alias("n"))

@@ -31,26 +31,89 @@ def read_shard_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(need.alias("p")).select(get(1).alias("audio"), get(2).alias("labels"), get(3).try_cast("long").alias("count"), get(4).try_cast("double").alias("seconds"))
 
 
+#: Fields of a test list; all but the first two may be missing.
+TEST_LIST = "id string, text string, ref_audio string, ref_text string, language_id string, language_name string, duration double, speed double, instruct string"
+
+
+def read_manifest_lenient(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a test list; lines that aren't JSON objects are left out, fields that a line lacks are null."""
+    return read_manifest(spark, path, TEST_LIST, strict=False)
+
+
+def read_shard_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all label files that a shard list names, with ``labels``, the file. Relative names are resolved against the list's folder."""
+    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    resolved = F.when(F.col("labels").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), F.col("labels")).otherwise(F.concat(F.lit(folder + "/"), "labels"))
+    files = [r[0] for r in read_shard_list(spark, path).select(resolved).distinct().collect()]  # names of shards
+    if not files:
+        return spark.createDataFrame([], StructType.fromDDL(schema).add("labels", "string"))
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(files).withColumn("labels", F.input_file_name())
+
+
 def first_present(df: DataFrame, names: list[str]) -> Column:
     """First non-null, non-empty value of the columns of ``names`` that the frame has."""
-    found = [F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in df.columns]
+    found = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 #: Accepted names of a record's fields, in order of preference.
 ALIASES = {
-    "audio_path": ["audio_path", "audio", "wav", "path"],
-    "text": ["text", "spoken_text", "final_text", "transcript", "sentence"],
-    "speaker_id": ["speaker_id", "speaker", "voice", "spk_id", "local_speaker_id"],
-    "id": ["id", "item_id", "utt_id", "target_id"],
+    "audio_path": ["audio_path", "wav_path", "audio", "path"],
+    "text": ["spoken_text", "text", "final_text", "transcript", "sentence"],
+    "speaker_id": ["local_speaker_id", "speaker_id", "speaker", "spk_id", "voice"],
+    "id": ["id", "utt_id", "audio_id", "key"],
+    "duration": ["audio_duration", "duration", "duration_sec", "alignment_audio_duration_sec"],
 }
 
 
 def normalize_record(df: DataFrame) -> DataFrame:
-    """Columns of the fixed names, and ``reason`` where audio, text or speaker is missing."""
-    out = df.select(*(first_present(df, names).alias(k) for k, names in ALIASES.items()), *(F.col(c) for c in df.columns if c not in ALIASES))
-    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), f"missing_{c}") for c in ("audio_path", "text", "speaker_id"))))
-    return out.withColumn("reason", F.when(F.size(missing) > 0, F.array_join(missing, ",")))
+    """Columns of the fixed names (texts trimmed, duration a number), and ``reason``, the first of audio, text and speaker that is missing."""
+    blank = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    found = {k: first_present(df, names) for k, names in ALIASES.items()}
+    fixed = [blank(found[k]).alias(k) for k in ("audio_path", "text", "speaker_id")] + [found["id"].alias("id"), found["duration"].try_cast("double").alias("duration")]
+    out = df.select(*fixed, *(F.col(c) for c in df.columns if c not in ALIASES))
+    return out.withColumn("reason", F.coalesce(*(F.when(F.col(c).isNull(), f"missing_{c}") for c in ("audio_path", "text", "speaker_id"))))
+
+
+def check_weight_conflict(df: DataFrame, source_weight: float | None = None) -> DataFrame:
+    """``loss_weight`` of each row, and ``weight_error`` where the row's own weight isn't the source's, or the weight isn't in (0, 1]."""
+    own = F.coalesce(*(F.col(c).cast("double") for c in ("pseudo_label_weight", "loss_weight") if c in df.columns), F.lit(None).cast("double"))
+    weight = F.lit(float(source_weight)) if source_weight is not None else F.coalesce(own, F.lit(1.0))
+    conflict = (F.abs(own - F.lit(source_weight)) > 1e-12) if source_weight is not None else F.lit(False)
+    wrong = F.isnan(weight) | (weight <= 0) | (weight > 1)
+    return df.withColumn("weight_error", F.when(conflict, "source_weight_conflict").when(wrong, "weight_out_of_range")).withColumn("loss_weight", weight)
+
+
+def filter_source_records(df: DataFrame, languages: list[str] | None = None, split: str | None = None, min_duration: float = 0.4, max_duration: float = 20.0) -> DataFrame:
+    """Rows of the languages and the split whose duration is in bounds or unknown. Rows without a language are ``my``, without a split ``train``."""
+    have = lambda names, default: F.coalesce(*(F.col(c) for c in names if c in df.columns), F.lit(default))
+    rows = df.filter(F.col("duration").isNull() | F.col("duration").between(min_duration, max_duration))
+    if languages:
+        rows = rows.filter(have(("language_id", "lang"), "my").isin(*languages))
+    return rows.filter(have(("split",), "train") == split) if split else rows
+
+
+def unwrap_label(df: DataFrame, label: str = "label") -> DataFrame:
+    """Fields of the struct ``label`` in place of the row's own ones; rows without it keep theirs."""
+    if label not in df.columns:
+        return df
+    inner = [f.name for f in df.schema[label].dataType.fields]
+    within = F.col(label).isNotNull()
+    pick = {n: F.when(within, F.col(f"{label}.`{n}`")).otherwise(F.col(n)) if n in df.columns else F.col(f"{label}.`{n}`") for n in inner}
+    return df.select(*(pick[c].alias(c) if c in pick else F.when(within, F.lit(None)).otherwise(F.col(c)).alias(c) if c in ("text", "loss_weight", "pseudo_label_weight") else F.col(c) for c in df.columns if c != label), *(v.alias(k) for k, v in pick.items() if k not in df.columns))
+
+
+def normalize_interval(df: DataFrame) -> DataFrame:
+    """``start_ms``, ``end_ms`` (whole milliseconds, half to even) from start (seconds), start_ms or start_time, and ``interval_error``."""
+
+    def bound(name: str) -> Column:
+        cols = [F.col(name).cast("double") * 1000] * (name in df.columns) + [F.col(f"{name}_{k}").cast("double") for k in ("ms", "time") if f"{name}_{k}" in df.columns]
+        return F.coalesce(*cols) if cols else F.lit(None).cast("double")
+
+    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf")) | (c < 0)
+    start, end = bound("start"), bound("end")
+    error = F.when(start.isNull(), "start_missing").when(end.isNull(), "end_missing").when(bad(start) | bad(end), "bound_invalid").when(end <= start, "end_not_after_start")
+    return df.withColumns({"start_ms": F.bround(F.when(error.isNull(), start)).cast("long"), "end_ms": F.bround(F.when(error.isNull(), end)).cast("long"), "interval_error": error})
 
 
 def resolve_row_id(df: DataFrame) -> DataFrame:
@@ -60,6 +123,50 @@ def resolve_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.when(a.isNotNull() & b.isNotNull() & (a != b), F.raise_error(F.lit("id and target_id differ"))).when(key.isNull(), F.raise_error(F.lit("a row has no id"))).otherwise(key))
 
 
+def locate_sidecar(recordings: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """``sidecar`` path of each recording (video_id, name): the file named by its id, else by its stem; ``sidecar_error`` where there's none."""
+    base = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    files = sidecars.select(F.col("path").alias("_path"), base(F.element_at(F.split("path", "/"), -1)).alias("_base")).groupBy("_base").agg(F.min("_path").alias("_path"))
+    side = lambda k: files.select(F.col("_base").alias(f"_b{k}"), F.col("_path").alias(f"_p{k}"))
+    out = recordings.join(side(1), F.col("video_id") == F.col("_b1"), "left").join(side(2), base(F.col("name")) == F.col("_b2"), "left")
+    found = F.coalesce("_p1", "_p2")
+    return out.select(*recordings.columns, found.alias("sidecar"), F.when(found.isNull(), "sidecar_missing").alias("sidecar_error"))
+
+
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of a row's fields: length and value of each, in the order of the names; null is told from empty."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.sha2(F.concat_ws("|", *(part(c) for c in sorted(columns))), 256)
+
+
+def manifest_checksum(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """rows, checksum: of the table, whatever the order of its rows. Equal rows count each, so a copy more changes it."""
+    h = row_hash(df, columns or df.columns)
+    half = lambda k: F.sum(F.conv(F.substring(h, k, 15), 16, 10).cast("decimal(38,0)"))
+    total = df.agg(F.count(F.lit(1)).alias("rows"), half(1).alias("a"), half(16).alias("b"), half(31).alias("c"), half(46).alias("d"))
+    return total.select("rows", F.sha2(F.concat_ws(":", "rows", *(F.coalesce(F.col(k), F.lit(0)).cast("string") for k in "abcd")), 256).alias("checksum"))
+
+
+def reconcile_published(expected: DataFrame, present: DataFrame, name: str = "name", digest: str = "sha256") -> DataFrame:
+    """name and action for each file that should be or is in a published folder: add, keep, replace (other bytes) or delete."""
+    a = expected.select(F.col(name).alias("_a"), F.col(digest).alias("_x"))
+    b = present.select(F.col(name).alias("_b"), F.col(digest).alias("_y"))
+    both = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
+    action = F.when(F.col("_b").isNull(), "add").when(F.col("_a").isNull(), "delete").when(F.col("_x").eqNullSafe(F.col("_y")), "keep").otherwise("replace")
+    return both.select(F.coalesce("_a", "_b").alias(name), action.alias("action"))
+
+
+def merge_run_outputs(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    """Rows of the JSON manifests of several runs, with ``run`` (the number of the folder in the order given) so that the order can be told."""
+    parts = [spark.read.schema(schema).option("mode", "FAILFAST").json(f).withColumn("run", F.lit(i)) for i, f in enumerate(folders)]
+    if not parts:
+        raise ValueError("no runs")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     """JSON lines in a new folder; raises where there's one already. Readers wait for its _SUCCESS."""
     df.write.mode("errorifexists").json(path)

@@ -12,15 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: File name endings of media.
-SUFFIXES = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "flv", "wav", "mp3", "m4a", "flac", "aac")
+SUFFIXES = ("mp4", "mov", "mkv", "webm", "m4v", "avi", "wav", "flac", "mp3", "m4a", "ogg", "opus")
 FLOOR_DB = -100.0
 
 
-def discover_media(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, name, length, content of media files below ``paths``, each path once."""
+def discover_media(spark: SparkSession, *paths: str, exclude: str | None = None) -> DataFrame:
+    """path, name, length, content of media files below ``paths``, each path once, but not below ``exclude``. Raises if there's none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.filter(ending.isin(*SUFFIXES)).dropDuplicates(["path"]).withColumn("name", F.element_at(F.split("path", "/"), -1)).select("path", "name", "length", "content")
+    found = files.filter(ending.isin(*SUFFIXES)).dropDuplicates(["path"])
+    if exclude:
+        found = found.filter(~F.contains("path", F.lit(exclude.rstrip("/") + "/")))
+    if found.select("path").isEmpty():
+        raise ValueError("no supported media files were found")
+    return found.withColumn("name", F.element_at(F.split("path", "/"), -1)).select("path", "name", "length", "content")
 
 
 def media_inventory(files: DataFrame) -> DataFrame:
