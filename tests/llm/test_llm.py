@@ -415,17 +415,58 @@ def test_each_mask_of_decontamination_decides(spark, monkeypatch):
         assert len(items.candidates(items.h, first)) == 0
 
 
+def licence_paragraphs(text, model):
+    """The scan by loops over lines."""
+    place = {g: i for i, g in enumerate(model.grams)}
+    runs, last = [], None
+    for k, line in enumerate((text or "").split("\n")):
+        words = licenses._words(line)
+        have = {place[g] for g in licenses._grams(words) if g in place}
+        if have and model.scores(words)[0] < 0.5:
+            if last is not None and k == last + 1:
+                runs[-1][1] |= have
+                runs[-1][2] += 1
+            else:
+                runs.append([k, have, 1])
+            last = k
+    out = []
+    for k, have, n in runs:
+        z = np.array(model.bias) + np.array([model.weights[i] for i in sorted(have)]).sum(0)
+        c, p = int(z.argmax()), float(1 / np.exp(z - z.max()).sum())
+        if model.classes[c] == licenses.NONE:
+            continue
+        near = any(2 * len(have & set(t)) >= min(len(t), len(have)) for t in model.templates[c])
+        out.append((k, n, model.classes[c] if c > 1 and p >= licenses.SURE and near else licenses.UNKNOWN, round(p, 6)))
+    return out
+
+
 def test_licenses(spark, docs, none):
     lines = ["Gewinn mit und ohne Zahl.", "the quick brown fox of the city is here", "this work was done under the tree"]
-    model = licenses.fit(lines)
-    said = [("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("licensed under cc by-nc 4.0", "cc-by-nc"), ("SPDX-License-Identifier: MPL-2.0", "mpl"), ("The driving licence and software conditions of redistribution", "unknown"), ("mit der und", None)]
-    df = spark.createDataFrame([(i, "first line\n" + t) for i, (t, _) in enumerate(said)], "doc_id long, text string")
-    got = {r.doc_id: [(x.line, x.family) for x in r.licenses] for r in licenses.scan(df, model).collect()}
-    assert got == {i: [(1, k)] if k else [] for i, (_, k) in enumerate(said)}
-    assert len(licenses.scan(docs, model).collect()) == len(odd_rows()) and licenses.scan(none, model).count() == 0
-    assert licenses.train(none).cues
+    ordinary = spark.createDataFrame([(x,) for x in lines * 3], "text string")
+    model = licenses.train(ordinary)
+    assert not {"the", "of", "is", "this", "under", "under the", "this work"} & set(model.grams) and {"redistribution", "general public"} <= set(model.grams)
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files, to deal in the\nSoftware without restriction, including without limitation the rights to\nuse, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"
+    said = [
+        ("Licensed under the Apache License, Version 2.0.", ["apache-2.0"]), ("Released under the MIT License.", ["mit"]), ("This work is licensed under the GNU General Public License, version 3.", ["gpl"]),
+        ("licensed under cc by-nc 4.0", ["cc-by-nc"]), ("SPDX-License-Identifier: MPL-2.0", ["mpl"]), (wrapped, ["mit"]), ("mit der und", []), ("a plain line\n\nand another", []),
+        ("Released under the MIT License.\n\nplain words\nLicensed under CC BY 4.0.", ["mit", "cc-by"]), ("This program is proprietary. Unauthorized copying is prohibited, all rights reserved.", ["unknown"]),
+    ]
+    df = spark.createDataFrame([(i, "first words here\n" + t, 1) for i, (t, _) in enumerate(said)], "doc_id long, text string, found int")
+    rows = licenses.scan(df, model).collect()
+    assert {r.doc_id: [x.family for x in r.licenses] for r in rows} == {i: k for i, (_, k) in enumerate(said)} and {r.found for r in rows} == {1}
+    assert [x.lines >= 3 for x in next(r for r in rows if r.doc_id == 5).licenses] == [True]
+    every = df.drop("found").unionByName(docs.select("doc_id", "text"))
+    got = sorted((r.text or "", [tuple(x) for x in r.licenses]) for r in licenses.scan(every, model).collect())
+    assert got == sorted((r.text or "", licence_paragraphs(r.text, model)) for r in every.collect()) and licenses.scan(none, model).count() == 0
+    assert licenses.train(none).grams
     plan = licenses.scan(df, model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    # Texts that the fit hasn't seen, and ordinary ones.
+    unseen = {k: many[-1] for k, many in licenses.TEMPLATES.items()}
+    best = {k: model.classes[int(model.scores(licenses._words(t)).argmax())] for k, t in unseen.items()}
+    assert sum(best[k] == k for k in best) >= 8
+    long_ = spark.createDataFrame([(0, "word " * 200_000 + "\nReleased under the MIT License.")], "doc_id long, text string")
+    assert [x.family for x in licenses.scan(long_, model).first().licenses] == ["mit"]
 
 
 def test_copies_do_not_change_samples(spark):
@@ -440,12 +481,12 @@ def test_copies_do_not_change_samples(spark):
 def test_copies_do_not_change_licences(spark):
     lines = ["the quick brown fox of the city is here", "this work was done under the tree", "Copyright of the Software", "and that is all for you"]
     few = spark.createDataFrame([(x,) for x in lines], "text string")
-    many = few.crossJoin(spark.range(50_000)).select("text")
-    model = licenses.train(few)
-    assert licenses.train(many) == model
-    assert "software" in model.cues and not {"the", "of", "is", "this", "all", "under"} & set(model.cues)
+    many = few.crossJoin(spark.range(20_000)).select("text")
+    grams = licenses.rare_grams(few)
+    assert licenses.rare_grams(many) == grams
+    assert "software" in grams and not {"the", "of", "is", "this", "all", "under"} & set(grams)
     rare = few.unionByName(spark.range(9_000).select(F.concat(F.lit("line "), "id").alias("text")))
-    assert "all" in licenses.train(rare).cues and "all" in licenses.train(rare, rare_lines=9_000).cues and "is" not in licenses.train(rare, rare_lines=9_000).cues
+    assert "all" in licenses.rare_grams(rare) and "is" not in licenses.rare_grams(rare, rare_lines=9_000)
 
 
 def test_chat(spark):
