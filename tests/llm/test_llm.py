@@ -319,6 +319,25 @@ def test_lz(spark, docs, none):
     lz.parse(data, {}, 0, ends, 0)
     assert ends == phrases(data)
 
+    # Likeness against the exact similarity of phrase sets, parsed by the plain definition.
+    def exact(a, b):
+        sets = []
+        for x in (a, b):
+            cut = [0, *phrases(x)]
+            sets.append({x[i:j] for i, j in zip(cut, cut[1:])} | {x[cut[-1] :]} - {b""})
+        return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    errors = []
+    for k in range(80):
+        a = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        cut = rng.randint(0, len(a))
+        b = a[:cut] + [rng.choice(words) for _ in range(len(a) - cut)]
+        a, b = " ".join(a).encode(), " ".join(b).encode()
+        errors.append(lz.likeness(lz.signature(a), lz.signature(b)) - exact(a, b))
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.16
+
 
 def test_toxicity_learns(spark):
     docs, labels = (shared.read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))

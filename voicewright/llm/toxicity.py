@@ -250,12 +250,15 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
-    """Labels with a null id or label, and texts that are null, are left out of the sample; contradicting labels all count."""
+    """Labels with a null id or label, and texts that are null, are left out of the sample; contradicting labels all count.
+
+    Ids that repeat give no more than ``toxic + clean`` rows in all.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.filter("label = 1").orderBy(*order).limit(toxic).unionAll(known.filter("label = 0").orderBy(*order).limit(clean))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label").orderBy(F.xxhash64("text"), "label").collect()  # at most toxic + clean labels
+    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label").orderBy(F.xxhash64("text"), "label").limit(toxic + clean).collect()
     return fit([r.text for r in rows], np.array([r.label for r in rows], int))
 
 
