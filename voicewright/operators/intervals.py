@@ -109,13 +109,13 @@ def overlap_flags(turns: DataFrame) -> DataFrame:
     return turns.join(hit.withColumn("overlapped", F.lit(True)), "id", "left").withColumn("overlapped", F.coalesce("overlapped", F.lit(False)))
 
 
-def flag_review_intervals(clips: DataFrame, review: DataFrame, least_ms: int = 500, least_ratio: float = 0.5) -> DataFrame:
-    """``needs_review``: one review interval covers min(least_ms, duration) and ``least_ratio`` of the clip."""
+def flag_review_intervals(clips: DataFrame, review: DataFrame, least_ms: int = 500, least_ratio: float = 0.5, review_all: bool = False) -> DataFrame:
+    """``needs_review``: one review interval covers min(least_ms, duration) and ``least_ratio`` of the clip; with ``review_all`` every clip does."""
     hits = interval_join(clips.select("id", "video_id", "start_ms", "end_ms"), review.select("video_id", "start_ms", "end_ms"))
     length = F.col("l_end_ms") - F.col("l_start_ms")
     bad = hits.filter((F.col("overlap") >= F.least(F.lit(least_ms), length)) & (F.col("overlap") / length >= least_ratio))
     found = bad.groupBy(F.col("l_id").alias("id")).agg(F.count(F.lit(1)).alias("matches"))
-    return clips.join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0))).withColumn("needs_review", F.col("matches") > 0)
+    return clips.join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0))).withColumn("needs_review", F.lit(True) if review_all else F.col("matches") > 0)
 
 
 def safe_padding(clips: DataFrame, turns: DataFrame, left_ms: int = 200, right_ms: int = 200) -> DataFrame:
