@@ -33,6 +33,22 @@ def test_scoring(spark):
     assert all(r.m == int.from_bytes(hashlib.sha256(r.k.encode()).digest(), "big") % r.n and int(r.u) == int.from_bytes(hashlib.sha256(r.k.encode()).digest()[:8], "big") for r in got)
 
 
+def test_composed_characters_need_no_composing(spark):
+    import unicodedata
+
+    inside = lambda c: any(a <= c <= b for a, b in scoring.COMPOSED)
+    seconds = set()
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if parts and not parts[0].startswith("<"):
+            seconds |= {int(x, 16) for x in parts[1:]}
+    safe = [c for c in range(0x110000) if inside(c)]
+    assert not [c for c in safe if c in seconds or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    said = ["é", "e\u0301", "가", "\u1100\u1161", "Å", "\u212b", None, "", "क\u093c", "a\u0323\u0302", "漢字かな"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", scoring.nfc(F.col("x")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [None if x is None else unicodedata.normalize("NFC", x) for x in said]
+
+
 PRIMARY = "id string, text string, audio_sha256 string, loss_weight double"
 RESULT = "id string, status string, error string, hypothesis string, reference string, audio_sha256 string, model_id string, canonical struct<cer:double>"
 

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Code points that NFC never changes and that never join the one before: Latin, punctuation, kana, Han, Hangul syllables.
+COMPOSED = ((0x0000, 0x02FF), (0x2002, 0x20CF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
 def nfc(text: Column) -> Column:
-    """Unicode NFC. ASCII needs none; Spark has no such function, so other texts take one Arrow call."""
+    """Unicode NFC. Texts of composed characters alone need none; Spark has no such function, so other texts take one Arrow call, and only these are sent."""
 
     def composed(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
+        return s.str.normalize("NFC") if s.notna().any() else s
 
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.pandas_udf(composed, StringType())(text))
+    loose = text.rlike("[^" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in COMPOSED) + "]")
+    return F.when(loose, F.pandas_udf(composed, StringType())(F.when(loose, text))).otherwise(text)
 
 
 def normalize_for_scoring(text: Column) -> Column:
