@@ -99,6 +99,7 @@ def _bucketed(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
+        told: set[bytes] = set()
         held, ids, size = [], [], 0
 
         def row(bucket: int, segs: np.ndarray) -> pa.RecordBatch:
@@ -136,7 +137,10 @@ def _bucketed(texts: DataFrame, buckets: int) -> DataFrame:
                     if not len(part):
                         continue
                     t = tid[a + i]
-                    if t in met:  # a copy: all of it repeats
+                    if t in told:
+                        continue
+                    if t in met:  # a copy: all of it repeats, which is told once
+                        told.add(t)
                         ids.append(t)
                         whole = np.zeros(1, _SEGMENT)
                         whole["r"], whole["own"] = offsets[a + i + 1] - offsets[a + i], len(ids) - 1
@@ -153,6 +157,7 @@ def _bucketed(texts: DataFrame, buckets: int) -> DataFrame:
                     held, ids, size = [], [], 0
             if len(met) > 1_000_000:
                 met.clear()
+                told.clear()
         if size:
             yield from flush()
 
