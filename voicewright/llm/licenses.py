@@ -109,7 +109,7 @@ _SPLIT = "[^a-z0-9]+"
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.split(_SPLIT, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    return [w for w in re.split(_SPLIT, text.lower()) if w]
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -193,17 +193,13 @@ def fit(grams: list[str], seed: int = 11, steps: int = 250) -> Model:
 # --- over the corpus ------------------------------------------------------------------------------
 
 
-def _lower(c: Column) -> Column:
-    """A-Z only, as the fit does."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _line_grams(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``gram``: a row for each word and word pair of ``line``."""
-    words = F.filter(F.split(_lower(F.col("line")), _SPLIT), lambda w: w != "")
-    pairs = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+def _line_grams(lines: DataFrame, keep: list[str], grams: list[str]) -> DataFrame:
+    """``keep`` and ``gram``: a row for each word and word pair of ``line`` that begins as one of ``grams``; a line's last pair is null."""
+    firsts = sorted({g.split(" ")[0] for g in grams})
+    words = F.split(F.trim(F.regexp_replace(F.lower("line"), _SPLIT, " ")), " ")
     split = lines.select(*keep, words.alias("w"))
-    return split.select(*keep, F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("gram"))
+    each = split.select(*keep, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p"))
+    return each.filter(F.col("p.a").isin(firsts)).select(*keep, F.explode(F.array("p.a", F.concat("p.a", F.lit(" "), "p.b"))).alias("gram"))
 
 
 def rare_grams(docs: DataFrame, column: str = "text", rare_lines: int = RARE_LINES) -> list[str]:
@@ -214,7 +210,7 @@ def rare_grams(docs: DataFrame, column: str = "text", rare_lines: int = RARE_LIN
     given = template_grams()
     lines = docs.select(F.explode(F.split(shared.text_or_empty(docs, column), "\n")).alias("line")).filter(~F.col("line").rlike("(?i)licen[sc]e|copyright|spdx"))
     known = docs.sparkSession.createDataFrame([(g,) for g in given], "gram string")
-    held = _line_grams(lines.withColumn("h", F.xxhash64("line")), ["h"]).join(F.broadcast(known), "gram")  # the templates' grams
+    held = _line_grams(lines.withColumn("h", F.xxhash64("line")), ["h"], given).join(F.broadcast(known), "gram")  # the templates' grams
     counts = {r.gram: r.n for r in held.groupBy("gram").agg(F.approx_count_distinct("h").alias("n")).collect()}
     total = lines.agg(F.approx_count_distinct(F.xxhash64("line"))).first()[0] or 0
     return [g for g in given if counts.get(g, 0) * rare_lines <= total]
@@ -237,9 +233,10 @@ def scan(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     rest = docs.drop("licenses")
     key, own = shared.fresh_name(rest, "text_id"), shared.fresh_name(rest, "found")
     text_id = F.md5(shared.text_or_empty(rest, column).cast("binary"))
-    lines = rest.select(text_id.alias("t"), F.posexplode(F.split(shared.text_or_empty(rest, column), "\n")).alias("line_no", "line"))
+    texts = rest.select(text_id.alias("t"), shared.text_or_empty(rest, column).alias("x"))  # the digest before lines are made
+    lines = texts.select("t", F.posexplode(F.split("x", "\n")).alias("line_no", "line"))
     features = docs.sparkSession.createDataFrame(list(enumerate(model.grams)), "feature int, gram string")
-    held = _line_grams(lines, ["t", "line_no"]).join(F.broadcast(features), "gram")  # the model's features
+    held = _line_grams(lines, ["t", "line_no"], model.grams).join(F.broadcast(features), "gram")  # the model's features
     per_line = held.groupBy("t", "line_no").agg(F.collect_set("feature").alias("features"))
 
     weights, zero = _constant(model.weights, "array<array<double>>"), _constant(model.bias, "array<double>")
