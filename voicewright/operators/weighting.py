@@ -114,20 +114,21 @@ def unused_secondary(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 def weight_report(weighted: DataFrame, w_min: float = 0.1, unused: DataFrame | None = None) -> DataFrame:
     """One row: counts and weight statistics of a weighted manifest (population deviation), counts by reason and by model, and of ``unused`` results."""
     w = F.col("pseudo_label_weight")
-    total = weighted.agg(
-        F.count(F.lit(1)).alias("input_rows"), F.count(w).alias("accepted_rows"), F.count("reason").alias("excluded_rows"),
-        F.avg(w).alias("mean"), F.stddev_pop(w).alias("population_std"), F.min(w).alias("min"), F.max(w).alias("max"),
-        F.count_if(w == w_min).alias("at_floor"), F.count_if(w == 1).alias("at_one"),
+    # A row has a reason or a model, so each group is one of these; all figures come from one pass over the rows.
+    each = weighted.groupBy("reason", "secondary_model").agg(
+        F.count(F.lit(1)).alias("n"), F.count(w).alias("k"), F.sum(w).alias("s"), F.sum(w * w).alias("q"), F.min(w).alias("low"), F.max(w).alias("high"), F.count_if(w == w_min).alias("floor"), F.count_if(w == 1).alias("one"),
     )
-    counts = weighted.groupBy("reason", "secondary_model").agg(F.count(F.lit(1)).alias("n"))
-
-    def by(column: str, name: str) -> DataFrame:
-        each = counts.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n"))
-        return each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
-
-    rest = F.lit(0).cast("long") if unused is None else None
-    out = total.crossJoin(by("reason", "exclusion_reasons")).crossJoin(by("secondary_model", "secondary_models"))  # a row each
-    return out.withColumn("unused_secondary_rows", rest) if unused is None else out.crossJoin(unused.agg(F.count(F.lit(1)).alias("unused_secondary_rows")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(c, "n")))))
+    mean = F.sum("s") / F.sum("k")
+    out = each.agg(
+        total("n").alias("input_rows"), total("k").alias("accepted_rows"), total(F.when(F.col("reason").isNotNull(), F.col("n"))).alias("excluded_rows"), mean.alias("mean"),
+        F.sqrt(F.greatest(F.sum("q") / F.sum("k") - mean * mean, F.lit(0.0))).alias("population_std"), F.min("low").alias("min"), F.max("high").alias("max"), total("floor").alias("at_floor"), total("one").alias("at_one"),
+        by("reason").alias("exclusion_reasons"), by("secondary_model").alias("secondary_models"),
+    )
+    if unused is None:
+        return out.withColumn("unused_secondary_rows", F.lit(0).cast("long"))
+    return out.crossJoin(unused.agg(F.count(F.lit(1)).alias("unused_secondary_rows")))  # a row each
 
 
 def reason_counts(df: DataFrame) -> DataFrame:
