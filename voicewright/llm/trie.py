@@ -10,7 +10,6 @@ Of the skeleton's nodes it gives partial aggregates, which are added up; texts t
 from __future__ import annotations
 
 import hashlib
-import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from . import shared
 
 UNIT = 24
 #: Bytes of paths that a range should have, ranges at most, and bytes of the splitters' paths at most.
-SHARD_BYTES, MOST_SHARDS, SKELETON_BYTES = 16_000_000, 4096, 8_000_000
+SHARD_BYTES, MOST_SHARDS, SKELETON_BYTES = 256_000, 4096, 8_000_000
 #: Finished nodes that an open node holds until its smallest member is known; beyond, they find it by a join.
 HELD = 1000
 _CLOSED, _OPEN, _PART, _OWNER, _END = range(5)
@@ -60,7 +59,7 @@ def splitters(paths: DataFrame, shards: int | None = None) -> list[Splitter]:
     """Bounds of about equal ranges, from the paths of least hash. Their bytes are bounded: long ones are cut to a prefix, which still bounds a range."""
     if shards is None:
         size = paths.agg(F.sum(F.octet_length("path") + 16)).first()[0] or 0
-        shards = min(MOST_SHARDS, max(1, math.ceil(size / SHARD_BYTES)))
+        shards = min(MOST_SHARDS, 2 + size // SHARD_BYTES)
     if shards < 2:
         return []
     cut = max(1, SKELETON_BYTES // (UNIT * shards)) * UNIT
