@@ -1,25 +1,29 @@
 """Personal data: four kinds found by rules, and a skip-chain conditional random field that adds to them.
 
-The rules give the base spans. The field's nodes are the tokens that hold a digit or an at sign. A
-node's own potential is a softmax over its shape; neighbouring tokens share a chain potential, and
-distant tokens that are equal, or end in the same seven digits, share a skip potential (each with the
-next such token, so edges grow with the text). Tokens in base spans are observed; loopy sum-product
-passes carry their labels over the edges until no message changes. A text without a base span has nothing
-observed and gets no span. A token outside all base spans becomes a span where its
-marginal is at least ``THRESHOLD`` and it has a skip edge. Base spans are never taken away.
+The rules give the base spans. The field's nodes are these, each as a whole, and all other tokens that hold a digit or an at sign. A
+node's own potential is a softmax over its shape; neighbouring nodes share a chain potential, and
+distant nodes that are equal, or end in the same seven digits, share a skip potential (each with the
+next such node, so edges grow with the text). Base spans are observed; loopy sum-product
+passes carry their labels over the edges until no message changes. A token outside all base spans becomes a span where its
+marginal is at least ``THRESHOLD`` and skip edges link it, over any number of them, with a base span of that kind; so nothing
+is added where nothing is observed. Base spans are never taken away.
 
 The potentials are fitted by the likelihood of the base labels of at most ``SAMPLE_ROWS`` distinct texts with a digit or
-an at sign, chosen by hash. A token that is linked, over skip edges, with one in a base span has no label of its own there:
-it's hidden, and summed out. The gradient is the difference of the expectations with the labels held and without, both
-from the same message passing.
+an at sign, chosen by hash. A token that is linked, over skip edges, with a base span has no label of its own there:
+it's hidden, and summed out. What such tokens are is learned from the same texts, in which each phone and card number is written once
+more in a way that the rules don't see, beside other numbers of that length, given the base spans. The gradient is the difference
+of the expectations with the labels held and without, both from the same message passing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,16 +111,16 @@ class Graph:
 
 
 def graph(text: str, base: dict[str, list[tuple[int, int]]]) -> Graph:
-    spans, tokens = [], []
+    nodes = [(a, b, k) for k, kind in enumerate(KINDS, 1) for a, b in base[kind]]
+    inside = sorted((a, b) for a, b, _ in nodes)
+    starts, reach = [a for a, _ in inside], list(accumulate((b for _, b in inside), max))
     for m in _TOKEN.finditer(text):
-        spans.append(m.span())
-        tokens.append(m[0])
-    labels = np.zeros(len(spans), np.int64)
-    starts = np.array([a for a, _ in spans], np.int64)
-    ends = np.array([b for _, b in spans], np.int64)
-    for k, kind in enumerate(KINDS, 1):
-        for a, b in base[kind]:
-            labels[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = k
+        k = bisect_left(starts, m.end())  # base spans that begin before the token's end
+        if not k or reach[k - 1] <= m.start():
+            nodes.append((*m.span(), 0))
+    nodes.sort()
+    spans, tokens = [(a, b) for a, b, _ in nodes], [text[a:b] for a, b, _ in nodes]
+    labels = np.array([k for _, _, k in nodes], np.int64)
     near = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] == 1]
     last: dict[str, int] = {}
     skip = []
@@ -202,29 +206,103 @@ def hidden_nodes(labels: np.ndarray, skip: np.ndarray) -> np.ndarray:
         near = now
 
 
+def linked_kinds(labels: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Nodes x labels: whether skip edges link the node, over any number of them, with an observed node of that label."""
+    there = np.zeros((len(labels), _N), bool)
+    there[np.flatnonzero(labels), labels[labels > 0]] = True
+    while True:
+        now = there.copy()
+        for a, b in skip:  # each edge to the next equal node, so a pass forth and one back settle a chain
+            now[b] |= now[a]
+        for a, b in skip[::-1]:
+            now[a] |= now[b]
+        if (now == there).all():
+            return now
+        there = now
+
+
+def rewritten(text: str, base: dict[str, list[tuple[int, int]]]) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with each number of its base spans written once more in another way, beside numbers of nobody's, and (place, label) of what's added."""
+    rng, out, told = random.Random(len(text)), [text], []
+    at = len(text)
+
+    def add(token: str, label: int) -> None:
+        nonlocal at
+        out.append(f" , {token}")
+        told.append((at + 3, label))
+        at += 3 + len(token)
+
+    for k, kind in enumerate(KINDS, 1):
+        for a, b in base[kind] if kind in ("card", "phone") else []:
+            digits = _NOT_DIGIT.sub("", text[a:b])
+            ways = {digits, digits[-10:], digits[-7:]} if kind == "phone" else {digits, "-".join(digits[i : i + 4] for i in range(0, len(digits), 4))}
+            for way in sorted(ways - {text[a:b]}):
+                add(way, k)
+                other = "".join(c if c == "-" else rng.choice("0123456789") for c in way)
+                for _ in range(rng.choice((1, 2))):
+                    add(other, 0)
+    return "".join(out), told
+
+
+@dataclass
+class Examples:
+    """Graphs put together: what's known of their nodes when labels are held, and when they aren't."""
+
+    x: np.ndarray
+    y: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+    held: np.ndarray
+    loose: np.ndarray
+
+    @classmethod
+    def of(cls, graphs: list[Graph], held: list[np.ndarray], loose: list[np.ndarray]) -> Examples:
+        at = np.cumsum([0, *(len(g.spans) for g in graphs)])
+        chain, skip = (np.concatenate([getattr(g, k) + a for g, a in zip(graphs, at)]) for k in ("chain", "skip"))
+        return cls(np.concatenate([g.shapes for g in graphs]), np.concatenate([g.labels for g in graphs]), chain, skip, np.concatenate(held), np.concatenate(loose))
+
+
+def examples(texts: list[str]) -> list[Examples]:
+    """Base labels against none known, and numbers written in another way (``rewritten``) against the base labels alone."""
+    plain, more = [], []
+    for t in texts:
+        base = base_spans(t)
+        if not len((g := graph(t, base)).spans):
+            continue
+        plain.append((g, ~hidden_nodes(g.labels, g.skip), np.zeros(len(g.spans), bool)))
+        again, told = rewritten(t, base)
+        if told:
+            g = graph(again, base)
+            observed, hidden = g.labels > 0, hidden_nodes(g.labels, g.skip)
+            at = {a: i for i, (a, _) in enumerate(g.spans)}
+            for place, label in told:
+                g.labels[at[place]], hidden[at[place]] = label, False
+            more.append((g, ~hidden, observed))
+    return [Examples.of(*map(list, zip(*part))) for part in (plain, more) if part]
+
+
 def fit(texts: list[str]) -> Field:
     """Likelihood fit on the base labels of ``texts``; without any, potentials that say nothing but agreement of equal tokens."""
-    graphs = [g for t in texts if len((g := graph(t, base_spans(t))).spans)]
     width = len(_shape("0"))
     field = Field(np.zeros((width, _N)), np.zeros((_N, _N)), np.eye(_N))
-    if not graphs:
+    every = examples(texts)
+    if not every:
         return Field(field.node, field.chain, 2.0 * np.eye(_N))
-    at = np.cumsum([0, *(len(g.spans) for g in graphs)])
-    x, y = np.concatenate([g.shapes for g in graphs]), np.concatenate([g.labels for g in graphs])
-    chain, skip = (np.concatenate([getattr(g, k) + a for g, a in zip(graphs, at)]) for k in ("chain", "skip"))
-    edges, seen = np.concatenate([chain, skip]), ~hidden_nodes(y, skip)
-    free = np.zeros(len(y), bool)
     parts = {"node": field.node, "chain": field.chain, "skip": field.skip}
-    scale = {"node": max(1, len(y)), "chain": max(1, len(chain)), "skip": max(1, len(skip))}
     first, second = {k: np.zeros_like(v) for k, v in parts.items()}, {k: np.zeros_like(v) for k, v in parts.items()}
     for step in range(1, EPOCHS + 1):
-        tables = field.tables(len(chain), len(skip))
-        held, held_pairs = pass_messages(field.own(x, y, seen), edges, tables, FIT_PASSES)
-        loose, loose_pairs = pass_messages(field.own(x, y, free), edges, tables, FIT_PASSES)
-        more = (held_pairs - loose_pairs)[len(chain) :].sum(0)
-        up = {"node": x.T @ (held - loose), "chain": (held_pairs - loose_pairs)[: len(chain)].sum(0), "skip": (more + more.T) / 2}
+        up = {k: np.zeros_like(v) for k, v in parts.items()}
+        for e in every:
+            edges, tables, n = np.concatenate([e.chain, e.skip]), field.tables(len(e.chain), len(e.skip)), len(e.chain)
+            held, held_pairs = pass_messages(field.own(e.x, e.y, e.held), edges, tables, FIT_PASSES)
+            loose, loose_pairs = pass_messages(field.own(e.x, e.y, e.loose), edges, tables, FIT_PASSES)
+            more = (held_pairs - loose_pairs)[n:].sum(0)
+            # Each set by its free nodes and edges.
+            up["node"] += e.x.T @ (held - loose) / max(1, (~e.loose).sum())
+            up["chain"] += (held_pairs - loose_pairs)[:n].sum(0) / max(1, n)
+            up["skip"] += (more + more.T) / 2 / max(1, len(e.skip))
         for k, v in parts.items():
-            g = up[k] / scale[k] - 2e-4 * v
+            g = up[k] - 2e-4 * v
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             v += 0.25 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
@@ -238,10 +316,10 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], field: Field)
     g = graph(text, base)
     if not len(g.skip) or g.labels[g.skip].all():
         return out
-    p = field.marginals(g)
+    p, linked = field.marginals(g), linked_kinds(g.labels, g.skip)
     for i in np.unique(g.skip):
         k = int(p[i].argmax())
-        if g.labels[i] == 0 and k and p[i, k] >= THRESHOLD:
+        if g.labels[i] == 0 and k and linked[i, k] and p[i, k] >= THRESHOLD:
             a, b = g.spans[i]
             core = text[a:b].strip(".,;:!?()[]{}<>\"'")
             a += text[a:b].find(core)
@@ -282,7 +360,10 @@ def find(docs: DataFrame, column: str = "text", field: Field | None = None) -> D
 
 
 def mask(docs: DataFrame, column: str = "text", field: Field | None = None) -> DataFrame:
-    """``docs`` with every span of ``column`` replaced by its kind in brackets; overlapping spans become one, of the first kind."""
+    """``docs`` with every span of ``column`` replaced by its kind in brackets; overlapping spans become one, of the first kind.
+
+    Null texts stay null, texts without a span stay as they are, and repeated rows are masked alike; all other columns are kept.
+    """
     shared.tune(docs.sparkSession)
     field = field or train(docs, column)
 
@@ -309,6 +390,7 @@ def mask(docs: DataFrame, column: str = "text", field: Field | None = None) -> D
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans. Null and empty texts have no spans; repeated rows are told alike."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     field = train(docs)
     shared.tune(spark)
