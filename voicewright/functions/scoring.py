@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,7 +21,8 @@ def nfc(text: Column) -> Column:
     def composed(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC") if s.notna().any() else s
 
-    loose = text.rlike("[^" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in COMPOSED) + "]")
+    # Texts of one byte a character need no search.
+    loose = (F.octet_length(text) != F.length(text)) & text.rlike("[^" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in COMPOSED) + "]")
     return F.when(loose, F.pandas_udf(composed, StringType())(F.when(loose, text))).otherwise(text)
 
 
@@ -27,9 +31,49 @@ def normalize_for_scoring(text: Column) -> Column:
     return F.regexp_replace(nfc(text), r"[\p{Z}\p{P}\p{S}\p{C}]", "")
 
 
+def distance(a: str, b: str) -> int:
+    """Edits of code points between two texts: a column of the table as one integer's bits, so a long pair costs its area over the machine's word (Myers 1999, Hyyro 2003)."""
+    if len(a) > len(b):
+        a, b = b, a
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    a, b = a[n:], b[n:]
+    n = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), len(a))
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = full, 0
+    for y in b:
+        same = where.get(y, 0)
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up, fall = less | (full & ~(across | more)), more & across
+        if up & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        up = (up << 1 | 1) & full
+        more, less = (fall << 1 & full) | (full & ~(down | up)), up & down
+    return score
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """``distance`` of two columns in Arrow batches; Spark's own takes a step for each pair of characters. Null where either is null."""
+
+    @F.arrow_udf("long")
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else distance(x, y) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.int64())
+
+    return run(a, b)
+
+
 def disagreement(primary: Column, secondary: Column) -> Column:
     """Code point edits over the primary's length, of normalised texts; may exceed 1. Equal and empty texts skip the distance."""
-    edits = F.when(primary == secondary, 0).when(F.length(secondary) == 0, F.length(primary)).otherwise(F.levenshtein(primary, secondary))
+    told = (primary != secondary) & (F.length(secondary) > 0) & (F.length(primary) > 0)
+    edits = F.when(primary == secondary, 0).when(F.length(secondary) == 0, F.length(primary)).when(F.length(primary) == 0, F.length(secondary)).otherwise(edit_distance(F.when(told, primary), F.when(told, secondary)))
     return edits / F.greatest(F.length(primary), F.lit(1))
 
 
@@ -46,7 +90,11 @@ def u64_of(text: Column) -> Column:
 
 
 def digest_mod(text: Column, n: Column) -> Column:
-    """The 256-bit SHA-256 digest modulo ``n`` (below 2**50), folded byte by byte."""
-    raw = F.sha2(text, 256)
-    byte = lambda i: F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("long")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(63), F.lit(2)), F.lit(0).cast("long"), lambda acc, i: (acc * 256 + byte(i)) % n)
+    """The 256-bit SHA-256 digest modulo ``n``; null where either is null. Whole Arrow batches: expressions have no integers of that width."""
+
+    @F.arrow_udf("long")
+    def folded(texts: pa.Array, ns: pa.Array) -> pa.Array:
+        out = [None if t is None or m is None else int.from_bytes(hashlib.sha256(t.encode()).digest()) % m for t, m in zip(texts.to_pylist(), ns.to_pylist())]
+        return pa.array(out, pa.int64())
+
+    return folded(text, n.cast("long"))

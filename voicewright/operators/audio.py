@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import scoring
-
-from .intervals import merge_intervals
+from . import scans
+from .intervals import interval_join, merge_intervals
+from .quiet import Pauses, quiet_parts
 
 
 def noise_threshold(frames: DataFrame, key: str, quantile: float = 0.2, margin_db: float = 6.0, low: float = -60.0, high: float = -20.0) -> DataFrame:
@@ -21,23 +22,44 @@ def noise_threshold(frames: DataFrame, key: str, quantile: float = 0.2, margin_d
     return frames.groupBy(key).agg(F.least(F.greatest(level, F.lit(low)), F.lit(high)).alias("threshold"))
 
 
-def energy_vad(frames: DataFrame, key: str, hop_ms: int = 10, min_silence_ms: int = 300, min_speech_ms: int = 250, pad_ms: int = 100, merge_gap_ms: int = 200) -> DataFrame:
-    """Speech segments (key, start_ms, end_ms, parts): frames at the threshold or above, enclosed silences of up to ``min_silence_ms`` bridged,
+def speech_runs(frames: DataFrame, key: str, hop_ms: int = 10, min_silence_ms: int = 300, min_speech_ms: int = 250, pad_ms: int = 100, merge_gap_ms: int = 200) -> DataFrame:
+    """Stretches of speech (key, start_ms, end_ms, parts): frames at the threshold or above, enclosed silences of up to ``min_silence_ms`` bridged,
     runs shorter than ``min_speech_ms`` dropped, the rest padded within the recording and joined over small gaps.
 
-    ``frames``: key, frame, rms_dbfs. Runs are islands of frame numbers, so no recording is gathered.
+    ``frames``: key, frame, rms_dbfs. Runs are islands of frame numbers, scanned in slices, so no recording is gathered.
     """
-    bridge = min_silence_ms // hop_ms
-    loud = frames.join(noise_threshold(frames, key), key).filter("rms_dbfs >= threshold")
-    order = Window.partitionBy(key).orderBy("frame")
-    fresh = F.when(F.col("frame") - F.lag("frame").over(order) - 1 <= bridge, 0).otherwise(1)
-    runs = loud.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bridge, at = min_silence_ms // hop_ms, scans.time_levels("frame", (65_536, 2_048))
+    loud = frames.join(noise_threshold(frames, key), key).filter("rms_dbfs >= threshold").select(key, "frame")
+    runs = scans.neighbours(loud, [key], at, ["frame"], before=["frame"])
+    runs = runs.withColumn("_f", F.when(F.col("frame") - F.col("prev_frame") - 1 <= bridge, 0).otherwise(1))
+    runs = scans.running(runs, [key], at, ["frame"], {"run": F.col("_f")}, "sum").withColumn("run", F.coalesce("run", F.lit(0)) + F.col("_f"))
     speech = runs.groupBy(key, "run").agg((F.min("frame") * hop_ms).alias("s"), ((F.max("frame") + 1) * hop_ms).alias("e")).filter(F.col("e") - F.col("s") >= min_speech_ms)
     ends = frames.groupBy(key).agg(((F.max("frame") + 1) * hop_ms).alias("limit"))
     padded = speech.join(ends, key).select(key, F.greatest(F.lit(0), F.col("s") - pad_ms).cast("long").alias("start_ms"), F.least("limit", F.col("e") + pad_ms).cast("long").alias("end_ms"))
     return merge_intervals(padded, [key], merge_gap_ms)
 
 
+def energy_vad(frames: DataFrame, key: str, hop_ms: int = 10, min_silence_ms: int = 300, min_speech_ms: int = 250, pad_ms: int = 100, merge_gap_ms: int = 200, pauses: Pauses = Pauses(), pause_ms: float = 180, penalty_db: float = 1.5) -> DataFrame:
+    """Speech segments: key, start_ms, end_ms, part, mean_dbfs, peak_dbfs and is_last (of its recording).
+
+    ``speech_runs``, of which those longer than ``pauses.most_ms`` are cut at sustained pauses (``part`` numbers the pieces of one run). Levels are of
+    the frames that a segment touches. ``frames``: key, frame, rms_dbfs and, where there, peak_dbfs.
+    """
+    runs = speech_runs(frames, key, hop_ms, min_silence_ms, min_speech_ms, pad_ms, merge_gap_ms).select(key, "start_ms", "end_ms")
+    own = runs.withColumn("_long", F.col("end_ms") - F.col("start_ms") > pauses.most_ms)
+    spans = own.filter("_long").select(F.struct(key, "start_ms").alias("span_id"), F.col(key).alias("video_id"), "start_ms", "end_ms")
+    levels = frames.select(F.col(key).alias("video_id"), (F.col("frame") * hop_ms).alias("at_ms"), F.col("rms_dbfs").alias("db"))
+    cut = quiet_parts(spans, levels, pauses, pause_ms, penalty_db).select(F.col(f"span_id.{key}").alias(key), "start_ms", "end_ms", "part")
+    segments = own.filter("not _long").select(key, "start_ms", "end_ms", F.lit(0).cast("long").alias("part")).unionByName(cut)
+    peak = F.col("peak_dbfs") if "peak_dbfs" in frames.columns else F.col("rms_dbfs")
+    heard = frames.select(key, (F.col("frame") * hop_ms).alias("start_ms"), ((F.col("frame") + 1) * hop_ms).alias("end_ms"), "rms_dbfs", peak.alias("peak"))
+    hits = interval_join(segments, heard, key)
+    told = hits.groupBy(F.col(f"l_{key}").alias("_key"), F.col("l_start_ms").alias("_start")).agg(F.round(F.avg("r_rms_dbfs"), 3).alias("mean_dbfs"), F.round(F.max("r_peak"), 3).alias("peak_dbfs"))
+    last = segments.groupBy(F.col(key).alias("_of")).agg(F.max("start_ms").alias("_last"))
+    out = segments.join(told, (F.col(key) == F.col("_key")) & (F.col("start_ms") == F.col("_start")), "left").join(last, F.col(key) == F.col("_of"))
+    return out.select(key, "start_ms", "end_ms", "part", "mean_dbfs", "peak_dbfs", (F.col("start_ms") == F.col("_last")).alias("is_last"))
+
+
 def audio_quality(clips: DataFrame, key: str = "item_id") -> DataFrame:
     """key, reasons, clipped_ratio, snr_db of clips with ``rate`` and ``samples`` (-1 to 1).
 

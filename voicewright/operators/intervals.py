@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import scans
+
 SPAN_MS = 30_000
 
 
@@ -30,11 +32,16 @@ def interval_join(left: DataFrame, right: DataFrame, key: str = "video_id", span
 
 
 def islands(df: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
-    """``island`` number within ``keys``: a new one begins where the gap to all earlier ends exceeds ``gap_ms``."""
-    order = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
-    reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start_ms") - reach > gap_ms), 1).otherwise(0)
-    return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    """``island`` number within ``keys``: a new one begins where the gap to all earlier ends exceeds ``gap_ms``.
+
+    A key's rows are scanned by time slices, so a hot recording is many groups.
+    """
+    at = scans.time_levels("start_ms")
+    rows = scans.running(df, keys, at, ["start_ms", "end_ms"], {"_reach": F.col("end_ms")})
+    rows = rows.withColumn("_fresh", F.when(F.col("_reach").isNull() | (F.col("start_ms") - F.col("_reach") > gap_ms), 1).otherwise(0))
+    # Of equal intervals the one that begins an island comes first.
+    rows = scans.running(rows, keys, at, ["start_ms", "end_ms", F.desc("_fresh")], {"island": F.col("_fresh")}, "sum")
+    return rows.withColumn("island", (F.coalesce("island", F.lit(0)) + F.col("_fresh")).cast("long")).drop("_reach", "_fresh")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], gap_ms: int = 0) -> DataFrame:
@@ -58,20 +65,24 @@ OVERLAP_LABELS = ("OVERLAP", "OVL")
 def label_speakers(candidates: DataFrame, turns: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
     """Speaker with most overlap for each candidate (ties by label), the least confidence of the speaker's turns, and a crosstalk flag.
 
-    ``turns``: video_id, start_ms, end_ms, speaker and, where there, confidence (0 to 1), confidence_source and state. Turns
+    ``turns``: video_id, start_ms, end_ms, speaker and, where there, confidence (0 to 1), confidence_source, state, speaker_ids (a turn of several
+    speakers counts whole for each of them, whatever its state), overlap and overlap_detected. Turns
     without a speaker or of state unknown or unassigned name nobody. No evidence: ``unknown`` with confidence 0. The flag is set
-    where the runner-up has at least max(100 ms, 15 % of the winner's), a turn of state overlap meets the candidate, or
+    where the runner-up has at least max(100 ms, 15 % of the winner's), a turn of state overlap or flagged so meets the candidate, or
     ``overlaps`` (intervals of crosstalk) cover more than max(20 ms, 2 % of it).
     """
     own = candidates.select("id", "video_id", "start_ms", "end_ms")
     have = lambda c, kind: F.col(c).cast(kind) if c in turns.columns else F.lit(None).cast(kind)
     state = F.lower(F.trim(F.coalesce(have("state", "string"), F.lit(""))))
-    name = F.trim(F.coalesce(F.col("speaker"), F.lit("unknown")))
-    who = F.when((name != "") & (name != "unknown") & ~state.isin("unknown", "unassigned"), name)
+    name = F.trim(F.coalesce(F.col("speaker"), F.lit("unknown"))) if "speaker" in turns.columns else F.lit("unknown")
+    one = F.when((name != "") & (name != "unknown") & ~state.isin("unknown", "unassigned"), F.array(name)).otherwise(F.array().cast("array<string>"))
+    several = have("speaker_ids", "array<string>")
+    who = F.when(several.isNotNull(), F.filter(F.transform(several, lambda x: F.trim(x)), lambda x: x != "")).otherwise(one)
     sure = have("confidence", "double")
     sure = F.when(~F.isnan(sure) & (F.abs(sure) != float("inf")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)))
     source = F.coalesce(F.nullif(F.trim(have("confidence_source", "string")), F.lit("")), F.when(sure.isNotNull(), "turn_confidence").otherwise("unavailable"))
-    said = turns.select("video_id", "start_ms", "end_ms", who.alias("speaker"), sure.alias("sure"), source.alias("source"), (state == "overlap").alias("crossed"))
+    flagged = F.coalesce(have("overlap", "boolean"), F.lit(False)) | F.coalesce(have("overlap_detected", "boolean"), F.lit(False))
+    said = turns.select("video_id", "start_ms", "end_ms", F.explode_outer(who).alias("speaker"), sure.alias("sure"), source.alias("source"), ((state == "overlap") | flagged).alias("crossed"))
     hits = interval_join(own, said)
     sources = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("r_sure").isNotNull(), F.struct("r_start_ms", "r_end_ms", "r_source")))), lambda x: x["r_source"]))
     each = hits.groupBy(F.col("l_id").alias("id"), F.col("r_speaker").alias("speaker")).agg(F.sum("overlap").alias("ms"), F.min("r_sure").alias("sure"), sources.alias("sources"), F.max("r_crossed").alias("crossed"))
@@ -133,25 +144,30 @@ def safe_padding(clips: DataFrame, turns: DataFrame, left_ms: int = 200, right_m
 def group_candidates(df: DataFrame, max_duration_ms: int = 15_000, max_gap_ms: int = 700) -> DataFrame:
     """``group_id`` of consecutive candidates of one speaker: gaps up to ``max_gap_ms``, span from the group's start up to ``max_duration_ms``, none overlapped.
 
-    ``group_id`` is the recording with the id of the group's first candidate. The span rule is greedy, so rows are read in
-    time order, one after the other, with the open group alone kept; no recording is gathered.
+    ``group_id`` is the recording with the id of the group's first candidate. Recordings are first cut where no span matters
+    (speaker, gap, overlap), by a scan in time slices. The span rule is greedy, so rows of such a stretch of
+    unbroken speech are read in time order, one after the other, with the open group alone kept.
     """
-    order = ["video_id", "start_ms", "end_ms", "id"]
-    names = [*order, "speaker", "overlapped"]
+    order = ["start_ms", "end_ms", "id"]
+    at = scans.time_levels("start_ms")
+    rows = scans.neighbours(df, ["video_id"], at, order, before=["end_ms", "speaker", "overlapped"])
+    fresh = F.col("prev_end_ms").isNull() | ~F.col("speaker").eqNullSafe(F.col("prev_speaker")) | F.coalesce("prev_overlapped", F.lit(False)) | F.coalesce("overlapped", F.lit(False)) | (F.col("start_ms") - F.col("prev_end_ms") > max_gap_ms)
+    rows = rows.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int")).drop("prev_end_ms", "prev_speaker", "prev_overlapped")
+    rows = scans.running(rows, ["video_id"], at, order, {"_stretch": F.col("_fresh")}, "sum").withColumn("_stretch", F.coalesce("_stretch", F.lit(0)) + F.col("_fresh"))
+    names = ["video_id", "_stretch", *order]
     schema = StructType([*df.schema.fields, StructField("group_id", StringType())])
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, begin, first, last, who, crossed = None, 0, None, 0, None, True
+        of, begin, first = None, 0, None
         for batch in batches:
             out = []
-            for v, s, e, i, speaker, overlapped in zip(*(batch.column(n).to_pylist() for n in names)):
-                if v != video or first is None or speaker != who or crossed or overlapped or s - last > max_gap_ms or e - begin > max_duration_ms:
-                    begin, first = s, f"{v}-{i}"
-                video, last, who, crossed = v, e, speaker, overlapped
+            for v, stretch, s, e, i in zip(*(batch.column(n).to_pylist() for n in names)):
+                if first is None or of != (v, stretch) or e - begin > max_duration_ms:
+                    of, begin, first = (v, stretch), s, f"{v}-{i}"
                 out.append(first)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "group_id"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), pa.array(out, pa.string())], names=schema.names)
 
-    return df.repartition("video_id").sortWithinPartitions(*order).mapInArrow(greedy, schema)
+    return rows.drop("_fresh").repartition("video_id", "_stretch").sortWithinPartitions(*names).mapInArrow(greedy, schema)
 
 
 def window_expand(df: DataFrame, window_ms: int = 10_000, hop_ms: int = 5_000) -> DataFrame:
@@ -165,7 +181,8 @@ def window_expand(df: DataFrame, window_ms: int = 10_000, hop_ms: int = 5_000) -
 def atoms(df: DataFrame) -> DataFrame:
     """Cut each recording at every border; state of each piece by its distinct active speakers: single, overlap or unknown."""
     edges = df.select("video_id", F.explode(F.array("start_ms", "end_ms")).alias("start_ms")).distinct()
-    pieces = edges.withColumn("end_ms", F.lead("start_ms").over(Window.partitionBy("video_id").orderBy("start_ms"))).filter("end_ms is not null")
+    pieces = scans.neighbours(edges, ["video_id"], scans.time_levels("start_ms"), ["start_ms"], behind=["start_ms"])
+    pieces = pieces.withColumnRenamed("next_start_ms", "end_ms").filter("end_ms is not null")
     pieces = pieces.withColumn("id", F.concat_ws("-", "video_id", "start_ms"))
     hits = interval_join(pieces, df.select("video_id", "start_ms", "end_ms", "speaker"))
     who = hits.groupBy(F.col("l_id").alias("id")).agg(F.array_sort(F.collect_set("r_speaker")).alias("speakers"))
@@ -173,31 +190,63 @@ def atoms(df: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.size("speakers") == 0, "unknown").when(F.size("speakers") == 1, "single").otherwise("overlap"))
 
 
-def fuse_timelines(speech: DataFrame, turns: DataFrame) -> DataFrame:
+def _tolerant_atoms(own: DataFrame, hits: DataFrame, tolerance_ms: float) -> DataFrame:
+    """Pieces of each interval between boundaries that are clustered where they lie within ``tolerance_ms`` of the one before: recording, segment_id, start_ms, end_ms, state, speakers.
+
+    A cluster's mean stands for it, but the interval's own start and end stay. The speakers of a piece are those of the turns that hold its midpoint. Bounds are doubles until they're rounded.
+    """
+    epsilon = 1e-6
+    clipped = hits.select(F.col("l_id").alias("segment_id"), F.greatest("l_start_ms", "r_start_ms").cast("double").alias("a"), F.least("l_end_ms", "r_end_ms").cast("double").alias("b"), F.col("r_start_ms").alias("from"), F.col("r_end_ms").alias("to"), F.col("r_speaker").alias("speaker"))
+    bounds = own.select(F.col("id").alias("segment_id"), F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e"))
+    every = bounds.select("segment_id", F.explode(F.array("s", "e")).alias("at")).unionByName(clipped.select("segment_id", F.explode(F.array("a", "b")).alias("at")))
+    by = Window.partitionBy("segment_id").orderBy("at")  # the boundaries within one interval
+    fresh = F.when(F.col("at") - F.lag("at").over(by) <= tolerance_ms + epsilon, 0).otherwise(1)
+    run = every.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    cluster = run.groupBy("segment_id", "_run").agg(F.avg("at").alias("mean"), F.min("at").alias("low"), F.max("at").alias("high")).join(bounds, "segment_id")
+    place = F.when(F.abs(F.col("low") - F.col("s")) <= epsilon, F.col("s")).when(F.abs(F.col("high") - F.col("e")) <= epsilon, F.col("e")).otherwise(F.col("mean"))
+    points = cluster.select("segment_id", place.alias("at")).unionByName(bounds.select("segment_id", F.explode(F.array("s", "e")).alias("at"))).distinct()
+    pieces = points.withColumn("next", F.lead("at").over(by)).filter(F.col("next") - F.col("at") > epsilon).withColumn("mid", (F.col("at") + F.col("next")) / 2)
+    inside = clipped.select(F.col("segment_id").alias("_of"), "from", "to", "speaker")
+    active = pieces.join(inside, (F.col("segment_id") == F.col("_of")) & (F.col("from") <= F.col("mid") + epsilon) & (F.col("to") > F.col("mid") + epsilon), "left")
+    named = active.groupBy("segment_id", "at", "next").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
+    named = named.join(own.select(F.col("id").alias("_id"), F.col("video_id").alias("recording")), F.col("segment_id") == F.col("_id"))
+    state = F.when(F.size("speakers") == 0, "unknown").when(F.size("speakers") == 1, "single").otherwise("overlap")
+    return named.select("recording", "segment_id", F.bround("at").cast("long").alias("start_ms"), F.bround("next").cast("long").alias("end_ms"), state.alias("state"), "speakers")
+
+
+def fuse_timelines(speech: DataFrame, turns: DataFrame, tolerance_ms: float = 0) -> DataFrame:
     """Each speech interval (id, video_id, start_ms, end_ms) cut at the borders of the speakers' turns in it: single, overlap or unknown pieces.
 
     Columns: segment_id (the interval's), video_id, start_ms, end_ms, state, speakers, piece (number in the recording, by time) and
-    is_last. A stretch without a turn is unknown.
+    is_last. A stretch without a turn is unknown. Borders that lie within ``tolerance_ms`` of the one before are one.
     """
     own = speech.select("id", "video_id", "start_ms", "end_ms")
     hits = interval_join(own, turns.select("video_id", "start_ms", "end_ms", "speaker"))
+    if tolerance_ms > 0:
+        return _numbered(_tolerant_atoms(own, hits, tolerance_ms))
     inside = hits.select(F.struct("l_video_id", "l_id").alias("video_id"), F.greatest("l_start_ms", "r_start_ms").alias("start_ms"), F.least("l_end_ms", "r_end_ms").alias("end_ms"), F.col("r_speaker").alias("speaker"))
     bounds = own.select(F.struct(F.col("video_id").alias("l_video_id"), F.col("id").alias("l_id")).alias("video_id"), "start_ms", "end_ms", F.lit(None).cast("string").alias("speaker"))
     key = lambda df: df.withColumn("video_id", F.to_json("video_id"))
     cut = atoms(key(bounds.unionByName(inside)))
     named = cut.join(key(bounds.select("video_id", F.col("video_id.l_video_id").alias("recording"), F.col("video_id.l_id").alias("segment_id"))), "video_id")
-    order = Window.partitionBy("recording").orderBy("start_ms", "end_ms", "segment_id")
-    last = F.lead("start_ms").over(order).isNull()
-    return named.select("segment_id", F.col("recording").alias("video_id"), "start_ms", "end_ms", "state", "speakers", F.row_number().over(order).alias("piece"), last.alias("is_last"))
+    return _numbered(named.drop("video_id"))
+
+
+def _numbered(named: DataFrame) -> DataFrame:
+    """Pieces of all intervals with their number in the recording, and whether they're its last."""
+    order = ["start_ms", "end_ms", "segment_id"]
+    placed = scans.ranked(named, ["recording"], scans.time_levels("start_ms"), order, "_rank")
+    last = placed.groupBy(F.col("recording").alias("_of")).agg(F.max("_rank").alias("_last"))
+    placed = placed.join(last, F.col("recording").eqNullSafe(F.col("_of")))
+    return placed.select("segment_id", F.col("recording").alias("video_id"), "start_ms", "end_ms", "state", "speakers", (F.col("_rank") + 1).cast("int").alias("piece"), (F.col("_rank") == F.col("_last")).alias("is_last"))
 
 
 def merge_atoms(pieces: DataFrame, gap_ms: int = 0) -> DataFrame:
     """Join neighbours of equal state and speakers."""
-    order = Window.partitionBy("video_id").orderBy("start_ms")
-    tag = F.concat_ws("|", "state", F.array_join("speakers", "+"))
-    df = pieces.withColumn("tag", tag)
-    fresh = F.coalesce((F.lag("tag").over(order) != F.col("tag")) | (F.col("start_ms") - F.lag("end_ms").over(order) > gap_ms), F.lit(True))
-    df = df.withColumn("_f", fresh.cast("int")).withColumn("run", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = scans.time_levels("start_ms")
+    df = scans.neighbours(pieces.withColumn("tag", F.concat_ws("|", "state", F.array_join("speakers", "+"))), ["video_id"], at, ["start_ms"], before=["tag", "end_ms"])
+    df = df.withColumn("_f", F.coalesce((F.col("prev_tag") != F.col("tag")) | (F.col("start_ms") - F.col("prev_end_ms") > gap_ms), F.lit(True)).cast("int"))
+    df = scans.running(df, ["video_id"], at, ["start_ms"], {"run": F.col("_f")}, "sum").withColumn("run", F.coalesce("run", F.lit(0)) + F.col("_f"))
     return df.groupBy("video_id", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("state").alias("state"), F.first("tag").alias("tag")).drop("run")
 
 
@@ -216,20 +265,48 @@ def derive_exclusive(df: DataFrame) -> DataFrame:
 
 
 def cap_durations(df: DataFrame, most_ms: int = 15_000) -> DataFrame:
-    """Cut clips longer than ``most_ms`` into the least number of balanced parts; ``part`` from 0. Parts keep all columns."""
+    """Cut clips longer than ``most_ms`` into the least number of balanced parts; ``part`` from 0. Parts keep all columns, but their text, which no longer
+    is that of the part: it's emptied, and ``unaligned_source_text`` has it.
+    """
     n = F.ceil((F.col("end_ms") - F.col("start_ms")) / most_ms).cast("long")
     length = F.col("end_ms") - F.col("start_ms")
     cut = lambda k: F.col("start_ms") + F.bround(length * k / F.greatest(n, F.lit(1))).cast("long")
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda k: F.struct(cut(k).alias("s"), cut(k + 1).alias("e")))
-    out = df.select("*", F.posexplode(parts).alias("part", "_p"))
-    return out.withColumns({"start_ms": F.col("_p.s"), "end_ms": F.col("_p.e")}).drop("_p")
+    out = df.select("*", F.posexplode(parts).alias("part", "_p")).withColumn("_n", F.greatest(n, F.lit(1)))
+    return _capped(df, out.withColumns({"start_ms": F.col("_p.s"), "end_ms": F.col("_p.e")}).drop("_p"))
+
+
+def cap_at_pauses(df: DataFrame, frames: DataFrame, most_ms: int = 15_000, search_ms: int = 1_500, min_piece_ms: int = 1_000, id_column: str = "id") -> DataFrame:
+    """``cap_durations`` with each cut moved to a sustained pause near its balanced place, no part shorter than ``min_piece_ms`` or longer than ``most_ms``; ``cut_method`` of the cut at a part's end.
+
+    ``df``: video_id, start_ms, end_ms and a distinct ``id_column``. ``frames``: video_id, at_ms, db. Where a clip's length leaves no room for both bounds, the
+    upper one stands. Only clips that are too long meet frames.
+    """
+    from .quiet import Caps, quiet_parts
+
+    if not 0 < min_piece_ms <= most_ms or search_ms < 0:
+        raise ValueError("a piece is from 1 ms to most_ms, the search not negative")
+    long = F.col("end_ms") - F.col("start_ms") > most_ms
+    cut = quiet_parts(df.filter(long).select(F.col(id_column).alias("span_id"), "video_id", "start_ms", "end_ms"), frames, Caps(most_ms, search_ms, min_piece_ms))
+    cut = cut.select(F.col("span_id").alias("_id"), F.col("part").cast("int").alias("part"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("method").alias("cut_method"))
+    n = F.ceil((F.col("end_ms") - F.col("start_ms")) / most_ms)
+    parts = df.filter(long).withColumn("_n", n).join(cut, F.col(id_column) == F.col("_id")).withColumns({"start_ms": F.col("_s"), "end_ms": F.col("_e")}).drop("_id", "_s", "_e")
+    whole = df.filter(F.coalesce(~long, F.lit(True))).withColumns({"_n": F.lit(1).cast("long"), "part": F.lit(0), "cut_method": F.lit("")})
+    return _capped(df, whole.unionByName(parts))
+
+
+def _capped(df: DataFrame, parts: DataFrame) -> DataFrame:
+    if "text" in df.columns:
+        parts = parts.withColumn("unaligned_source_text", F.when(F.col("_n") > 1, F.col("text"))).withColumn("text", F.when(F.col("_n") > 1, "").otherwise(F.col("text")))
+    return parts.drop("_n")
 
 
 def coalesce_boundaries(df: DataFrame, tolerance_ms: int) -> DataFrame:
     """Chain-cluster the boundaries (video_id, at_ms) that lie within ``tolerance_ms`` of the one before; a cluster's mean stands for it, but the first and last boundary stay, both if one cluster has both."""
-    order = Window.partitionBy("video_id").orderBy("at_ms")
-    fresh = F.when(F.col("at_ms") - F.lag("at_ms").over(order) <= tolerance_ms, 0).otherwise(1)
-    rows = df.select("video_id", "at_ms").distinct().withColumn("_f", fresh).withColumn("cluster", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = scans.time_levels("at_ms")
+    rows = scans.neighbours(df.select("video_id", "at_ms").distinct(), ["video_id"], at, ["at_ms"], before=["at_ms"])
+    rows = rows.withColumn("_f", F.when(F.col("at_ms") - F.col("prev_at_ms") <= tolerance_ms, 0).otherwise(1))
+    rows = scans.running(rows, ["video_id"], at, ["at_ms"], {"cluster": F.col("_f")}, "sum").withColumn("cluster", F.coalesce("cluster", F.lit(0)) + F.col("_f"))
     edges = rows.groupBy("video_id").agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
     mean = rows.groupBy("video_id", "cluster").agg(F.avg("at_ms").alias("mean"), F.min("at_ms").alias("low"), F.max("at_ms").alias("high"), F.count(F.lit(1)).alias("n"))
     is_first, is_last = F.col("low") == F.col("first"), F.col("high") == F.col("last")
@@ -240,9 +317,8 @@ def coalesce_boundaries(df: DataFrame, tolerance_ms: int) -> DataFrame:
 
 def _cleaned(pieces: DataFrame, boundary_ms: int, gap_ms: int) -> DataFrame:
     """Merged pieces with ``tag2``, what they become, and ``action``."""
-    order = Window.partitionBy("video_id").orderBy("start_ms")
-    df = merge_atoms(pieces)
-    left, right = F.lag("tag").over(order), F.lead("tag").over(order)
+    df = scans.neighbours(merge_atoms(pieces), ["video_id"], scans.time_levels("start_ms"), ["start_ms"], ["tag"], ["tag"])
+    left, right = F.col("prev_tag"), F.col("next_tag")
     length, unknown = F.col("end_ms") - F.col("start_ms"), F.col("state") == "unknown"
     single = lambda t: t.startswith("single")
     gap = unknown & (left == right) & single(left) & (length <= gap_ms)

@@ -8,7 +8,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scoring
+from . import scans
 
 
 def pair_eligibility(min_seconds: float = 0.4, max_seconds: float = 20.0) -> Column:
@@ -68,34 +70,69 @@ def length_filter(df: DataFrame, samples: str, rate: str, min_seconds: float, ma
     return df.filter(F.when(F.col(rate) > 0, (F.col(samples) / F.col(rate)).between(min_seconds, max_seconds)))
 
 
-def pair_references(clips: DataFrame, seed: int = 42, min_prompt: float = 1.0, max_prompt: float = 10.0) -> DataFrame:
+#: Slices of picks within the clips of one audio.
+_PICKS = (1 << 20, 1 << 12)
+
+
+def pair_references(clips: DataFrame, seed: int = 42, min_prompt: float = 1.0, max_prompt: float = 10.0, with_text: bool = True) -> DataFrame:
     """One distinct clip of the same recording and speaker for each target: another id, path and audio digest.
 
     Of the n candidates in id order, the target takes number sha256("seed:id") mod n. Candidates are not
-    joined with targets: every clip of a pool has its rank, and a target's pick is found by rank after
-    stepping over the excluded ones (itself and clips of the same audio or path), whose ranks are few.
-    Rows come back with ``reason`` (null: paired) and ``prompt_id``, ``prompt_audio_sha256``, ``prompt_text``.
+    joined with targets: every clip of a pool has its rank, from counts by id prefix, and a pick becomes a rank by stepping over the
+    clips of the target's audio. The i-th of these (from 0), of rank b, is stepped over by picks of b - i and more: one clip is
+    compared with its rank, and for an audio with copies, what is to be added is a running count over entries and picks in that order. Neither pools nor copies are gathered.
+    Rows come back with ``reason`` (null: paired) and ``prompt_id``, ``prompt_audio_sha256``, ``prompt_text`` (``with_text``). The clips are read and digested once
+    and kept in the shared folder; ids must be distinct.
+
+    Clips that name one path but several digests bar each other by path too; only such paths' clips, which a sound
+    manifest hasn't, are put together in lists.
     """
-    rows = clips.withColumn("reason", pair_eligibility())
-    good = rows.filter("reason is null")
     key = ["video_id", "speaker_id"]
-    pool = good.filter((F.col("duration_ms") / 1000).between(min_prompt, max_prompt)).select(*key, "item_id", "audio_path", "audio_sha256", "final_text")
-    ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("item_id")) - 1)
+    rows = scratch.stored(clips.withColumn("reason", pair_eligibility()), "clips")
+    good = rows.filter("reason is null")
+    fit = (F.col("duration_ms") / 1000).between(min_prompt, max_prompt)
+    pool = good.filter(fit).select(*key, "item_id", "audio_path", "audio_sha256")
+    ranked = scratch.stored(scans.ranked(pool, key, scans.text_levels("item_id"), ["item_id"]), "ranked")
+
     sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("pool_size"))
-    # Ranks that a target may not take: clips of its audio, its path, or itself.
-    twins = ranked.select(*key, "audio_sha256", "rank").groupBy(*key, "audio_sha256").agg(F.array_sort(F.collect_list("rank")).alias("same_audio"))
-    paths = ranked.groupBy(*key, "audio_path").agg(F.array_sort(F.collect_list("rank")).alias("same_path"))
-    target = good.select("item_id", *key, "audio_path", "audio_sha256").join(sizes, key, "left").join(twins, [*key, "audio_sha256"], "left").join(paths, [*key, "audio_path"], "left")
-    none = F.array().cast("array<int>")
-    target = target.withColumn("barred", F.array_sort(F.array_distinct(F.concat(F.coalesce("same_audio", none), F.coalesce("same_path", none)))))
-    n = F.coalesce("pool_size", F.lit(0)) - F.size("barred")
-    target = target.withColumn("n", n).withColumn("pick", F.when(F.col("n") > 0, scoring.digest_mod(F.concat(F.lit(f"{seed}:"), "item_id"), F.col("n"))))
-    shifted = F.aggregate("barred", F.col("pick"), lambda at, b: F.when(b <= at, at + 1).otherwise(at))
-    chosen = target.select("item_id", *key, shifted.alias("rank")).join(ranked.select(*key, F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("prompt_id"), F.col("audio_sha256").alias("prompt_audio_sha256"), F.col("final_text").alias("prompt_text")), [*key, "rank"]).select("item_id", "prompt_id", "prompt_audio_sha256", "prompt_text")
-    out = rows.join(chosen, "item_id", "left")
+    audio = [*key, "audio_sha256"]
+    copies = ranked.groupBy(*audio).agg(F.count(F.lit(1)).alias("copies"), F.min("rank").alias("first"))
+    mixed = good.groupBy("audio_path").agg(F.min("audio_sha256").alias("_a"), F.max("audio_sha256").alias("_b")).filter("_a <> _b").select("audio_path", F.lit(True).alias("_mixed"))
+    target = good.select("item_id", *key, "audio_path", "audio_sha256").join(sizes, key, "left").join(copies, audio, "left").join(mixed, "audio_path", "left")
+    target = target.withColumn("n", F.coalesce("pool_size", F.lit(0)) - F.coalesce("copies", F.lit(0)))
+    drawn = scoring.digest_mod(F.concat(F.lit(f"{seed}:"), "item_id"), F.when(F.col("n") > 0, F.col("n")))
+    target = scratch.stored(target.withColumn("c", drawn), "targets")
+
+    plain = target.filter("_mixed is null and n > 0")
+    alone = plain.filter("coalesce(copies, 0) < 2").select("item_id", *key, (F.col("c") + F.coalesce(F.col("c") >= F.col("first"), F.lit(False)).cast("long")).alias("rank"))
+    twins = ranked.join(copies.filter("copies > 1").select(*audio), audio, "left_semi").select(*audio, "rank")
+    entries = scans.ranked(twins, audio, scans.time_levels("rank", _PICKS), ["rank"], "nth").select(*audio, F.lit(None).cast(rows.schema["item_id"].dataType).alias("item_id"), (F.col("rank") - F.col("nth")).alias("c"), F.lit(1).alias("entry"))
+    both = plain.filter("copies > 1").select(*audio, "item_id", "c", F.lit(0).alias("entry")).unionByName(entries)
+    # An entry counts for picks of its own place too, so it goes before them.
+    counted = scans.running(both, audio, scans.time_levels("c", _PICKS), ["c", F.desc("entry"), "item_id"], {"over": F.col("entry")}, "sum")
+    picks = counted.filter("entry = 0").select("item_id", *key, (F.col("c") + F.coalesce("over", F.lit(0))).alias("rank"))
+    picks = alone.unionByName(picks).unionByName(_mixed_picks(target, ranked, key, seed))
+    known = ranked.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("rank").alias("_rank"), F.col("item_id").alias("prompt_id"), F.col("audio_sha256").alias("prompt_audio_sha256"))
+    chosen = picks.join(known, [*(F.col(k) == F.col(f"_{k}") for k in key), F.col("rank") == F.col("_rank")]).select(F.col("item_id").alias("_target"), "prompt_id", "prompt_audio_sha256")
+    if with_text:
+        said = rows.select(F.col("item_id").alias("_said"), F.col("final_text").alias("prompt_text"))
+        chosen = chosen.join(said, F.col("prompt_id") == F.col("_said"), "left").drop("_said")
+    out = rows.join(chosen, F.col("item_id") == F.col("_target"), "left").drop("_target")
     return out.withColumn("reason", F.when(F.col("reason").isNull() & F.col("prompt_id").isNull(), "no_distinct_same_recording_speaker_reference").otherwise(F.col("reason")))
 
 
+def _mixed_picks(target: DataFrame, ranked: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """item_id, ``key`` and rank of the pick of targets whose path has several digests: what is barred by audio or by path is listed."""
+    mine = target.filter("_mixed")
+    of = lambda c, name: ranked.join(mine.select(*key, c).distinct(), [*key, c], "left_semi").groupBy(*key, c).agg(F.collect_list("rank").alias(name))
+    rows = mine.join(of("audio_sha256", "same_audio"), [*key, "audio_sha256"], "left").join(of("audio_path", "same_path"), [*key, "audio_path"], "left")
+    none = F.array().cast("array<long>")
+    rows = rows.withColumn("barred", F.array_sort(F.array_distinct(F.concat(F.coalesce("same_audio", none), F.coalesce("same_path", none)))))
+    left = F.coalesce("pool_size", F.lit(0)) - F.size("barred")
+    rows = rows.withColumn("n", left).filter("n > 0").withColumn("pick", scoring.digest_mod(F.concat(F.lit(f"{seed}:"), "item_id"), F.col("n")).cast("long"))
+    return rows.select("item_id", *key, F.aggregate("barred", F.col("pick"), lambda at, b: F.when(b <= at, at + 1).otherwise(at)).alias("rank"))
+
+
 def group_split(df: DataFrame, fraction: float, seed: int, group: Column, source: Column) -> DataFrame:
     """``split`` train or valid for whole groups, by their digest; no shuffle."""
     limit = int(fraction * (1 << 64))
@@ -277,39 +314,33 @@ def weight_ablations(df: DataFrame, weight: str, seed: int, id_column: str = "it
     return out.crossJoin(F.broadcast(mean)).select(*df.columns, "shuffled_weight", "mean_weight")  # one row
 
 
-def weighted_sample(df: DataFrame, draws: dict[str, int], seed: int, source: str = "source", id_column: str = "item_id") -> DataFrame:
-    """A stated number of draws with replacement per corpus, uniform within it: rows with ``times`` drawn.
-
-    Draw k of a corpus of n rows takes row u64(seed:source:k) mod n of the corpus in digest order.
-    """
-    rows = df.filter(F.col(source).isin(list(draws)))
-    order = F.sha2(F.concat_ws(":", F.col(source), F.col(id_column).cast("string")), 256)
-    parts = []
-    for name, k in draws.items():
-        mine = numbered(rows.filter(F.col(source) == name), order, id_column)
-        n = mine.count()
-        if n and k > 0:
-            picks = df.sparkSession.range(k).select((scoring.u64_of(F.concat(F.lit(f"{seed}:{name}:"), F.col("id").cast("string"))) % F.lit(n).cast("decimal(20,0)")).cast("long").alias("rn"))
-            parts.append(mine.join(picks.groupBy("rn").agg(F.count(F.lit(1)).alias("times")), "rn").drop("rn"))
-    if not parts:
-        return rows.limit(0).withColumn("times", F.lit(0).cast("long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def pair_prompts_epoch(df: DataFrame, epoch: int, seed: int = 42) -> DataFrame:
+def pair_prompts_epoch(df: DataFrame, epoch: int, seed: int = 42, min_prompt: float = 1.0, max_prompt: float = 10.0, unpaired: str = "keep") -> DataFrame:
     """A prompt of the same source and speaker for each record, anew for each epoch: another id, number u64("prompt:seed:epoch:source:id") mod n in ordinal order.
 
-    Columns: source, speaker_id, id, ordinal, prompt_id (an explicit one wins; null where the speaker has one record).
+    Columns: source, speaker_id, id, ordinal, prompt_id (an explicit one wins; null where the speaker has no other record) and, where there, duration:
+    prompts are of ``min_prompt`` to ``max_prompt`` seconds, or of unknown length. Records without a prompt stay, are dropped, or raise when they're
+    read (``unpaired``: keep, drop, fail). Ranks come from counts by slices of ordinals, so a speaker's records are many groups.
     """
+    if unpaired not in ("keep", "drop", "fail"):
+        raise ValueError("unpaired is keep, drop or fail")
     key = ["source", "speaker_id"]
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("ordinal", "id")) - 1)
-    sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    pick = (scoring.u64_of(F.concat_ws(":", F.lit("prompt"), F.lit(str(seed)), F.lit(str(epoch)), "source", "id")) % (F.col("n") - 1).cast("decimal(20,0)")).cast("long")
-    target = ranked.join(sizes, key).withColumn("pick", F.when(F.col("n") > 1, pick))
-    target = target.withColumn("pick", F.col("pick") + F.when(F.col("pick") >= F.col("rank"), 1).otherwise(0))
-    pool = ranked.select(*key, F.col("rank").cast("long").alias("pick"), F.col("id").alias("found"))
-    out = target.join(pool, [*key, "pick"], "left")
-    return out.withColumn("prompt_id", F.coalesce("prompt_id", "found")).select(*df.columns)
+    rows = scratch.stored(df, "records")
+    fit = F.coalesce(F.col("duration").between(min_prompt, max_prompt), F.lit(True)) if "duration" in df.columns else F.lit(True)
+    levels = scans.time_levels("ordinal", (1 << 20, 1 << 12))
+    ranked = scratch.stored(scans.ranked(rows.filter(fit).select(*key, "id", "ordinal"), key, levels, ["ordinal", "id"]), "ranked")
+    sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    named = lambda part, names: part.select(*(F.col(k).alias(f"_on_{k}") for k in key), *(F.col(c).alias(a) for c, a in names.items()))
+    same = [F.col(k) == F.col(f"_on_{k}") for k in key]
+    own = named(ranked, {"id": "_own", "ordinal": "_at", "rank": "_rank"})
+    target = rows.filter("prompt_id is null").join(own, [*same, F.col("id") == F.col("_own"), F.col("ordinal").eqNullSafe(F.col("_at"))], "left").drop("_own", "_at", *(f"_on_{k}" for k in key))
+    target = target.join(named(sizes, {"_n": "_n"}), same, "left").drop(*(f"_on_{k}" for k in key))
+    left = F.coalesce("_n", F.lit(0)) - F.col("_rank").isNotNull().cast("long")
+    drawn = scoring.u64_of(F.concat_ws(":", F.lit("prompt"), F.lit(str(seed)), F.lit(str(epoch)), "source", "id"))
+    target = target.withColumn("_pick", F.when(left > 0, (drawn % left.cast("decimal(20,0)")).cast("long")))
+    target = target.withColumn("_pick", F.col("_pick") + F.when(F.col("_pick") >= F.col("_rank"), 1).otherwise(0))
+    found = target.join(named(ranked, {"rank": "_found_rank", "id": "_found"}), [*same, F.col("_pick") == F.col("_found_rank")], "left").withColumn("prompt_id", F.col("_found"))
+    if unpaired == "drop":
+        found = found.filter("prompt_id is not null")
+    elif unpaired == "fail":
+        found = found.withColumn("prompt_id", F.coalesce("prompt_id", F.raise_error(F.concat(F.lit("no distinct same-speaker prompt for "), F.col("id").cast("string"))).cast(df.schema["prompt_id"].dataType)))
+    return rows.filter("prompt_id is not null").unionByName(found.select(*df.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -15,16 +15,32 @@ def assert_unique(df: DataFrame, key: str = "id", what: str = "rows") -> None:
         raise ValueError(f"{what}: duplicate or empty {key}: {bad[0]}")
 
 
+def once(df: DataFrame, key: str = "id", what: str = "rows") -> DataFrame:
+    """``df`` whose ``key`` raises when it's read where it repeats, or is null or empty.
+
+    Rows are counted in a window by ``key``: a join on it afterwards takes over its shuffle and its order, so the check is no pass of its own.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    told = F.concat(F.lit(f"{what}: duplicate or empty {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    bad = (n > 1) | F.col(key).isNull() | (F.col(key).cast("string") == "")
+    return df.withColumn(key, F.when(bad, F.raise_error(told).cast(df.schema[key].dataType)).otherwise(F.col(key)))
+
+
 #: Statuses of a request that succeeded.
 SUCCEEDED = ("success", "passed", "complete", "completed")
 ASR_COLUMNS = {"id": "string", "status": "string", "error": "string", "hypothesis": "string", "text": "string", "reference": "string", "audio_sha256": "string", "model_id": "string", "canonical": "struct<cer:double>"}
 
 
 def asr_side(secondary: DataFrame) -> DataFrame:
-    """Columns ``s_*`` that the evidence is judged by; what the table lacks is null."""
+    """Columns ``s_*`` that the evidence is judged by; what the table lacks is null.
+
+    ``present`` (array of the names that a record has, as ``read_manifest`` gives it) tells a null from a field that isn't there: a null hypothesis isn't
+    replaced by the text, and a null reference is one that differs. Without it a null is taken as absent.
+    """
     have = lambda c: F.col(c) if c in secondary.columns else F.lit(None)
-    side = secondary.select(*(have(c).cast(kind).alias(f"s_{c}") for c, kind in ASR_COLUMNS.items() if c != "canonical"), have("canonical").cast(ASR_COLUMNS["canonical"]).alias("s_canonical"))
-    return side.withColumn("s_hypothesis", F.coalesce("s_hypothesis", "s_text")).drop("s_text")
+    there = lambda c: F.array_contains("present", c) if "present" in secondary.columns else F.col(c).isNotNull() if c in secondary.columns else F.lit(False)
+    side = secondary.select(*(have(c).cast(kind).alias(f"s_{c}") for c, kind in ASR_COLUMNS.items() if c != "canonical"), have("canonical").cast(ASR_COLUMNS["canonical"]).alias("s_canonical"), F.coalesce(there("hypothesis"), F.lit(False)).alias("_h"), F.coalesce(there("reference"), F.lit(False)).alias("s_reference_given"))
+    return side.withColumn("s_hypothesis", F.when(F.col("_h"), F.col("s_hypothesis")).otherwise(F.col("s_text"))).drop("s_text", "_h")
 
 
 def validate_asr_evidence(require_audio_sha: bool = False, archived: bool = False) -> Column:
@@ -43,7 +59,7 @@ def validate_asr_evidence(require_audio_sha: bool = False, archived: bool = Fals
     else:
         rule = rule.when(F.col("s_status").isNull(), "secondary_asr_status_missing")
     rule = rule.when(F.col("s_hypothesis").isNull(), "secondary_transcript_missing")
-    rule = rule.when(F.col("s_reference").isNotNull() & ~F.col("s_reference").eqNullSafe(F.col("text")), "primary_transcript_binding_mismatch")
+    rule = rule.when(F.col("s_reference_given") & ~F.col("s_reference").eqNullSafe(F.col("text")), "primary_transcript_binding_mismatch")
     both = given("s_audio_sha256") & given("audio_sha256")
     if require_audio_sha:
         rule = rule.when(~both, "audio_sha256_required")
@@ -62,23 +78,21 @@ def weight_manifest(primary: DataFrame, secondary: DataFrame | None = None, gamm
 
     Without ``secondary`` (synthetic pairs) the weight is 1. An empty hypothesis is a full disagreement; a
     missing or failed one is a reason, or raises when it's computed with ``on_asr_error="fail"``. A null primary text
-    raises always. Ids that repeat on a side raise here (``unique``). Only the join's columns of the secondary are
+    raises always. Ids that repeat on a side raise when rows are read (``unique``; without it the caller answers for them). Only the join's columns of the secondary are
     shuffled. ``loss_weight``, where present, follows the weight.
     """
     if on_asr_error not in ("fail", "exclude") or asr_format not in ("status", "archived"):
         raise ValueError("on_asr_error is fail or exclude, asr_format status or archived")
-    if unique:
-        assert_unique(primary, what="primary")
-    rows = primary.withColumn("_p", scoring.normalize_for_scoring(F.col("text")))
-    empty = F.when(F.col("text").isNull(), F.raise_error(F.concat(F.col("id").cast("string"), F.lit(": primary transcript must be a string")))).when(F.length("_p") == 0, "empty_normalized_primary")
+    rows = (once(primary, what="primary") if unique else primary).withColumn("_p", scoring.normalize_for_scoring(F.col("text")))
+    # The id is read here, so that it's checked where only reasons are wanted.
+    empty = F.coalesce(F.when(F.lit(unique) & F.col("id").isNull(), "id_missing"), F.when(F.col("text").isNull(), F.raise_error(F.concat(F.col("id").cast("string"), F.lit(": primary transcript must be a string")))).when(F.length("_p") == 0, "empty_normalized_primary"))
     if secondary is None:
         out = rows.withColumn("reason", empty).withColumns({"disagreement": F.lit(None).cast("double"), "secondary_model": F.lit(None).cast("string"), "pseudo_label_weight": F.when(F.col("reason").isNull(), 1.0)})
     else:
-        if unique:
-            assert_unique(secondary, what="secondary")
         if "audio_sha256" not in rows.columns:
             rows = rows.withColumn("audio_sha256", F.lit(None).cast("string"))
         side = asr_side(secondary)
+        side = once(side, "s_id", "secondary") if unique else side
         out = weigh_joined(rows.join(side, rows.id.cast("string") == side.s_id, "left"), empty, gamma, w_min, on_asr_error, require_audio_sha, asr_format)
     if "loss_weight" in primary.columns:
         out = out.withColumn("loss_weight", F.coalesce("pseudo_label_weight", "loss_weight"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import audio, evaluation, intervals, items, pairing, weighting
+from ..operators import audio, evaluation, intervals, items, pairing, sampling, weighting
 from ..sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,17 @@ def query(sql: str | None = None):
     return add
 
 
+#: A table of this many bytes is read by few tasks, often by one, as a row group isn't split; larger ones have many.
+_FEW_TASKS = (1_000_000, 512_000_000)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that few tasks would read is dealt over all cores; what that moves is bounded."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if _FEW_TASKS[0] <= size <= _FEW_TASKS[1] else df
 
 
 # --- inputs made from the tables ----------------------------------------------------------------
@@ -197,12 +206,12 @@ paired as (select el.item_id, coalesce(el.reason, case when p.item_id is null th
 
 @query(f"with {_PAIRED} select item_id, reason, prompt_id from paired")
 def pair_references(spark, sf_dir):
-    return pairing.pair_references(clips(spark, sf_dir)).select("item_id", "reason", "prompt_id")
+    return pairing.pair_references(clips(spark, sf_dir), with_text=False).select("item_id", "reason", "prompt_id")
 
 
 @query(f"with {_PAIRED}, c as (select reason, count(*) as n from paired group by 1) select sum(n)::bigint as input_rows, coalesce(sum(n) filter (reason is null), 0)::bigint as paired_rows, coalesce(sum(n) filter (reason is not null), 0)::bigint as excluded_rows, string_agg(reason || '=' || n, ',' order by reason) filter (reason is not null) as exclusion_reasons from c")
 def pairing_report(spark, sf_dir):
-    return pairing.pairing_report(pairing.pair_references(clips(spark, sf_dir))).withColumn("exclusion_reasons", _counts("exclusion_reasons"))
+    return pairing.pairing_report(pairing.pair_references(clips(spark, sf_dir), with_text=False)).withColumn("exclusion_reasons", _counts("exclusion_reasons"))
 
 
 @query(f"with {CLIPS} select item_id, case when ('0x' || substr(sha256('split:42:' || speaker_id || ':' || video_id), 1, 16))::ubigint < 1844674407370955264 then 'valid' else 'train' end as split from clips")
@@ -253,10 +262,7 @@ def encode_once(spark, sf_dir):
     return pairing.encode_once(clips(spark, sf_dir), "audio_sha256", "audio_path")
 
 
-_REUSED = PRIMARY + """, kept as (select p.id from prim p join sec s on s.id = p.id and s.audio_sha256 = p.audio_sha256 and s.status = 'success' and s.model_id <> 'asr-fr')"""
-
-
-@query(f"with {_REUSED} select p.id as item_id, k.id is not null as reused from prim p left join kept k on k.id = p.id")
+@query(f"""with {UTT} select item_id, text not like 'W%' and text not like 'I%' and lang <> 'fr' as reused from utt""")
 def reuse_asr_results(spark, sf_dir):
     todo = primary(spark, sf_dir).select(F.col("id").alias("item_id"), "audio_sha256")
     run = F.struct(F.when(F.col("status") == "success", "ok").otherwise("error").alias("status"), F.col("hypothesis").alias("transcript"))
@@ -689,15 +695,42 @@ def weight_ablations(spark, sf_dir):
 p as (select (('0x' || substr(sha256('9:en:' || k), 1, 16))::ubigint % (select any_value(n) from r))::bigint as rn from range(0, 5000) t(k))
 select item_id, count(*) as times from r join p on r.rn = p.rn group by 1""")
 def weighted_sample(spark, sf_dir):
-    return pairing.weighted_sample(clips(spark, sf_dir), {"en": 5000}, 9, "speaker_id").select("item_id", "times")
+    return sampling.weighted_sample(clips(spark, sf_dir), {"en": 5000}, 9, "speaker_id").select("item_id", "times")
+
+
+@query(f"""with {CLIPS}, r as (select item_id, speaker_id, row_number() over (partition by speaker_id order by sha256(speaker_id || ':' || item_id), item_id) - 1 as rn from clips where speaker_id in ('de', 'en', 'fr')),
+z as (select speaker_id, count(*) as n, case speaker_id when 'de' then 0.25 when 'en' then 0.5 else 0.25 end as m from r group by 1), s as (select speaker_id, n, sum(m) over (order by speaker_id) / sum(m) over () as upto from z),
+d as (select k as draw, ('0x' || substr(sha256('mass:5:2:' || k), 1, 16))::ubigint::double / 18446744073709551616.0 as u, ('0x' || substr(sha256('row:5:2:' || k), 1, 16))::ubigint as h from range(1, 3000, 3) t(k)),
+f as (select draw, h, min(struct_pack(a := upto, b := s.speaker_id, c := n)) as x from d join s on upto > u group by 1, 2)
+select r.item_id, draw from f join r on r.speaker_id = x.b and r.rn = (h % x.c::ubigint)::bigint""")
+def sample_by_mass(spark, sf_dir):
+    masses = {"en": 1.0, "de": 0.5, "fr": 0.5, "es": 0.0, "none": 3.0}
+    return sampling.sample_by_mass(clips(spark, sf_dir), masses, 2_998, 5, epoch=2, replicas=3, rank=1, source="speaker_id").select("item_id", "draw")
 
 
-@query(f"""with {CLIPS}, r as (select video_id, speaker_id, item_id, row_number() over w - 1 as rk, count(*) over (partition by video_id, speaker_id) as n from clips window w as (partition by video_id, speaker_id order by item_id)),
-t as (select *, case when n > 1 then (('0x' || substr(sha256('prompt:42:3:' || video_id || ':' || item_id), 1, 16))::ubigint % (n - 1)::ubigint)::bigint end as pk from r)
-select t.item_id as id, x.item_id as prompt_id from t left join r x on x.video_id = t.video_id and x.speaker_id = t.speaker_id and x.rk = t.pk + case when t.pk >= t.rk then 1 else 0 end""")
+#: Candidates are clips of one to ten seconds by length, then id; every seventh id has a prompt of its own.
+_PROMPTS = CLIPS + r""", r as (select item_id, video_id, speaker_id, duration_ms, duration_ms between 1000 and 10000 as fit, case when item_id like '%7' then 'own ' || item_id end as own from clips),
+q as (select item_id, video_id, speaker_id, row_number() over w - 1 as rk, count(*) over (partition by video_id, speaker_id) as n from r where fit window w as (partition by video_id, speaker_id order by duration_ms, item_id)),
+m as (select video_id, speaker_id, count(*) as n from r where fit group by 1, 2),
+t as (select r.item_id, r.video_id, r.speaker_id, own, rk, coalesce(m.n, 0) - case when rk is null then 0 else 1 end as n, ('0x' || substr(sha256('prompt:42:3:' || r.video_id || ':' || r.item_id), 1, 16))::ubigint as h
+  from r left join m on m.video_id = r.video_id and m.speaker_id = r.speaker_id left join q on q.item_id = r.item_id),
+k as (select *, case when n > 0 and own is null then (h % n::ubigint)::bigint end as pk from t), x as (select *, pk + case when pk >= rk then 1 else 0 end as place from k),
+prompts as (select x.item_id as id, coalesce(own, q.item_id) as prompt_id from x left join q on q.video_id = x.video_id and q.speaker_id = x.speaker_id and q.rk = x.place)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("item_id").like("%7"), F.concat(F.lit("own "), "item_id"))
+    return clips(spark, sf_dir).select(F.col("video_id").alias("source"), "speaker_id", F.col("item_id").alias("id"), F.col("duration_ms").alias("ordinal"), (F.col("duration_ms") / 1000).alias("duration"), own.alias("prompt_id"))
+
+
+@query(f"with {_PROMPTS} select id, prompt_id from prompts")
 def pair_prompts_epoch(spark, sf_dir):
-    rows = clips(spark, sf_dir).select(F.col("video_id").alias("source"), "speaker_id", F.col("item_id").alias("id"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("prompt_id"))
-    return pairing.pair_prompts_epoch(rows, 3).select("id", "prompt_id")
+    return pairing.pair_prompts_epoch(_records(spark, sf_dir), 3).select("id", "prompt_id")
+
+
+@query(f"with {_PROMPTS} select id, prompt_id from prompts where prompt_id is not null")
+def pair_prompts_dropping(spark, sf_dir):
+    return pairing.pair_prompts_epoch(_records(spark, sf_dir), 3, unpaired="drop").select("id", "prompt_id")
 
 
 @query(f"with {SPANS}, n as (select *, ceil((end_ms - start_ms) / 1500)::bigint as n from iv), p as (select *, unnest(range(0, n)) as part from n) select id, part::int as part, start_ms + round_even((end_ms - start_ms) * part / n, 0)::bigint as start_ms, start_ms + round_even((end_ms - start_ms) * (part + 1) / n, 0)::bigint as end_ms from p")
@@ -740,4 +773,4 @@ def prepare_timelines(spark, sf_dir):
     return intervals.prepare_timelines(spans(spark, sf_dir), spans(spark, sf_dir), merge_ms=0)
 
 
-from . import records  # noqa: E402, F401  more queries, which take their inputs from here
+from . import records, streams  # noqa: E402, F401  more queries, which take their inputs from here

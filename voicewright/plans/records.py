@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audio, codec, intervals, items, pairing, weighting
+from ..operators import audio, codec, evaluation, hooks, intervals, items, pairing, quiet, scans, weighting
 from ..sources import manifest
 from . import catalog
 from .catalog import CLIPS, GROUPED, PRIMARY, SPANS, UTT, clips, query, spans, table, utterances
@@ -194,6 +195,78 @@ def fuse_speech(spark, sf_dir):
     return intervals.fuse_timelines(speech, s).withColumn("speakers", F.array_join("speakers", "+"))
 
 
+@query(f"""with {SPANS}, sp as (select id, video_id, start_ms - 300 as start_ms, end_ms + 300 as end_ms from iv where speaker = 'view'),
+ht as materialized (select sp.id, greatest(sp.start_ms, iv.start_ms) as s, least(sp.end_ms, iv.end_ms) as e, iv.start_ms as f, iv.end_ms as t, speaker from sp join iv on iv.video_id = sp.video_id and iv.start_ms < sp.end_ms and sp.start_ms < iv.end_ms),
+b as (select id, start_ms as pl from sp union all select id, end_ms from sp union all select id, s from ht union all select id, e from ht),
+r as (select *, case when pl - lag(pl) over (partition by id order by pl) <= 150 then 0 else 1 end as f from b), c as (select *, sum(f) over (partition by id order by pl rows unbounded preceding) as k from r),
+m as (select c.id, case when min(pl) = any_value(sp.start_ms) then any_value(sp.start_ms)::double when max(pl) = any_value(sp.end_ms) then any_value(sp.end_ms)::double else avg(pl) end as pl from c join sp on sp.id = c.id group by c.id, k),
+p as (select id, pl from m union select id, start_ms::double from sp union select id, end_ms::double from sp), q as (select id, pl, lead(pl) over (partition by id order by pl) as nx from p),
+z as (select q.id, pl, nx, coalesce(list_sort(list_distinct(list(speaker) filter (speaker is not null))), []) as w from q left join ht on ht.id = q.id and ht.f <= (pl + nx) / 2 and ht.t > (pl + nx) / 2 where nx is not null group by 1, 2, 3),
+n as (select z.id, video_id, round_even(pl, 0)::bigint as start_ms, round_even(nx, 0)::bigint as end_ms, w from z join sp on sp.id = z.id),
+o as (select *, row_number() over (partition by video_id order by start_ms, end_ms, id) as piece, count(*) over (partition by video_id) as many from n)
+select id as segment_id, video_id, start_ms, end_ms, case len(w) when 0 then 'unknown' when 1 then 'single' else 'overlap' end as state, array_to_string(w, '+') as speakers, piece, piece = many as is_last from o""")
+def fuse_with_tolerance(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    speech = s.filter("speaker = 'view'").withColumns({"start_ms": F.col("start_ms") - 300, "end_ms": F.col("end_ms") + 300})
+    return intervals.fuse_timelines(speech, s, 150).withColumn("speakers", F.array_join("speakers", "+"))
+
+
+# --- models of the caller -----------------------------------------------------------------------
+
+
+def _reader():
+    """A stand-in for a recogniser: it refuses whole batches with shouted texts, and such a text alone."""
+    def read(rows: list[dict]) -> list[dict]:
+        if any("!!" in (r["text"] or "") for r in rows):
+            raise ValueError("shouting")
+        return [{"n_words": len((r["text"] or "").split(" ")), "start": (r["text"] or "")[:12]} for r in rows]
+
+    return read
+
+
+@query("""select doc_id, case when contains(coalesce(text, ''), '!!') then null else len(string_split(coalesce(text, ''), ' ')) end as n_words, case when contains(coalesce(text, ''), '!!') then null else left(coalesce(text, ''), 12) end as start,
+ case when contains(coalesce(text, ''), '!!') then 'error' else 'ok' end as status, case when contains(coalesce(text, ''), '!!') then 'ValueError: shouting' end as error, 'reader-1' as model_id from documents""")
+def with_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hooks.with_model(docs, _reader, ("text",), "n_words long, start string", "reader-1", batch_bytes=50_000, keys={"model_id": "reader-1"}).drop("text")
+
+
+@query("""select event_id as id, array_to_string(list_filter(list_transform(range(1, 6), lambda i: case when l[i] is not null and l[i] <> 'click' and list_position(l, l[i]) = i then l[i] end), lambda x: x is not null), ',') as found
+from (select event_id, [case when value > 50 then 'loud' end, event_type, case when value > 20 then 'view' end, 'seen', case when value > 80 then 'loud' end] as l from events)""")
+def ordered_distinct_reasons(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    one = lambda *rules: F.array_compact(F.array(*rules))
+    a, b = one(F.when(F.col("value") > 50, "loud"), F.col("event_type")), one(F.when(F.col("value") > 20, "view"), F.lit("seen"), F.when(F.col("value") > 80, "loud"))
+    return e.select(F.col("event_id").alias("id"), F.array_join(evaluation.ordered_reasons(a, b, without=F.array(F.lit("click"))), ",").alias("found"))
+
+
+@query("select c_custkey as id, c_nationkey as nation from customer")
+def assert_unique(spark, sf_dir):
+    return weighting.once(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")), what="customers")
+
+
+@query("""with s as (select vec_id, i, least(1.0, greatest(-1.0, embedding[i + 1]::double * 8)) as x from (select vec_id, embedding, unnest(range(64)) as i from embeddings)),
+l as (select *, abs(x) >= 0.999 as fl, 10 * log10(greatest(x * x, 1e-12)) as level from s), r as (select *, i - row_number() over (partition by vec_id, fl order by i) as run from l),
+m as (select vec_id, coalesce(max(n), 0) as longest from (select vec_id, run, count(*) filter (fl) as n from r group by 1, 2, fl) group by 1),
+q as (select vec_id, avg(fl::int) as ratio, quantile_cont(level, 0.9) - quantile_cont(level, 0.2) as snr from l group by 1)
+select q.vec_id::varchar as item_id, array_to_string(list_filter([case when ratio > 0.01 or longest > 0.192 then 'clipping_detected' end, case when snr < 8 then 'low_snr_detected' end], lambda x: x is not null), ',') as reasons, round(ratio, 9) as clipped_ratio, round(snr, 6) as snr_db from q join m on m.vec_id = q.vec_id""")
+def audio_quality(spark, sf_dir):
+    scaled = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x.cast("double") * 8)))
+    clips_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.lit(64).alias("rate"), scaled.alias("samples"))
+    return audio.audio_quality(clips_).select("item_id", F.array_join("reasons", ",").alias("reasons"), F.round("clipped_ratio", 9).alias("clipped_ratio"), F.round("snr_db", 6).alias("snr_db"))
+
+
+@query("""with d as (select doc_id, lang as mode, n_chars / 100.0::double as s from documents), o as (select mode, list({'no': null::bigint, 'open': doc_id, 'used': s::double} order by s desc, doc_id) as rs from d group by 1),
+f as (select mode, rs, list_reduce(list_prepend([{'no': null::bigint, 'open': 0::bigint, 'used': 0.0::double}], list_transform(rs, lambda r: [r])), lambda a, y:
+  case when y[1].used > 60 then list_append(a, {'no': null::bigint, 'open': a[-1].open, 'used': a[-1].used}) when a[-1].used + y[1].used > 60 then list_append(a, {'no': a[-1].open + 1, 'open': a[-1].open + 1, 'used': y[1].used})
+  else list_append(a, {'no': a[-1].open, 'open': a[-1].open, 'used': a[-1].used + y[1].used}) end) as b from o),
+u as (select mode, unnest(range(1, len(rs) + 1)) as i, unnest(rs) as r, unnest(b[2:]) as x from f)
+select r.open as item_id, mode || '-0-' || coalesce(x.no::varchar, 'alone-' || (row_number() over (partition by mode, x.no is null order by i) - 1)) as batch from u""")
+def duration_batches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("mode"), (F.col("n_chars") / 100).alias("seconds"))
+    return audio.duration_batches(docs, 60.0).select("item_id", "batch")
+
+
 # --- responses ----------------------------------------------------------------------------------
 
 
@@ -291,9 +364,75 @@ r as (select *, sum(fr) over (partition by path order by frame) as run from l),
 p as (select s.path, greatest(0, s - 20) as s, least(lim, e + 20) as e from s join t on t.path = s.path),
 m as (select *, case when s - max(e) over (partition by path order by s, e rows between unbounded preceding and 1 preceding) <= 30 then 0 else 1 end as f from p), g as (select *, sum(f) over (partition by path order by s, e) as k from m)
 select path, min(s)::bigint as start_ms, max(e)::bigint as end_ms, count(*) as parts from g group by path, k""")
-def energy_vad(spark, sf_dir):
+def speech_runs(spark, sf_dir):
     frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), F.posexplode("embedding").alias("frame", "x")).select("path", F.col("frame").cast("long").alias("frame"), (F.col("x").cast("double") * 100 - 40).alias("rms_dbfs"))
-    return audio.energy_vad(frames, "path", min_silence_ms=30, min_speech_ms=50, pad_ms=20, merge_gap_ms=30)
+    return audio.speech_runs(frames, "path", min_silence_ms=30, min_speech_ms=50, pad_ms=20, merge_gap_ms=30)
+
+
+#: Vectors of a label are the frames of one recording: 64 of 10 ms each.
+_FRAMES = """v as (select label as path, embedding, row_number() over (partition by label order by vec_id) - 1 as n, vec_id from embeddings),
+f as (select path, n * 64 + unnest(range(64)) as frame, unnest(embedding)::double * 100 - 40 as db from v),
+pw as (select path, list(pow(10.0, db / 10) order by frame) as pw from f group by 1)"""
+
+
+def _level(first: str, last: str) -> str:
+    """Mean power of the frames around ``f``, within bounds."""
+    return f"10 * log10(greatest(list_avg(pw[greatest(f - 9, {first}) + 1:least(f + 9, {last}) + 1]), 1e-12))"
+
+
+def _quietest(lower: str, upper: str, target: str, scale: str, first: str, last: str) -> str:
+    found = f"list_transform(range({lower} // 10 + case when {lower} % 10 > 0 then 1 else 0 end, least({upper} // 10, len(pw) - 1) + 1), lambda f: {{'a': round({_level(first, last)} + 1.5 * abs(f * 10 - {target}) / {scale}, 9), 'b': abs(f * 10 - {target}), 'c': f * 10}})"
+    return f"list_sort({found})[1].c"
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    placed = scans.ranked(e, ["label"], scans.time_levels("vec_id", (4_096, 64)), ["vec_id"], "n")
+    return placed.select(F.col("label").alias("path"), "n", "vec_id", F.posexplode("embedding").alias("i", "x")).select("path", "n", "vec_id", (F.col("n") * 64 + F.col("i")).alias("frame"), (F.col("x").cast("double") * 100 - 40).alias("rms_dbfs"))
+
+
+_CUT = f"list_transform([{{'c': acc[-1], 't': acc[-1] + 1200, 'lo': greatest(acc[-1] + 200, acc[-1] + 900), 'up': least(acc[-1] + 3000, e - 200, acc[-1] + 1500)}}], lambda w: coalesce({_quietest('w.lo', 'w.up', 'w.t', '300', '0', 'len(pw)')}, least(w.t, e - 200)))[1]"
+
+
+@query(f"""with {_FRAMES}, t as (select path, least(greatest(quantile_cont(db, 0.2) + 6.0, -60.0), -20.0) as th, (max(frame) + 1) * 10 as lim from f group by 1),
+l as (select f.path, frame, case when frame - lag(frame) over (partition by f.path order by frame) - 1 <= 30 then 0 else 1 end as fr from f join t on t.path = f.path where db >= th),
+r as (select *, sum(fr) over (partition by path order by frame) as run from l), s as (select path, min(frame) * 10 as s, (max(frame) + 1) * 10 as e from r group by path, run having (max(frame) + 1) * 10 - min(frame) * 10 >= 50),
+p as (select s.path, greatest(0, s - 20) as s, least(lim, e + 20) as e from s join t on t.path = s.path),
+m as (select *, case when s - max(e) over (partition by path order by s, e rows between unbounded preceding and 1 preceding) <= 30 then 0 else 1 end as f from p), g as (select *, sum(f) over (partition by path order by s, e) as k from m),
+i as (select path, min(s)::bigint as s, max(e)::bigint as e from g group by path, k),
+c as (select i.path, s, e, list_reduce(list_prepend([s], list_transform(range((e - s) // 200 + 1), lambda x: [x])), lambda acc, x: case when e - acc[-1] <= 3000 then acc else list_append(acc, {_CUT}) end) as cuts from i join pw on pw.path = i.path),
+u as (select path, unnest(cuts) as start_ms, unnest(list_append(cuts[2:], e)) as end_ms, generate_subscripts(cuts, 1) - 1 as part from c)
+select u.path, start_ms, end_ms, part, round(avg(db), 3) as mean_dbfs, round(max(db), 3) as peak_dbfs, start_ms = max(start_ms) over (partition by u.path) as is_last
+from u join f on f.path = u.path and (frame + 1) * 10 > start_ms and frame * 10 < end_ms group by u.path, start_ms, end_ms, part""")
+def energy_vad(spark, sf_dir):
+    frames = _frames(spark, sf_dir).select("path", "frame", "rms_dbfs")
+    return audio.energy_vad(frames, "path", min_silence_ms=300, min_speech_ms=50, pad_ms=20, merge_gap_ms=30, pauses=quiet.Pauses(1_200, 3_000, 300, 200))
+
+
+_BOUND = "list_transform([{'n': n, 'i': len(acc), 'lo': greatest(acc[-1] + 200, e - (n - len(acc)) * 1500), 'up': least(acc[-1] + 1500, e - (n - len(acc)) * 200), 't': s + round_even((e - s) * len(acc) / n, 0)::bigint}], lambda w: {'lo': w.lo, 'up': w.up, 't': least(w.up, greatest(w.lo, w.t))})"
+_SEARCH = f"list_transform({_BOUND}, lambda w: {{'lo': w.lo, 'up': w.up, 't': w.t, 'a': greatest(w.lo, w.t - 300), 'b': least(w.up, w.t + 300)}})"
+_FIRST, _LAST = "(w.a // 10 + case when w.a % 10 > 0 then 1 else 0 end)", "(w.b // 10)"
+_CAP = f"list_transform({_SEARCH}, lambda w: least(w.up, greatest(w.lo, coalesce(case when w.b > w.a then {_quietest('w.a', 'w.b', 'w.t', 'greatest(1, w.b - w.a)', _FIRST, _LAST)} end, w.t))))[1]"
+
+
+@query(f"""with {_FRAMES}, k as (select vec_id as id, path, n * 640 as s, n * 640 + 640 * (1 + vec_id % 9) - vec_id % 7 as e from v where n % 5 = 0), d as (select *, ceil((e - s) / 1500)::bigint as n from k),
+c as (select id, d.path, s, e, n, list_reduce(list_prepend([s], list_transform(range(1, n), lambda x: [x])), lambda acc, x: list_append(acc, {_CAP})) as cuts from d join pw on pw.path = d.path)
+select id, unnest(cuts) as start_ms, unnest(list_append(cuts[2:], e)) as end_ms, (generate_subscripts(cuts, 1) - 1)::int as part, case when n > 1 then '' else 'said ' || id end as text, case when n > 1 then 'said ' || id end as unaligned_source_text from c""")
+def cap_at_pauses(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    start, end = F.col("n") * 640, F.col("n") * 640 + 640 * (1 + F.col("vec_id") % 9) - F.col("vec_id") % 7
+    clips = frames.filter("frame % 64 = 0 and n % 5 = 0").select(F.col("vec_id").alias("id"), F.col("path").alias("video_id"), start.alias("start_ms"), end.alias("end_ms"), F.concat(F.lit("said "), F.col("vec_id").cast("string")).alias("text"))
+    levels = frames.select(F.col("path").alias("video_id"), (F.col("frame") * 10).alias("at_ms"), F.col("rms_dbfs").alias("db"))
+    return intervals.cap_at_pauses(clips, levels, 1_500, 300, 200).select("id", "start_ms", "end_ms", "part", "text", "unaligned_source_text")
+
+
+@query("""with f as (select vec_id, unnest(embedding)::double * 100 - 60 as db, generate_subscripts(embedding, 1) - 1 as frame from embeddings),
+w as (select * from f where frame between 10 + vec_id % 5 and 40), a as (select vec_id, frame, 10 * log10(greatest(avg(pow(10.0, db / 10)) over (partition by vec_id order by frame range between 9 preceding and 9 following), 1e-12)) as m, abs(frame - 30) as far from w),
+s as (select *, round(m + 1.5 * far / (30 - vec_id % 5), 9) as score from a) select vec_id, arg_min(frame, struct_pack(a := score, b := far, c := frame)) as frame from s group by 1""")
+def quiet_boundary_within(spark, sf_dir):
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("frame", "x"))
+    frames = frames.select("vec_id", F.col("frame").cast("long").alias("frame"), (F.col("x").cast("double") * 100 - 60).alias("db"))
+    return items.quiet_boundary(frames, "vec_id", F.lit(30), lower=10 + F.col("vec_id") % 5, upper=F.lit(40))
 
 
 # --- text ---------------------------------------------------------------------------------------

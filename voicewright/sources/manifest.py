@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,6 +16,14 @@ def read_manifest(spark: SparkSession, path: str, schema: str, strict: bool = Tr
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
+def read_present(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``read_manifest`` with ``present``, the names that each line has, so that a null can be told from a field that isn't there. Lines that aren't objects raise when read."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    row = F.from_json("value", StructType.fromDDL(schema), {"mode": "FAILFAST"})
+    names = F.when(F.col("value").rlike(r"^\s*\{"), F.json_object_keys("value")).otherwise(F.raise_error(F.concat(F.lit("not an object: "), F.substring("value", 1, 80))))
+    return lines.select(row.alias("_row"), names.alias("present")).select("_row.*", "present")
+
+
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file and line text of what ``read_manifest`` would reject."""
     kind = StructType.fromDDL(schema).add("_corrupt_record", "string")
@@ -84,13 +94,31 @@ def check_weight_conflict(df: DataFrame, source_weight: float | None = None) ->
     return df.withColumn("weight_error", F.when(conflict, "source_weight_conflict").when(wrong, "weight_out_of_range")).withColumn("loss_weight", weight)
 
 
-def filter_source_records(df: DataFrame, languages: list[str] | None = None, split: str | None = None, min_duration: float = 0.4, max_duration: float = 20.0) -> DataFrame:
-    """Rows of the languages and the split whose duration is in bounds or unknown. Rows without a language are ``my``, without a split ``train``."""
+def filter_source_records(df: DataFrame, languages: list[str] | None = None, split: str | None = None, min_duration: float = 0.4, max_duration: float = 20.0, unique: str | None = None, source: str | None = None) -> DataFrame:
+    """Rows of the languages and the split whose duration is in bounds or unknown. Rows without a language are ``my``, without a split ``train``.
+
+    ``unique``: the id column, which raises when it's read where an id is there twice among the rows that stay (of its ``source``).
+    """
     have = lambda names, default: F.coalesce(*(F.col(c) for c in names if c in df.columns), F.lit(default))
     rows = df.filter(F.col("duration").isNull() | F.col("duration").between(min_duration, max_duration))
     if languages:
         rows = rows.filter(have(("language_id", "lang"), "my").isin(*languages))
-    return rows.filter(have(("split",), "train") == split) if split else rows
+    if split:
+        rows = rows.filter(have(("split",), "train") == split)
+    if not unique:
+        return rows
+    n = F.count(F.lit(1)).over(Window.partitionBy(*([source] if source else []), unique))
+    told = F.concat(F.lit("duplicate record id: "), F.coalesce(F.col(unique).cast("string"), F.lit("null")))
+    return rows.withColumn(unique, F.when(n > 1, F.raise_error(told).cast(rows.schema[unique].dataType)).otherwise(F.col(unique)))
+
+
+def require_sources(df: DataFrame, names: list[str], source: str = "source") -> dict[str, int]:
+    """Eligible rows of each source of ``names``; raises where one has none, or if there are no names. One row a source comes to the driver."""
+    found = {r[0]: r[1] for r in df.filter(F.col(source).isin(*names)).groupBy(source).count().collect()} if names else {}
+    empty = [n for n in names if not found.get(n)]
+    if empty or not names:
+        raise ValueError(f"no eligible records: {', '.join(empty) or 'no sources'}")
+    return found
 
 
 def unwrap_label(df: DataFrame, label: str = "label") -> DataFrame:
@@ -167,6 +195,46 @@ def merge_run_outputs(spark: SparkSession, folders: list[str], schema: str) -> D
     return out
 
 
+def snapshot(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, str]]:
+    """Rows and checksum of the lines of each input, whatever their order: what ``publish`` compares. One row a path comes to the driver."""
+    out = {}
+    for path in paths:
+        told = manifest_checksum(spark.read.text(path)).first()
+        out[path] = told.rows, told.checksum
+    return out
+
+
+def publish(tables: dict[str, DataFrame], path: str, inputs: list[str], required: str | None = None, before: dict[str, tuple[int, str]] | None = None) -> None:
+    """Write ``tables`` as JSON lines to folders of their names in the new folder ``path``: all of them, or nothing.
+
+    They're written to a folder beside it, which is renamed when all is done. Nothing is published, and the written folder goes, if writing fails, if the
+    table ``required`` has no rows, or if the lines of the ``inputs`` are not as they were ``before`` (a ``snapshot``; by default when publishing begins).
+    Raises where ``path`` is there already.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fs_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    at = fs_of.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.exists(at):
+        raise FileExistsError(f"output directory already exists: {path}")
+    before = before or snapshot(spark, inputs)
+    staging = fs_of.Path(f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}")
+    try:
+        for name, df in tables.items():
+            df.write.json(f"{staging}/{name}")
+        if required and spark.read.text(f"{staging}/{required}").isEmpty():
+            raise ValueError("no eligible training examples")
+        if snapshot(spark, inputs) != before:
+            raise ValueError("input changed during preparation")
+        if fs.exists(at):
+            raise FileExistsError(f"output directory already exists: {path}")
+        fs.mkdirs(at.getParent())
+        if not fs.rename(staging, at):
+            raise OSError(f"can't be renamed to {path}")
+    finally:
+        fs.delete(staging, True)
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     """JSON lines in a new folder; raises where there's one already. Readers wait for its _SUCCESS."""
     df.write.mode("errorifexists").json(path)

@@ -41,7 +41,7 @@ def stream_weight_manifest(primary: DataFrame, results: DataFrame, late: str = "
     rows = primary.withWatermark("ts", late).select("id", "text", "ts")
     both = rows.join(side, F.expr(f"id = s_id and s_ts >= ts and s_ts <= ts + interval {wait}"), "left_outer")
     none = {c: F.lit(None).cast("string") for c in ("s_error", "s_reference", "s_audio_sha256", "audio_sha256")}
-    both = both.withColumns(none | {"s_canonical": F.lit(None).cast("struct<cer:double>"), "_p": scoring.normalize_for_scoring(F.col("text"))})
+    both = both.withColumns(none | {"s_canonical": F.lit(None).cast("struct<cer:double>"), "s_reference_given": F.lit(False), "_p": scoring.normalize_for_scoring(F.col("text"))})
     empty = F.when(F.length("_p") == 0, "empty_normalized_primary")
     return weighting.weigh_joined(both, empty, gamma, w_min, "exclude", False, "status").select("id", "ts", "reason", "disagreement", "pseudo_label_weight", "secondary_model")
 
@@ -86,3 +86,10 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_into(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a query over what is there, into Parquet files (each row once, by the sink's log), and read them."""
+    q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
