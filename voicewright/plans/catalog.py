@@ -483,21 +483,43 @@ facts as (select nt.*, coalesce(tr.run, 0) as run, coalesce(gm.most, 0) as most,
   length(regexp_replace(t, '[^\p{Latin}]', '', 'g')) / greatest(length(regexp_replace(t, '[^\p{L}]', '', 'g')), 1) as latin from nt join cc on cc.item_id = nt.item_id left join tr on tr.item_id = nt.item_id left join gm on gm.item_id = nt.item_id)"""
 
 
-@query("with " + _TEXT_FACTS + r""", f as (select facts.*, quality, toxic, len > greatest(256, ceil(ms / 1000 * 40)) as long, (len > greatest(160, ceil(ms / 1000 * 20)) and most >= 12) or run > 3 or most > 11 as rep from facts left join labels l on facts.doc_id = l.doc_id),
+_FINAL = "with " + _TEXT_FACTS + r""", f as (select facts.*, quality, toxic, len > greatest(256, ceil(ms / 1000 * 40)) as long, (len > greatest(160, ceil(ms / 1000 * 20)) and most >= 12) or run > 3 or most > 11 as rep from facts left join labels l on facts.doc_id = l.doc_id),
 g as (select *, not noasr and (abnormal or rep or long or (quality is not null and (toxic = 1 or (latin >= 0.35 and quality = 0 and lang = 'de') or ms < 500 or (ms < 1000 and quality = 0)))) as bad from f)
 select item_id, case when bad then 'excluded_from_dataset' when noasr or quality is null then 'asr_retry' when quality = 0 then 'boundary_repair' when latin > 0 and lang <> 'de' and latin < 0.35 then 'auto_accept_with_warning' else 'auto_accept' end as route,
  case when noasr then 'gemini_asr_not_run' else array_to_string(list_filter([case when quality is null then 'gemini_quality_not_run' end, case when quality = 0 then 'incomplete_or_cut_off_speech' end, case when abnormal then 'abnormal_characters' end, case when rep and (run > 3 or most > 11) then 'repetitive_text' end,
   case when long then 'transcript_too_long_for_audio' end, case when rep and not (run > 3 or most > 11) then 'repetitive_text' end, case when toxic = 1 then 'background_music_detected' end, case when quality = 0 and lang = 'de' and latin >= 0.35 then 'unnatural_english' end,
-  case when quality is not null and ms < 500 then 'below_short_policy_minimum' when quality = 0 and ms < 1000 then 'unclear_or_unnatural_short_response' end], lambda x: x is not null), ',') end as reasons from g""")
+  case when quality is not null and ms < 500 then 'below_short_policy_minimum' when quality = 0 and ms < 1000 then 'unclear_or_unnatural_short_response' end], lambda x: x is not null), ',') end as reasons from g"""
+#: The same with texts that were blocked before, and with the limit of Latin letters.
+_FINAL_BLOCKED = (
+    _FINAL.replace("g as (select *, not noasr and (abnormal or", "g as (select *, case when contains(t, ' und ') then ['speaker_gate_failed', 'too_short'] else []::varchar[] end as blocked, not noasr and (abnormal or latin > 0.65 or")
+    .replace("case when bad then", "case when bad or len(blocked) > 0 then")
+    .replace("case when noasr then 'gemini_asr_not_run' else array_to_string(list_filter([", "array_to_string(list_concat(blocked, case when noasr then ['gemini_asr_not_run'] else list_filter([")
+    .replace("  case when long then 'transcript_too_long", "  case when latin > 0.65 then 'excessive_english' end, case when long then 'transcript_too_long")
+    .replace("lambda x: x is not null), ',') end as reasons from g", "lambda x: x is not null) end), ',') as reasons from g")
+)
+
+
+@query(_FINAL)
 def finalize_items(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    return _finalized(spark, sf_dir, none, {"max_latin": 1.0})
+
+
+@query(_FINAL_BLOCKED)
+def finalize_blocked_items(spark, sf_dir):
+    blocked = F.when(F.contains("text", F.lit(" und ")), F.array(F.lit("speaker_gate_failed"), F.lit("too_short"))).otherwise(F.array().cast("array<string>"))
+    return _finalized(spark, sf_dir, blocked, None)
+
+
+def _finalized(spark: SparkSession, sf_dir: str, blocking: F.Column, limits: dict | None) -> DataFrame:
     u = utterances(spark, sf_dir)
-    rows = u.select("item_id", (F.length("text") * 60).cast("long").alias("duration_ms"), F.array().cast("array<string>").alias("blocking"))
+    rows = u.select("item_id", (F.length("text") * 60).cast("long").alias("duration_ms"), blocking.alias("blocking"))
     asr = u.filter("text not like 'S%'").select("item_id", F.array(F.struct(F.lit("ok").alias("status"), F.col("text").alias("transcript"))).alias("runs"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     ok, bad = F.col("quality") == 1, F.col("toxic") == 1
     fields = [ok.alias("speech_complete"), ok.alias("natural_short_response"), (ok | (F.col("lang") != "de")).alias("english_natural_code_switch"), F.lit(True).alias("english_audio_text_consistent"), *((bad if k == "background_music" else F.lit(False)).alias(k) for k in items.VETOES)]
     quality = u.join(labels, "doc_id").select("item_id", F.lit("ok").alias("status"), F.struct(*fields).alias("assessment"))
-    out = items.finalize_items(rows, asr, quality, text_limits={"max_latin": 1.0})
+    out = items.finalize_items(rows, asr, quality, text_limits=limits)
     return out.select("item_id", "route", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -611,12 +633,12 @@ def detect_locale(spark, sf_dir):
 
 
 @query(r"""with d as (select doc_id, regexp_replace(regexp_replace(text, '(\p{Nd})\.(\p{Nd})', '\1' || chr(1) || '\2', 'g'), '(\p{Nd})\.(\p{Nd})', '\1' || chr(1) || '\2', 'g') as t from documents),
-p as (select doc_id, list_transform(regexp_extract_all(t, '[^。？！；、.?!;]+(?:[。？！；、.?!;](?:["”]|[。？！；、.?!;]+["”])?)?'), lambda x: struct_pack(done := []::varchar[], now := replace(regexp_replace(x, '([。？！；、.?!;])[。？！；、.?!;]+(["”])$', '\1\2'), chr(1), '.'))) as ps from d),
-f as (select doc_id, list_reduce(ps, lambda a, b: case when length(a.now) + length(b.now) > 80 and length(a.now) > 60 then struct_pack(done := list_append(a.done, a.now), now := b.now) else struct_pack(done := a.done, now := a.now || b.now) end) as r from p where len(ps) > 0),
+p as (select doc_id, list_transform(regexp_extract_all(t, '[^。？！；、.?!;]+(?:[。？！；、.?!;](?:["”]|[。？！；、.?!;]+["”])?)?'), lambda x: struct_pack(done := []::varchar[], now := replace(regexp_replace(x, '([。？！；、.?!;])[。？！；、.?!;]+(["”])$', '\1\2'), chr(1), '.'))) as ps, t from d),
+f as (select doc_id, list_reduce(ps, lambda a, b: case when length(a.now) + length(b.now) > 80 and length(a.now) > 60 then struct_pack(done := list_append(a.done, a.now), now := b.now) else struct_pack(done := a.done, now := a.now || b.now) end) as r from (select doc_id, case when len(ps) > 0 then ps else [struct_pack(done := []::varchar[], now := replace(t, chr(1), '.') || '。')] end as ps from p)),
 e as (select doc_id, case when length(r.now) < 20 and len(r.done) > 0 then list_append(r.done[1:len(r.done) - 1], r.done[len(r.done)] || r.now) else list_append(r.done, r.now) end as out from f)
 select doc_id, len(out)::int as pieces, sha256(array_to_string(out, chr(1))) as digest from e""")
 def split_paragraph(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(F.regexp_replace("text", "[。？！；、.?!;]", "") != "").select("doc_id", text.split_paragraph(F.col("text")).alias("p"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.split_paragraph(F.col("text")).alias("p"))
     return rows.select("doc_id", F.size("p").alias("pieces"), F.sha2(F.array_join("p", "\x01"), 256).alias("digest"))
 
 

@@ -481,12 +481,11 @@ def compose_chat(spark, sf_dir):
     return utterances(spark, sf_dir).select("item_id", text.compose_tts_request(F.col("lang"), F.col("text"), F.length("text") % 3).alias("chat"))
 
 
-@query("with " + UTT + r""", m as (select item_id, regexp_extract_all(text || ' Dr. X! "and" (so)', '[^;:!?。，；：！？]*[;:!?。，；：！？]["''）\]》>」】;:!?。，；：！？]*|[^;:!?。，；：！？]+$') as p from utt where not contains(text, '.') and not contains(text, ',')),
+@query("with " + UTT + r""", m as (select item_id, regexp_extract_all(text || ' Dr. X! "and" (so)', '[^;:!?。，；：！？]*[;:!?。，；：！？]["''）\]》>」】;:!?。，；：！？]*|[^;:!?。，；：！？]+$') as p from utt),
 f as (select item_id, list_reduce(list_transform(p, lambda x: struct_pack(d := []::varchar[], n := x)), lambda a, b: case when length(a.n) + length(b.n) <= 40 then struct_pack(d := a.d, n := a.n || b.n) else struct_pack(d := list_append(a.d, a.n), n := b.n) end) as r from m)
 select item_id, array_to_string(list_transform(list_append(r.d, r.n), lambda x: trim(x)), '|') as chunks from f""")
 def chunk_text(spark, sf_dir):
-    rows = utterances(spark, sf_dir).filter(~F.contains("text", F.lit(".")) & ~F.contains("text", F.lit(",")))
-    return rows.select("item_id", F.array_join(text.chunk_text(F.concat("text", F.lit(' Dr. X! "and" (so)')), 40), "|").alias("chunks"))
+    return utterances(spark, sf_dir).select("item_id", F.array_join(text.chunk_text(F.concat("text", F.lit(' Dr. X! "and" (so)')), 40), "|").alias("chunks"))
 
 
 @query("select doc_id, case lang when 'en' then 'en-US' when 'de' then 'de-DE' when 'fr' then 'fr-FR' end as locale, case lang when 'en' then 'English' when 'de' then 'German' when 'fr' then 'French' end as name from documents")
