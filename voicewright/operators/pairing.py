@@ -211,6 +211,25 @@ def pack_shards(df: DataFrame, size: int, seed: int = 42, id_column: str = "item
     return numbered(df, digest, id_column).withColumn("shard", F.floor(F.col("rn") / size)).drop("rn")
 
 
+def pack_audited(df: DataFrame, size: int, seed: int = 42, min_seconds: float | None = None, max_seconds: float | None = None, id_column: str = "item_id", path: str = "audio_path", seconds: str = "seconds", error: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that go to their ``shard``, a report of each shard, and the errors (id, path, ``reason``, shard).
+
+    Shards are dealt to all rows first, and what's wrong or too short or long leaves its shard less full: a row without id or path, or with
+    a message in the column ``error``, is an error; the length must be from ``min_seconds`` to below ``max_seconds``, a null one being none. The report: shard, processed, filtered,
+    errors, seconds; shards that nothing goes to have a line there and no rows.
+    """
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keyed = df.withColumn("_id", given(id_column))
+    reason = F.when((given(id_column) == "") | (given(path) == ""), "missing id or audio_path")
+    reason = reason.when(F.col(error).isNotNull(), F.col(error).cast("string")) if error else reason
+    length = F.coalesce(F.col(seconds).cast("double"), F.lit(0.0))
+    out = (F.lit(min_seconds is not None) & (length < float(min_seconds or 0))) | (F.lit(max_seconds is not None) & (length >= float(max_seconds or 0)))
+    rows = scratch.stored(pack_shards(keyed, size, seed, "_id").withColumns({"reason": reason, "_seconds": length, "_out": out}), "packed")
+    fine = F.col("reason").isNull() & ~F.col("_out")
+    report = rows.groupBy("shard").agg(F.count_if(fine).alias("processed"), F.count_if(F.col("reason").isNull() & F.col("_out")).alias("filtered"), F.count("reason").alias("errors"), F.sum(F.when(fine, F.col("_seconds")).otherwise(0.0)).alias("seconds"))
+    return rows.filter(fine).select(*df.columns, "shard"), report, rows.filter("reason is not null").select(id_column, path, "reason", "shard")
+
+
 def shard_stats(shards: DataFrame) -> DataFrame:
     return shards.groupBy("shard").agg(F.count(F.lit(1)).alias("samples"), (F.sum("duration_ms") / 1000).alias("seconds"))
 

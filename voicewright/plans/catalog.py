@@ -252,6 +252,25 @@ def pack_shards(spark, sf_dir):
     return pairing.pack_shards(clips(spark, sf_dir), 1000).select("item_id", "shard")
 
 
+_AUDITED = f"with {CLIPS}, b as (select *, case when audio_path like '%7.wav' then null else audio_path end as path from clips), sh as (select *, cast(floor((row_number() over (order by sha256('42:' || item_id), item_id) - 1) / 1000) as bigint) as shard, case when path is null then 'missing id or audio_path' when speaker_id = 'de' and not accepted then 'unreadable' end as reason, duration_ms >= 500 and duration_ms < 9000 as fit from b)"
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = clips(spark, sf_dir).withColumns({"audio_path": F.when(~F.col("audio_path").like("%7.wav"), F.col("audio_path")), "seconds": F.col("duration_ms") / 1000, "failed": F.when((F.col("speaker_id") == "de") & ~F.col("accepted"), "unreadable")})
+    return pairing.pack_audited(rows, 1000, 42, 0.5, 9.0, error="failed")
+
+
+@query(_AUDITED + " select shard, count(*) filter (reason is null and fit) as processed, count(*) filter (reason is null and not fit) as filtered, count(reason) as errors, round(coalesce(sum(duration_ms) filter (reason is null and fit), 0) / 1000, 3) as seconds from sh group by 1")
+def pack_report(spark, sf_dir):
+    return _audited(spark, sf_dir)[1].withColumn("seconds", F.round("seconds", 3))
+
+
+@query(_AUDITED + " select item_id, reason, shard from sh where reason is not null union all select item_id, null, shard from sh where reason is null and fit")
+def pack_audited(spark, sf_dir):
+    packed, _, errors = _audited(spark, sf_dir)
+    return errors.select("item_id", "reason", "shard").unionByName(packed.select("item_id", F.lit(None).cast("string").alias("reason"), "shard"))
+
+
 @query(_SHARDS + " select shard, count(*) as samples, sum(duration_ms) / 1000 as seconds from sh group by 1")
 def shard_stats(spark, sf_dir):
     return pairing.shard_stats(pairing.pack_shards(clips(spark, sf_dir), 1000))
