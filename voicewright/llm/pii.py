@@ -329,7 +329,9 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], field: Field)
 
 def train(docs: DataFrame, column: str = "text", sample_rows: int = SAMPLE_ROWS) -> Field:
     cued = docs.select(F.col(column).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    return fit(shared.sampled(cued, "text", sample_rows))
+    field = fit(shared.sampled(cued, "text", sample_rows))
+    shared.give_back()
+    return field
 
 
 def joined(spans: dict[str, list[tuple[int, int]]]) -> str:

@@ -7,6 +7,9 @@ alone.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +57,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def give_back() -> None:
+    """Return the driver's memory that a fit has used and freed to the system, where the C library can (it else keeps it for the process)."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_mark() -> int:
     return len(_written)
 

@@ -259,7 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     sample = known.filter("label = 1").orderBy(*order).limit(toxic).unionAll(known.filter("label = 0").orderBy(*order).limit(clean))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label").orderBy(F.xxhash64("text"), "label").limit(toxic + clean).collect()
-    return fit([r.text for r in rows], np.array([r.label for r in rows], int))
+    texts, marks = [r.text for r in rows], np.array([r.label for r in rows], int)
+    del rows
+    model = fit(texts, marks)
+    del texts
+    shared.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, column: str = "text", output: str = "toxic_score") -> DataFrame:
