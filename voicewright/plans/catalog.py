@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import audio, evaluation, intervals, items, pairing, sampling, weighting
+from ..operators import audio, evaluation, intervals, items, pairing, sampling, scans, weighting
 from ..sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -568,7 +568,7 @@ def quiet_boundary(spark, sf_dir):
 
 @query(f"with {CLIPS} select item_id, cast(floor((row_number() over (partition by video_id order by duration_ms desc, item_id) - 1) / 16) as bigint) as batch from clips")
 def fixed_batches(spark, sf_dir):
-    return items.fixed_batches(clips(spark, sf_dir), 16, ["video_id"], F.struct(-F.col("duration_ms"), F.col("item_id"))).select("item_id", "batch")
+    return items.fixed_batches(clips(spark, sf_dir), 16, ["video_id"], F.struct(-F.col("duration_ms"), F.col("item_id")), scans.time_levels(-F.col("duration_ms"), (65_536, 512))).select("item_id", "batch")
 
 
 @query("select label as system, round(avg(e[1]), 6) as cer, round(stddev_samp(e[1]), 6) as cer_sd, round(avg(e[2]), 6) as sim, round(case when greatest(100 - avg(e[1]), 0) + avg(e[2]) * 100 > 0 then 2 * greatest(100 - avg(e[1]), 0) * avg(e[2]) * 100 / (greatest(100 - avg(e[1]), 0) + avg(e[2]) * 100) else 0 end, 6) as h from (select label, [abs(embedding[1]::double) * 50, abs(embedding[2]::double)] as e from embeddings) group by 1")
