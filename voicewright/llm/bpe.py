@@ -215,4 +215,5 @@ def round_trip(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_tokens, ids_sha256, decoded_sha256. Null texts are empty, with no ids; repeated rows are encoded alike."""
     return round_trip(shared.read(spark, sf_dir, "documents"))

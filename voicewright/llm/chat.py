@@ -155,6 +155,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id", path: str | None = No
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, read back from their ids and masks. Null roles and texts are empty, rows of a null conversation id are one conversation."""
     turns = shared.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))

@@ -443,4 +443,5 @@ def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_shingles, component_id. Null and empty texts have no shingles and are linked with nothing; copies are linked."""
     return classes(shared.read(spark, sf_dir, "documents"))

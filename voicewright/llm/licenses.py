@@ -260,6 +260,7 @@ def scan(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_paragraphs, families, n_unknown. Null and empty texts have none; repeated rows are scanned alike."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, train(docs))
     families = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"])))

@@ -174,4 +174,5 @@ def compare_edited(docs: DataFrame, id_column: str = "doc_id", column: str = "te
 
 
 def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprints, their edited texts' and their likeness to these and to the next document. Null texts are empty; ids are whole numbers."""
     return compare_edited(shared.read(spark, sf_dir, "documents"))

@@ -540,5 +540,6 @@ def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null texts are empty; repeated texts of 400 bytes or more lose what they share."""
     out = remove(shared.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -157,5 +157,6 @@ def scan(blocks: DataFrame, end: int) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_tokens, from flat token files. Null and empty texts have none; repeated rows are counted one by one."""
     files, names, end = write_flat(shared.read(spark, sf_dir, "documents"))
     return names.join(scan(read_flat(files), end), ["file", "ordinal"], "left").select("doc_id", "n_tokens")

@@ -284,6 +284,7 @@ def score(docs: DataFrame, model: Model, column: str = "text", output: str = "to
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, held_out, score, predicted. Null texts are scored as empty ones, repeated rows alike; a null id isn't held out."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, shared.read(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= REJECT).cast("int").alias("predicted"))
