@@ -70,6 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the rows that each keeps go to the next. Nulls and repeated rows are as the stages say."""
     docs = shared.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         mark = shared.scratch_mark()
