@@ -599,6 +599,24 @@ def test_suffix_dedup_of_hot_keys(spark, monkeypatch):
     assert next(d for n, d in seen if n == "segments").filter("kind = 1 and many > 3").count() > 20
 
 
+def test_suffix_dedup_reports_passages_too_short_to_be_removed(spark):
+    """Shared passages of 50 words and under 400 bytes show in ``n_shared_marks``, whatever stands between their words; a repeat within one row doesn't."""
+    rng = random.Random(9)
+    say = lambda n: ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 6))) for _ in range(n)]
+    passages = [say(50) for _ in range(3)]
+    held = [say(rng.choice([0, 3, 90])) + passages[i % 3] + say(rng.choice([0, 40])) for i in range(9)]
+    twice, shorter = say(50), say(24)
+    clean = [say(200), twice + say(5) + twice, say(40), say(60) + shorter + say(60), shorter + say(80), []]
+    texts = [(" " if i % 2 else "\n\t").join(t) for i, t in enumerate(held + clean)] + [" ".join(say(49))] * 2 + [None]
+    copy = " ".join(clean[0]).replace(" ", "  ")
+    df = spark.createDataFrame(list(enumerate([*texts, copy, copy])), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in suffix_dedup.remove(df).collect()}
+    assert len(got) == len(texts) + 2 and all(got[i].n_removed == 0 and got[i].n_shared_marks > 0 for i in range(9))
+    assert [got[9 + i].n_shared_marks > 0 for i in range(9)] == [True] + [False] * 8
+    n = len(suffix_dedup.marks(np.frombuffer(copy.encode(), np.uint8), np.array([0, len(copy)]))[0])
+    assert got[9].n_shared_marks == got[len(texts)].n_shared_marks == got[len(texts) + 1].n_shared_marks == n > 5
+
+
 def test_merged_transforms_equal_one_sort():
     """Merging shards gives the suffix order and common prefixes that sorting all suffixes at once gives."""
     rng = np.random.default_rng(8)

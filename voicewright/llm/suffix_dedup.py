@@ -18,6 +18,8 @@ never cross documents.
 A key with more than ``HOT`` distinct segments (a passage that many texts hold) would put them all into one task.
 Its strings meet by their hashes alone: counted within each batch of texts, sent once, and dealt over tasks.
 
+Passages shorter than ``LENGTH`` bytes stay, but are reported: ``shared_marks`` counts a text's marks that another row has too.
+
 ``CORE``: of a repeated string, phrase borders from ``2 * CUT - 1`` bytes behind its start to ``2 * CUT + MARK``
 bytes before its end are the same in both places, so the suffix at the first such border shares that much.
 """
@@ -43,6 +45,8 @@ GROUP_BYTES = 1_500_000
 #: Distinct segments of one key beyond which its strings meet by their hashes alone, and hashes that one task takes of these.
 HOT = 256
 PART_HASHES = 500_000
+#: Words of a passage that is reported at any number of bytes, and of a mark in it.
+PASSAGE, PASSAGE_GRAM = 50, 25
 _SEGMENT = np.dtype([("key", "u8"), ("hash", "u8"), ("r", "i4"), ("j", "i4"), ("own", "i4"), ("many", "i4")])
 _SELF = 1 << 16  # added to ``many``: the segment may repeat within itself
 
@@ -501,13 +505,58 @@ def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
     return shared.saved(every, "repeats")
 
 
+def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each mark, once a document: the least hash of the ``PASSAGE_GRAM``-word strings in each ``PASSAGE``-word string."""
+    start, end, first = shared.words(data, offsets)
+    n = np.diff(first)
+    if not (n >= PASSAGE).any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    prefix = shared.prefix_hash(shared.span_hash(shared.prefix_hash(data), start, end))
+    place = np.arange(len(start) - PASSAGE_GRAM + 1)
+    key = _sliding(shared.span_hash(prefix, place, place + PASSAGE_GRAM), PASSAGE - PASSAGE_GRAM + 1, np.minimum)
+    doc = np.repeat(np.arange(len(n)), n)
+    inside = doc[PASSAGE - 1 :] == doc[: len(doc) - PASSAGE + 1]
+    doc, key = doc[: len(inside)][inside], key[inside]
+    for again in (False, True):  # neighbours first, so that less is sorted
+        if again:
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        doc, key = doc[new], key[new]
+    return doc, key
+
+
+def shared_marks(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``text_id`` and ``n_shared_marks``: how many of a text's marks another row of ``docs`` has too; texts with none are left out.
+
+    Marks follow from the words alone. So a passage of ``PASSAGE`` words that two rows share gives both a mark that they share, and
+    rows that share no ``PASSAGE_GRAM`` words have none. Null texts and those of fewer words than ``PASSAGE`` have no marks.
+    """
+    shared.tune(docs.sparkSession)
+    text = shared.text_or_empty(docs, column)
+    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("text_id"), text.alias("text")).filter(F.octet_length("text") >= 2 * PASSAGE - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = shared.buffers(batch.column(1))
+            for a, b in shared.chunks(offsets):
+                doc, key = marks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(key.view(np.int64))], names=["text_id", "key"])
+
+    rows = shared.saved(texts.mapInArrow(run, "text_id binary, key long"), "marks")
+    twice = shared.saved(rows.groupBy("key").count().filter("count > 1").select("key"), "marks-twice")
+    near = shared.maybe_among(rows, "key", twice, "near").filter("near").select("text_id", "key").distinct()
+    return shared.saved(near.join(twice, "key").groupBy("text_id").agg(F.count(F.lit(1)).alias("n_shared_marks")), "shared-marks")
+
+
 def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), n_shared_marks of each row.
 
     Null and short texts keep all they have. Rows with equal texts of ``LENGTH`` bytes or more repeat each
-    other whole, whatever their ids. What is kept may not be UTF-8, as a cut can split a character.
+    other whole, whatever their ids. What is kept may not be UTF-8, as a cut can split a character. ``n_shared_marks`` (see
+    ``shared_marks``) tells of passages that another row has too, also of those too short to be removed.
     """
-    spans = repeats(docs, column)
+    found = shared.saved(repeats(docs, column).join(shared_marks(docs, column), "text_id", "full"), "found")
     shared.tune(docs.sparkSession)
     text = shared.text_or_empty(docs, column)
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("text_id"))
@@ -530,16 +579,17 @@ def remove(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
                         done = b
                 out.append((len(raw), removed, runs, b"".join([*kept, raw[done:]])))
             cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared_marks"])
 
-    # Only texts that may have a span are shuffled.
-    marked = shared.maybe_among(rows, "text_id", spans.select("text_id"), "near")
-    none = marked.filter("not near").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"))
-    joined = marked.filter("near").join(spans.hint("merge"), "text_id", "left").select("doc_id", "text", "spans")
-    return none.unionByName(joined).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    # Only texts that may have a span or a shared mark are shuffled.
+    marked = shared.maybe_among(rows, "text_id", found.select("text_id"), "near")
+    none = marked.filter("not near").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(0).cast("long").alias("n_shared_marks"))
+    joined = marked.filter("near").join(found.hint("merge"), "text_id", "left")
+    joined = joined.select("doc_id", "text", "spans", F.coalesce("n_shared_marks", F.lit(0)).cast("long").alias("n_shared_marks"))
+    return none.unionByName(joined).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_shared_marks long")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null texts are empty; repeated texts of 400 bytes or more lose what they share."""
+    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_marks. Null texts are empty; repeated texts of 400 bytes or more lose what they share."""
     out = remove(shared.read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_marks")
