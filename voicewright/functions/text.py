@@ -50,15 +50,20 @@ def script_metrics(text: Column) -> Column:
     return F.struct(n.alias("letters"), *(c.alias(k) for k, c in counts.items()), (counts["latin"] / F.greatest(n, F.lit(1))).alias("latin_ratio"))
 
 
-def max_token_run(text: Column) -> Column:
-    """Longest run of equal lower-case tokens."""
+def lower(text: Column) -> Column:
+    """Lower case by code point alone, so that İ is one letter and a Σ is the same at a word's end as elsewhere."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
+def max_token_run(text: Column, space: str = r"(?U)\s") -> Column:
+    """Longest run of equal lower-case tokens between runs of ``space``; 0 without a token."""
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, token: Column) -> Column:
         run = F.when(token == acc["last"], acc["run"] + 1).otherwise(1)
         return F.struct(token.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    tokens = F.filter(F.split(F.lower(collapse_space(text)), " "), lambda t: t != "")
+    tokens = F.filter(F.split(lower(text), f"{space}+"), lambda t: t != "")
     return F.aggregate(tokens, start, step)["best"]
 
 
