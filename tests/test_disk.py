@@ -2,10 +2,12 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from voicewright import scratch
-from voicewright.operators import sampling
+from voicewright.functions import scoring
+from voicewright.operators import sampling, weighting
 
 
 def test_draws_store_sizes_alone(spark, monkeypatch):
@@ -20,3 +22,27 @@ def test_draws_store_sizes_alone(spark, monkeypatch):
     times = {r.item_id: r.times for r in sampling.weighted_sample(df, {"a": 20_000}, 7).collect()}
     assert sum(times.values()) == 20_000 and len(times) > 8_000
     assert max(sizes) <= 16**3
+
+
+def test_manifest_shuffles_each_side_once(spark):
+    ids = spark.range(50).select(F.concat(F.lit("i"), "id").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("audio_sha256"))
+    p = ids.withColumn("text", F.concat(F.lit("some words "), "id"))
+    s = ids.select("id", "audio_sha256", F.lit("success").alias("status"), F.lit("some words i1").alias("hypothesis"), F.lit("m").alias("model_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = weighting.weight_manifest(p, s)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = {r.id: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got["i1"].disagreement == 0 and got["i1"].audio_sha256 == p.filter("id = 'i1'").first().audio_sha256 and got["i2"].disagreement > 0
+    for bad in (s.unionByName(s.filter("id = 'i1'")), s.unionByName(s.limit(1).withColumn("id", F.lit(None).cast("string"))), s.unionByName(s.limit(1).withColumn("id", F.lit("apart"))).unionByName(s.limit(1).withColumn("id", F.lit("apart")))):
+        with pytest.raises(Exception, match="secondary: duplicate or empty"):
+            weighting.weight_manifest(p, bad).select("reason").collect()
+
+
+def test_packed_digests_come_back(spark):
+    texts = ["", "a" * 64, "A" * 64, "0" * 64, "0" * 63, "é" * 32, "\0" * 32, None, "ab" * 31 + "g0", "x" * 31]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("p", scoring.packed(F.col("t"))).withColumn("u", scoring.unpacked(F.col("p"))).collect()
+    assert all(r.t == r.u for r in rows) and len({bytes(r.p) for r in rows if r.p is not None}) == len(texts) - 1

@@ -41,7 +41,8 @@ def stream_weight_manifest(primary: DataFrame, results: DataFrame, late: str = "
     rows = primary.withWatermark("ts", late).select("id", "text", "ts")
     both = rows.join(side, F.expr(f"id = s_id and s_ts >= ts and s_ts <= ts + interval {wait}"), "left_outer")
     none = {c: F.lit(None).cast("string") for c in ("s_error", "s_reference", "s_audio_sha256", "audio_sha256")}
-    both = both.withColumns(none | {"s_canonical": F.lit(None).cast("struct<cer:double>"), "s_reference_given": F.lit(False), "_p": scoring.normalize_for_scoring(F.col("text"))})
+    both = both.withColumns(none | {"s_canonical": F.lit(None).cast("struct<cer:double>"), "s_reference_given": F.lit(False)})
+    both = scoring.computed(both, {"_p": scoring.normalize_for_scoring(F.col("text")), "_s": scoring.normalize_for_scoring(F.col("s_hypothesis"))})
     empty = F.when(F.length("_p") == 0, "empty_normalized_primary")
     return weighting.weigh_joined(both, empty, gamma, w_min, "exclude", False, "status").select("id", "ts", "reason", "disagreement", "pseudo_label_weight", "secondary_model")
 
