@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voicewright import scratch
 from voicewright.functions import scoring
-from voicewright.operators import sampling, weighting
+from voicewright.operators import pairing, sampling, weighting
 
 
 def test_draws_store_sizes_alone(spark, monkeypatch):
@@ -46,3 +46,15 @@ def test_packed_digests_come_back(spark):
     texts = ["", "a" * 64, "A" * 64, "0" * 64, "0" * 63, "é" * 32, "\0" * 32, None, "ab" * 31 + "g0", "x" * 31]
     rows = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("p", scoring.packed(F.col("t"))).withColumn("u", scoring.unpacked(F.col("p"))).collect()
     assert all(r.t == r.u for r in rows) and len({bytes(r.p) for r in rows if r.p is not None}) == len(texts) - 1
+
+
+def test_tables_on_the_way_and_shuffles_are_deleted(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "new_path", lambda s, name, n=iter(range(99)): scratch._written.setdefault(s.sparkContext.applicationId, []).append(p := f"{tmp_path}/{name}-{next(n)}") or p)
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    clips = spark.range(400).select(F.concat(F.lit("i"), "id").alias("item_id"), F.lit("v").alias("video_id"), F.lit("s").alias("speaker_id"), F.concat(F.lit("p"), "id").alias("audio_path"), F.sha2((F.col("id") % 300).cast("string"), 256).alias("audio_sha256"), F.lit("text").alias("final_text"), F.lit(2000).alias("duration_ms"), F.lit(True).alias("accepted"), F.lit(True).alias("speaker_pure"))
+    before = files()
+    out = pairing.pair_references(clips)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["chosen", "clips"]
+    assert files() <= before
+    rows = {r.item_id: r for r in out.collect()}
+    assert len(rows) == 400 and all(r.prompt_id and r.prompt_audio_sha256 == rows[r.prompt_id].audio_sha256 != r.audio_sha256 and r.prompt_text == "text" for r in rows.values())

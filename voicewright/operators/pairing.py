@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .. import scratch
 from ..functions import scoring
@@ -82,17 +83,28 @@ def pair_references(clips: DataFrame, seed: int = 42, min_prompt: float = 1.0, m
     clips of the target's audio. The i-th of these (from 0), of rank b, is stepped over by picks of b - i and more: one clip is
     compared with its rank, and for an audio with copies, what is to be added is a running count over entries and picks in that order. Neither pools nor copies are gathered.
     Rows come back with ``reason`` (null: paired) and ``prompt_id``, ``prompt_audio_sha256``, ``prompt_text`` (``with_text``). The clips are read and digested once
-    and kept in the shared folder; ids must be distinct.
+    and kept in the shared folder with the prompts' ids, while ranks and picks are deleted once these are found; ids must be distinct.
 
     Clips that name one path but several digests bar each other by path too; only such paths' clips, which a sound
     manifest hasn't, are put together in lists.
     """
-    key = ["video_id", "speaker_id"]
+    spark, kind = clips.sparkSession, clips.schema["item_id"].dataType
     rows = scratch.stored(clips.withColumn("reason", pair_eligibility()), "clips")
-    good = rows.filter("reason is null")
+    chosen = scratch.settled(spark, lambda: _prompts(rows.filter("reason is null").withColumn("audio_sha256", scoring.packed(F.col("audio_sha256"))), kind, seed, min_prompt, max_prompt), "chosen")
+    chosen = chosen.withColumn("prompt_audio_sha256", scoring.unpacked(F.col("prompt_audio_sha256")))
+    if with_text:
+        said = rows.select(F.col("item_id").alias("_said"), F.col("final_text").alias("prompt_text"))
+        chosen = chosen.join(said, F.col("prompt_id") == F.col("_said"), "left").drop("_said")
+    out = rows.join(chosen, F.col("item_id") == F.col("_target"), "left").drop("_target")
+    return out.withColumn("reason", F.when(F.col("reason").isNull() & F.col("prompt_id").isNull(), "no_distinct_same_recording_speaker_reference").otherwise(F.col("reason")))
+
+
+def _prompts(good: DataFrame, kind: DataType, seed: int, min_prompt: float, max_prompt: float) -> DataFrame:
+    """_target, prompt_id and prompt_audio_sha256 of the eligible clips ``good`` that have a prompt; their ids are of ``kind``."""
+    key = ["video_id", "speaker_id"]
     fit = (F.col("duration_ms") / 1000).between(min_prompt, max_prompt)
     pool = good.filter(fit).select(*key, "item_id", "audio_path", "audio_sha256")
-    ranked = scratch.stored(scans.ranked(pool, key, scans.text_levels("item_id"), ["item_id"]), "ranked")
+    ranked = scratch.settled(good.sparkSession, lambda: scans.ranked(pool, key, scans.text_levels("item_id"), ["item_id"]), "ranked")
 
     sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("pool_size"))
     audio = [*key, "audio_sha256"]
@@ -106,19 +118,14 @@ def pair_references(clips: DataFrame, seed: int = 42, min_prompt: float = 1.0, m
     plain = target.filter("_mixed is null and n > 0")
     alone = plain.filter("coalesce(copies, 0) < 2").select("item_id", *key, (F.col("c") + F.coalesce(F.col("c") >= F.col("first"), F.lit(False)).cast("long")).alias("rank"))
     twins = ranked.join(copies.filter("copies > 1").select(*audio), audio, "left_semi").select(*audio, "rank")
-    entries = scans.ranked(twins, audio, scans.time_levels("rank", _PICKS), ["rank"], "nth").select(*audio, F.lit(None).cast(rows.schema["item_id"].dataType).alias("item_id"), (F.col("rank") - F.col("nth")).alias("c"), F.lit(1).alias("entry"))
+    entries = scans.ranked(twins, audio, scans.time_levels("rank", _PICKS), ["rank"], "nth").select(*audio, F.lit(None).cast(kind).alias("item_id"), (F.col("rank") - F.col("nth")).alias("c"), F.lit(1).alias("entry"))
     both = plain.filter("copies > 1").select(*audio, "item_id", "c", F.lit(0).alias("entry")).unionByName(entries)
     # An entry counts for picks of its own place too, so it goes before them.
     counted = scans.running(both, audio, scans.time_levels("c", _PICKS), ["c", F.desc("entry"), "item_id"], {"over": F.col("entry")}, "sum")
     picks = counted.filter("entry = 0").select("item_id", *key, (F.col("c") + F.coalesce("over", F.lit(0))).alias("rank"))
     picks = alone.unionByName(picks).unionByName(_mixed_picks(target, ranked, key, seed))
     known = ranked.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("rank").alias("_rank"), F.col("item_id").alias("prompt_id"), F.col("audio_sha256").alias("prompt_audio_sha256"))
-    chosen = picks.join(known, [*(F.col(k) == F.col(f"_{k}") for k in key), F.col("rank") == F.col("_rank")]).select(F.col("item_id").alias("_target"), "prompt_id", "prompt_audio_sha256")
-    if with_text:
-        said = rows.select(F.col("item_id").alias("_said"), F.col("final_text").alias("prompt_text"))
-        chosen = chosen.join(said, F.col("prompt_id") == F.col("_said"), "left").drop("_said")
-    out = rows.join(chosen, F.col("item_id") == F.col("_target"), "left").drop("_target")
-    return out.withColumn("reason", F.when(F.col("reason").isNull() & F.col("prompt_id").isNull(), "no_distinct_same_recording_speaker_reference").otherwise(F.col("reason")))
+    return picks.join(known, [*(F.col(k) == F.col(f"_{k}") for k in key), F.col("rank") == F.col("_rank")]).select(F.col("item_id").alias("_target"), "prompt_id", "prompt_audio_sha256")
 
 
 def _mixed_picks(target: DataFrame, ranked: DataFrame, key: list[str], seed: int) -> DataFrame:
