@@ -58,3 +58,23 @@ def test_tables_on_the_way_and_shuffles_are_deleted(spark, monkeypatch, tmp_path
     assert files() <= before
     rows = {r.item_id: r for r in out.collect()}
     assert len(rows) == 400 and all(r.prompt_id and r.prompt_audio_sha256 == rows[r.prompt_id].audio_sha256 != r.audio_sha256 and r.prompt_text == "text" for r in rows.values())
+
+
+def test_quality_cache_is_shuffled_by_id_alone(spark):
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    ids = spark.range(40).select(F.concat(F.lit("i"), "id").alias("item_id"), sha(F.col("id")).alias("audio_sha256"), "id")
+    asr = ids.filter("id < 30").select("item_id", F.array(F.struct(F.lit("ok").alias("status"), F.concat(F.lit("t"), "id").alias("transcript"))).alias("runs"))
+    other = F.when(F.col("id") == 3, "x").otherwise(F.col("audio_sha256"))
+    cached = ids.select("item_id", other.alias("audio_sha256"), sha(F.concat(F.lit("t"), F.when(F.col("id") == 4, 9).otherwise(F.col("id")))).alias("primary_transcript_sha256"), F.lit("ok").alias("status"), F.struct(F.lit(True).alias("fine")).alias("quality_assessment"), F.lit("q").alias("prompt_id"), F.lit("s").alias("prompt_sha256"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old, new = pairing.reuse_quality_results(ids.drop("id"), asr, cached, "q", "s")
+        for df in (old, new):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3, plan
+        assert {r.item_id for r in new.collect()} == {"i3", "i4"} and new.columns == ["item_id", "audio_sha256", "primary_transcript_sha256"]
+        got = {r.item_id: r for r in old.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(got) == {f"i{i}" for i in range(30)} - {"i3", "i4"} and all(len(r.audio_sha256) == 64 for r in got.values())

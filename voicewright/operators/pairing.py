@@ -280,12 +280,19 @@ def reuse_asr_results(items: DataFrame, cached: DataFrame, prompt_id: str, promp
 
 
 def reuse_quality_results(items: DataFrame, asr: DataFrame, cached: DataFrame, prompt_id: str, prompt_sha256: str) -> tuple[DataFrame, DataFrame]:
-    """The same of quality observations, which also hold for one transcript only; items without a recognised transcript have nothing to do."""
+    """The same of quality observations, which also hold for one transcript only; items without a recognised transcript have nothing to do.
+
+    All three sides are shuffled by id alone, once, with packed digests; these are compared where ids meet, not taken as further keys, by which the joined rows would be shuffled again.
+    """
+    digests = ["audio_sha256", "primary_transcript_sha256"]
+    each = lambda df, f: df.withColumns({c: f(F.col(c)) for c in digests if c in df.columns})
     said = one_success(asr).select("item_id", F.sha2(F.coalesce("transcript", F.lit("")), 256).alias("primary_transcript_sha256"))
-    expected = items.join(said, "item_id")
-    kept = cached.filter((F.col("status") == "ok") & F.col("quality_assessment").isNotNull() & (F.col("prompt_id") == prompt_id) & (F.col("prompt_sha256") == prompt_sha256))
-    keys = ["item_id", "audio_sha256", "primary_transcript_sha256"]
-    return kept.join(expected.select(*keys), keys, "left_semi").dropDuplicates(["item_id"]), expected.join(kept.select(*keys), keys, "left_anti")
+    expected = each(items, scoring.packed).join(each(said, scoring.packed), "item_id")
+    kept = each(cached.filter((F.col("status") == "ok") & F.col("quality_assessment").isNotNull() & (F.col("prompt_id") == prompt_id) & (F.col("prompt_sha256") == prompt_sha256)), scoring.packed)
+    other = lambda df: df.select(*(F.col(c).alias(f"_{c}") for c in ("item_id", *digests)))
+    same = (F.col("item_id") == F.col("_item_id")) & F.array_contains(F.array("_audio_sha256"), F.col("audio_sha256")) & F.array_contains(F.array("_primary_transcript_sha256"), F.col("primary_transcript_sha256"))
+    old = kept.join(other(expected), same, "left_semi").dropDuplicates(["item_id"])
+    return each(old, scoring.unpacked), each(expected.join(other(kept), same, "left_anti"), scoring.unpacked)
 
 
 def reuse_recovery_results(items: DataFrame, initial: DataFrame, cached: DataFrame, config_sha256: str) -> tuple[DataFrame, DataFrame]:
